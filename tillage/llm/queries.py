@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tillage.llm._common import table
+from tillage.llm.quality_rules import judge_quality
+from tillage.llm.simhash import near_duplicates
 from tillage.llm.url_filter import judge_urls
 
 QUERIES: dict = {}
@@ -23,3 +26,17 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 @query
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    q = judge_quality(docs, out="q", keep_text=False)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"]
+    return q.select("doc_id", *[F.col(f"q.{n}").alias(n) for n in names])
+
+
+@query
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
