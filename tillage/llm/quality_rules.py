@@ -28,10 +28,12 @@ FUNCTION_WORDS = frozenset(
 )
 _FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
 
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_function", "n_upper", "n_letters", "n_stops"]
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_function", "n_upper", "n_letters", "n_stops", "n_marks", "n_runs", "n_bare"]
 COUNTS_TYPE = "struct<" + ", ".join(f"{c}: bigint" for c in _COUNTS) + ">"
 _STRIP = b".,;:!?\"'()[]"
 _ENDS = (b".", b"!", b"?")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalpha())
+_PUNCTUATION = frozenset(c for c in _MARKS if not chr(c).isdigit())
 
 
 def repeated_words(words: list) -> int:
@@ -67,15 +69,21 @@ def text_counts(text: bytes | None) -> tuple:
                 seen.add(line)
     upper = len(text) - len(text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     lower = len(text) - len(text.translate(None, b"abcdefghijklmnopqrstuvwxyz"))
-    times = Counter(words)
-    function = stops = 0
-    for w, n in times.items():
-        if w.strip(_STRIP).lower() in _FUNCTION_BYTES:
+    marks = len(text) - len(text.translate(None, _MARKS))
+    function = stops = runs = bare = 0
+    for w, n in Counter(words).items():
+        core = w.strip(_STRIP)
+        if core in _FUNCTION_BYTES or core[:1].lower() + core[1:] in _FUNCTION_BYTES:
             function += n
-        if w.endswith(_ENDS):
-            stops += n
+        if w[-1] in _PUNCTUATION:
+            if w.endswith(_ENDS):
+                stops += n
+            if w[-2:-1] == w[-1:]:
+                runs += n
+            if not w.strip(_MARKS):
+                bare += n
     symbols = sum(text.count(bytes([c])) for c in SYMBOLS)
-    return (len(words), chars - seconds, symbols, duplicates, repeated_words(words), lines, function, upper, upper + lower, stops)
+    return (len(words), chars - seconds, symbols, duplicates, repeated_words(words), lines, function, upper, upper + lower, stops, marks, runs, bare)
 
 
 def counts_column(text: Column) -> Column:
@@ -107,20 +115,21 @@ class QualityParams:
 def votes(c: Column) -> list[tuple[str, Column]]:
     """The rules, over a struct of counts; each is 1, -1 or 0."""
     n = F.greatest(c["n_words"], F.lit(1)).cast("double")
-    rule = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
-    length, symbols = c["word_chars"] / n, c["n_symbols"] / n
-    lines = c["n_dup_lines"] / F.greatest(c["n_lines"], F.lit(1))
-    repeat, function = c["n_repeat_words"] / n, c["n_function"] / n
-    upper, stops = c["n_upper"] / F.greatest(c["n_letters"], F.lit(1)), c["n_stops"] / n
+    rule = lambda bad, good=F.lit(False): F.when(bad, -1).when(good, 1).otherwise(0)
+    symbols, function, stops, runs, bare = (c[x] / n for x in ("n_symbols", "n_function", "n_stops", "n_runs", "n_bare"))
+    marks = c["n_marks"] / F.greatest(c["word_chars"], F.lit(1))
+    upper = c["n_upper"] / F.greatest(c["n_letters"], F.lit(1))
     return [
-        ("length", rule(c["n_words"] < 50, c["n_words"] >= 80)),
-        ("word_length", rule((length < 2.5) | (length > 12), (length >= 3.5) & (length <= 10))),
+        ("length", rule(c["n_words"] < 50)),
         ("symbols", rule(symbols > 0.15, symbols < 0.03)),
-        ("duplicate_lines", rule(lines > 0.3, (lines < 0.05) & (c["n_lines"] >= 2))),
-        ("repetition", rule(repeat > 0.3, repeat < 0.1)),
-        ("function_words", rule(function < 0.02, function > 0.08)),
+        ("marks", rule(marks > 0.14, marks < 0.10)),
         ("capitals", rule(upper > 0.4, upper < 0.15)),
-        ("sentences", rule((stops > 0.5) | (stops == 0), (stops > 0.02) & (stops < 0.35))),
+        ("sentences", rule((stops > 0.5) | (stops < 0.005), (stops > 0.02) & (stops < 0.35))),
+        ("function_words", rule(function < 0.02, function > 0.08)),
+        ("runs", rule(runs > 0.3, runs < 0.02)),
+        ("bare_marks", rule(bare > 0.15, bare < 0.02)),
+        ("duplicate_lines", rule(c["n_dup_lines"] > 0.3 * c["n_lines"])),
+        ("repetition", rule(c["n_repeat_words"] > 0.3 * n)),
     ]
 
 
@@ -133,32 +142,33 @@ def pattern_column(ballot: list[Column]) -> Column:
 
 
 def fit_votes(patterns: np.ndarray, weights: np.ndarray, rules: int, p: QualityParams = QualityParams()) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of "good" per pattern, accuracies [rule, class] and the share of good documents.
+    """Posterior of "good" per pattern, P(vote | class) as [rule, class, vote + 1], the share of good documents.
 
-    Accuracy of a rule on a class: how often its vote, when it votes, names that class. Accuracies
-    start at a majority vote and are held at 0.5 or more, so that the classes cannot change places.
+    The accuracies are P(-1 | bad) and P(+1 | good); abstaining has a probability of its own, so that
+    rules which only ever vote against a document fit in. Pseudo-counts favour right votes, and the
+    start is a weighted majority, which fixes what the two classes mean.
     """
-    ballots = np.array([[x // 3**j % 3 - 1 for j in range(rules)] for x in patterns]).reshape(-1, rules)
-    good, bad = ballots == 1, ballots == -1
-    post = 1 / (1 + np.exp(-(good.sum(1) - 2.0 * bad.sum(1) + np.log(p.good_share / (1 - p.good_share)))))
-    accuracy, share, last = np.full((rules, 2), 0.8), p.good_share, -np.inf
+    ballots = np.array([[x // 3**j % 3 for j in range(rules)] for x in patterns], dtype=np.int64).reshape(-1, rules)
+    good, bad = (ballots == 2).sum(1), (ballots == 0).sum(1)
+    post = 1 / (1 + np.exp(-(good - 3.0 * bad + np.log(p.good_share / (1 - p.good_share)))))
+    right, wrong = p.prior
+    extra = np.array([[right, right, wrong], [wrong, right, right]])
+    table, share, last = np.zeros((rules, 2, 3)), p.good_share, -np.inf
     for _ in range(p.rounds):
-        w1, w0 = weights * post, weights * (1 - post)
-        share = float(np.clip((w1.sum() + p.good_share) / (weights.sum() + 1), 0.05, 0.95))
+        share = float(np.clip((weights @ post + p.good_share) / (weights.sum() + 1), 0.02, 0.98))
         for j in range(rules):
-            g, b = good[:, j], bad[:, j]
-            accuracy[j, 1] = (w1[g].sum() + p.prior[0]) / (w1[g | b].sum() + sum(p.prior))
-            accuracy[j, 0] = (w0[b].sum() + p.prior[0]) / (w0[g | b].sum() + sum(p.prior))
-        accuracy = np.clip(accuracy, 0.5, 0.999)
-        l1 = np.log(share) + good @ np.log(accuracy[:, 1]) + bad @ np.log(1 - accuracy[:, 1])
-        l0 = np.log(1 - share) + bad @ np.log(accuracy[:, 0]) + good @ np.log(1 - accuracy[:, 0])
-        both = np.logaddexp(l1, l0)
-        post = np.exp(l1 - both)
-        now = float(weights @ both) / max(weights.sum(), 1)
+            for y, w in ((0, weights * (1 - post)), (1, weights * post)):
+                n = np.bincount(ballots[:, j], w, 3) + extra[y]
+                table[j, y] = n / n.sum()
+        log = np.log(table)
+        both = np.stack([np.log(1 - share) + log[np.arange(rules), 0, ballots].sum(1), np.log(share) + log[np.arange(rules), 1, ballots].sum(1)])
+        total = np.logaddexp(*both)
+        post = np.exp(both[1] - total)
+        now = float(weights @ total) / max(weights.sum(), 1)
         if now - last < p.tolerance:
             break
         last = now
-    return post, accuracy, share
+    return post, table, share
 
 
 def judge_quality(docs: DataFrame, text_col: str = "text", params: QualityParams = QualityParams(), out: str = "quality", keep_text: bool = True) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillage.llm._common import table
+from tillage.llm.decontaminate import contamination
 from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
 from tillage.llm.url_filter import judge_urls
@@ -40,3 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = contamination(docs, table(spark, sf_dir, "benchmark"), out="b")
+    ids = F.sha2(F.array_join(F.array_sort("b.items"), ","), 256)
+    return hits.select("doc_id", "b.n_words", "b.n_hit", F.size("b.items").cast("long").alias("n_items"), ids.alias("items_sha256"), "b.contaminated")
