@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillage.llm._common import table
 from tillage.llm.chat_format import canonical_turns, format_turns, read_loss, read_turns, records_of_rows
 from tillage.llm.decontaminate import contamination
+from tillage.llm.html_extract import extract
 from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
 from tillage.llm.url_filter import judge_urls
@@ -109,3 +110,9 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars",
     )
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
