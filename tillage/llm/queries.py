@@ -9,6 +9,7 @@ from tillage.llm._common import table
 from tillage.llm.chat_format import canonical_turns, format_turns, read_loss, read_turns, records_of_rows
 from tillage.llm.decontaminate import contamination
 from tillage.llm.html_extract import extract
+from tillage.llm.language_id import fit_field, held_out, identify
 from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
 from tillage.llm.url_filter import judge_urls
@@ -116,3 +117,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"))
+    field = fit_field(docs.where(~out))
+    found = identify(docs.select("doc_id", "text"), field)
+    return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
