@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tillage.llm._common import table
 from tillage.llm.chat_format import canonical_turns, format_turns, read_loss, read_turns, records_of_rows
 from tillage.llm.decontaminate import contamination
+from tillage.llm.gru_lm import score_documents
 from tillage.llm.html_extract import extract
 from tillage.llm.language_id import fit_field, held_out, identify
 from tillage.llm.quality_rules import judge_quality
@@ -126,3 +127,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     field = fit_field(docs.where(~out))
     found = identify(docs.select("doc_id", "text"), field)
     return found.select("doc_id", out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query
+def op6_gru_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    found = score_documents(docs, ~out)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
