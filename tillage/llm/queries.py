@@ -11,6 +11,7 @@ from tillage.llm.decontaminate import contamination
 from tillage.llm.gru_lm import score_documents
 from tillage.llm.html_extract import extract
 from tillage.llm.language_id import fit_field, held_out, identify
+from tillage.llm.mixing import mix
 from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
 from tillage.llm.url_filter import judge_urls
@@ -135,3 +136,17 @@ def op6_gru_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     found = score_documents(docs, ~out)
     return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+#: Domains by label, and their target shares of all tokens.
+MIX_WEIGHTS = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("clean")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, fit = mix(docs, labelled, MIX_WEIGHTS, keep_text=False)
+    post = [F.coalesce(F.get("mix.posteriors", i), F.lit(0.0)).alias(f"p_{d}") for i, d in enumerate(fit.domains)]
+    return found.select("doc_id", "mix.n_tokens", *post, "mix.rate", "mix.copies")

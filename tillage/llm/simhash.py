@@ -160,3 +160,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a root has at most as many rows here as distinct fingerprints
     of_point = placed.select("fp", "n", "root").join(smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")).select("fp", "n", "component_id")
     return look_up(marked, stored(of_point, "components"), "fp", "n", "doc_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
+    """docs with one row of each component, that with the smallest id; columns as they were.
+
+    Of rows that repeat the kept id, that with the smallest text stays. Rows with a null id have nothing
+    to be chosen by and stay.
+    """
+    found = stored(near_duplicates(docs, id_col, text_col, params).select("doc_id", "component_id"), "near-duplicates")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    ids, key = kept.select(F.col("doc_id").alias("_kept"), "_rows"), F.col(id_col)
+    single = docs.join(ids.where("_rows = 1").select("_kept"), key == F.col("_kept"), "left_semi")
+    repeated = ids.where("_rows > 1")
+    parts = single.unionByName(docs.where(key.isNull()))
+    if not repeated.isEmpty():
+        # the minimum over whole rows is found before the shuffle, however often an id repeats
+        first = docs.join(repeated, key == F.col("_kept"), "left_semi").groupBy(key.alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
+        parts = parts.unionByName(first.select("_row.*"))
+    return parts
