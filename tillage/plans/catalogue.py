@@ -1,7 +1,11 @@
-"""All queries of the core library; each module adds its own when imported."""
+"""All queries of the core library; importing the modules adds theirs."""
 
 from __future__ import annotations
 
+import importlib
+
 from tillage.plans.registry import Registry
 
 REGISTRY = Registry()
+for _name in ("retrieval",):
+    importlib.import_module(f"tillage.plans.{_name}")
