@@ -7,5 +7,5 @@ import importlib
 from tillage.plans.registry import Registry
 
 REGISTRY = Registry()
-for _name in ("retrieval", "texts", "telemetry", "relations"):
+for _name in ("retrieval", "texts", "telemetry", "relations", "studies"):
     importlib.import_module(f"tillage.plans.{_name}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,16 @@ def local_session(name: str = "tillage", cores: int | None = None) -> SparkSessi
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; only Spark's reader touches the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for streams' sinks and checkpoints: under spark.checkpoint.dir, which all executors share.
+
+    Only in local mode, and only where that is unset, a folder of this machine serves.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = f"file:///tmp/checkpoints/tillage-core-{os.getpid()}"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
