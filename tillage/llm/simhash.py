@@ -136,7 +136,7 @@ def links(points: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= p.distance
     pairs = o.join(v, (F.col("oh") == F.col("half")) & (F.col("oc") == F.col("cell")) & close & (~F.col("home") | (F.col("a") < F.col("b")))).select("a", "b")
     if crowded:
-        side = lambda df, flag, mine, others: df.join(crowd, on).select("half", "cell", "fp", "home", F.lit(flag).alias("is_own"), F.pmod(F.xxhash64("fp"), F.col("_blocks")).alias(mine), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).cast("long").alias(others))
+        side = lambda df, flag, mine, others: df.join(crowd, on).select("half", "cell", "fp", "home", F.lit(flag).alias("is_own"), F.pmod(F.xxhash64("fp"), F.col("_blocks")).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1)).alias(others))
         both = side(own.withColumn("home", F.lit(True)), True, "i", "j").unionByName(side(visits, False, "j", "i"))
         pairs = pairs.union(both.groupBy("half", "cell", "i", "j").applyInPandas(_forest(p.distance), "a long, b long"))
     return pairs
