@@ -57,7 +57,7 @@ def best_name_match(wanted: DataFrame, profiles: DataFrame, name: str, profile_n
     joined = wanted.join(F.broadcast(profiles.select(profile_name, F.col(value).alias("_value"))), (a != "") & fits, "left")
     best = Window.partitionBy(name).orderBy((b == a).desc_nulls_last(), F.col(profile_name).asc_nulls_last())
     one = joined.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    return one.select(*wanted.columns, F.coalesce(F.greatest(F.lit(least), F.col("_value")), F.lit(default)).alias(value))
+    return one.select(*wanted.columns, F.when(F.col("_value").isNotNull(), F.greatest(F.lit(least), F.col("_value"))).otherwise(F.lit(default)).alias(value))
 
 
 def with_wildcard(entities: DataFrame, rules: DataFrame, key: str, wildcard: str = "*") -> DataFrame:

@@ -63,7 +63,7 @@ def parcel_latest_avg(spark, sf_dir):
 
 @add("parcel_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY ALL")
 def parcel_daily(spark, sf_dir):
-    return W.daily(_events(spark, sf_dir), "ts", "value", ["event_type"]).select("day", "event_type", F.round("avg_value", 6).alias("avg_value"), "n")
+    return W.daily(_events(spark, sf_dir), "ts", "value", ["event_type"]).select(F.col("day").cast("string").alias("day"), "event_type", F.round("avg_value", 6).alias("avg_value"), "n")
 
 
 _FILL = """p AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(avg(value), 6) AS avg_value, count(*) AS n FROM events WHERE user_id < 3 AND event_type = 'view' GROUP BY ALL),

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillage.functions.text import squeeze
 from tillage.operators.relational import zero_as_null
@@ -141,9 +140,10 @@ def guideline(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")).alias(k) for k, (a, b) in GUIDELINE.items()])
 
 
+#: Schemas of the domain tables, for readers that must not infer.
 SCHEMAS = {
-    "fragments": T.StructType.fromDDL("fragment_id string, doc_id string, section_id string, page_start int, page_end int, text string, source string, created_at timestamp, entities array<struct<type: string, value: string>>, seq int, bbox array<double>, char_count int"),
-    "sensor_readings": T.StructType.fromDDL("id long, user_crop_id long, soil_moisture double, air_temp double, air_humidity double, light double, precipitation double, wind_speed double, created_at timestamp"),
-    "crop_profiles": T.StructType.fromDDL("crop_name string, variety string, optimal_temp_min double, optimal_temp_max double, optimal_soil_moisture_min double, optimal_soil_moisture_max double, optimal_air_humidity_min double, optimal_air_humidity_max double, optimal_ph_min double, optimal_ph_max double, cycle_days int"),
-    "calendar_rules": T.StructType.fromDDL("crop_name string, event_type string, day_offset int, title_template string, description_template string, trigger_condition string, rationale string, source_doc_hint string, priority int"),
+    "fragments": "fragment_id string, doc_id string, section_id string, page_start int, page_end int, text string, source string, created_at timestamp, entities array<struct<type: string, value: string>>, seq int, bbox array<double>, char_count int",
+    "sensor_readings": "id long, user_crop_id long, soil_moisture double, air_temp double, air_humidity double, light double, precipitation double, wind_speed double, created_at timestamp",
+    "crop_profiles": "crop_name string, variety string, optimal_temp_min double, optimal_temp_max double, optimal_soil_moisture_min double, optimal_soil_moisture_max double, optimal_air_humidity_min double, optimal_air_humidity_max double, optimal_ph_min double, optimal_ph_max double, cycle_days int",
+    "calendar_rules": "crop_name string, event_type string, day_offset int, title_template string, description_template string, trigger_condition string, rationale string, source_doc_hint string, priority int",
 }
