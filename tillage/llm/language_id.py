@@ -40,7 +40,7 @@ class CrfParams:
     decay: float = 1e-6
     segment: int = 1024
     context: int = 64
-    cache: int = 300_000
+    cache: int = 150_000
     seed: int = 7
 
 
@@ -205,7 +205,8 @@ class Labeller:
         if fresh:
             for w in fresh:
                 self.ids[w] = len(self.ids)
-            self.scores = np.concatenate([self.scores, self.field.emissions([normal(w) for w in fresh])])
+            parts = [self.field.emissions([normal(w) for w in fresh[i : i + 16384]]) for i in range(0, len(fresh), 16384)]  # features of all at once would take a multiple of the texts
+            self.scores = np.concatenate([self.scores, *parts])
             self.letters = np.concatenate([self.letters, np.fromiter(map(has_letter, fresh), bool, len(fresh))])
         get = self.ids.__getitem__
         return np.fromiter((get(w) for t in texts for w in t), np.int64)
@@ -259,8 +260,8 @@ class Labeller:
         out[place] = alpha[row]
         return out, self.letters[codes]
 
-    def label(self, texts: list[bytes | None], runs: bool = False) -> list[tuple]:
-        """(language or None, score, runs) of each text; runs are (start word, end word, language)."""
+    def label(self, texts, runs: bool = False) -> list[tuple]:
+        """(language or None, score, runs) of each text (bytes or None, any iterable); runs are (start word, end word, language)."""
         result: list[tuple] = []
         for group in _groups(texts):
             words = [t.split() if t else [] for t in group]
@@ -283,7 +284,7 @@ class Labeller:
         return result
 
 
-def _groups(texts: list, size: int = 4 << 20):
+def _groups(texts, size: int = 2 << 20):
     """Texts in groups of about `size` bytes."""
     group, held = [], 0
     for t in texts:
@@ -333,7 +334,7 @@ def _predict(shared, runs: bool):
 
         field = shared.value
         labeller = field.__dict__.get("_labeller") or field.__dict__.setdefault("_labeller", Labeller(field))
-        rows = labeller.label(texts.to_pylist(), runs) if field.langs else [(None, 0.0, [])] * len(texts)
+        rows = labeller.label((t.as_py() for t in texts), runs) if field.langs else [(None, 0.0, [])] * len(texts)
         columns = [pa.array([r[0] or "und" for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
         if runs:
             span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
