@@ -54,6 +54,16 @@ def test_bm25_by_formula(spark):
     assert lexical.replaced(index, lexical.postings(docs.where("doc_id = 1"), "doc_id", "text"), "doc_id").count() == index.count()
 
 
+def test_stems_find_inflected_forms(spark):
+    from tillage.functions.stemming import spanish_stem
+
+    for a, b in (("tomates", "tomate"), ("cultivos", "cultivo"), ("fertilizacion", "fertilizaciones"), ("aplicando", "aplicar"), ("lentamente", "lenta"), ("plagas", "plaga")):
+        assert spanish_stem(a) == spanish_stem(b)
+    docs = spark.createDataFrame([(1, "Los TOMATES maduran"), (2, "un chile"), (3, "tomate")], "doc_id long, text string")
+    assert [r["doc_id"] for r in lexical.analysed_search(docs, [(1, "¿tomaté?? ((")]).orderBy("rank").collect()] == [3, 1]
+    assert lexical.analysed_search(docs, [(1, "?? ((")]).count() == 0
+
+
 def test_fusion_coverage_gate(spark):
     runs = [spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "q int, k string, rank int"), spark.createDataFrame([(1, "b", 1)], "q int, k string, rank int")]
     got = {r["k"]: (r["rrf_score"], r["rank"]) for r in ranking.reciprocal_rank_fusion(runs, ["q"], "k").collect()}

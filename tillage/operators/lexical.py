@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillage.functions.stemming import spanish_stem, stem
 from tillage.functions.text import tokens
 
 
@@ -44,6 +45,24 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id"
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def analysed_search(docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", k: int = 100) -> DataFrame:
+    """BM25 over Spanish stems: plural and inflected forms of a query's words count as those words.
+
+    The vocabulary is stemmed, not the texts; what is collected are the word forms that share a stem with
+    a query. Queries are read leniently: whatever is no word is ignored.
+    """
+    spark = docs.sparkSession
+    asked = spark.createDataFrame(queries, "query_id long, query string").select("query_id", tokens(F.col("query")).alias("words")).collect()
+    stemmed = [(r["query_id"], " ".join(spanish_stem(w) for w in r["words"])) for r in asked]
+    wanted = sorted({s for _, q in stemmed for s in q.split()})
+    vocabulary = docs.select(F.explode(tokens(F.col(text_col))).alias("word")).distinct().withColumn("stem", stem(F.col("word")))
+    forms = {r["word"]: r["stem"] for r in vocabulary.where(F.col("stem").isin(*wanted)).collect()} if wanted else {}
+    table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]) if forms else F.create_map(F.lit(""), F.lit(""))
+    # words outside the map keep their place in the length but can match nothing: their form is marked
+    text = F.array_join(F.transform(tokens(F.col(text_col)), lambda w: F.coalesce(F.try_element_at(table, w), F.lit("0"))), " ")
+    return bm25(docs.select(id_col, text.alias("_stems")), stemmed, id_col, "_stems", k)
+
+
 def replaced(index: DataFrame, fresh: DataFrame, id_col: str) -> DataFrame:
     """An index with the rows of `fresh` in place of what it held for those ids (re-index, upsert)."""
     return index.join(fresh.select(id_col).distinct(), id_col, "left_anti").unionByName(fresh, allowMissingColumns=True)

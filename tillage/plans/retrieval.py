@@ -51,6 +51,12 @@ def bm25_label_filter(spark, sf_dir):
     return lexical.bm25(_docs(spark, sf_dir), QUERIES, k=10, keep=keep).select("query_id", "doc_id", "score", "rank")
 
 
+@REGISTRY.add("analysed_search")
+def analysed_search(spark, sf_dir):
+    """Stems have no SQL; membership is tested on hand-made rows."""
+    return lexical.analysed_search(_docs(spark, sf_dir), [(1, "las plantas para regiones"), (2, "los cultivos con datos")], k=20).select("query_id", "doc_id", "score", "rank")
+
+
 @REGISTRY.add(
     "postings_df_stats",
     f"""WITH d AS (SELECT doc_id, {S.tokens('text')} AS toks FROM documents),
