@@ -84,6 +84,15 @@ def test_focus_rules(spark):
     assert one(spark, ranking.strictly_other(F.lit("maiz"), h("chile")).alias("a"), ranking.strictly_other(F.lit("maiz"), h("maiz", "chile")).alias("b"))[:] == (True, False)
 
 
+def test_query_blocks_agree_with_one_block(spark):
+    from tillage.operators.dense import top_vectors_of_set
+
+    v = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = v.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    one_block, many = (top_vectors_of_set(v, q, k=4, block=n).orderBy("query_id", "rank").collect() for n in (10_000, 5))
+    assert one_block == many and len(many) == 4 * q.count()
+
+
 def test_greedy_keep_depends_on_what_was_kept(spark):
     rows = [(1, 1, "d1", 1, "t", "same text"), (1, 2, "d1", 1, "t", "other"), (1, 3, "d2", 1, "t", "same text"), (1, 4, "d3", 1, "t", "third"), (1, 5, "d4", 1, "t", "fourth"), (1, 6, "d2", 1, "u", "fifth")]
     df = spark.createDataFrame(rows, "q int, rank long, doc string, page int, title string, text string")

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillage.session import scratch
+
 #: Queries multiplied with the vectors at a time: the bound of what a task holds besides its batch.
 BLOCK = 4096
 
@@ -44,3 +46,20 @@ def top_vectors(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
     found = vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, f"query_id long, {id_col} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def top_vectors_of_set(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """top_vectors for a query table (query_id, vector) of any size: one block of queries after the other.
+
+    The driver and the tasks hold one block at a time; each block's result is kept in the shared folder.
+    """
+    blocks = -(-queries.count() // block)
+    if blocks <= 1:
+        rows = queries.select("query_id", "vector").toArrow()
+        return top_vectors(vectors, list(zip(rows["query_id"].to_pylist(), rows["vector"].to_pylist())), k, id_col, vector_col, score)
+    spark, at = vectors.sparkSession, scratch(vectors.sparkSession)
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", "vector").toArrow()
+        found = top_vectors(vectors, list(zip(part["query_id"].to_pylist(), part["vector"].to_pylist())), k, id_col, vector_col, score)
+        found.write.mode("append").parquet(at)
+    return spark.read.parquet(at)

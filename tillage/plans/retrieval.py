@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillage.functions.text import RANK_STOPWORDS, fold, keywords, tokens
 from tillage.functions.vectors import hashed_embedding, norm
 from tillage.operators import lexical, ranking
-from tillage.operators.dense import top_vectors
+from tillage.operators.dense import top_vectors, top_vectors_of_set
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
 from tillage.session import table
@@ -72,8 +72,8 @@ def postings_df_stats(spark, sf_dir):
 
 
 def _every_fiftieth(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").orderBy("vec_id").select("vec_id", "embedding").toArrow()
-    return list(zip(rows["vec_id"].to_pylist(), rows["embedding"].to_pylist()))
+    """The stated query set: every vector whose id is divisible by 50."""
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 _VQ = "vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 50 = 0)"
@@ -81,19 +81,19 @@ _VQ = "vq AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM e
 
 @REGISTRY.add("dense_cosine_topk", f"WITH {_VQ}, {S.dense('vq')} SELECT query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM den")
 def dense_cosine_topk(spark, sf_dir):
-    found = top_vectors(table(spark, sf_dir, "embeddings"), _every_fiftieth(spark, sf_dir))
+    found = top_vectors_of_set(table(spark, sf_dir, "embeddings"), _every_fiftieth(spark, sf_dir))
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @REGISTRY.add("dense_where_label", f"WITH {_VQ}, {S.dense('vq', where='label IN (1, 3)')} SELECT query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM den")
 def dense_where_label(spark, sf_dir):
-    found = top_vectors(table(spark, sf_dir, "embeddings").where("label in (1, 3)"), _every_fiftieth(spark, sf_dir))
+    found = top_vectors_of_set(table(spark, sf_dir, "embeddings").where("label in (1, 3)"), _every_fiftieth(spark, sf_dir))
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @REGISTRY.add("dense_l2_score", f"WITH {_VQ}, {S.dense('vq', score='2 * c - 1')} SELECT query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM den")
 def dense_l2_score(spark, sf_dir):
-    found = top_vectors(table(spark, sf_dir, "embeddings"), _every_fiftieth(spark, sf_dir), score="l2")
+    found = top_vectors_of_set(table(spark, sf_dir, "embeddings"), _every_fiftieth(spark, sf_dir), score="l2")
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
