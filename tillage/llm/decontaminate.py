@@ -143,8 +143,8 @@ def _pass(index):
         import pyarrow as pa
 
         counts, spans, items = [], [], []
-        for text, had in zip(texts.to_pylist(), earlier.to_pylist()):
-            n, hit, found = index.value.find(text)
+        for text, had in zip(texts, earlier.to_pylist()):
+            n, hit, found = index.value.find(text.as_py())
             if had and had["spans"]:
                 hit = np.zeros(n, bool) if hit is None else hit
                 for s in had["spans"]:

@@ -339,6 +339,7 @@ def _predict(shared, runs: bool):
         if runs:
             span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
             columns.append(pa.array([[{"start": a, "end": z, "lang": y} for a, z, y in r[2]] for r in rows], pa.list_(span)))
+        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays(columns, ["lang", "score", "runs"][: len(columns)])
 
     return run

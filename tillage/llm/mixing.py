@@ -119,21 +119,27 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     return model
 
 
-def _memberships(shared):
-    @F.arrow_udf("struct<n_tokens: bigint, posteriors: array<double>>")
+def _memberships(shared, fit: RateFit | None = None):
+    """A UDF for memberships, and with a fit for rates too: one Python worker does both."""
+    kind = "struct<n_tokens: bigint, posteriors: array<double>" + (", rate: double>" if fit else ">")
+
+    @F.arrow_udf(kind)
     def run(texts):
         import pyarrow as pa
 
-        post, n = shared.value.posteriors(texts.to_pylist())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(post.tolist(), pa.list_(pa.float64()))], ["n_tokens", "posteriors"])
+        post, n = shared.value.posteriors([t.as_py() for t in texts])
+        columns = [pa.array(n, pa.int64()), pa.array(post.tolist(), pa.list_(pa.float64()))]
+        if fit:
+            columns.append(pa.array(fit.rates(post), pa.float64()))
+        return pa.StructArray.from_arrays(columns, ["n_tokens", "posteriors", "rate"][: len(columns)])
 
     return run
 
 
-def with_memberships(docs: DataFrame, model: DomainClassifier, text_col: str = "text", out: str = "membership") -> DataFrame:
-    """docs with a struct column: n_tokens and posteriors in the order of model.domains."""
+def with_memberships(docs: DataFrame, model: DomainClassifier, text_col: str = "text", out: str = "membership", fit: RateFit | None = None) -> DataFrame:
+    """docs with a struct column: n_tokens and posteriors in the order of model.domains; with a fit the rate."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn(out, _memberships(shared)(F.col(text_col).cast("binary")))
+    return docs.withColumn(out, _memberships(shared, fit)(F.col(text_col).cast("binary")))
 
 
 @dataclass
@@ -246,7 +252,6 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     marked = with_memberships(docs, model, text_col, out)
     slim = stored(marked.select(*[c for c in docs.columns if c != text_col] if not keep_text else [], out), "memberships")
     fit = fit_rates(slim.select(f"{out}.n_tokens", f"{out}.posteriors"), model.domains, weights, params)
-    base = marked if keep_text else slim
     c = F.col(out)
-    full = base.withColumn(out, c.withField("rate", rate_column(fit, c["posteriors"])))
+    full = with_memberships(docs, model, text_col, out, fit) if keep_text else slim.withColumn(out, c.withField("rate", rate_column(fit, c["posteriors"])))
     return full.withColumn(out, c.withField("copies", copies_column(c["rate"], F.col(id_col), params.seed))), fit

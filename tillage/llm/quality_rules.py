@@ -91,7 +91,7 @@ def counts_column(text: Column) -> Column:
     def run(texts):
         import pyarrow as pa
 
-        rows = [text_counts(t) for t in texts.to_pylist()]
+        rows = [text_counts(t.as_py()) for t in texts]
         columns = list(zip(*rows)) if rows else [[] for _ in _COUNTS]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _COUNTS)
 

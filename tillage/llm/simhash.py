@@ -55,7 +55,7 @@ def fingerprint_column(text: Column, p: SimHashParams = SimHashParams()) -> Colu
     def run(texts):
         import pyarrow as pa
 
-        return pa.array(np.array([fingerprint(t, p.shingle, p.seed) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t.as_py(), p.shingle, p.seed) for t in texts], dtype=np.uint64).view(np.int64))
 
     return run(text.cast("binary"))
 
