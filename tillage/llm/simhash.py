@@ -171,7 +171,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(near_duplicates(docs, id_col, text_col, params).select("doc_id", "component_id"), "near-duplicates")
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
     ids, key = kept.select(F.col("doc_id").alias("_kept"), "_rows"), F.col(id_col)
-    single = docs.join(ids.where("_rows = 1").select("_kept"), key == F.col("_kept"), "left_semi")
+    single = docs.join(ids.where("_rows = 1").select("_kept").hint("merge"), key == F.col("_kept"), "left_semi")  # the same plan at every size: the ids grow with the input
     repeated = ids.where("_rows > 1")
     parts = single.unionByName(docs.where(key.isNull()))
     if not repeated.isEmpty():
