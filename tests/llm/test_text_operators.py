@@ -285,6 +285,27 @@ def test_model_is_a_distribution_and_gradients_hold():
     assert np.allclose(m.score(texts), [m.score([t])[0] for t in texts], atol=1e-4)
 
 
+def test_model_learns_from_documents_beyond_the_sample(spark):
+    words = [f"w{i}" for i in range(40)]
+    line = " ".join(words[(7 * i) % 40] for i in range(4000))  # each word tells the next, the counts tell nothing
+    docs = spark.createDataFrame([(i, line) for i in range(12)], "doc_id long, text string").repartition(3)
+    p = G.GruParams(sample_chars=100, wide=4, rate=0.02)  # every document is longer than what the sample takes
+    got = G.score_documents(docs, F.col("doc_id") != 0, params=p).where("doc_id = 0").first()
+    assert got["n_tokens"] == 4001 and got["score"] > 0.5 * got["base_score"]
+
+
+def test_one_pass_reads_every_token_once_and_averages():
+    p = G.GruParams(vocabulary=9, classes=3, hidden=4, rare=4, window=3, wide=2)
+    new = lambda: G.GruModel(p, [(bytes([97 + i]), 10 - i) for i in range(10)], np.ones((4, 2)), 60, 14)
+    texts = [np.arange(n) % 14 for n in (1, 50, 3, 7, 2, 1, 20)]
+    m, other = new(), new()
+    read, kinds = m.learn(texts, 0.01)
+    assert kinds.sum() == read.sum() == sum(map(len, texts)) and read[-1] == len(texts)
+    mean = new()
+    mean.settle(m.weighed(read, kinds) + other.weighed(read, kinds))
+    assert np.allclose(mean.x, (m.x + other.x) / 2, atol=1e-6) and np.allclose(mean.ww, (m.ww + other.ww) / 2, atol=1e-6)
+
+
 # ---- mixing
 def test_mixing_meets_targets(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -6,15 +6,17 @@ their spelling decides; inside a rare class the corpus counts give the probabili
 for unseen words. Over words and the end of text this is a proper distribution. A document is read
 from its first to its last word in windows, the state carried from each window to the next.
 
-Corpus counts cover every training document and stay distributed. What reaches the driver is bounded:
-the most frequent words, one row per rare class, and the training sample for the network's weights.
+Corpus counts cover every training document and stay distributed. The network's weights start from a
+bounded sample and are then learned from every training document, whole: in each round every task runs
+truncated backpropagation over its documents, and the tasks' weights are averaged. What reaches the driver
+is bounded: the most frequent words, one row per rare class, that sample, and one sum of weights a round.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,11 +30,14 @@ END = b" end"
 
 @dataclass(frozen=True)
 class GruParams:
-    """vocabulary, classes, hidden: sizes of the network. rare: rare classes. common: words whose counts
-    are broadcast; any other word is looked up by a join, and none of those has more than 1/common of all
-    tokens. sample_docs, sample_chars, sample_tokens: bounds of the sample of whole documents that the
-    weights are trained on (how many, how long each, how much in all). steps: gradient steps, in as many whole epochs as it takes. lanes,
-    window: training batch and truncation of backpropagation. group: tokens scored together."""
+    """vocabulary, classes, hidden: sizes of the network; the vocabulary grows to `growth` times the cube root
+    of the training tokens, at most `common`, and the classes to its square root. rare: rare classes. common:
+    words whose counts are broadcast; any other word is looked up by a join, and none of those has more than
+    1/common of all tokens. sample_docs, sample_chars, sample_tokens: bounds of the sample of whole documents
+    that the weights start from (how many, how long each, how much in all). steps: gradient steps on the sample,
+    in as many whole epochs as it takes. lanes, window: training batch and truncation of backpropagation.
+    rounds, wide: averaged rounds that together read every training document once, and their lanes. group:
+    tokens scored together."""
 
     vocabulary: int = 2047
     classes: int = 45
@@ -46,6 +51,9 @@ class GruParams:
     lanes: int = 48
     window: int = 20
     rate: float = 4e-3
+    growth: int = 10
+    rounds: int = 4
+    wide: int = 256
     group: int = 700_000
     seed: int = 5
 
@@ -135,6 +143,109 @@ class GruModel:
                 dww[c], dbw[c] = h[at].T @ d, d.sum(0)
         return (out, dh, dwc, dbc, dww, dbw) if grads else out
 
+    def _gradients(self, x, y, new, h, on=None):
+        """One window, [lane, step]: the last state, the log-probabilities, the gradients of their sum and, for
+        the inputs, the rows touched and their gradients. Where `on` is false there is no token."""
+        k, lanes = self.p.hidden, len(h)
+        trail = []
+        for t in range(x.shape[1]):
+            before = np.where(new[:, t : t + 1], np.float32(0), h)
+            h, z, r, c = self.cell(self.x[x[:, t]], before)
+            trail.append((before, z, r, c, h))
+        states = np.concatenate([s[4] for s in trail])
+        at = slice(None) if on is None else np.flatnonzero(on.T.ravel())
+        out, d_at, dwc, dbc, dww, dbw = self.log_probability(states[at], y.T.ravel()[at], True)
+        dh = np.zeros((len(states), k), np.float32)
+        dh[at] = d_at
+        g = {"u": np.zeros_like(self.u), "b": np.zeros_like(self.b), "wc": dwc, "bc": dbc, "ww": dww, "bw": dbw}
+        back, fulls = np.zeros((lanes, k), np.float32), [None] * len(trail)
+        for i in range(len(trail) - 1, -1, -1):
+            before, z, r, c, _ = trail[i]
+            d = dh[i * lanes : (i + 1) * lanes] + back
+            dc = d * z * (1 - c * c)
+            drh = dc @ self.u[:, 2 * k :].T
+            dz, dr = d * (c - before) * z * (1 - z), drh * before * r * (1 - r)
+            gates = np.concatenate([dz, dr], 1)
+            fulls[i] = np.concatenate([gates, dc], 1)
+            back = d * (1 - z) + drh * r + gates @ self.u[:, : 2 * k].T
+            back[new[:, i]] = 0
+        full = np.concatenate(fulls)
+        start = np.concatenate([s[0] for s in trail])
+        g["u"][:, : 2 * k] = start.T @ full[:, : 2 * k]
+        g["u"][:, 2 * k :] = (np.concatenate([s[2] for s in trail]) * start).T @ full[:, 2 * k :]
+        g["b"] = full.sum(0)
+        flat = x.T.ravel()
+        order = np.argsort(flat, kind="stable")
+        rows, first = np.unique(flat[order], return_index=True)
+        return h, out, g, rows, np.add.reduceat(full[order], first, axis=0)
+
+    def learn(self, texts, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """One pass of truncated backpropagation over an iterable of token arrays, every token of each once.
+        Each lane reads one document after the other, its state carried from window to window and reset only
+        where a document starts. Returns how often each input row and each class was learned from."""
+        p = self.p
+        names = ["u", "b", "wc", "bc", "ww", "bw", "x"]
+        first = {n: np.zeros_like(getattr(self, n)) for n in names}
+        second = {n: np.zeros_like(getattr(self, n)) for n in names}
+        read, kinds, step = np.zeros(len(self.x)), np.zeros(self.n_classes + p.rare), 0
+        source, begin = iter(texts), self.n + p.rare
+        left = [np.zeros(0, np.int64)] * p.wide  # what each lane has yet to read of its document
+        last, h = np.full(p.wide, begin), np.zeros((p.wide, p.hidden), np.float32)
+        while True:
+            y, new, on = np.full((p.wide, p.window), begin), np.zeros((p.wide, p.window), bool), np.zeros((p.wide, p.window), bool)
+            for i in range(p.wide):
+                at = 0
+                while at < p.window:
+                    if not len(left[i]):
+                        text = next(source, None)
+                        if text is None:
+                            break
+                        left[i], new[i, at] = text, len(text) > 0
+                        continue
+                    part = left[i][: p.window - at]
+                    y[i, at : at + len(part)], on[i, at : at + len(part)] = part, True
+                    left[i], at = left[i][len(part) :], at + len(part)
+            live = np.flatnonzero(on[:, 0])  # a lane without its first token has none: the source has run dry
+            if not len(live):
+                return read, kinds
+            y, new, on = y[live], new[live], on[live]
+            x = np.concatenate([last[live][:, None], y[:, :-1]], 1)
+            x[new | ~on] = begin
+            h[live], out, g, rows, g["x"] = self._gradients(x, y, new, h[live], on)
+            last[live] = y[:, -1]
+            read += np.bincount(x[on], minlength=len(read))
+            kinds += np.bincount(self.class_of(y[on]), minlength=len(kinds))
+            step += 1
+            pace = rate * min(1.0, step / 20) * min(1.0, len(out) / (min(p.lanes, p.wide) * p.window)) / (1 - 0.9**step)
+            for n in names:
+                pick = rows if n == "x" else slice(None)
+                q, w = g[n] / len(out), getattr(self, n)
+                one = first[n][pick] + 0.1 * (q - first[n][pick])
+                two = second[n][pick] + 0.01 * (q * q - second[n][pick])
+                first[n][pick], second[n][pick] = one, two
+                w[pick] += (pace * one / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+    def _weights(self, read: np.ndarray, kinds: np.ndarray):
+        """(name, weight of each of its rows): a row counts as often as it was learned from."""
+        inside = kinds[: max(self.n_classes, 1)] if self.n_classes else np.zeros(1)
+        whole = kinds.sum()
+        return [("x", read[:, None]), ("ww", inside[:, None, None]), ("bw", inside[:, None]), *[(n, whole) for n in ("u", "b", "wc", "bc")]]
+
+    def weighed(self, read: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The weights times how often they were learned from, and those numbers, as one vector to be summed."""
+        return np.concatenate([*[(getattr(self, n) * w).ravel() for n, w in self._weights(read, kinds)], read, kinds])
+
+    def settle(self, total: np.ndarray) -> None:
+        """Takes the mean of the weights in a sum of `weighed`; rows nobody learned from stay."""
+        at = len(total) - self.n_classes - self.p.rare
+        read, kinds = total[at - len(self.x) : at], total[at:]
+        at = 0
+        for n, w in self._weights(read, kinds):
+            old = getattr(self, n)
+            part = total[at : at + old.size].reshape(old.shape)
+            setattr(self, n, np.where(w > 0, part / np.maximum(w, 1), old).astype(np.float32))
+            at += old.size
+
     def fit(self, texts: list[list[int]]) -> list[float]:
         """Truncated backpropagation over lanes of documents, state reset at each document's start; mean
         log-probability of each epoch. Adam with clipped steps."""
@@ -161,31 +272,11 @@ class GruModel:
             x[new] = self.n + p.rare
             h, total, count = np.zeros((p.lanes, k), np.float32), 0.0, 0
             for a in range(0, width, p.window):
-                span = range(a, min(a + p.window, width))
-                trail = []
-                for t in span:
-                    before = np.where(new[:, t : t + 1], np.float32(0), h)
-                    h, z, r, c = self.cell(self.x[x[:, t]], before)
-                    trail.append((before, z, r, c, h))
-                states = np.concatenate([s[4] for s in trail])
-                out, dh, dwc, dbc, dww, dbw = self.log_probability(states, y[:, a : span[-1] + 1].T.ravel(), True)
+                span = slice(a, min(a + p.window, width))
+                h, out, g, rows, sums = self._gradients(x[:, span], y[:, span], new[:, span], h)
                 total, count = total + float(out.sum()), count + len(out)
-                g = {"x": np.zeros_like(self.x), "u": np.zeros_like(self.u), "b": np.zeros_like(self.b), "wc": dwc, "bc": dbc, "ww": dww, "bw": dbw}
-                back = np.zeros((p.lanes, k), np.float32)
-                for i in range(len(trail) - 1, -1, -1):
-                    before, z, r, c, _ = trail[i]
-                    d = dh[i * p.lanes : (i + 1) * p.lanes] + back
-                    dc = d * z * (1 - c * c)
-                    drh = dc @ self.u[:, 2 * k :].T
-                    dz, dr = d * (c - before) * z * (1 - z), drh * before * r * (1 - r)
-                    gates = np.concatenate([dz, dr], 1)
-                    full = np.concatenate([gates, dc], 1)
-                    g["u"][:, : 2 * k] += before.T @ gates
-                    g["u"][:, 2 * k :] += (r * before).T @ dc
-                    g["b"] += full.sum(0)
-                    np.add.at(g["x"], x[:, span[i]], full)
-                    back = d * (1 - z) + drh * r + gates @ self.u[:, : 2 * k].T
-                    back[new[:, span[i]]] = 0
+                g["x"] = np.zeros_like(self.x)
+                g["x"][rows] = sums
                 step += 1
                 rate = p.rate * min(1.0, step / 50) * max(0.1, 1 - step / max(steps, 1))
                 for n in names:
@@ -324,6 +415,46 @@ def _scorer(shared):
     return run
 
 
+def _learn_all(learn: DataFrame, model: GruModel) -> None:
+    """Trains the model on every document of learn (doc_id, text): rounds of documents by hash, each round's
+    tasks from the same weights, which are then averaged in a tree."""
+    p, sc = model.p, learn.sparkSession.sparkContext
+    turn = F.pmod(F.xxhash64(F.lit(p.seed + 1), "doc_id", "text"), F.lit(p.rounds))
+    for r in range(p.rounds):
+        shared, rate = sc.broadcast(model), p.rate / 2 * (1 - r / p.rounds)
+
+        def run(it, shared=shared, rate=rate):
+            import copy
+
+            import pyarrow as pa
+
+            own = copy.deepcopy(shared.value)
+            known: dict[bytes, int] = {}
+
+            def tokens():
+                for (texts,) in batches(it, ["text"]):
+                    for t in texts:
+                        words = (t or b"").lower().split()
+                        words.append(END)
+                        for w in words:
+                            if w not in known:
+                                known[w] = own.token(w)
+                        yield np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+                        if len(known) > 400_000:
+                            known.clear()
+
+            read, kinds = own.learn(tokens(), rate)
+            if kinds.sum() > 0:
+                yield pa.RecordBatch.from_arrays([pa.array([own.weighed(read, kinds).tobytes()], pa.binary())], ["weights"])
+
+        parts = learn.where(turn == r).select("text").mapInArrow(run, "weights binary").rdd.map(lambda x: np.frombuffer(bytes(x[0])))
+        add = lambda a, b: b if a is None else a if b is None else a + b
+        total = parts.treeAggregate(None, add, add)
+        if total is not None:
+            model.settle(total)
+        shared.destroy()
+
+
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", params: GruParams = GruParams()) -> DataFrame:
     """(doc_id, training, n_tokens, n_known, train_tokens, base_score, score) of every row of docs.
 
@@ -348,6 +479,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
             break
         cut = r["step"]
     top = [] if cut is None else sorted(((r["word"].encode(), r["n"]) for r in counts.where(step >= cut).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+    size = min(max(params.vocabulary, int(params.growth * tokens ** (1 / 3))), max(params.common, params.vocabulary))
+    if size > params.vocabulary:
+        params = replace(params, vocabulary=size, classes=max(params.classes, int(size**0.5)))
     vocabulary = sorted([*top[: params.vocabulary], (END, ends)], key=lambda x: (-x[1], x[0]))
     rare = np.zeros((params.rare, 2))
     for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
@@ -370,6 +504,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         used += len(words)
     if sample:
         model.fit(sample)
+    _learn_all(learn, model)
     common = {w: n for w, n in top}
     common[END] = ends
     shared = spark.sparkContext.broadcast((model, common))
