@@ -223,6 +223,20 @@ def test_html_broken_pages_cost_little():
         assert time.time() - began < 20
 
 
+_TEXT = "A sentence of the article that goes on for long enough to be dense, with words and more words in it. " * 3
+
+
+def test_html_densities_decide_whatever_the_tags():
+    several = "".join(f"<article><h2>Part {i} of it</h2>" + f"<p>{i} {_TEXT}</p>" * 4 + "</article>" for i in range(3))
+    assert all(f"{i} A sentence" in H.main_text(f"<body>{several}</body>") for i in range(3))
+    junk = "<div>" + "<span><a href='x'>Go</a></span> " * 40 + "</div>"
+    text = "".join(f"<p>{i} {_TEXT}</p>" for i in range(5))
+    want = "\n\n".join(f"{i} {_TEXT}".strip() for i in range(5))
+    for page in (f"<main>{junk}<div>{text}</div></main>", f"<div>{junk}<div>{text}</div></div>", f"<main>{junk}<article>{text}</article></main>"):
+        assert H.main_text(f"<body>{page}</body>") == want
+    assert H.main_text(f"<body>{junk}<div>{_TEXT}<div>{text}</div></div></body>").startswith("A sentence")
+
+
 # ---- language
 def test_language_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")

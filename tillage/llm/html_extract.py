@@ -1,9 +1,9 @@
 """HTML main-text extraction by composite text density.
 
 Every DOM node gets a density: characters per tag, adjusted for links. A page's main text is where
-children's densities add up: the node with the largest sum of its children's densities is sought, the
-smallest density on the path from body to that node is the threshold, and nodes below the threshold
-are cut. Parts that are never article text (menus, forms, scripts, comments and the like) are taken
+children's densities add up: the node with the largest sum of its children's densities is sought, and the
+smallest density on the path from body to that node is the threshold. Of every node at or above it the
+subtree with the largest sum is kept, all else is cut. Parts that are never article text (menus, forms, scripts, comments and the like) are taken
 out first by element name or by class, id and role words.
 """
 
@@ -49,7 +49,7 @@ _WORD = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks", "best")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
@@ -163,33 +163,38 @@ def measure(root: Node) -> Node:
                 n.link_tags += c.link_tags
         if n.tag == "a":
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
-    ratio = body.link_chars / max(body.chars, 1)
     for n in _walk(body):
-        c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
-        if not c:
-            n.density = 0.0
-        else:
-            base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)  # 1 where the page has no link text: then the plain logarithm
-            x = math.log(c / max(lc, 1) * t / lt)
-            n.density = c / t * (x / math.log(base) if base > 1 + 1e-9 else x)
-        n.total = sum(k.density for k in n.children if not isinstance(k, str) and not k.dropped)
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, body)
+        kids = [k for k in n.children if not isinstance(k, str) and not k.dropped]
+        n.total = sum(k.density for k in kids)
+        n.blocks = any(k.blocks or k.tag in BLOCK for k in kids)
+        n.best = n
+        for k in kids:  # a block of text is neither divided nor, for its words in bold, preferred to its neighbours
+            if k.best.blocks and k.best.total > n.best.total:
+                n.best = k.best
     return body
 
 
+def _density(c: int, t: int, lc: int, lt: int, body: Node) -> float:
+    """Composite text density of c characters and t tags, lc and lt of them in links."""
+    if not c:
+        return 0.0
+    ratio, t, lc, lt = body.link_chars / max(body.chars, 1), max(t, 1), max(lc, 1), max(lt, 1)
+    base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)  # 1 where the page has no link text: then the plain logarithm
+    x = math.log(c / lc * t / lt)
+    return c / t * (x / math.log(base) if base > 1 + 1e-9 else x)
+
+
 def main_node(body: Node) -> tuple[Node, float]:
-    """The node with the largest density sum (the first in page order), and the threshold on its path."""
-    best = body
-    order = list(_walk(body))
-    for n in order:
-        if n.total > best.total:
-            best = n
+    """The node with the largest density sum (the outermost, then the first), and the threshold on its path."""
+    best = body.best
     threshold, n = best.density, best
     while n is not None and n is not body.parent:
         threshold, n = min(threshold, n.density), n.parent
     return best, threshold
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(node: Node | str) -> list[str]:
     """The texts of the blocks under node in page order, white space collapsed."""
     out, now = [], []
 
@@ -218,35 +223,39 @@ def _blocks(node: Node) -> list[str]:
     return out
 
 
-def _marked(body: Node, threshold: float) -> list[Node]:
-    """Below body, the outermost nodes at or above the threshold whose subtree has the most density."""
-    found, stack = [], [body]
+def _marked(body: Node, threshold: float) -> list[Node | str]:
+    """In page order: of each node at or above the threshold the subtree with the largest density sum, and
+    text at or above it that lies beside blocks."""
+    chosen, stack = set(), [body]
     while stack:
         n = stack.pop()
-        if n.density >= threshold and n.density > 0 and n is not body:
+        if n.density >= threshold and n.density > 0:
+            chosen.add(id(n.best))
+        if n.blocks:
+            stack += [c for c in n.children if not isinstance(c, str) and not c.dropped]
+    found: list[Node | str] = []
+    todo: list[Node | str] = [body]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            if n.strip() and _density(len(n.strip()), 0, 0, 0, body) >= threshold:
+                found.append(n)
+        elif id(n) in chosen:
             found.append(n)
-        else:
-            stack.extend(c for c in reversed(n.children) if not isinstance(c, str) and not c.dropped)
+        elif n.blocks:
+            todo += [c for c in reversed(n.children) if isinstance(c, str) or not c.dropped]
     return found
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks joined by an empty line; empty for null, empty and text-free pages.
 
-    Where the densest node lies inside `article` or `main` elements, the outermost of them is the
-    article; else all nodes at or above the path's threshold are.
+    The densities decide on every page, whatever its tags are called.
     """
     if not page:
         return ""
     body = measure(parse(page))
-    best, threshold = main_node(body)
-    article, n = None, best
-    while n is not None:
-        article, n = (n if n.tag in ("article", "main") else article), n.parent
-    if article is not None:
-        return "\n\n".join(_blocks(article))
-    parts = [body] if best is body else _marked(body, threshold)
-    own = [b for p in parts for b in _blocks(p)]
+    own = [b for p in _marked(body, main_node(body)[1]) for b in _blocks(p)]
     return "\n\n".join(own or _blocks(body))
 
 
