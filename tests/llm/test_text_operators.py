@@ -237,6 +237,13 @@ def test_html_densities_decide_whatever_the_tags():
     assert H.main_text(f"<body>{junk}<div>{_TEXT}<div>{text}</div></div></body>").startswith("A sentence")
 
 
+def test_html_names_and_forms_do_not_empty_a_page():
+    text = "".join(f"<p>{i} {_TEXT}</p>" for i in range(5))
+    want = "\n\n".join(f"{i} {_TEXT}".strip() for i in range(5))
+    for start, end in (('<div class="content with-sidebar">', "</div>"), ('<div class="post has-comments">', "</div>"), ('<section id="social-history">', "</section>"), ('<form id="aspnetForm"><input value="x">', "</form>"), ('<div class="page menu">', "</div>")):
+        assert H.main_text(f"<body>{start}{text}{end}<div class='comments'><p>{_TEXT}</p></div></body>") == want
+
+
 # ---- language
 def test_language_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")

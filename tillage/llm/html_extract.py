@@ -3,8 +3,8 @@
 Every DOM node gets a density: characters per tag, adjusted for links. A page's main text is where
 children's densities add up: the node with the largest sum of its children's densities is sought, and the
 smallest density on the path from body to that node is the threshold. Of every node at or above it the
-subtree with the largest sum is kept, all else is cut. Parts that are never article text (menus, forms, scripts, comments and the like) are taken
-out first by element name or by class, id and role words.
+subtree with the largest sum is kept, all else is cut. Parts that are never article text (menus, form controls, scripts, comments and the like) are taken
+out first by element name or by whole names of class, id and role, the latter not if they hold the page's text.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Elements and words of class, id or role that mark what is not article text.
+#: Elements, and whole names of class, id or role, that mark what is not article text.
 DROP = frozenset(
-    "script style noscript template head title nav footer aside form button input select textarea option iframe object embed "
+    "script style noscript template head title nav footer aside button input select textarea option iframe object embed "
     "svg canvas audio video map menu dialog".split()
 )
 DROP_WORDS = frozenset(
@@ -45,38 +45,38 @@ _REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 #: Characters in which a quoted `>` is looked for; a longer tag ends at its first `>`, so broken quotes cost little.
 _TAG_SPAN = 8192
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+#: Reasons to leave out a node: its element or hiddenness, or only its name.
+BY_TAG, BY_NAME = 1, 2
 
 
 class Node:
     __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks", "best")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: int):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
 
 
-def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROP:
-        return True
-    if tag == "header" and not in_article:
-        return True
+def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    if tag in DROP or (tag == "header" and not in_article):
+        return BY_TAG
     if not attributes or tag in _KEEP:
-        return False
+        return 0
+    found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         value = value.strip("\"'").lower()
         if name.lower() in ("hidden", "aria-hidden"):
             if value != "false" and (name.lower() == "hidden" or value == "true"):
-                return True
-        elif not DROP_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+                return BY_TAG
+        elif not DROP_WORDS.isdisjoint(value.split()):
+            found = BY_NAME
+    return found
 
 
 def parse(page: str) -> Node:
     """A tree from a page however broken: implied ends, missing ends and stray ends are mended."""
-    root = Node("html", None, False)
-    body = Node("body", root, False)
+    root = Node("html", None, 0)
+    body = Node("body", root, 0)
     root.children.append(body)
     node, at, opened, names = body, 0, [body], Counter()
     last = page.rfind(">")  # no tag ends after it
@@ -119,7 +119,7 @@ def parse(page: str) -> Node:
                         break
                 elif name in BLOCK:
                     break
-        child = Node(tag, node, node.dropped or _unwanted(tag, attributes, inside > 0))
+        child = Node(tag, node, _unwanted(tag, attributes, inside > 0))
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
@@ -136,8 +136,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _walk(node: Node):
-    """Children before parents, without recursion."""
+def _walk(node: Node, most: int = 0):
+    """Children before parents, without recursion; most: the reason that is not heeded."""
     stack = [(node, False)]
     while stack:
         n, seen = stack.pop()
@@ -145,12 +145,25 @@ def _walk(node: Node):
             yield n
         else:
             stack.append((n, True))
-            stack += [(c, False) for c in n.children if not isinstance(c, str) and not c.dropped]
+            stack += [(c, False) for c in n.children if not isinstance(c, str) and (not c.dropped or c.dropped == most)]
+
+
+def _restore(body: Node) -> None:
+    """A node left out by its name alone comes back if less than a fifth of the page's text is outside of it."""
+    named = []
+    for n in _walk(body, BY_NAME):
+        n.chars = sum(len(c.strip()) if isinstance(c, str) else c.chars for c in n.children if isinstance(c, str) or c.dropped != BY_TAG)
+        if n.dropped:
+            named.append(n)
+    for n in named:
+        if 5 * n.chars > 4 * body.chars:
+            n.dropped = 0
 
 
 def measure(root: Node) -> Node:
     """Fills in densities; returns body."""
     body = root.children[0]
+    _restore(body)
     for n in _walk(body):
         n.chars = n.tags = n.link_chars = n.link_tags = 0
         for c in n.children:
