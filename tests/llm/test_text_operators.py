@@ -244,6 +244,21 @@ def test_html_names_and_forms_do_not_empty_a_page():
         assert H.main_text(f"<body>{start}{text}{end}<div class='comments'><p>{_TEXT}</p></div></body>") == want
 
 
+def test_html_tags_of_any_length_end_outside_of_quotes():
+    import time
+
+    text = "".join(f"<p>{i} {_TEXT}</p>" for i in range(3))
+    want = "\n\n".join(f"{i} {_TEXT}".strip() for i in range(3))
+    for n in (10, 9_000, 300_000):
+        value = "<b class='ad'>" + "x" * n + "</div></div> class=ad "
+        assert H.main_text(f'<body><div data-props="{value}" class=body>{text}</div></body>') == want
+    assert H.main_text(f"<body><div title=it's>{text}</div>it's</body>").startswith("0 A sentence")
+    for page in ("<p a='\"' b=\"><p c='" * 20000 + ">", "<p a=\"'>" * 20001, "<p a='x\">" * 20001 + "\""):
+        began = time.time()
+        H.main_text(page)
+        assert time.time() - began < 20
+
+
 # ---- language
 def test_language_held_out_accuracy_and_edges(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")

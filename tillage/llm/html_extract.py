@@ -41,10 +41,9 @@ DROP_WORDS = frozenset(
 )
 _KEEP = frozenset("html body main article".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/<>\x00]*)", re.S)
-_REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
-#: Characters in which a quoted `>` is looked for; a longer tag ends at its first `>`, so broken quotes cost little.
-_TAG_SPAN = 8192
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: In a tag, its end, or a value: the quote that opens it, or all of it if it has none.
+_PART = re.compile(r">|=\s*+(?:([\"'])|[^\s>]++)")
+_ATTRIBUTE = re.compile(r"([^\s/=]++)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s]++))?")
 #: Reasons to leave out a node: its element or hiddenness, or only its name.
 BY_TAG, BY_NAME = 1, 2
 
@@ -64,15 +63,39 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> int:
         return 0
     found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'").lower()
-        if name.lower() in ("hidden", "aria-hidden"):
-            if value != "false" and (name.lower() == "hidden" or value == "true"):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+            continue
+        if name in ("hidden", "aria-hidden"):
+            if value != "false" and (name == "hidden" or value == "true"):
                 return BY_TAG
         elif not DROP_WORDS.isdisjoint(value.split()):
             found = BY_NAME
     return found
 
 
+def _tag_end(page: str, at: int, failed: set[int]) -> int:
+    """Where the tag's `>` is, outside of quoted values of any length; where there is none, the first `>`.
+
+    failed: opening quotes after which no end comes. What follows a quote depends on its place alone, so
+    each is tried once and a page of broken quotes costs linear time.
+    """
+    tried, i = [], at
+    while m := _PART.search(page, i):
+        if m.group() == ">":
+            return m.start()
+        i = m.end()
+        if m.group(1):
+            if i in failed:
+                break
+            tried.append(i)
+            i = page.find(m.group(1), i) + 1
+            if not i:
+                break
+    failed.update(tried)
+    return page.find(">", at)
+
+
 def parse(page: str) -> Node:
     """A tree from a page however broken: implied ends, missing ends and stray ends are mended."""
     root = Node("html", None, 0)
@@ -81,6 +104,7 @@ def parse(page: str) -> Node:
     node, at, opened, names = body, 0, [body], Counter()
     last = page.rfind(">")  # no tag ends after it
     inside = 0  # open article and main elements
+    failed: set[int] = set()
 
     def close(depth: int) -> Node:
         nonlocal inside
@@ -96,8 +120,7 @@ def parse(page: str) -> Node:
         at, tag = m.end(), m.group(2)
         if tag is None:
             continue
-        rest = _REST.match(page, at, at + _TAG_SPAN)
-        stop = rest.end(1) if rest else page.find(">", at)
+        stop = _tag_end(page, at, failed)
         attributes, at = page[at:stop], stop + 1
         tag = tag.lower()
         if m.group(1):  # an end tag: closes the nearest open element of that name
