@@ -35,6 +35,21 @@ def one(spark, *columns):
     return spark.range(1).select(*columns).first()
 
 
+def test_planted_strings_of_any_length(spark):
+    from tillage.plans.retrieval import planted
+
+    texts = ["a canary_7 sits here", "one two three four five six seven eight", "xone two three four five sixty", "", "seven  blanks one two three four five six seven eight nine", "one two three four five six seven eight"]
+    needles = ["canary_7", "two three", "ne two three four five six", "one two three four five six s", "five six seven eight", "", " ", "no such", "six", "o three four five six seven e", "three four five six seven eight nine", "seven  blanks one two three four f", "six"]
+    items = spark.createDataFrame([*enumerate(needles), (0, "two three"), (None, "six")], "query_id long, needle string")
+    docs = spark.createDataFrame([(10 - i, t) for i, t in enumerate(texts)], "doc_id long, t string")
+    want = {}
+    for q, n in [*enumerate(needles), (0, "two three"), (None, "six")]:
+        want[q] = want.get(q, []) + [10 - i for i, t in enumerate(texts) if n in t]
+    for size in (4 << 20, 20):
+        got = {r["query_id"]: tuple(r)[1:] for r in planted(items, docs, size).collect()}
+        assert got == {q: (len(d), min(d, default=None), bool(d)) for q, d in want.items()}
+
+
 def test_evaluation_by_hand(spark):
     gold = spark.createDataFrame([("a", 1, ["f1", "f2"], ["maiz", "roya"]), ("b", 1, ["old"], None), ("b", 2, ["f3"], None)], "query string, n int, gold_ids array<string>, query_entities array<string>")
     pred = spark.createDataFrame([("a", 1, ["f1", "f9", "f2"], [["maiz"], [], []], 1.0), ("b", 1, ["x", "f3"], None, None), ("c", 1, ["z"], None, None)], "query string, n int, pred_ids array<string>, pred_entities array<array<string>>, faithfulness double")

@@ -11,7 +11,7 @@ from tillage.operators import lexical, ranking
 from tillage.operators.dense import top_vectors, top_vectors_of_set
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
-from tillage.session import table
+from tillage.session import scratch, table
 
 #: The stated query set, and the crop-like words that focus rules look for on the test corpus.
 QUERIES = [(1, "the and that with"), (2, "der und die nicht"), (3, "les des une dans les"), (4, "para los que con"), (5, "threat stupid attention")]
@@ -274,10 +274,35 @@ d AS (SELECT doc_id, {S.fold("coalesce(text, '')")} AS t FROM documents)
 SELECT query_id, count(doc_id) AS n_docs, min(doc_id) AS first_doc, count(doc_id) > 0 AS found FROM b LEFT JOIN d ON contains(d.t, b.t) GROUP BY query_id""",
 )
 def canary_recall(spark, sf_dir):
-    """Which documents hold a planted string whole: joined on its first five words, then verified."""
+    """Which documents hold a planted string whole."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), fold(F.coalesce("text", F.lit(""))).alias("needle"))
-    keyed = items.withColumn("key", F.array_join(F.slice(F.split("needle", " "), 2, 5), " "))
-    docs = _docs(spark, sf_dir).select("doc_id", F.split(fold(F.coalesce("text", F.lit(""))), " ").alias("w"))
-    grams = docs.select("doc_id", "w", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " "))).alias("key"))
-    hit = grams.join(keyed, "key").where(F.contains(F.array_join("w", " "), F.col("needle"))).select("query_id", "doc_id").distinct()
-    return items.join(hit, "query_id", "left").groupBy("query_id").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"), (F.count("doc_id") > 0).alias("found"))
+    return planted(items, _docs(spark, sf_dir).select("doc_id", fold(F.coalesce("text", F.lit(""))).alias("t")))
+
+
+def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
+    """(query_id, n_docs, first_doc, found) of items (query_id, needle): documents (doc_id, t) that contain the needle.
+
+    Needles of seven words or more are joined on words two to six, which are whole in any text that contains
+    them, then verified. Shorter and empty ones have no such key: blocks of them, of bounded size, are
+    broadcast and looked for in every text.
+    """
+    spark = items.sparkSession
+    needles = items.select("needle", F.split("needle", " ").alias("n")).distinct()
+    keyed = needles.where(F.size("n") >= 7).select("needle", F.array_join(F.slice("n", 2, 5), " ").alias("key"))
+    words = docs.withColumn("w", F.split("t", " "))
+    grams = words.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))).alias("key"))
+    counted = lambda hit: hit.groupBy("needle").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    found = counted(grams.join(keyed, "key").where(F.contains("t", "needle")))
+    short = needles.where(F.size("n") < 7).select("needle")
+    size = short.agg(F.sum(F.octet_length("needle") + 8).alias("b")).first()["b"]
+    if size is not None:
+        blocks, at = -(-size // block_bytes), None
+        for b in range(blocks):
+            block = short.where(F.pmod(F.xxhash64("needle"), F.lit(blocks)) == b)
+            hit = counted(docs.join(F.broadcast(block), F.contains("t", "needle")))
+            if blocks > 1:  # one block after the other, each result kept in the shared folder
+                at = at or scratch(spark)
+                hit.write.mode("append").parquet(at)
+        found = found.unionByName(spark.read.parquet(at) if at else hit)
+    out = items.join(found, "needle", "left").groupBy("query_id")
+    return out.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).cast("long").alias("n_docs"), F.min("first_doc").alias("first_doc"), (F.coalesce(F.sum("n_docs"), F.lit(0)) > 0).alias("found"))
