@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+import weakref
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,11 +41,42 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Folders of stored tables, by the data frame that reads them.
+_FOLDERS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written once to the shared folder and read again: survives lost executors, cuts lineage."""
     path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing reads any more; other data frames are left alone."""
+    for t in tables:
+        path = _FOLDERS.pop(t, None)
+        if path:
+            spark = t.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are compared without case)."""
+    had = {c.lower() for c in df.columns}
+    while name.lower() in had:
+        name = f"_{name}"
+    return name
+
+
+def check_absent(df: DataFrame, *names: str) -> None:
+    had = {c.lower() for c in df.columns}
+    for n in names:
+        if n.lower() in had:
+            raise ValueError(f"column {n} exists")
 
 
 def byte_words(text: bytes | None) -> list[bytes]:

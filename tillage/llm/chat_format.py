@@ -17,8 +17,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillage.llm._common import check_absent, fresh
+
 OPEN, CLOSE = "<s>", "</s>"
-#: What other layouts call the canonical roles.
+#: What the from/value layout calls the canonical roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
 TURNS = "array<struct<role: string, text: string>>"
 _JSON = {"maxStringLen": "2147483647"}
@@ -32,18 +34,20 @@ _RECORD = (
 @dataclass(frozen=True)
 class Layout:
     """Field paths that are required and that may be there, and what becomes of them: the name of a list
-    with its role and text fields, or (role, field names whose texts are joined by a blank line)."""
+    with its role and text fields, or (role, field names whose texts are joined by a blank line).
+    renamed: whether ROLE_NAMES applies to the list's roles; other layouts' roles stay as they are."""
 
     name: str
     required: tuple[str, ...]
     optional: tuple[str, ...] = ()
     listed: tuple[str, str, str] | None = None
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    renamed: bool = False
 
 
 LAYOUTS = (
     Layout("messages", ("messages[].role", "messages[].content"), ("system",), listed=("messages", "role", "content")),
-    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), listed=("conversations", "from", "value")),
+    Layout("from_value", ("conversations[].from", "conversations[].value"), ("system",), listed=("conversations", "from", "value"), renamed=True),
     Layout("role_text", ("turns[].role", "turns[].text"), ("system",), listed=("turns", "role", "text")),
     Layout("prompt_completion", ("prompt", "completion"), ("system",), fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("prompt_response", ("prompt", "response"), ("system",), fields=(("user", ("prompt",)), ("assistant", ("response",)))),
@@ -71,7 +75,8 @@ def _turns(layout: Layout, r: Column) -> Column:
     if layout.listed:
         name, role, text = layout.listed
         names = F.create_map(*[F.lit(x) for kv in ROLE_NAMES.items() for x in kv])
-        body = F.transform(r[name], lambda m: turn(F.coalesce(F.try_element_at(names, m[role]), m[role], F.lit("")), m[text]))
+        known = lambda m: F.try_element_at(names, m[role]) if layout.renamed else F.lit(None)
+        body = F.transform(r[name], lambda m: turn(F.coalesce(known(m), m[role], F.lit("")), m[text]))
     else:
         body = F.array(*[turn(F.lit(role), F.concat_ws("\n\n", *[F.when(r[f] != "", r[f]) for f in fields])) for role, fields in layout.fields])
     if "system" in layout.optional:
@@ -83,19 +88,22 @@ def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout,
     """records with `layout` (name, null for an unknown or malformed record) and `turns` (null likewise).
 
     Unknown fields are ignored; two layouts' fields in one record are an unknown layout, to be
-    registered as one. Null texts are empty. Other columns pass through.
+    registered as one. Null texts are empty. Other columns pass through, whatever they are called;
+    `layout_out` and `out` must not be among them.
     """
-    record = F.col("_record")
+    check_absent(records, layout_out, out)
+    print_col, record_name = fresh(records, "print"), fresh(records, "record")
+    record = F.col(record_name)
     chosen, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for x in layouts:
         variants = [(*x.required, *extra) for n in range(len(x.optional) + 1) for extra in combinations(x.optional, n)]
         hit = F.lit(False)
         for v in variants:
-            hit = hit | (F.col("_print") == _print_of(v))
+            hit = hit | (F.col(print_col) == _print_of(v))
         chosen = F.when(hit, x.name).otherwise(chosen)
         turns = F.when(hit, _turns(x, record)).otherwise(turns)
-    marked = records.withColumn("_print", schema_fingerprint(F.col(record_col), layouts)).withColumn("_record", F.from_json(F.col(record_col), _RECORD, _JSON))
-    return marked.withColumn(layout_out, chosen).withColumn(out, turns).drop("_print", "_record")
+    marked = records.withColumn(print_col, schema_fingerprint(F.col(record_col), layouts)).withColumn(record_name, F.from_json(F.col(record_col), _RECORD, _JSON))
+    return marked.withColumn(layout_out, chosen).withColumn(out, turns).drop(print_col, record_name)
 
 
 def escape(c: Column) -> Column:
@@ -109,8 +117,9 @@ def unescape(c: Column) -> Column:
 def format_turns(records: DataFrame, turns_col: str = "turns", learned: tuple[str, ...] = ("assistant",), out: str = "formatted", mask_out: str = "loss_mask") -> DataFrame:
     """records with the formatted text and its loss mask, array<struct<length, learn>> over code points.
 
-    No turns (null or empty) give an empty text and mask.
+    No turns (null or empty) give an empty text and mask. `out` and `mask_out` must not be columns.
     """
+    check_absent(records, out, mask_out)
     turns = F.coalesce(F.col(turns_col), F.array().cast(TURNS))
     head = lambda t: F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     text = F.array_join(F.transform(turns, lambda t: F.concat(head(t), escape(t["text"]), F.lit(CLOSE))), "")
