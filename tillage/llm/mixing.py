@@ -10,31 +10,33 @@ between passes and a lost executor costs only its own tasks.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm._common import stored
+from tillage.llm._common import check_absent, discard, stored
 
 
 @dataclass(frozen=True)
 class MixParams:
-    """sample: labelled documents that the classifier is fitted on, at most (smallest hashes); sample_chars:
-    the longest of them. slots: hashed features. max_domains: most frequent labels that are domains.
-    passes, tolerance: limits of the fit (relative error of the totals). ridge: pull of rates to 1.
-    max_rate: upper bound of a rate. least: share of the whole below which a domain's error weighs no more."""
+    """The bound of the labelled sample: `sample` documents by smallest hashes over all domains, `per_domain`
+    of every domain, and of each document the `doc_features` features with the smallest hashes; texts of any
+    length are drawn and read whole. slots: hashed features. passes, tolerance: limits of the fit (relative
+    error of the totals). ridge: pull of rates to 1. max_rate: upper bound of a rate. least: share of the
+    whole below which a domain's error weighs no more."""
 
     sample: int = 6000
-    sample_chars: int = 60_000
+    per_domain: int = 64
+    doc_features: int = 4096
     slots: int = 1 << 17
     epochs: int = 6
     rate: float = 0.3
     shrink: float = 2e-6
-    max_domains: int = 32
     passes: int = 60
     tolerance: float = 1e-3
     ridge: float = 1e-3
@@ -83,21 +85,59 @@ class DomainClassifier:
         return out, n
 
 
+def _sample_features(p: MixParams):
+    """The features of a whole text as packed 32-bit slots, at most doc_features of them."""
+
+    @F.arrow_udf("binary")
+    def run(texts):
+        import pyarrow as pa
+
+        return pa.array([np.sort(_order(features(t.as_py(), p.slots)[0]))[: p.doc_features].astype("<u4").tobytes() for t in texts], pa.binary())
+
+    return run
+
+
+def _order(slots: np.ndarray) -> np.ndarray:
+    """A fixed permutation of 32-bit numbers, so that the smallest are a draw among features."""
+    x = slots.astype(np.uint32) * np.uint32(0x9E3779B1)
+    return x ^ (x >> np.uint32(15))
+
+
+def _slots_of(packed: bytes) -> np.ndarray:
+    """The slots that _order permuted."""
+    x = np.frombuffer(packed, "<u4")
+    x = x ^ (x >> np.uint32(15)) ^ (x >> np.uint32(30))
+    return (x * np.uint32(pow(0x9E3779B1, -1, 1 << 32))).astype(np.int64)
+
+
 def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: MixParams = MixParams()) -> DomainClassifier:
-    """labelled: (id, domain). Ids without a document, null ids, texts and domains are left out; of several
-    labels of an id the smallest counts. Documents longer than sample_chars are not drawn."""
+    """labelled: (id, domain). Every domain that a label names is learned. Ids without a document, null ids,
+    texts and domains are left out; of several labels of an id the smallest counts. What is collected is
+    bounded by (sample + per_domain x domains) x doc_features slots of four bytes."""
     p, spark = params, docs.sparkSession
     named = labelled.select(F.col(id_col).alias("_id"), F.col("domain").cast("string").alias("_domain")).where("_id is not null and _domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
-    domains = sorted(r["_domain"] for r in named.groupBy("_domain").count().orderBy(F.desc("count"), "_domain").limit(p.max_domains).collect())
+    counts = {r["_domain"]: r["count"] for r in named.groupBy("_domain").count().collect()}  # one row a domain
+    domains = sorted(counts)
     draw = F.xxhash64(F.lit(p.seed), "_id")
-    chosen = named.where(F.col("_domain").isin(domains)).orderBy(draw, "_id").limit(2 * p.sample)  # the bound of the broadcast
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where(F.length("_text") <= p.sample_chars)
-    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_domain", "_text").orderBy(draw, "_id", "_text").limit(p.sample).collect()
+    # twice as many as wanted, since some have no document: the bound of the broadcast
+    of_all = named.orderBy(draw, "_id").limit(2 * p.sample)
+    place = F.row_number().over(Window.partitionBy("_domain").orderBy(draw, "_id"))
+    of_each = named.withColumn("_place", place).where(F.col("_place") <= 2 * p.per_domain).drop("_place")
+    chosen = of_all.union(of_each).distinct()
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where("_text is not null")
+    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_domain", F.xxhash64("_text").alias("_print"), _sample_features(p)(F.col("_text").cast("binary")).alias("_slots"))
+    # repeated rows of an id: the one with the smallest hash of its text
+    single = stored(met.groupBy("_id", "_domain").agg(F.min_by("_slots", F.struct("_print", "_slots")).alias("_slots")), "labelled")
+    each = single.withColumn("_place", place).where(F.col("_place") <= p.per_domain).drop("_place")
+    found = {r["_id"]: r for r in [*single.orderBy(draw, "_id").limit(p.sample).collect(), *each.collect()]}
+    discard(single)
+    rows = list(found.values())
     model = DomainClassifier(domains, np.zeros((p.slots, len(domains)), np.float32), np.zeros(len(domains)))
     if not rows:
         return model
-    x = [features(r["_text"].encode(), p.slots)[0] for r in rows]
-    y = np.array([domains.index(r["_domain"]) for r in rows])
+    x = [_slots_of(r["_slots"]) for r in rows]
+    number = {d: i for i, d in enumerate(domains)}
+    y = np.array([number[r["_domain"]] for r in rows])
     share = np.bincount(y, minlength=len(domains)) + 1.0
     model.bias = np.log(share / share.sum())
     square, rng = np.full(model.weights.shape, 1e-2, np.float32), np.random.default_rng(p.seed)
@@ -116,6 +156,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
             w = model.weights[used] + step * g
             model.weights[used] = np.sign(w) * np.maximum(np.abs(w) - step * p.shrink * 100, 0)
             model.bias += 0.05 * miss.mean(0)
+    # rare domains are drawn more often than they occur: back to the share of all labels
+    true = np.array([counts[d] for d in domains]) + 1.0
+    model.bias += np.log(true / true.sum()) - np.log(share / share.sum())
     return model
 
 
@@ -153,6 +196,12 @@ class RateFit:
     targets: np.ndarray
     totals: np.ndarray
     passes: int
+    converged: bool = True
+
+    def missed(self) -> dict[str, float]:
+        """By domain, how far its expected tokens are from the target, as a share of all target tokens."""
+        whole = max(float(self.targets.sum()), 1.0)
+        return {d: float((t - w) / whole) for d, t, w in zip(self.domains, self.totals, self.targets)}
 
     def rates(self, post: np.ndarray) -> np.ndarray:
         r = np.ones(len(post))
@@ -170,8 +219,13 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
 
     Targets are shares of one total, chosen so that the domain with the largest target share keeps its
     expected tokens: the others are thinned or raised to it. A domain without a weight has target 0.
+    A fit that the bounds or the passes keep from its targets is not `converged`, says so in a warning and
+    has the misses in `missed()`; so does a weight on a domain that no label names.
     """
-    k, spark = len(domains), members.sparkSession
+    k = len(domains)
+    unknown = sorted(d for d, w in weights.items() if w > 0 and d not in domains)
+    if unknown:
+        warnings.warn(f"no label names the domains {unknown}: their weight goes to the others", stacklevel=2)
     share = np.array([max(0.0, weights.get(d, 0.0)) for d in domains])
 
     def gather(f, width: int) -> np.ndarray:
@@ -215,6 +269,9 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
         fit.passes += 1
         if np.abs(fit.totals - before).max() <= 1e-3 * params.tolerance * whole:  # the bounds keep the targets out of reach
             break
+    fit.converged = bool(np.abs((fit.totals - targets) / scale).max() <= params.tolerance)
+    if not fit.converged:
+        warnings.warn(f"targets missed after {fit.passes} passes: {fit.missed()}", stacklevel=2)
     return fit
 
 
@@ -246,8 +303,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col:
     are 1. Repeated rows get equal rates. With keep_text False texts are not carried and memberships
     come from the stored table instead of a second reading. `out` must not be a column.
     """
-    if out in docs.columns:
-        raise ValueError(f"column {out} exists")
+    check_absent(docs, out)
     model = fit_classifier(docs, labelled, id_col, text_col, params)
     marked = with_memberships(docs, model, text_col, out)
     slim = stored(marked.select(*[c for c in docs.columns if c != text_col] if not keep_text else [], out), "memberships")
