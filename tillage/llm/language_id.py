@@ -15,20 +15,21 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillage.llm._common import check_absent
+
 
 @dataclass(frozen=True)
 class CrfParams:
-    """The sample: at most `docs_per_lang` documents of each of the `max_langs` most frequent languages,
-    and of each a window of `window` consecutive words at a place given by its hash.
+    """The bound of the labelled sample: of every language the `docs_per_lang` documents with the smallest
+    hashes, and of each `window` consecutive words at a place given by its hash.
     slots, lexicon: sizes of the feature tables, the bound on what is broadcast. length, steps, batch,
     rate: training sequences and their gradient steps. segment, context: prediction runs over segments of
     so many words, each with context on both sides, far beyond what the chain remembers."""
 
     docs_per_lang: int = 400
-    max_langs: int = 64
     window: int = 160
     slots: int = 1 << 16
     lexicon: int = 20_000
@@ -298,21 +299,25 @@ def _groups(texts, size: int = 2 << 20):
 
 
 def fit_field(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", params: CrfParams = CrfParams()) -> LanguageField:
-    """A field learned from text and lang of docs; rows with a null text, lang or id are left out."""
+    """A field learned from text and lang of docs; rows with a null text, lang or id are left out, and
+    every language that a row names is learned. What is collected is bounded by the parameters for each
+    language; documents without words are not drawn."""
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(counts)
+    n = params.docs_per_lang
     draw = F.pmod(F.xxhash64(F.lit(params.seed), "id"), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for lang in langs:  # somewhat more than needed, then the smallest hashes
-        wanted = wanted | ((F.col("lang") == lang) & (draw < int((1 << 30) * min(1.0, 1.5 * params.docs_per_lang / counts[lang] + 1e-3))))
+    # somewhat more than needed, so that few rows are sorted; then exactly the smallest hashes of each language
+    near = docs.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, (n + 10 * n**0.5 + 50) / c))) for k, c in counts.items()], "lang string, below long")
     words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     start = F.greatest(F.lit(1), (F.pmod(F.xxhash64("id"), F.greatest(F.size("words") - params.window + 1, F.lit(1))) + 1).cast("int"))
-    sample = rows.where(wanted).select("id", "lang", draw.alias("draw"), words.alias("words")).select("id", "lang", "draw", F.slice("words", start, params.window).alias("words"))
+    drawn = rows.withColumn("draw", draw).join(F.broadcast(near), "lang").where("draw < below")
+    cut = drawn.select("id", "lang", "draw", words.alias("words")).where(F.size("words") > 0).select("id", "lang", "draw", F.slice("words", start, params.window).alias("words"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "words"))
+    sample = cut.withColumn("place", place).where(F.col("place") <= n)
     taken = {lang: [] for lang in langs}
-    for r in sorted(sample.collect(), key=lambda r: (r["draw"], r["id"])):
-        if len(taken[r["lang"]]) < params.docs_per_lang and r["words"]:
-            taken[r["lang"]].append([normal(w.encode()) for w in r["words"]])
+    for r in sorted(sample.collect(), key=lambda r: r["place"]):
+        taken[r["lang"]].append([normal(w.encode()) for w in r["words"]])
     windows = [(y, w) for y, lang in enumerate(langs) for w in taken[lang]]
     times: dict[bytes, int] = {}
     for _, ws in windows:
@@ -352,8 +357,7 @@ def identify(docs: DataFrame, field: LanguageField, text_col: str = "text", out:
     The score is the winning language's share of the posterior mass of words with letters. Other
     columns pass through; `out` must not be one of them. Repeated rows are judged alike.
     """
-    if out in docs.columns:
-        raise ValueError(f"column {out} exists")
+    check_absent(docs, out)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     return docs.withColumn(out, _predict(shared, runs)(F.col(text_col).cast("binary")))
 
