@@ -67,7 +67,7 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
 @query
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = contamination(docs, table(spark, sf_dir, "benchmark"), out="b")
+    hits = contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False, out="b")
     ids = F.sha2(F.array_join(F.array_sort("b.items"), ","), 256)
     return hits.select("doc_id", "b.n_words", "b.n_hit", F.size("b.items").cast("long").alias("n_items"), ids.alias("items_sha256"), "b.contaminated")
 
@@ -91,7 +91,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("response.type") == "revisit", field("payload-bytes")).otherwise(F.col("response.payload_bytes"))
     return found.select(
         field("page-id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.type").alias("record_type"),
-        F.regexp_extract("response.refers_to", "urn:page:(-?[0-9]+)", 1).try_cast("long").alias("refers_to"),
+        F.regexp_extract("response.refers_to", "urn:capture:(-?[0-9]+):", 1).try_cast("long").alias("refers_to"),
     )
 
 
@@ -164,4 +164,5 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, fit = mix(docs, labelled, MIX_WEIGHTS, keep_text=False)
     post = [F.coalesce(F.get("mix.posteriors", i), F.lit(0.0)).alias(f"p_{d}") for i, d in enumerate(fit.domains)]
-    return found.select("doc_id", "mix.n_tokens", *post, "mix.rate", "mix.copies")
+    missed = max((abs(m) for m in fit.missed().values()), default=0.0)
+    return found.select("doc_id", "mix.n_tokens", *post, "mix.rate", "mix.copies", F.lit(missed).alias("target_missed"))
