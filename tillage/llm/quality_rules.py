@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import stored
+from tillage.llm._common import check_absent, fresh, stored
 
 #: Characters counted as symbols, ASCII white space, frequent function words.
 SYMBOLS = b"#*$%&|<>"
@@ -52,8 +52,8 @@ def repeated_words(words: list) -> int:
     return covered
 
 
-def text_counts(text: bytes | None) -> tuple:
-    """The counts in the order of COUNTS_TYPE; null and empty texts have only zeros."""
+def text_counts(text: bytes | None, common: frozenset[bytes] = _FUNCTION_BYTES) -> tuple:
+    """The counts in the order of COUNTS_TYPE, common: function words; null and empty texts have only zeros."""
     if not text:
         return (0,) * len(_COUNTS)
     words = text.split()
@@ -73,7 +73,7 @@ def text_counts(text: bytes | None) -> tuple:
     function = stops = runs = bare = 0
     for w, n in Counter(words).items():
         core = w.strip(_STRIP)
-        if core in _FUNCTION_BYTES or core[:1].lower() + core[1:] in _FUNCTION_BYTES:
+        if core in common or core[:1].lower() + core[1:] in common:
             function += n
         if w[-1] in _PUNCTUATION:
             if w.endswith(_ENDS):
@@ -86,12 +86,14 @@ def text_counts(text: bytes | None) -> tuple:
     return (len(words), chars - seconds, symbols, duplicates, repeated_words(words), lines, function, upper, upper + lower, stops, marks, runs, bare)
 
 
-def counts_column(text: Column) -> Column:
+def counts_column(text: Column, function_words: frozenset[str] = FUNCTION_WORDS) -> Column:
+    common = frozenset(w.encode() for w in function_words)
+
     @F.arrow_udf(COUNTS_TYPE)
     def run(texts):
         import pyarrow as pa
 
-        rows = [text_counts(t.as_py()) for t in texts]
+        rows = [text_counts(t.as_py(), common) for t in texts]
         columns = list(zip(*rows)) if rows else [[] for _ in _COUNTS]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _COUNTS)
 
@@ -101,7 +103,9 @@ def counts_column(text: Column) -> Column:
 @dataclass(frozen=True)
 class QualityParams:
     """min_words and max_repeat: the base rule. keep_at: posterior from which a document is kept.
-    rounds, tolerance: limits of expectation-maximisation. prior: pseudo-counts (right, wrong) of a vote."""
+    rounds, tolerance: limits of expectation-maximisation. prior: pseudo-counts (right, wrong) of a vote.
+    function_words: frequent words of the languages that the corpus is expected to hold; prose in any other
+    language gets one bad vote for having none of them, so give the list of the languages at hand."""
 
     min_words: int = 50
     max_repeat: float = 0.5
@@ -110,6 +114,7 @@ class QualityParams:
     tolerance: float = 1e-9
     prior: tuple[float, float] = (4.0, 1.0)
     good_share: float = 0.8
+    function_words: frozenset[str] = FUNCTION_WORDS
 
 
 def votes(c: Column) -> list[tuple[str, Column]]:
@@ -177,11 +182,11 @@ def judge_quality(docs: DataFrame, text_col: str = "text", params: QualityParams
     The votes of all documents are counted; texts are read twice (counts are cheaper than shuffling
     or storing texts) unless keep_text is False, when texts are dropped and counts stored instead.
     Null and empty texts have zero counts, fail the base rule and are not kept. Repeated rows are
-    judged alike. Other columns pass through; `out` must not be one of them. Empty input: no rows.
+    judged alike. Other columns pass through, whatever they are called; `out` must not be one of them.
+    Empty input: no rows.
     """
-    if out in docs.columns:
-        raise ValueError(f"column {out} exists")
-    counted = docs.withColumn(out, counts_column(F.col(text_col)))
+    check_absent(docs, out)
+    counted = docs.withColumn(out, counts_column(F.col(text_col), params.function_words))
     if not keep_text:
         counted = stored(counted.drop(text_col), "quality")
     ballot = votes(F.col(out))
@@ -189,11 +194,12 @@ def judge_quality(docs: DataFrame, text_col: str = "text", params: QualityParams
     found = counted.select(pattern.alias("pattern")).groupBy("pattern").count().collect()
     patterns = np.array([r["pattern"] for r in found], dtype=np.int64)
     post, _, _ = fit_votes(patterns, np.array([r["count"] for r in found], dtype=float), len(ballot), params)
+    known, posterior = fresh(docs, "pattern"), fresh(docs, "posterior")
     # at most 3^rules rows, whatever the input
-    learned = docs.sparkSession.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, post)], "_pattern int, _posterior double")
+    learned = docs.sparkSession.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, post)], f"{known} int, {posterior} double")
     c = F.col(out)
     failed = (c["n_words"] < params.min_words) | (c["n_repeat_words"] > params.max_repeat * c["n_words"])
-    full = counted.join(F.broadcast(learned), pattern == F.col("_pattern"), "left")
+    full = counted.join(F.broadcast(learned), pattern == F.col(known), "left")
     fields = [c[n].alias(n) for n in _COUNTS] + [v.alias(f"vote_{n}") for n, v in ballot]
-    verdict = F.struct(*fields, F.col("_posterior").alias("posterior"), failed.alias("base_failed"), (~failed & (F.col("_posterior") >= params.keep_at)).alias("kept"))
-    return full.withColumn(out, verdict).drop("_pattern", "_posterior")
+    verdict = F.struct(*fields, F.col(posterior).alias("posterior"), failed.alias("base_failed"), (~failed & (F.col(posterior) >= params.keep_at)).alias("kept"))
+    return full.withColumn(out, verdict).drop(known, posterior)
