@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import stored
+from tillage.llm._common import discard, stored
 
 
-def _follow(parents: DataFrame) -> DataFrame:
-    """(node, root) with every node's pointer followed to the end; pointers only lead to smaller nodes."""
+def _follow(parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, root) with every node's pointer followed to the end, and the stored table that it reads; pointers
+    only lead to smaller nodes."""
+    held = parents
     while True:
         ups = parents.select(F.col("node").alias("_up"), F.col("root").alias("_top"))
         ahead = stored(parents.join(ups, F.col("root") == F.col("_up"), "left").select("node", F.coalesce("_top", "root").alias("next"), "root"), "jump")
         moved = ahead.where("next <> root").limit(1).count()
-        parents = ahead.select("node", F.col("next").alias("root"))
+        discard(held)
+        held, parents = ahead, ahead.select("node", F.col("next").alias("root"))
         if not moved:
-            return parents
+            return parents, held
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -31,14 +34,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = None
     while True:
         near = left.select("u", "v").union(left.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.min("v").alias("v"))
-        roots = _follow(stored(near.select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "near"))
+        roots, held = _follow(stored(near.select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "near"))
         if labels is None:
             labels = roots
+            first = held
         else:
             ups = roots.select(F.col("node").alias("_up"), F.col("root").alias("_top"))
-            labels = stored(labels.join(ups, F.col("root") == F.col("_up"), "left").select("node", F.coalesce("_top", "root").alias("root")), "labels")
+            joined = stored(labels.join(ups, F.col("root") == F.col("_up"), "left").select("node", F.coalesce("_top", "root").alias("root")), "labels")
+            discard(first, labels)
+            labels = first = joined
         of = lambda c, n: roots.select(F.col("node").alias(n), F.col("root").alias(c))
         drawn = left.join(of("ru", "nu"), F.col("u") == F.col("nu")).join(of("rv", "nv"), F.col("v") == F.col("nv"))
-        left = stored(drawn.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        before, left = left, stored(drawn.where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "edges")
+        discard(before)
+        if held is not first:
+            discard(held)
         if left.isEmpty():
+            discard(left)
             return labels

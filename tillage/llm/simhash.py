@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import look_up, stored
+from tillage.llm._common import discard, fresh, look_up, stored
 from tillage.llm._graph import components
 
 
@@ -159,7 +159,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("_n"))
     # a root has at most as many rows here as distinct fingerprints
     of_point = placed.select("fp", "n", "root").join(smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")).select("fp", "n", "component_id")
-    return look_up(marked, stored(of_point, "components"), "fp", "n", "doc_id")
+    by_point = stored(of_point, "components")
+    discard(points, placed, found)
+    return look_up(marked, by_point, "fp", "n", "doc_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
@@ -169,13 +171,15 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     to be chosen by and stay.
     """
     found = stored(near_duplicates(docs, id_col, text_col, params).select("doc_id", "component_id"), "near-duplicates")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    ids, key = kept.select(F.col("doc_id").alias("_kept"), "_rows"), F.col(id_col)
-    single = docs.join(ids.where("_rows = 1").select("_kept").hint("merge"), key == F.col("_kept"), "left_semi")  # the same plan at every size: the ids grow with the input
-    repeated = ids.where("_rows > 1")
-    parts = single.unionByName(docs.where(key.isNull()))
+    id_name, row_name, kept_name = fresh(docs, "id"), fresh(docs, "row"), fresh(docs, "kept")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    ids, key = kept.select(F.col("doc_id").alias(kept_name), "n"), F.col(id_col)
+    once = ids.where("n = 1").select(kept_name).hint("merge")  # the same plan at every size: the ids grow with the input
+    repeated = ids.where("n > 1").select(kept_name)
+    parts = docs.join(once, key == F.col(kept_name), "left_semi").unionByName(docs.where(key.isNull()))
     if not repeated.isEmpty():
         # the minimum over whole rows is found before the shuffle, however often an id repeats
-        first = docs.join(repeated, key == F.col("_kept"), "left_semi").groupBy(key.alias("_id")).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit(""))).alias("_row"))
-        parts = parts.unionByName(first.select("_row.*"))
+        least = F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col), F.lit("")))
+        first = docs.join(repeated, key == F.col(kept_name), "left_semi").groupBy(key.alias(id_name)).agg(least.alias(row_name))
+        parts = parts.unionByName(first.select(f"{row_name}.*"))
     return parts
