@@ -342,6 +342,32 @@ def test_one_pass_reads_every_token_once_and_averages():
     assert np.allclose(mean.x, (m.x + other.x) / 2, atol=1e-6) and np.allclose(mean.ww, (m.ww + other.ww) / 2, atol=1e-6)
 
 
+def test_gradients_equal_finite_differences():
+    p = G.GruParams(vocabulary=9, classes=4, hidden=3, rare=4)
+    m = G.GruModel(p, [(bytes([97 + i]), 40 - 4 * i) for i in range(9)], np.ones((4, 2)), 60, 14)
+    for n in G._NAMES:
+        setattr(m, n, getattr(m, n).astype(np.float64))
+    m.x *= 5
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(0, 13, (3, 6)), rng.integers(0, 13, (3, 6))
+    new, on = rng.random((3, 6)) < 0.2, rng.random((3, 6)) < 0.8
+    h = rng.standard_normal((3, 3)) * 0.3
+    total = lambda: float(m.gradients(x, y, new, h, on)[1].sum())
+    _, _, g, rows, gx = m.gradients(x, y, new, h, on)
+    g["x"] = np.zeros_like(m.x)
+    g["x"][rows] = gx
+    for n in G._NAMES:
+        w = getattr(m, n)
+        for at in {tuple(rng.integers(0, d) for d in w.shape) for _ in range(25)}:
+            was, e = w[at], 1e-5
+            w[at] = was + e
+            up = total()
+            w[at] = was - e
+            down = total()
+            w[at] = was
+            assert abs((up - down) / (2 * e) - g[n][at]) < 2e-4 * max(1, abs(g[n][at])), (n, at)
+
+
 # ---- mixing
 def test_mixing_meets_targets(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

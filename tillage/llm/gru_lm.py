@@ -14,15 +14,13 @@ is bounded: the most frequent words, one row per rare class, that sample, and on
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import batches, stored
+from tillage.llm._common import stored
 
 #: A key no word can be: words hold no space.
 END = b" end"
@@ -36,13 +34,14 @@ class GruParams:
     1/common of all tokens. sample_docs, sample_chars, sample_tokens: bounds of the sample of whole documents
     that the weights start from (how many, how long each, how much in all). steps: gradient steps on the sample,
     in as many whole epochs as it takes. lanes, window: training batch and truncation of backpropagation.
-    rounds, wide: averaged rounds that together read every training document once, and their lanes. group:
-    tokens scored together."""
-
-    vocabulary: int = 2047
-    classes: int = 45
-    hidden: int = 24
-    rare: int = 26
+    rounds, wide: averaged rounds that together read every training document once, and their lanes; stretch:
+    tokens that a lane reads on end. piece: bytes
+    of texts that are coded at a time. group: tokens scored together."""
+
+    vocabulary: int = 1023
+    classes: int = 32
+    hidden: int = 12
+    rare: int = 16
     common: int = 1 << 16
     sample_docs: int = 1200
     sample_chars: int = 40_000
@@ -51,185 +50,295 @@ class GruParams:
     lanes: int = 48
     window: int = 20
     rate: float = 4e-3
-    growth: int = 10
-    rounds: int = 4
-    wide: int = 256
-    group: int = 700_000
+    growth: int = 4
+    rounds: int = 3
+    wide: int = 384
+    stretch: int = 640
+    piece: int = 12 << 20
+    group: int = 350_000
     seed: int = 5
 
 
-_EDGE = b".,;:!?\"'()[]{}<>|*#$%&-0123456789"
+_EDGE = np.zeros(256, bool)
+_EDGE[np.frombuffer(b".,;:!?\"'()[]{}<>|*#$%&-0123456789", np.uint8)] = True
 
 
-def rare_class(word: bytes, classes: int) -> int:
-    """From the last two bytes of the word without marks, and whether a mark ends it."""
-    core = word.strip(_EDGE)
+def rare_classes(words, classes: int) -> np.ndarray:
+    """Of each word (an Arrow array of strings) its rare class: by the last two bytes before the marks and digits
+    that end it, and by whether any do."""
+    data, start, stop = _bytes(words)
+    end = stop.copy()
+    while True:
+        more = np.flatnonzero(end > start)
+        more = more[_EDGE[data[end[more] - 1]]]
+        if not len(more):
+            break
+        end[more] -= 1
+    last = np.where(end > start, data[np.maximum(end - 1, 0)], 0).astype(np.int64)
+    second = np.where(end > start + 1, data[np.maximum(end - 2, 0)], 0).astype(np.int64)
     half = classes // 2
-    return zlib.crc32(core[-2:]) % half + half * (core[-1:] != word[-1:])
+    return ((last * 31 + second * 131) % half + half * (end < stop)).astype(np.int32)
+
+
+def _bytes(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an Arrow array of strings, and where each begins and ends."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    raw = words.buffers()[2] if len(words) else None
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(1, np.uint8)
+    return data, offsets[:-1], offsets[1:]
+
+
+def _pieces(texts, size: int):
+    """An Arrow array of texts in slices of about `size` bytes, texts whole; nulls as empty texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
+def _split(texts) -> tuple:
+    """The words of texts in a row, A-Z lower-cased, as an Arrow array; and how many each text has."""
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not full.all():  # blanks at a text's edges leave empty words; every text has one word at least
+        size = np.add.reduceat(full.astype(np.int64), np.cumsum(size) - size)
+        words = words.filter(full)
+    return words, size.astype(np.int64)
+
+
+_NAMES = ("x", "u", "b", "wc", "bc", "ww", "bw")
 
 
 class GruModel:
-    """Weights, vocabulary and counts. Token ids: words 0.., then rare classes, then the start."""
+    """Weights, vocabulary and counts. Token ids: words 0.., then rare classes, then the start.
+
+    Words are dealt to classes in order of frequency, each class with about the same sum of the counts' square
+    roots: frequent words stand in classes of few words, or alone, so that most tokens cost little.
+    """
 
     def __init__(self, p: GruParams, words: list[tuple[bytes, int]], rare: np.ndarray, tokens: int, distinct: int):
         """words: the vocabulary with counts, most frequent first. rare: [class, (tokens, distinct words)]."""
         self.p = p
         self.ids = {w: i for i, (w, _) in enumerate(words)}
-        n, h, rng = len(words), p.hidden, np.random.default_rng(p.seed)
-        self.n, self.size = n, -(-n // p.classes) if n else 1
-        self.n_classes = -(-n // self.size) if n else 0
+        n, k, rng, f = len(words), p.hidden, np.random.default_rng(p.seed), np.float32
+        self.n = n
+        c = np.array([m for _, m in words], float)
+        weight = np.sqrt(c + 1)
+        own = np.minimum((p.classes * (weight.cumsum() - weight / 2) / max(weight.sum(), 1)).astype(np.int64), p.classes - 1)
+        _, own = np.unique(own, return_inverse=True) if n else (None, own)
+        self.n_classes = int(own[-1]) + 1 if n else 0
+        self.kinds = np.concatenate([own, self.n_classes + np.arange(p.rare)])
+        self.edges = np.searchsorted(own, np.arange(self.n_classes + 1))
         self.rare_den = np.log10(rare.sum(1) + 1.0)
         self.log_den = float(np.log10(tokens + distinct + 1.0))
-        f = np.float32
-        out = self.n_classes + p.rare
-        self.x = (rng.standard_normal((n + p.rare + 1, 3 * h)) * 0.1).astype(f)
-        self.u = (rng.standard_normal((h, 3 * h)) / np.sqrt(h)).astype(f)
-        self.b = np.zeros(3 * h, f)
-        self.wc = (rng.standard_normal((h, out)) * 0.05).astype(f)
-        self.ww = (rng.standard_normal((max(self.n_classes, 1), h, self.size)) * 0.05).astype(f)
-        c = np.zeros(max(self.n_classes, 1) * self.size)
-        c[:n] = [k for _, k in words]
-        c = c.reshape(-1, self.size)
-        mass = np.concatenate([c.sum(1)[: self.n_classes], rare[:, 0]]) + 1.0
+        self.x = (rng.standard_normal((n + p.rare + 1, 3 * k)) * 0.1).astype(f)
+        self.u = (rng.standard_normal((k, 3 * k)) / np.sqrt(k)).astype(f)
+        self.b = np.zeros(3 * k, f)
+        self.wc = (rng.standard_normal((k, self.n_classes + p.rare)) * 0.05).astype(f)
+        self.ww = (rng.standard_normal((n, k)) * 0.05).astype(f)
+        inside = np.add.reduceat(c, self.edges[:-1]) if n else np.zeros(0)
+        mass = np.concatenate([inside, rare[:, 0]]) + 1.0
         self.bc = np.log(mass / mass.sum()).astype(f)
-        self.bw = np.where(np.arange(c.size).reshape(c.shape) < n, np.log((c + 1) / (c.sum(1, keepdims=True) + self.size)), -1e9).astype(f)
-
-    def token(self, word: bytes) -> int:
-        i = self.ids.get(word)
-        return self.n + rare_class(word, self.p.rare) if i is None else i
-
-    def class_of(self, target: np.ndarray) -> np.ndarray:
-        return np.where(target < self.n, target // self.size, self.n_classes + target - self.n)
-
-    def cell(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step: new state, update gate, reset gate, candidate."""
+        self.bw = np.log((c + 1) / (inside + np.diff(self.edges))[own]).astype(f) if n else np.zeros(0, f)
+
+    def tokens(self, texts) -> list[np.ndarray]:
+        """The token ids of each text of an Arrow array, the end included."""
+        words, size = _split(texts)
+        coder = self.__dict__.get("coder") or self.__dict__.setdefault("coder", _Coder(list(self.ids)))
+        ids, new = coder(words)
+        rare = self.n + rare_classes(new, self.p.rare)
+        ids = np.concatenate([np.arange(self.n), rare])[ids]
+        stop = np.cumsum(size)
+        return np.split(np.insert(ids, stop, self.ids[END]), (stop + np.arange(1, len(size) + 1))[:-1])
+
+    def _cell(self, g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """One step from inputs g (with bias) and states h: new state, both gates in one array, candidate, and
+        what the reset gate scales."""
         k = self.p.hidden
-        g = x + self.b
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * k] + h @ self.u[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        c = np.tanh(g[:, 2 * k :] + (r * h) @ self.u[:, 2 * k :])
-        return h + z * (c - h), z, r, c
+        a = h @ self.u
+        zr = g[:, : 2 * k] + a[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        inner = a[:, 2 * k :]
+        c = zr[:, k:] * inner
+        c += g[:, 2 * k :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= zr[:, :k]
+        new += h
+        return new, zr, c, inner
 
     def log_probability(self, h: np.ndarray, target: np.ndarray, grads: bool = False):
         """Natural log of P(class) times P(word | class); with grads also the gradients of its sum."""
-        kind = self.class_of(target)
-        a = h @ self.wc + self.bc
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1, keepdims=True)
+        kind = self.kinds[target].astype(np.int16)  # short numbers sort fast
         rows = np.arange(len(h))
-        out = a[rows, kind] - np.log(total[:, 0])
+        out, e, total = _softmax(h @ self.wc + self.bc, rows, kind)
         if grads:
-            d = -e / total
-            d[rows, kind] += 1
-            dh, dwc, dbc = d @ self.wc.T, h.T @ d, d.sum(0)
+            e /= -total[:, None]
+            e[rows, kind] += 1
+            dh, dwc, dbc = e @ self.wc.T, h.T @ e, e.sum(0)
             dww, dbw = np.zeros_like(self.ww), np.zeros_like(self.bw)
         order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(self.n_classes + 1))
+        edge = np.searchsorted(kind[order], np.arange(self.n_classes + 1)).tolist()
         for c in range(self.n_classes):
-            at = order[edge[c] : edge[c + 1]]
-            if not len(at):
+            at, a, z = order[edge[c] : edge[c + 1]], self.edges[c], self.edges[c + 1]
+            if not len(at) or z - a == 1:  # a word that stands alone is certain
                 continue
-            v = h[at] @ self.ww[c] + self.bw[c]
-            v -= v.max(1, keepdims=True)
-            e = np.exp(v)
-            total = e.sum(1, keepdims=True)
-            within = target[at] - c * self.size
-            out[at] += v[np.arange(len(at)), within] - np.log(total[:, 0])
+            own, place = h[at], np.arange(len(at))
+            within = target[at] - a
+            lp, e, total = _softmax(own @ self.ww[a:z].T + self.bw[a:z], place, within)
+            out[at] += lp
             if grads:
-                d = -e / total
-                d[np.arange(len(at)), within] += 1
-                dh[at] += d @ self.ww[c].T
-                dww[c], dbw[c] = h[at].T @ d, d.sum(0)
+                e /= -total[:, None]
+                e[place, within] += 1
+                dh[at] += e @ self.ww[a:z]
+                dww[a:z], dbw[a:z] = e.T @ own, e.sum(0)
         return (out, dh, dwc, dbc, dww, dbw) if grads else out
 
-    def _gradients(self, x, y, new, h, on=None):
+    def gradients(self, x, y, new, h, on=None):
         """One window, [lane, step]: the last state, the log-probabilities, the gradients of their sum and, for
         the inputs, the rows touched and their gradients. Where `on` is false there is no token."""
-        k, lanes = self.p.hidden, len(h)
+        k, (lanes, steps), kind = self.p.hidden, x.shape, self.u.dtype
+        inputs = self.x[x.T] + self.b
+        before, states = np.empty((steps, lanes, k), kind), np.empty((steps, lanes, k), kind)
         trail = []
-        for t in range(x.shape[1]):
-            before = np.where(new[:, t : t + 1], np.float32(0), h)
-            h, z, r, c = self.cell(self.x[x[:, t]], before)
-            trail.append((before, z, r, c, h))
-        states = np.concatenate([s[4] for s in trail])
+        for t in range(steps):
+            before[t] = h
+            before[t][new[:, t]] = 0
+            h, *rest = self._cell(inputs[t], before[t])
+            states[t] = h
+            trail.append(rest)
+        flat = states.reshape(-1, k)
         at = slice(None) if on is None else np.flatnonzero(on.T.ravel())
-        out, d_at, dwc, dbc, dww, dbw = self.log_probability(states[at], y.T.ravel()[at], True)
-        dh = np.zeros((len(states), k), np.float32)
-        dh[at] = d_at
-        g = {"u": np.zeros_like(self.u), "b": np.zeros_like(self.b), "wc": dwc, "bc": dbc, "ww": dww, "bw": dbw}
-        back, fulls = np.zeros((lanes, k), np.float32), [None] * len(trail)
-        for i in range(len(trail) - 1, -1, -1):
-            before, z, r, c, _ = trail[i]
-            d = dh[i * lanes : (i + 1) * lanes] + back
-            dc = d * z * (1 - c * c)
-            drh = dc @ self.u[:, 2 * k :].T
-            dz, dr = d * (c - before) * z * (1 - z), drh * before * r * (1 - r)
-            gates = np.concatenate([dz, dr], 1)
-            fulls[i] = np.concatenate([gates, dc], 1)
-            back = d * (1 - z) + drh * r + gates @ self.u[:, : 2 * k].T
-            back[new[:, i]] = 0
-        full = np.concatenate(fulls)
-        start = np.concatenate([s[0] for s in trail])
-        g["u"][:, : 2 * k] = start.T @ full[:, : 2 * k]
-        g["u"][:, 2 * k :] = (np.concatenate([s[2] for s in trail]) * start).T @ full[:, 2 * k :]
-        g["b"] = full.sum(0)
-        flat = x.T.ravel()
-        order = np.argsort(flat, kind="stable")
-        rows, first = np.unique(flat[order], return_index=True)
+        out, d_at, dwc, dbc, dww, dbw = self.log_probability(flat[at], y.T.ravel()[at], True)
+        dh = np.zeros((steps, lanes, k), kind)
+        dh.reshape(-1, k)[at] = d_at
+        to_x, to_a = np.empty((steps, lanes, 3 * k), kind), np.empty((steps, lanes, 3 * k), kind)
+        back, turned = np.zeros((lanes, k), kind), np.ascontiguousarray(self.u.T)
+        for t in range(steps - 1, -1, -1):
+            zr, c, inner = trail[t]
+            z, r = zr[:, :k], zr[:, k:]
+            d = dh[t]
+            d += back
+            dz = d * z
+            dc = 1 - c * c
+            dc *= dz  # through the candidate
+            to_x[t, :, 2 * k :] = dc
+            to_a[t, :, 2 * k :] = dc * r
+            dz *= 1 - z
+            dz *= c - before[t]
+            dr = dc * inner
+            dr *= r
+            dr *= 1 - r
+            to_x[t, :, :k] = to_a[t, :, :k] = dz
+            to_x[t, :, k : 2 * k] = to_a[t, :, k : 2 * k] = dr
+            back = to_a[t] @ turned
+            d *= 1 - z
+            back += d
+            back[new[:, t]] = 0
+        full = to_x.reshape(-1, 3 * k)
+        g = {"u": before.reshape(-1, k).T @ to_a.reshape(-1, 3 * k), "b": full.sum(0), "wc": dwc, "bc": dbc, "ww": dww, "bw": dbw}
+        ids = x.T.ravel()
+        order = np.argsort(ids, kind="stable")
+        rows, first = np.unique(ids[order], return_index=True)
         return h, out, g, rows, np.add.reduceat(full[order], first, axis=0)
 
+    def _stretches(self, texts, lanes: int, stretch: int):
+        """x, y, new, on of [lane, step] from an iterable of token arrays, every token once: the texts in a row,
+        cut into equal stretches, one a lane."""
+        begin = last = self.n + self.p.rare
+
+        def cut(flow, fresh):
+            nonlocal last
+            x = np.concatenate([[last], flow[:-1]])
+            x[fresh] = begin
+            last = flow[-1]
+            used = min(lanes, len(flow))
+            width = -(-len(flow) // used)
+            pad = lambda v, fill: np.concatenate([v, np.full(used * width - len(v), fill, v.dtype)]).reshape(used, width)
+            return pad(x, begin), pad(flow, begin), pad(fresh, False), pad(np.ones(len(flow), bool), False)
+
+        tokens, starts, size = [], [], 0
+        for text in texts:
+            if len(text):
+                tokens.append(text)
+                starts.append(np.arange(len(text)) == 0)
+                size += len(text)
+            if size >= lanes * stretch:
+                flow, fresh = np.concatenate(tokens), np.concatenate(starts)
+                whole = size - size % (lanes * stretch)
+                for i in range(0, whole, lanes * stretch):
+                    yield cut(flow[i : i + lanes * stretch], fresh[i : i + lanes * stretch])
+                tokens, starts, size = [flow[whole:]], [fresh[whole:]], size - whole
+        if size:
+            yield cut(np.concatenate(tokens), np.concatenate(starts))
+
+    def _train(self, texts, lanes: int, stretch: int, rate, moments: dict) -> tuple[float, np.ndarray, np.ndarray]:
+        """One pass of truncated backpropagation with Adam; each lane carries its state from window to window and
+        resets it where a document starts. rate: of a step's number. Returns the sum of log-probabilities, and how
+        often each input row and each class was learned from."""
+        read, kinds, total = np.zeros(len(self.x)), np.zeros(self.n_classes + self.p.rare), 0.0
+        full = lanes * self.p.window
+        for x, y, new, on in self._stretches(texts, lanes, stretch):
+            h = np.zeros((len(x), self.p.hidden), np.float32)
+            whole = bool(on.all())
+            for a in range(0, x.shape[1], self.p.window):
+                part = slice(a, a + self.p.window)
+                some = on[:, part]
+                h, out, g, rows, g["x"] = self.gradients(x[:, part], y[:, part], new[:, part], h, None if whole else some)
+                read += np.bincount(x[:, part][some], minlength=len(read))
+                kinds += np.bincount(self.kinds[y[:, part][some]], minlength=len(kinds))
+                total += float(out.sum())
+                step = moments["step"] = moments.get("step", 0) + 1
+                # a thin last window moves the weights less
+                pace = rate(step) * min(1.0, len(out) / full) / (1 - 0.9**step)
+                for n in _NAMES:
+                    pick = rows if n == "x" else slice(None)
+                    w = getattr(self, n)
+                    if n not in moments:
+                        moments[n] = np.zeros_like(w), np.zeros_like(w)
+                    first, second = moments[n]
+                    q = g[n] / np.float32(len(out))
+                    one = first[pick] + 0.1 * (q - first[pick])
+                    two = second[pick] + 0.01 * (q * q - second[pick])
+                    first[pick], second[pick] = one, two
+                    w[pick] += (pace * one / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        return total, read, kinds
+
     def learn(self, texts, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """One pass of truncated backpropagation over an iterable of token arrays, every token of each once.
-        Each lane reads one document after the other, its state carried from window to window and reset only
-        where a document starts. Returns how often each input row and each class was learned from."""
-        p = self.p
-        names = ["u", "b", "wc", "bc", "ww", "bw", "x"]
-        first = {n: np.zeros_like(getattr(self, n)) for n in names}
-        second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        read, kinds, step = np.zeros(len(self.x)), np.zeros(self.n_classes + p.rare), 0
-        source, begin = iter(texts), self.n + p.rare
-        left = [np.zeros(0, np.int64)] * p.wide  # what each lane has yet to read of its document
-        last, h = np.full(p.wide, begin), np.zeros((p.wide, p.hidden), np.float32)
-        while True:
-            y, new, on = np.full((p.wide, p.window), begin), np.zeros((p.wide, p.window), bool), np.zeros((p.wide, p.window), bool)
-            for i in range(p.wide):
-                at = 0
-                while at < p.window:
-                    if not len(left[i]):
-                        text = next(source, None)
-                        if text is None:
-                            break
-                        left[i], new[i, at] = text, len(text) > 0
-                        continue
-                    part = left[i][: p.window - at]
-                    y[i, at : at + len(part)], on[i, at : at + len(part)] = part, True
-                    left[i], at = left[i][len(part) :], at + len(part)
-            live = np.flatnonzero(on[:, 0])  # a lane without its first token has none: the source has run dry
-            if not len(live):
-                return read, kinds
-            y, new, on = y[live], new[live], on[live]
-            x = np.concatenate([last[live][:, None], y[:, :-1]], 1)
-            x[new | ~on] = begin
-            h[live], out, g, rows, g["x"] = self._gradients(x, y, new, h[live], on)
-            last[live] = y[:, -1]
-            read += np.bincount(x[on], minlength=len(read))
-            kinds += np.bincount(self.class_of(y[on]), minlength=len(kinds))
-            step += 1
-            pace = rate * min(1.0, step / 20) * min(1.0, len(out) / (min(p.lanes, p.wide) * p.window)) / (1 - 0.9**step)
-            for n in names:
-                pick = rows if n == "x" else slice(None)
-                q, w = g[n] / len(out), getattr(self, n)
-                one = first[n][pick] + 0.1 * (q - first[n][pick])
-                two = second[n][pick] + 0.01 * (q * q - second[n][pick])
-                first[n][pick], second[n][pick] = one, two
-                w[pick] += (pace * one / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        """Learns from an iterable of token arrays, every token of each once, in one pass."""
+        return self._train(texts, self.p.wide, self.p.stretch, lambda step: rate * min(1.0, step / 20), {})[1:]
+
+    def fit(self, texts: list) -> list[float]:
+        """Learns from a sample in as many epochs as `steps` takes; mean log-probability of each epoch."""
+        p, rng = self.p, np.random.default_rng(self.p.seed)
+        size = sum(map(len, texts))
+        epochs = max(1, -(-p.steps // max(1, size // (p.lanes * p.window))))
+        steps = epochs * -(-size // (p.lanes * p.window))
+        report, moments = [], {}
+        rate = lambda step: p.rate * min(1.0, step / 50) * max(0.1, 1 - step / max(steps, 1))
+        for _ in range(epochs):
+            order = [np.asarray(texts[i], np.int64) for i in rng.permutation(len(texts)).tolist()]
+            total = self._train(order, p.lanes, max(1, -(-size // p.lanes)), rate, moments)[0]
+            report.append(total / max(size, 1))
+        return report
 
     def _weights(self, read: np.ndarray, kinds: np.ndarray):
         """(name, weight of each of its rows): a row counts as often as it was learned from."""
-        inside = kinds[: max(self.n_classes, 1)] if self.n_classes else np.zeros(1)
+        inside = np.repeat(kinds[: self.n_classes], np.diff(self.edges))
         whole = kinds.sum()
-        return [("x", read[:, None]), ("ww", inside[:, None, None]), ("bw", inside[:, None]), *[(n, whole) for n in ("u", "b", "wc", "bc")]]
+        return [("x", read[:, None]), ("ww", inside[:, None]), ("bw", inside), *[(n, whole) for n in ("u", "b", "wc", "bc")]]
 
     def weighed(self, read: np.ndarray, kinds: np.ndarray) -> np.ndarray:
         """The weights times how often they were learned from, and those numbers, as one vector to be summed."""
@@ -246,48 +355,6 @@ class GruModel:
             setattr(self, n, np.where(w > 0, part / np.maximum(w, 1), old).astype(np.float32))
             at += old.size
 
-    def fit(self, texts: list[list[int]]) -> list[float]:
-        """Truncated backpropagation over lanes of documents, state reset at each document's start; mean
-        log-probability of each epoch. Adam with clipped steps."""
-        p, k = self.p, self.p.hidden
-        rng = np.random.default_rng(p.seed)
-        names = ["x", "u", "b", "wc", "bc", "ww", "bw"]
-        first = {n: np.zeros_like(getattr(self, n)) for n in names}
-        second = {n: np.zeros_like(getattr(self, n)) for n in names}
-        report, step = [], 0
-        epoch = max(1, sum(map(len, texts)) // (p.lanes * p.window))
-        epochs = max(1, -(-p.steps // epoch))
-        steps = epochs * epoch
-        for _ in range(epochs):
-            flow, fresh = [], []
-            for i in rng.permutation(len(texts)).tolist():
-                flow += texts[i]
-                fresh += [True] + [False] * (len(texts[i]) - 1)
-            width = len(flow) // p.lanes
-            if width == 0:
-                break
-            y = np.array(flow[: width * p.lanes]).reshape(p.lanes, width)
-            new = np.array(fresh[: width * p.lanes]).reshape(p.lanes, width)
-            x = np.concatenate([np.full((p.lanes, 1), self.n + p.rare), y[:, :-1]], 1)
-            x[new] = self.n + p.rare
-            h, total, count = np.zeros((p.lanes, k), np.float32), 0.0, 0
-            for a in range(0, width, p.window):
-                span = slice(a, min(a + p.window, width))
-                h, out, g, rows, sums = self._gradients(x[:, span], y[:, span], new[:, span], h)
-                total, count = total + float(out.sum()), count + len(out)
-                g["x"] = np.zeros_like(self.x)
-                g["x"][rows] = sums
-                step += 1
-                rate = p.rate * min(1.0, step / 50) * max(0.1, 1 - step / max(steps, 1))
-                for n in names:
-                    q = g[n] / len(out)
-                    first[n] += 0.1 * (q - first[n])
-                    second[n] += 0.01 * (q * q - second[n])
-                    w = getattr(self, n)
-                    w += (rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-            report.append(total / max(count, 1))
-        return report
-
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each text's tokens, up to the word within a rare class."""
         sums = np.zeros(len(texts))
@@ -299,13 +366,13 @@ class GruModel:
         offset = np.cumsum(size) - size
         x = np.concatenate([[self.n + self.p.rare], y[:-1]])
         x[offset[size > 0]] = self.n + self.p.rare
-        lp, h = np.empty(len(y)), np.zeros((len(size), self.p.hidden), np.float32)
-        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+        lp, h, inputs = np.empty(len(y)), np.zeros((len(size), self.p.hidden), np.float32), self.x + self.b
+        active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right").tolist()
         states, places, held = [], [], 0
         for t in range(int(size[0])):
-            n = int(active[t])
+            n = active[t]
             at = offset[:n] + t
-            h = self.cell(self.x[x[at]], h[:n])[0]
+            h = self._cell(inputs[x[at]], h[:n])[0]
             states.append(h)
             places.append(at)
             held += n
@@ -317,20 +384,33 @@ class GruModel:
         return sums
 
 
-def word_counts(docs: DataFrame, text_col: str, rare: int) -> DataFrame:
+def _softmax(a: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probability of the targets; and the exponentials with their sums, of which a is overwritten."""
+    top = a.max()
+    if top - a.min() > 60:  # one shift for all rows could lose some of them
+        a -= a.max(1, keepdims=True)
+    else:
+        a -= top
+    out = a[rows, target]
+    np.exp(a, out=a)
+    total = a @ np.ones(a.shape[1], a.dtype)
+    out -= np.log(total)
+    return out, a, total
+
+
+def word_counts(docs: DataFrame, text_col: str, p: GruParams) -> DataFrame:
     """(word, kind, n): counts over all texts, A-Z lower-cased; kind is the word's rare class. Tasks count
     before the shuffle."""
 
     def run(it):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        for (texts,) in batches(it, [text_col]):
-            times: Counter = Counter()
-            for t in texts:
-                if t:
-                    times.update(t.lower().split())
-            words = list(times)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([rare_class(w, rare) for w in words], pa.int32()), pa.array([times[w] for w in words], pa.int64())], ["word", "kind", "n"])
+        for b in it:
+            for texts in _pieces(b.column(0), p.piece):
+                found = pc.value_counts(_split(texts)[0])
+                words, n = found.field("values"), found.field("counts")
+                yield pa.RecordBatch.from_arrays([words, pa.array(rare_classes(words, p.rare)), n], ["word", "kind", "n"])
 
     return docs.select(text_col).mapInArrow(run, "word string, kind int, n long").groupBy("word", "kind").agg(F.sum("n").alias("n"))
 
@@ -338,79 +418,101 @@ def word_counts(docs: DataFrame, text_col: str, rare: int) -> DataFrame:
 _SCORED = "struct<n_tokens: bigint, n_known: bigint, base: double, model: double, rest: array<struct<word: string, n: int>>>"
 
 
-class _Words(dict):
-    """Word to row; rows of the columns: token id, log10(count + 1) (nan: not among the common words), log10
-    of the rare class's denominator (0: in the vocabulary), whether the count is positive."""
+class _Coder:
+    """Words to numbers: listed words by their place in the list, others by what comes after it."""
+
+    def __init__(self, words: list[bytes]):
+        self.words = words
+
+    def __call__(self, words) -> tuple[np.ndarray, object]:
+        """The distinct words' numbers spread over the words, and the distinct words that are not listed."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        listed = self.__dict__.get("listed")
+        if listed is None:  # made once a worker
+            listed = self.listed = pa.array(self.words, pa.binary()).cast(pa.string())
+        coded = words.dictionary_encode()
+        own = pc.index_in(coded.dictionary, value_set=listed)
+        new = pc.is_null(own).to_numpy(zero_copy_only=False)
+        number = pc.fill_null(own, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number[new] = len(self.words) + np.arange(int(new.sum()))
+        return number[coded.indices.to_numpy(zero_copy_only=False)], coded.dictionary.filter(new)
+
+    def __getstate__(self):
+        return {"words": self.words}
 
-    def __init__(self, model: GruModel, common: dict[bytes, int]):
-        self.model, self.common = model, common
-        self.names: list[bytes] = []
-        self.columns: tuple[list, list, list, list] = ([], [], [], [])
 
-    def __missing__(self, w: bytes) -> int:
-        m, c = self.model, self.common.get(w, -1)
-        i = m.ids.get(w)
-        kind = -1 if i is not None else rare_class(w, m.p.rare)
-        row = (m.n + kind if i is None else i, np.log10(c + 1.0) if c >= 0 else np.nan, 0.0 if i is not None else float(m.rare_den[kind]), c > 0)
-        for column, v in zip(self.columns, row):
-            column.append(v)
-        self.names.append(w)
-        self[w] = at = len(self)
-        return at
+class _Scorer:
+    """The model with the common words; by row of a word: token id, log10(count + 1), log10 of the rare class's
+    denominator (0: in the vocabulary), whether the count is positive. The last row is the end of a text."""
+
+    def __init__(self, model: GruModel, common: dict[bytes, int], ends: int):
+        import pyarrow as pa
+
+        self.model, self.coder = model, _Coder(list(common))
+        kinds = model.n + rare_classes(pa.array(list(common), pa.binary()).cast(pa.string()), model.p.rare)
+        token = np.array([model.ids.get(w, -1) for w in common], np.int32)
+        self.token = np.append(np.where(token < 0, kinds, token), model.ids[END]).astype(np.int32)
+        count = np.array([*common.values(), ends], float)
+        self.log_count, self.positive = np.log10(count + 1.0), count > 0
+        self.den = np.where(self.token < model.n, 0.0, model.rare_den[np.maximum(self.token - model.n, 0)])
 
 
-def _score_group(words: _Words, rows: list[np.ndarray]):
-    """The columns of _SCORED for documents given as rows of words."""
+def _score_piece(scorer: _Scorer, texts):
+    """The columns of _SCORED for an Arrow array of texts."""
     import pyarrow as pa
 
-    token, log_count, den, positive = (np.array(c) for c in words.columns)
-    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    m = scorer.model
+    words, size = _split(texts)
+    rows, new = scorer.coder(words)
+    rows += rows >= len(scorer.coder.words)  # the place of the end
+    kinds = rare_classes(new, m.p.rare)
+    token = np.concatenate([scorer.token, m.n + kinds])
+    log_count = np.concatenate([scorer.log_count, np.zeros(len(kinds))])
+    den = np.concatenate([scorer.den, m.rare_den[kinds]])
+    positive = np.concatenate([scorer.positive, np.zeros(len(kinds), bool)])
+    inside = np.where(token < m.n, 0.0, log_count) - den
+    at = np.insert(rows, np.cumsum(size), len(scorer.coder.words))
+    size = size + 1
     start = np.cumsum(size) - size
-    at = np.concatenate(rows)
-    code = token[at].astype(np.int32)
-    known = np.nan_to_num(log_count)
     total = lambda x: np.add.reduceat(x, start)
-    base = total(known[at]) - words.model.log_den * size
-    inside = np.where(token < words.model.n, 0.0, known) - den
-    lp = words.model.score(np.split(code, start[1:])) / np.log(10) + total(inside[at])
+    base = total(log_count[at]) - m.log_den * size
+    lp = total(inside[at])
+    code = np.split(token[at], start[1:])
+    # documents of like length go together, so that the lanes stay full
+    order, held, group = np.argsort(-size, kind="stable"), 0, []
+    scores = np.zeros(len(size))
+    for n, i in enumerate(order.tolist()):
+        group.append(i)
+        held += int(size[i])
+        if held >= m.p.group or n + 1 == len(order):
+            scores[group] = m.score([code[j] for j in group])
+            held, group = 0, []
+    lp += scores / np.log(10)
     # what the join must look up: distinct words of each document, with how often they occur
-    far = np.flatnonzero(np.isnan(log_count)[at])
-    pair, times = np.unique(np.repeat(np.arange(len(rows)), size)[far] * len(words) + at[far], return_counts=True)
-    entry = pa.StructArray.from_arrays([pa.array([words.names[i] for i in (pair % len(words)).tolist()], pa.binary()).cast(pa.string()), pa.array(times.astype(np.int32))], ["word", "n"])
-    ends = np.searchsorted(pair // len(words), np.arange(len(rows) + 1)).astype(np.int32)
+    first = len(scorer.token)
+    far = np.flatnonzero(at >= first)
+    width = max(len(new), 1)
+    pair, times = np.unique(np.repeat(np.arange(len(size)), size)[far] * width + (at[far] - first), return_counts=True)
+    entry = pa.StructArray.from_arrays([new.take(pa.array(pair % width)), pa.array(times.astype(np.int32))], ["word", "n"])
+    ends = np.searchsorted(pair // width, np.arange(len(size) + 1)).astype(np.int32)
     return [pa.array(size), pa.array(total(positive[at].astype(np.int64))), pa.array(base), pa.array(lp), pa.ListArray.from_arrays(pa.array(ends), entry)]
 
 
-def _scorer(shared):
+def _scored(shared):
     @F.arrow_udf(_SCORED)
     def run(texts):
         import pyarrow as pa
 
-        model, common = shared.value
-        words = _Words(model, common)
-        parts, rows, held = [], [], 0
-
-        def flush():
-            nonlocal words, rows, held
-            if rows:
-                parts.append(_score_group(words, rows))
-            rows, held = [], 0
-            if len(words) > 200_000:
-                words = _Words(model, common)
-
-        for text in texts:
-            found = text.as_py().lower().split() if text.is_valid else []
-            found.append(END)
-            rows.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-            held += len(found)
-            if held >= model.p.group:
-                flush()
-        flush()
         names = ["n_tokens", "n_known", "base", "model", "rest"]
+        parts = [_score_piece(shared.value, piece) for piece in _pieces(texts, shared.value.model.p.piece)]
         if not parts:
             entry = pa.struct([("word", pa.string()), ("n", pa.int32())])
             return pa.array([], pa.struct([(n, t) for n, t in zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(entry)])]))
-        return pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names)
+        out = pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names)
+        pa.default_memory_pool().release_unused()
+        return out
 
     return run
 
@@ -429,19 +531,11 @@ def _learn_all(learn: DataFrame, model: GruModel) -> None:
             import pyarrow as pa
 
             own = copy.deepcopy(shared.value)
-            known: dict[bytes, int] = {}
 
             def tokens():
-                for (texts,) in batches(it, ["text"]):
-                    for t in texts:
-                        words = (t or b"").lower().split()
-                        words.append(END)
-                        for w in words:
-                            if w not in known:
-                                known[w] = own.token(w)
-                        yield np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-                        if len(known) > 400_000:
-                            known.clear()
+                for b in it:
+                    for texts in _pieces(b.column(0), own.p.piece):
+                        yield from own.tokens(texts)
 
             read, kinds = own.learn(tokens(), rate)
             if kinds.sum() > 0:
@@ -449,7 +543,7 @@ def _learn_all(learn: DataFrame, model: GruModel) -> None:
 
         parts = learn.where(turn == r).select("text").mapInArrow(run, "weights binary").rdd.map(lambda x: np.frombuffer(bytes(x[0])))
         add = lambda a, b: b if a is None else a if b is None else a + b
-        total = parts.treeAggregate(None, add, add)
+        total = parts.treeAggregate(None, add, add, depth=3)  # the driver merges the cube root of the tasks' number
         if total is not None:
             model.settle(total)
         shared.destroy()
@@ -463,10 +557,12 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     log10 probability of the whole text. With no training rows both are uniform guesses. Other columns
     are not carried; an empty table gives no rows.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     learn = rows.where("training")
-    counts = stored(word_counts(learn, "text", params.rare), "word-counts")
+    counts = stored(word_counts(learn, "text", params), "word-counts")
     ends = learn.count()
     whole = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = (whole["n"] or 0) + ends, whole["v"] + (ends > 0)
@@ -486,9 +582,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     rare = np.zeros((params.rare, 2))
     for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         rare[r["kind"]] = r["n"], r["v"]
-    for w, n in vocabulary:
-        if w != END:
-            rare[rare_class(w, params.rare)] -= n, 1
+    known = [(w, n) for w, n in vocabulary if w != END]
+    for kind, (_, n) in zip(rare_classes(pa.array([w for w, _ in known], pa.binary()).cast(pa.string()), params.rare).tolist(), known):
+        rare[kind] -= n, 1
     model = GruModel(params, vocabulary, rare, tokens, distinct)
     # the sample: documents with the smallest hashes, as many as the bound allows
     share = min(1.0, 1.5 * params.sample_docs / max(ends, 1))
@@ -497,18 +593,16 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     sample, used = [], 0
     # the share bounds what comes; the order and the exact number are settled here
     for r in sorted(near.collect(), key=lambda r: (r["draw"], str(r["doc_id"]), r["text"]))[: params.sample_docs]:
-        words = [model.token(w) for w in r["text"].encode().lower().split()] + [model.ids[END]]
-        if used + len(words) > params.sample_tokens:
+        ids = model.tokens(pa.array([r["text"]], pa.string()))[0]
+        if used + len(ids) > params.sample_tokens:
             continue
-        sample.append(words)
-        used += len(words)
+        sample.append(ids)
+        used += len(ids)
     if sample:
         model.fit(sample)
     _learn_all(learn, model)
-    common = {w: n for w, n in top}
-    common[END] = ends
-    shared = spark.sparkContext.broadcast((model, common))
-    marked = rows.withColumn("s", _scorer(shared)(F.col("text").cast("binary"))).select("doc_id", "training", "s").withColumn("row", F.monotonically_increasing_id())
+    shared = spark.sparkContext.broadcast(_Scorer(model, dict(top), ends))
+    marked = rows.withColumn("s", _scored(shared)(F.col("text"))).select("doc_id", "training", "s").withColumn("row", F.monotonically_increasing_id())
     marked = stored(marked.select("row", "doc_id", "training", "s.*"), "scores")
     rest = marked.select("row", F.explode("rest").alias("w")).select("row", F.col("w.word").alias("rare_word"), F.col("w.n").alias("times"))
     looked = rest.join(counts.select("word", F.col("n").alias("c")), F.col("rare_word") == F.col("word"), "left")
