@@ -57,6 +57,39 @@ def test_votes_learn_good_and_bad(spark):
     assert q.where("quality = 0").count() == 0 or q.where("quality = 0 and not kept").count() >= 0.7 * q.where("quality = 0").count()
 
 
+def test_expectation_maximisation_equals_plain_dictionaries():
+    rng = np.random.default_rng(2)
+    patterns = rng.choice(3**4, 40, replace=False)
+    weights = rng.integers(1, 50, 40).astype(float)
+    p = R.QualityParams(rounds=7, tolerance=-1.0)
+    votes = [[x // 3**j % 3 for j in range(4)] for x in patterns.tolist()]
+    post = [1 / (1 + math.exp(-(v.count(2) - 3 * v.count(0) + math.log(p.good_share / (1 - p.good_share))))) for v in votes]
+    right, wrong = p.prior
+    for _ in range(7):
+        share = min(0.98, max(0.02, (sum(w * q for w, q in zip(weights, post)) + p.good_share) / (weights.sum() + 1)))
+        table = {}
+        for j in range(4):
+            for y in (0, 1):
+                n = {v: (wrong if (y, v) in ((0, 2), (1, 0)) else right) for v in range(3)}
+                for v, w, q in zip(votes, weights, post):
+                    n[v[j]] += w * (q if y else 1 - q)
+                for v in range(3):
+                    table[j, y, v] = n[v] / sum(n.values())
+        for i, v in enumerate(votes):
+            bad, good = 1 - share, share
+            for j in range(4):
+                bad, good = bad * table[j, 0, v[j]], good * table[j, 1, v[j]]
+            post[i] = good / (good + bad)
+    got, learned, kept = R.fit_votes(patterns, weights, 4, p)
+    assert np.allclose(got, post) and abs(kept - share) < 1e-9 and all(abs(learned[k] - x) < 1e-9 for k, x in table.items())
+
+
+def test_quality_columns_of_any_name_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "the of and " * 40_000, 1, 2, 3), (2, None, 1, 2, 3)], "doc_id long, text string, pattern int, _pattern int, posterior int")
+    out = R.judge_quality(df, out="q")
+    assert out.columns == [*df.columns, "q"] and {r["doc_id"]: (r["q"]["n_words"], r["pattern"], r["_pattern"], r["posterior"]) for r in out.collect()} == {1: (120_000, 1, 2, 3), 2: (0, 1, 2, 3)}
+
+
 def test_quality_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "word " * 100), (3, "word " * 100)], "doc_id long, text string")
     got = R.judge_quality(df, out="q").select("doc_id", "q.base_failed", "q.kept").collect()
@@ -144,6 +177,62 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(50))
 
 
+def jaccard(a, b, n=5):
+    cut = lambda t: (lambda w: {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set())(re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)))
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def edited(rng, words, n):
+    w = list(words)
+    for i in rng.choice(len(w), n, replace=False):
+        w[i] = f"x{rng.integers(10**6)}"
+    return w
+
+
+def test_similar_texts_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(25):
+        base = [f"w{rng.integers(3000)}" for _ in range(int(rng.integers(60, 400)))]
+        rows += [" ".join(edited(rng, base, n)) for n in (0, 0, 1, len(base) // 60 + 1, len(base) // 12 + 2, len(base) // 5)]
+    rows += [None, "", " \n", "a b", "A  b", "a b c"]
+    docs = spark.createDataFrame([(i * 3 + 1, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
+    want = roots(list(range(len(rows))), links)
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_texts(docs).collect()}
+    caught = sum(got[i * 3 + 1] == got[j * 3 + 1] for i, j in links)
+    assert caught >= 0.97 * len(links) and len(links) > 60
+    assert all(want[(c - 1) // 3] == want[(d - 1) // 3] for d, c in got.items())  # no link that is none
+    assert len({got[i * 3 + 1] for i, t in enumerate(rows) if not (t or "").split()}) == 1
+
+
+def test_similar_texts_recall_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    bottom = {}
+    for i, t in texts.items():
+        w = (t or "").translate(LOWER).split()
+        for h in sorted({xxhash.xxh64_intdigest(" ".join(w[j : j + 5]).encode()) for j in range(max(1, len(w) - 4))})[:12]:
+            bottom.setdefault(h, []).append(i)
+    pairs = {(a, b) for group in bottom.values() for a in group for b in group if a < b and jaccard(texts[a], texts[b]) >= 0.8}
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_texts(docs).collect()}
+    assert len(pairs) > 50 and sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs)
+
+
+def test_deduplicate_edges_and_names(spark):
+    long = " ".join(f"t{i}" for i in range(30_000))
+    rows = [(4, None, 1), (2, "", 2), (9, "a b c d", 3), (9, "a b c", 4), (None, "a b c d", 5), (7, "a b c d", 6), (20, long, 7), (30, long + " end", 8), (31, "q " * 500, 9)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, _kept int").withColumns({"kept": F.lit(1), "row": F.lit(2), "digest": F.lit(3), "head": F.lit("h")})
+    for p in (S.SimHashParams(), S.SimilarParams()):
+        out = S.deduplicate(odd, params=p)
+        assert out.columns == odd.columns
+        kept = sorted((r["doc_id"] or 0, r["_kept"]) for r in out.collect())
+        # a repeated id is a row of each of its texts: the smallest id of a group stays, once
+        assert [k for k, _ in kept] in ([0, 2, 7, 9, 20, 31], [0, 2, 7, 20, 31])
+        assert S.deduplicate(odd.limit(0), params=p).count() == 0
+
+
 # ---- decontamination
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
@@ -177,14 +266,34 @@ def test_winnowing_guarantee():
         assert set(ha[D.winnow(ha, 7)].tolist()) & set(hb[D.winnow(hb, 7)].tolist())
 
 
-def test_blocks_give_the_same_result(spark):
+def test_large_benchmarks_give_the_same_result(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    one = D.contamination(docs, bench, out="b").select("doc_id", "b.*").orderBy("doc_id").collect()
-    many = D.contamination(docs, bench, params=D.DecontaminationParams(block_bytes=1500), out="b").select("doc_id", "b.*").orderBy("doc_id").collect()
-    assert one == many and any(r["contaminated"] for r in one)
+    short = bench.withColumn("item_id", F.col("item_id").cast("string")).unionByName(spark.createDataFrame([("s1", "the and"), ("s2", "of the and that"), (None, "dans les"), ("s3", None), ("s4", "...")], "item_id string, text string"))
+    listed = lambda df: sorted((r["doc_id"], r["n_words"], r["n_hit"], tuple(map(tuple, r["spans"])), tuple(r["items"]), r["contaminated"]) for r in df.select("doc_id", "b.*").collect())
+    for items in (bench, short):
+        one = listed(D.contamination(docs, items, out="b"))
+        for keep in (True, False):
+            assert listed(D.contamination(docs, items, params=D.DecontaminationParams(block_bytes=100, table_bits=10), keep_text=keep, out="b")) == one
+        assert any(x[-1] for x in one)
+    clash = docs.withColumns({"row": F.lit(1), "near": F.lit(2), "number": F.lit(3), "hit_row": F.lit(4), "benchmark_hits": F.lit(5)})
+    for p in (D.DecontaminationParams(), D.DecontaminationParams(block_bytes=100)):
+        out = D.decontaminate(clash, bench, params=p)
+        assert out.columns == clash.columns and out.count() == sum(not x[-1] for x in listed(D.contamination(docs, bench, out="b")))
     assert D.contamination(docs, bench.limit(0), out="b").where("b.n_hit > 0").count() == 0
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "...")], "doc_id long, text string")
-    assert [r["n_words"] for r in D.contamination(odd, bench, out="b").select("b.n_words").collect()] == [0, 0, 0]
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "..."), (3, "..."), (None, "x")], "doc_id long, text string")
+    for p in (D.DecontaminationParams(), D.DecontaminationParams(block_bytes=100)):
+        assert sorted(r["n_words"] for r in D.contamination(odd, bench, params=p, out="b").select("b.n_words").collect()) == [0, 0, 0, 0, 1]
+
+
+def test_a_passage_in_many_documents_and_a_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    rows = [(i, f"own{i} {passage} tail{i}") for i in range(30)] + [(99, "filler " * 60_000 + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(f"i{k}", passage if k % 2 else f"{passage} q{k}") for k in range(20)], "item_id string, text string")
+    for p in (D.DecontaminationParams(), D.DecontaminationParams(block_bytes=100)):
+        got = {r["doc_id"]: r for r in D.contamination(docs, bench, params=p, out="b").select("doc_id", "b.*").collect()}
+        assert all(got[i]["n_hit"] == 20 and len(got[i]["items"]) == 20 and got[i]["contaminated"] for i in range(30))
+        assert got[99]["n_hit"] == 20 and not got[99]["contaminated"] and got[99]["n_words"] == 60_020
 
 
 # ---- HTML
@@ -208,6 +317,32 @@ def test_html_of_the_test_pages(spark):
         assert H.main_text(r["html"]) == "\n\n".join(b for b in blocks if b)
 
 
+def test_html_densities_decide_on_bare_pages(spark):
+    import html as html_lib
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    right = 0
+    for r in pages:
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        want = "\n\n".join(b for b in (" ".join(html_lib.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)) if b)
+        bare = re.sub(r'\s(class|id|role)="[^"]*"', "", r["html"].replace("<article>", "<div>").replace("</article>", "</div>"))
+        right += H.main_text(bare) == want
+    assert right >= 0.95 * len(pages)
+
+
+def test_html_density_by_hand():
+    body = H.measure(H.parse("<body><div><a href=x>link text</a></div><div><p>plain text that is long enough</p><p>and more of it</p></div></body>"))
+    links, text = body.children
+    c, lc, t, lt = len("link text"), len("link text"), 1, 1
+    ratio = body.link_chars / body.chars
+    base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)
+    assert links.density == (c / t) * math.log(c / lc * t / lt) / math.log(base)
+    c, lc, t = len("plain text that is long enough") + len("and more of it"), 1, 2
+    base = math.log(c * lc / (c - lc) + ratio * c + math.e)
+    assert abs(text.density - (c / t) * math.log(c / lc * t / 1) / math.log(base)) < 1e-9
+    assert abs(text.total - sum(k.density for k in text.children)) < 1e-9 and H.main_node(body)[0] is text
+
+
 @settings(max_examples=150, deadline=2000)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "</div>", "<b", ">", "<li>", "<ul>", "</ul>", "text ", "<!--", "-->", "<a href=\"x", "&amp;", "<script>", "</script>", "<table><tr><td>", "é"]), max_size=60))
 def test_html_never_fails(parts):
@@ -287,6 +422,35 @@ def test_segments_agree_with_the_whole_chain():
     assert np.abs(got[:500] - want[0]).max() < 1e-3
 
 
+def test_forward_backward_equals_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    e, moves = rng.standard_normal((2, 5, 3)), rng.standard_normal((3, 3))
+    post, pairs = L._forward_backward(e, moves)
+    want, moved = np.zeros_like(post), np.zeros_like(pairs)
+    for b in range(2):
+        weights = {y: math.exp(sum(e[b, t, y[t]] for t in range(5)) + sum(moves[y[t], y[t + 1]] for t in range(4))) for y in product(range(3), repeat=5)}
+        z = sum(weights.values())
+        for y, w in weights.items():
+            for t in range(5):
+                want[b, t, y[t]] += w / z
+            for t in range(4):
+                moved[y[t], y[t + 1]] += w / z
+    assert np.allclose(post, want) and np.allclose(pairs, moved)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 70}", " ".join(f"q{i % 70}z{j % 9}" for j in range(30))) for i in range(70 * 6)] + [(None, "l1", "x"), (5000, None, "x"), (5001, "l2", None), (5002, "l3", " ")] + [(1, "l1", "q1z1 q1z2")] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    p = L.CrfParams(docs_per_lang=3, steps=60, slots=1 << 12)
+    field = L.fit_field(docs, params=p)
+    assert len(field.langs) == 70
+    tests = spark.createDataFrame([(i, " ".join(f"q{i}z{j}" for j in range(9)) * 2) for i in range(70)] + [(70, "q1z1 " * 30_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang"] for r in L.identify(tests, field, out="o").select("doc_id", "o.lang").collect()}
+    assert sum(got[i] == f"l{i}" for i in range(70)) >= 63 and got[70] == "l1"
+
+
 # ---- language model
 def test_base_score_equals_brute_force_and_model_learns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
@@ -368,7 +532,62 @@ def test_gradients_equal_finite_differences():
             assert abs((up - down) / (2 * e) - g[n][at]) < 2e-4 * max(1, abs(g[n][at])), (n, at)
 
 
+def test_rare_classes_and_words_of_any_shape():
+    import pyarrow as pa
+
+    words = ["abc", "abc.", "xbc", "", "...", "é", "é!", "a", "12", "bc99"]
+    got = G.rare_classes(pa.array(words), 16).tolist()
+    assert got[0] == got[2] and got[1] == got[0] + 8 == got[9] and got[6] == got[5] + 8 and all(0 <= k < 16 for k in got)
+    found, size = G._split(pa.array([" a\tB\x0b\x0cc ", "", "\n", "x\x1cy\u00a0z A"]))
+    assert found.to_pylist() == ["a", "b", "c", "x\x1cy\u00a0z", "a"] and size.tolist() == [3, 0, 0, 2]
+    assert [p.to_pylist() for p in G._pieces(pa.array(["aa", None, "b" * 9, "c"]), 4)] == [["aa", ""], ["b" * 9], ["c"]]
+
+
+def test_long_and_repeated_documents_are_scored(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 50_000), (2, "a b"), (2, "a b"), (3, "zz a")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_tokens"], r["n_known"]) for r in G.score_documents(docs, F.col("doc_id") != 3).collect())
+    assert got == [(1, 150_001, 150_001), (2, 3, 3), (2, 3, 3), (3, 3, 2)]
+    assert G.score_documents(docs.limit(0), F.lit(True)).count() == 0
+
+
 # ---- mixing
+def test_rates_equal_plain_projected_gradients():
+    rng = np.random.default_rng(8)
+    post = rng.dirichlet([2, 1, 1], 400)
+    tokens = rng.integers(10, 900, 400).astype(float)
+    p = M.MixParams()
+    share = np.array([0.7, 0.2, 0.1])
+    second = (post * tokens[:, None]).T @ post
+    current = second.sum(1)
+    whole = current[0] / share[0]
+    targets = share * whole
+    scale = np.maximum(targets, p.least * whole)
+    step = 1 / (np.linalg.eigvalsh(second / np.sqrt(np.outer(scale, scale))).max() + p.ridge)
+    r, history = np.ones(400), []
+    for _ in range(40):
+        error = ((tokens * r) @ post - targets) / scale
+        history.append(error)
+        r = np.clip(r - step * (post @ error + p.ridge * (r - 1)), 0, p.max_rate)
+    fit = M.RateFit(np.array(history), step, p, ["a", "b", "c"], targets, current, 40)
+    assert np.allclose(fit.rates(post), r)
+
+
+def test_many_domains_long_texts_and_missed_targets(spark):
+    import warnings
+
+    rows = [(i, " ".join(f"d{i % 45}w{j % 30}" for j in range(40))) for i in range(45 * 8)]
+    docs = spark.createDataFrame([*rows, (9000, "d3w1 " * 40_000), (9001, None), (9000, "d3w1")], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, f"d{i % 45}") for i, _ in rows] + [(9000, "d3"), (9000, "d4"), (77777, "d5"), (None, "d6"), (3, None)], "doc_id long, domain string")
+    model = M.fit_classifier(docs, labelled)
+    assert len(model.domains) == 45
+    post, n = model.posteriors([f"d{k}w1 d{k}w2 d{k}w3 d{k}w4".encode() for k in range(45)] + [b"d3w1 " * 40_000])
+    assert sum(model.domains[i] == f"d{k}" for k, i in enumerate(post[:45].argmax(1))) >= 43 and n[-1] == 40_000
+    with warnings.catch_warnings(record=True) as told:
+        warnings.simplefilter("always")
+        _, fit = M.mix(docs, labelled, {"d1": 0.98, "d2": 0.02}, params=M.MixParams(passes=1), out="m")
+    assert not fit.converged and any("missed" in str(w.message) for w in told) and set(fit.missed()) == set(model.domains)
+
+
 def test_mixing_meets_targets(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     labelled = labels.select("doc_id", F.when(F.col("quality") == 0, "low").otherwise("fine").alias("domain"))

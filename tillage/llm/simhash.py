@@ -6,6 +6,10 @@ than the threshold need no comparison. With at most 3 differing bits one half of
 at most 1, hence for that half the two points lie in one cell or in cells one step apart. A step
 changes the parity of the cell's sum: only points of odd cells visit their neighbours, which are
 even, and every close pair meets exactly once for a half.
+
+`near_duplicates` links equal and close fingerprints as they are. `similar_texts` is for texts that share
+most of their word shingles, which a single fingerprint tells apart too often: several fingerprints over
+the distinct words go through the same grid join and propose pairs, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -69,10 +73,10 @@ def _cells(half: Column) -> Column:
 
 
 def _places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points in their own cells (half, cell, fp), and the cells each point visits."""
+    """Points in their own cells (which, half, cell, fp), and the cells each point visits."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp"), 32)
     halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), _cells(low).alias("cell"), F.bit_count(low).alias("ones")), F.struct(F.lit(1).alias("half"), _cells(high).alias("cell"), F.bit_count(high).alias("ones"))))
-    own = points.select("fp", halves.alias("h")).select("fp", "h.half", "h.cell", "h.ones")
+    own = points.select("which", "fp", halves.alias("h")).select("which", "fp", "h.half", "h.cell", "h.ones")
     steps = []
     for j in range(16):
         field = F.shiftright(F.col("cell"), 2 * j).bitwiseAND(F.lit(3))
@@ -81,8 +85,8 @@ def _places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     here = F.array(F.struct(F.col("cell").alias("at"), F.lit(True).alias("home")))
     around = F.transform(F.filter(F.array(*steps), lambda x: x.isNotNull()), lambda x: F.struct(x.alias("at"), F.lit(False).alias("home")))
     goes = F.when(F.pmod(F.col("ones"), F.lit(2)) == 1, F.concat(here, around)).otherwise(here)
-    visits = own.select("fp", "half", F.explode(goes).alias("v")).select("fp", "half", F.col("v.at").alias("cell"), F.col("v.home").alias("home"))
-    return own.select("fp", "half", "cell"), visits
+    visits = own.select("which", "fp", "half", F.explode(goes).alias("v")).select("which", "fp", "half", F.col("v.at").alias("cell"), F.col("v.home").alias("home"))
+    return own.select("which", "fp", "half", "cell"), visits
 
 
 def _forest(distance: int):
@@ -112,7 +116,8 @@ def _forest(distance: int):
                 if a != b:
                     parent[b] = a
                     kept.append((o, int(x[i])))
-        return pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+        out = pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
+        return out.assign(which=int(pdf["which"].iloc[0]))
 
     return run
 
@@ -120,26 +125,31 @@ def _forest(distance: int):
 def links(points: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     """(a, b): pairs of distinct fingerprints of `points` (fp, without repeats) at most `distance` bits apart.
 
-    Cells of more than `dense` points are compared in blocks, each block pair a group of its own that
-    keeps a spanning forest of its links: components are those of all links, and no task and no
-    output grows with the square of a cell.
+    With a column `which` only fingerprints of the same kind are compared, and the pairs carry it. Cells of
+    more than `dense` points are compared in blocks, each block pair a group of its own that keeps a spanning
+    forest of its links: components are those of all links, and no task and no output grows with the square
+    of a cell.
     """
     if not 0 <= p.distance <= 3:
         raise ValueError("the grid finds every link up to 3 bits")
-    own, visits = _places(points)
-    crowd = stored(own.groupBy("half", "cell").agg(F.count("*").alias("n")).where(F.col("n") > p.dense).select(F.col("half").alias("_half"), F.col("cell").alias("_cell"), F.ceil(F.col("n") / p.dense).cast("int").alias("_blocks")), "crowd")
+    kinds = "which" in points.columns
+    own, visits = _places(points if kinds else points.withColumn("which", F.lit(0)))
+    many = own.groupBy("which", "half", "cell").agg(F.count("*").alias("n")).where(F.col("n") > p.dense)
+    crowd = stored(many.select(F.col("which").alias("_which"), F.col("half").alias("_half"), F.col("cell").alias("_cell"), F.ceil(F.col("n") / p.dense).cast("int").alias("_blocks")), "crowd")
     crowded = not crowd.isEmpty()
-    on = (F.col("half") == F.col("_half")) & (F.col("cell") == F.col("_cell"))
+    on = (F.col("which") == F.col("_which")) & (F.col("half") == F.col("_half")) & (F.col("cell") == F.col("_cell"))
     thin = (lambda df: df.join(crowd, on, "left_anti")) if crowded else (lambda df: df)
-    o = thin(own).select(F.col("half").alias("oh"), F.col("cell").alias("oc"), F.col("fp").alias("a"))
-    v = thin(visits).select("half", "cell", F.col("fp").alias("b"), "home")
+    o = thin(own).select(F.col("which").alias("ow"), F.col("half").alias("oh"), F.col("cell").alias("oc"), F.col("fp").alias("a"))
+    v = thin(visits).select("which", "half", "cell", F.col("fp").alias("b"), "home")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= p.distance
-    pairs = o.join(v, (F.col("oh") == F.col("half")) & (F.col("oc") == F.col("cell")) & close & (~F.col("home") | (F.col("a") < F.col("b")))).select("a", "b")
+    same = (F.col("ow") == F.col("which")) & (F.col("oh") == F.col("half")) & (F.col("oc") == F.col("cell"))
+    pairs = o.join(v, same & close & (~F.col("home") | (F.col("a") < F.col("b")))).select("a", "b", "which")
     if crowded:
-        side = lambda df, flag, mine, others: df.join(crowd, on).select("half", "cell", "fp", "home", F.lit(flag).alias("is_own"), F.pmod(F.xxhash64("fp"), F.col("_blocks")).alias(mine), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1)).alias(others))
+        blocks = F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1)
+        side = lambda df, flag, mine, others: df.join(crowd, on).select("which", "half", "cell", "fp", "home", F.lit(flag).alias("is_own"), F.pmod(F.xxhash64("fp"), F.col("_blocks")).alias(mine), F.explode(blocks).alias(others))
         both = side(own.withColumn("home", F.lit(True)), True, "i", "j").unionByName(side(visits, False, "j", "i"))
-        pairs = pairs.union(both.groupBy("half", "cell", "i", "j").applyInPandas(_forest(p.distance), "a long, b long"))
-    return pairs
+        pairs = pairs.union(both.groupBy("which", "half", "cell", "i", "j").applyInPandas(_forest(p.distance), "a long, b long, which int"))
+    return pairs if kinds else pairs.drop("which")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
@@ -164,15 +174,133 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return look_up(marked, by_point, "fp", "n", "doc_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams = SimHashParams()) -> DataFrame:
-    """docs with one row of each component, that with the smallest id; columns as they were.
+@dataclass(frozen=True)
+class SimilarParams:
+    """words, similarity: shingles of so many words, and the share of common shingles (Jaccard) from which two texts
+    are duplicates. prints: fingerprints over distinct words; bits: differing bits of all of them beyond which a
+    proposed pair is not looked at (pairs of that similarity have about half as many). grid: the grid join."""
+
+    words: int = 5
+    similarity: float = 0.8
+    prints: int = 6
+    bits: int = 60
+    seed: int = 42
+    grid: SimHashParams = SimHashParams()
+
+
+def _sketch(p: SimilarParams):
+    """A UDF: a digest of the text's words in order, and the fingerprints of its distinct words."""
+
+    @F.arrow_udf("struct<digest: binary, fps: array<bigint>>")
+    def run(texts):
+        import pyarrow as pa
+        from hashlib import blake2b
+
+        known: dict[bytes, bytes] = {}
+        salt, size = p.seed.to_bytes(8, "little"), 8 * p.prints
+        digests, prints = [], []
+        for text in texts:
+            words = text.as_py().lower().split() if text.is_valid else []
+            digests.append(_digest(words))
+            distinct = set(words)
+            if len(known) > 300_000:
+                known.clear()
+            for w in distinct - known.keys():
+                known[w] = blake2b(w, digest_size=size, key=salt).digest()
+            if distinct:
+                bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, distinct)), np.uint8).reshape(len(distinct), size), axis=1)
+                prints.append(np.packbits(2 * bits.sum(0, dtype=np.int32) > len(distinct)).view(">i8").astype(np.int64))
+            else:
+                prints.append(np.zeros(p.prints, np.int64))
+        flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
+        fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, p.prints, dtype=np.int32)), pa.array(flat))
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), fps], ["digest", "fps"])
+
+    return run
+
+
+def _digest(words: list[bytes]) -> bytes:
+    from xxhash import xxh3_128_digest
 
-    Of rows that repeat the kept id, that with the smallest text stays. Rows with a null id have nothing
-    to be chosen by and stay.
+    return xxh3_128_digest(b" ".join(words))
+
+
+def _shingles(p: SimilarParams):
+    """A UDF: the digest of the text's words, and the hashes of its distinct shingles."""
+
+    @F.arrow_udf("struct<digest: binary, shingles: array<bigint>>")
+    def run(texts):
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        digests, rows = [], []
+        for text in texts:
+            words = text.as_py().lower().split() if text.is_valid else []
+            digests.append(_digest(words))
+            parts = zip(*[words[i:] for i in range(p.words)]) if len(words) >= p.words else [words] if words else []
+            rows.append(np.unique(np.array([xxh64_intdigest(b" ".join(s)) for s in parts], np.uint64)).view(np.int64))
+        sizes = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), lists], ["digest", "shingles"])
+
+    return run
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimilarParams = SimilarParams()) -> DataFrame:
+    """(doc_id, component_id): the smallest id reachable over pairs of texts that share 0.8 of their five-word shingles.
+
+    A-Z are lower-cased. Texts with the same words in the same order are one text, whatever their number. Every
+    text is proposed to the smallest text with the same fingerprint, and those to each other whose fingerprints
+    are at most three bits apart, for each of six fingerprints; proposals are stars, so no group is paired out.
+    Shingles of the texts in proposals decide. Texts without words, null ones among them, are one text. A null id
+    belongs to the smallest id of its component (null if none). Repeated rows stay; other columns are not carried.
+    """
+    p = params
+    marked = stored(docs.select(F.col(id_col).alias("doc_id"), _sketch(p)(F.col(text_col).cast("binary")).alias("s")).select("doc_id", "s.digest", "s.fps"), "sketches")
+    texts = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("fps").alias("fps"), F.count("*").alias("n")), "texts")
+    each = texts.select("digest", F.posexplode("fps").alias("which", "fp"))
+    heads = stored(each.groupBy("which", "fp").agg(F.min("digest").alias("head"), F.count("*").alias("texts")), "heads")
+    shared = heads.where("texts > 1").select(F.col("which").alias("_which"), F.col("fp").alias("_fp"), "head")
+    star = each.join(shared, (F.col("which") == F.col("_which")) & (F.col("fp") == F.col("_fp"))).select(F.col("head").alias("x"), F.col("digest").alias("y"))
+    near = links(heads.select("which", "fp"), p.grid)
+    side = lambda end, name: heads.select(F.col("which").alias(f"_{end}_which"), F.col("fp").alias(f"_{end}"), F.col("head").alias(name))
+    met = lambda df, end, name: df.join(side(end, name), (F.col("which") == F.col(f"_{end}_which")) & (F.col(end) == F.col(f"_{end}"))).drop(f"_{end}_which", f"_{end}")
+    linked = met(met(near, "a", "x"), "b", "y").select("x", "y")
+    pairs = star.union(linked).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    with_fps = lambda df, end: df.join(texts.select(F.col("digest").alias(f"_{end}"), F.col("fps").alias(f"fps_{end}")), F.col(end) == F.col(f"_{end}")).drop(f"_{end}")
+    apart = F.aggregate(F.zip_with("fps_x", "fps_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
+    pairs = stored(with_fps(with_fps(pairs, "x"), "y").where(apart <= p.bits).select("x", "y"), "proposals")
+    # the texts that proposals name, one document each
+    named = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
+    wanted = texts.join(named, F.col("digest") == F.col("_d")).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first"))
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(wanted.hint("merge"), F.col("_id") == F.col("_first"))
+    cut = found.select("_digest", _shingles(p)(F.col("_text")).alias("s")).where(F.col("_digest") == F.col("s.digest"))
+    sets = stored(cut.groupBy("_digest").agg(F.any_value("s.shingles").alias("shingles")), "shingles")
+    with_set = lambda df, end: df.join(sets.select(F.col("_digest").alias(f"_{end}"), F.col("shingles").alias(f"set_{end}")), F.col(end) == F.col(f"_{end}")).drop(f"_{end}")
+    common = F.size(F.array_intersect("set_x", "set_y"))
+    similar = common >= p.similarity * (F.size("set_x") + F.size("set_y") - common)
+    groups = components(with_set(with_set(pairs, "x"), "y").where(similar).select("x", "y"), "x", "y")
+    tops = groups.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    placed = stored(texts.join(tops, F.col("digest") == F.col("_node"), "left").select("digest", "first_id", "n", F.coalesce("_root", "digest").alias("root")), "placed")
+    smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_text = placed.select("digest", "n", "root").join(smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")).select("digest", "n", "component_id")
+    by_text = stored(of_text, "components")
+    discard(texts, heads, pairs, sets, placed, groups)
+    return look_up(marked, by_text, "digest", "n", "doc_id").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimHashParams | SimilarParams = SimHashParams()) -> DataFrame:
+    """docs with one row of each component, that with the smallest id; columns as they were, whatever they are called.
+
+    Components are those of `similar_texts` if its parameters are given, else of `near_duplicates`. Of rows
+    that repeat the kept id, that with the smallest text stays. Rows with a null id have nothing to be chosen
+    by and stay.
     """
-    found = stored(near_duplicates(docs, id_col, text_col, params).select("doc_id", "component_id"), "near-duplicates")
+    group = similar_texts if isinstance(params, SimilarParams) else near_duplicates
+    found = stored(group(docs, id_col, text_col, params).select("doc_id", "component_id"), "near-duplicates")
     id_name, row_name, kept_name = fresh(docs, "id"), fresh(docs, "row"), fresh(docs, "kept")
-    kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    # an id may stand on rows of several components: all its rows count
+    kept = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first")
     ids, key = kept.select(F.col("doc_id").alias(kept_name), "n"), F.col(id_col)
     once = ids.where("n = 1").select(kept_name).hint("merge")  # the same plan at every size: the ids grow with the input
     repeated = ids.where("n > 1").select(kept_name)
