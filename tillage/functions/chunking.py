@@ -48,5 +48,12 @@ def with_previous_tail(chunks: Column, n: int) -> Column:
     return F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get(chunks, i - 1), F.lit(n)), F.lit(" "), c)))
 
 
+def with_previous_words(chunks: Column, n: int) -> Column:
+    """Every chunk after the first prefixed with the last n words of the one before."""
+    words = lambda c: F.split(c, r"\s+")
+    tail = lambda w: F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - n + 1), F.lit(n)), " ")
+    return F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(F.concat(tail(words(F.get(chunks, i - 1))), F.lit(" "), c)))
+
+
 def fragment_uid(doc: Column, section: Column, page: Column, text: Column) -> Column:
     return F.sha1(F.concat_ws("|", doc.cast("string"), section.cast("string"), page.cast("string"), F.sha1(F.substring(text, 1, 64))))

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters with marks and their plain forms, place by place.
-MARKED = "áàâäãåéèêëíìîïóòôöõúùûüýÿñçÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÝÑÇ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuyyncAAAAAAEEEEIIIIOOOOOUUUUYNC"
+# Letters with marks and their plain forms, place by place: the Latin letters that Unicode decomposes into an
+# ASCII letter and marks, and those below that it does not decompose.
+# Letters that become one or two plain ones.
+_OWN = {"ø": "o", "Ø": "o", "đ": "d", "Đ": "d", "ð": "d", "Ð": "d", "ł": "l", "Ł": "l", "ħ": "h", "Ħ": "h", "ı": "i", "Æ": "æ", "Œ": "œ", "Þ": "þ", "ẞ": "ß"}
+PAIRS = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th"}
+
+
+def _plain_letters() -> dict[str, str]:
+    found = dict(_OWN)
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        base = unicodedata.normalize("NFD", c)[0]
+        if base != c and base.isascii():
+            found[c] = base.lower()
+    return found
+
+
+_LETTERS = _plain_letters()
+MARKED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
 #: Words without weight in a query (ranking), and in answers (synthesis).
 RANK_STOPWORDS = "de el la los las un una es en del al por para que qué cuál cuáles cómo a y o u e".split()
 ANSWER_STOPWORDS = (
@@ -25,13 +43,72 @@ LANGUAGE_MARKERS = {
 }
 #: Language to OCR language code.
 OCR_CODES = {"es": "spa", "en": "eng", "pt": "por", "fr": "fra", "it": "ita", "de": "deu", "ca": "cat", "gl": "glg"}
+#: What is mended in extracted text, in order.
+EXTRACTED = [
+    (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""),
+    (r"[\x{AD}\x{200B}-\x{200D}\x{FEFF}]", ""),
+    (r"(?i)([a-záéíóúñ])-\n([a-záéíóúñ])", "$1$2"),
+    (r"(?i)([a-z])-\s*\n\s*([a-z])", "$1$2"),
+    (r"([A-Z0-9_]{3,})\n([A-Z0-9_]{3,})", "$1$2"),
+    (r"[ \t\x{A0}]+", " "),
+    (r"\n{3,}", "\n\n"),
+]
+#: What counts as an equation, and as a page's footer or number.
+EQUATION = r"\$[^$]+\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|[∑∏√≈≃≤≥±×÷]|[A-Za-z]\s*=\s*[^;\n]+"
+FURNITURE = [r"(?i)^(?:page|pag|p[áa]g\.?|p\.?)\s*\d+\s*(?:/|\s*de\s*|\s*of\s*)?\s*\d*\s*$", r"^\d{1,4}$"]
+#: Number and unit, other names of units, and unit to SI unit with factor and offset.
+MAGNITUDE = r"([-+]?\d+(?:[.,]\d+)?)\s*([a-zA-Zµ°/%]+(?:[/.\-][a-zA-Z]+)*)"
+UNIT_ALIASES = {"km/h": "kilometer / hour", "kmh": "kilometer / hour", "m/s": "meter / second", "kph": "kilometer / hour", "°c": "degC", "°f": "degF"}
+SI_UNITS = [
+    ("kilometer / hour", "m/s", 1 / 3.6, 0.0),
+    ("meter / second", "m/s", 1.0, 0.0),
+    ("degC", "K", 1.0, 273.15),
+    ("degF", "K", 5 / 9, 459.67 * 5 / 9),
+    ("km", "m", 1000.0, 0.0),
+    ("m", "m", 1.0, 0.0),
+    ("cm", "m", 0.01, 0.0),
+    ("mm", "m", 0.001, 0.0),
+    ("kg", "kg", 1.0, 0.0),
+    ("g", "kg", 0.001, 0.0),
+    ("mg", "kg", 1e-6, 0.0),
+    ("l", "m³", 0.001, 0.0),
+    ("ml", "m³", 1e-6, 0.0),
+    ("ha", "m²", 10000.0, 0.0),
+    ("h", "s", 3600.0, 0.0),
+    ("min", "s", 60.0, 0.0),
+    ("s", "s", 1.0, 0.0),
+    ("%", "", 0.01, 0.0),
+    ("kg/ha", "kg/m²", 0.0001, 0.0),
+    ("l/ha", "m", 1e-7, 0.0),
+    ("g/l", "kg/m³", 1.0, 0.0),
+]
 #: Unit spellings and their canonical form.
 UNITS = [(r"(?i)\bkg\s*/\s*ha\b", "kg/ha"), (r"(?i)\bl\s*/\s*ha\b", "L/ha"), (r"(?i)\bg\s*/\s*l\b", "g/L"), (r"(?i)°\s*C\b", "°C"), (r"(?i)\bppm\b", "ppm")]
 
 
 def fold(c: Column) -> Column:
-    """Marks removed, lower case: the form in which words are compared."""
-    return F.lower(F.translate(c, MARKED, PLAIN))
+    """Marks removed, composed or not, lower case, ligatures as two letters: the form in which words are compared."""
+    plain = F.lower(F.translate(F.regexp_replace(c, r"\p{M}+", ""), MARKED, PLAIN))
+    return reduce(lambda t, kv: F.replace(t, F.lit(kv[0]), F.lit(kv[1])), PAIRS.items(), plain)
+
+
+def composed(c: Column) -> Column:
+    """Unicode normal form C. Spark has no function for it; only texts that hold a character whose composition
+    is not certain travel to Python, all others as nulls."""
+
+    @F.arrow_udf("string")
+    def run(texts):
+        import pyarrow as pa
+
+        return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+
+    doubtful = c.rlike(r"[^\x{0}-\x{2FF}\x{2010}-\x{2027}]")
+    return F.coalesce(run(F.when(doubtful, c)), c)
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
 def squeeze(c: Column) -> Column:
@@ -45,22 +122,18 @@ def tokens(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Control characters to blanks, blanks collapsed, at most one empty line, trimmed."""
-    t = F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Composed, control characters to blanks, blanks collapsed, at most one empty line, trimmed; null is empty."""
+    t = F.regexp_replace(composed(F.coalesce(c, F.lit(""))), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
+    t = F.regexp_replace(t, r"[ \t\x{A0}]+", " ")
+    return stripped(F.regexp_replace(t, r"\n{3,}", "\n\n"))
 
 
 def normalize_extracted(c: Column) -> Column:
-    """Text from page layouts: line ends unified, invisible characters out, words joined that a line end split."""
-    t = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.regexp_replace(t, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    t = F.regexp_replace(t, r"[­​-‍﻿]", "")
-    t = F.regexp_replace(t, r"(?i)([a-záéíóúñ])-\n([a-záéíóúñ])", "$1$2")
-    t = F.regexp_replace(t, r"(?i)([a-z])-\s*\n\s*([a-z])", "$1$2")
-    t = F.regexp_replace(t, r"([A-Z0-9_]{3,})\n([A-Z0-9_]{3,})", "$1$2")
-    t = F.regexp_replace(t, r"[ \t ]+", " ")
-    return F.trim(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    """Text from page layouts: composed, line ends unified, invisible characters out, words joined that a line end split."""
+    t = F.replace(F.replace(composed(F.coalesce(c, F.lit(""))), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    for pattern, by in EXTRACTED:
+        t = F.regexp_replace(t, pattern, by)
+    return stripped(t)
 
 
 def chat_text(c: Column) -> Column:
@@ -80,7 +153,7 @@ def canonical_units(c: Column) -> Column:
 
 def protect_equations(c: Column) -> tuple[Column, Column]:
     """The text with each equation replaced by a sentinel, and the map to restore it from."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"\$[^$]+\$|\\\[[\s\S]+?\\\]|\\\([\s\S]+?\\\)|[∑∏√≈≃≤≥±×÷]|[A-Za-z]\s*=\s*[^;\n]+"), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(EQUATION), F.lit(0)))
     pairs = F.transform(found, lambda e: F.struct(F.concat(F.lit("⟦EQN_"), F.substring(F.sha1(e), 1, 10), F.lit("⟧")).alias("key"), e.alias("value")))
     longest = F.array_sort(pairs, lambda a, b: F.length(b["value"]) - F.length(a["value"]))
     return F.aggregate(longest, c, lambda t, p: F.replace(t, p["value"], p["key"])), F.map_from_entries(pairs)
@@ -168,7 +241,7 @@ def line_kind(c: Column) -> Column:
 def page_furniture(c: Column) -> Column:
     """Page footers and lone page numbers."""
     t = F.trim(c)
-    return t.rlike(r"(?i)^(?:page|pag|p[áa]g\.?|p\.?)\s*\d+\s*(?:/|\s*de\s*|\s*of\s*)?\s*\d*\s*$") | t.rlike(r"^\d{1,4}$")
+    return t.rlike(FURNITURE[0]) | t.rlike(FURNITURE[1])
 
 
 def marker_counts(c: Column) -> dict[str, Column]:
@@ -185,9 +258,10 @@ def marker_language(c: Column, least: int = 4, shortest: int = 80) -> Column:
     return F.when((F.length(c) >= shortest) & (first >= least) & (first >= 2 * second), best)
 
 
-def ocr_language(lang: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in OCR_CODES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, lang), F.lit("spa+eng"))
+def ocr_language(lang: Column, installed: tuple[str, ...] = tuple(OCR_CODES.values())) -> Column:
+    """The recogniser's code of a language if it is installed; else Spanish and English, of those what is installed."""
+    table = F.create_map(*[F.lit(x) for kv in OCR_CODES.items() if kv[1] in installed for x in kv]) if installed else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.try_element_at(table, lang), F.lit("+".join(c for c in ("spa", "eng") if c in installed) or "eng"))
 
 
 def string_hash32(c: Column) -> Column:
@@ -197,13 +271,143 @@ def string_hash32(c: Column) -> Column:
     return F.abs(F.aggregate(codes, F.lit(0).cast("bigint"), lambda h, x: wrap(h * 31 + x)))
 
 
-def table_text(rows: Column, kind: str) -> Column:
-    """Rows of cells as searchable lines under a title with the table's size."""
+def table_text(rows: Column, kind: str, header: Column | None = None) -> Column:
+    """Rows of cells as searchable lines under a title with the table's size; empty cells and rows are left out."""
     title = F.concat(F.lit(f"[Tabla {kind} "), F.size(rows).cast("string"), F.lit("x"), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)).cast("string"), F.lit("]"))
-    return F.array_join(F.concat(F.array(title), F.transform(rows, lambda r: F.array_join(r, " | "))), "\n")
+    filled = lambda r: F.array_join(F.filter(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != ""), " | ")
+    lines = F.filter(F.transform(rows, filled), lambda x: x != "")
+    if header is not None:
+        names = F.array_join(F.transform(header, lambda c: F.trim(c)), " | ")
+        lines = F.concat(F.when(F.replace(F.replace(names, F.lit("|"), F.lit("")), F.lit(" "), F.lit("")) != "", F.array(F.concat(F.lit("Tabla (encabezado): "), names))).otherwise(F.array().cast("array<string>")), lines)
+    return F.array_join(F.concat(F.array(title), lines), "\n")
+
+
+def table_signature(rows: Column, lines: int = 8, columns: int = 4, cells: int = 16) -> Column:
+    """Key of a table of cells (array of arrays): its size and its first cells that hold something, squeezed."""
+    shown = F.flatten(F.transform(F.slice(rows, 1, lines), lambda r: F.slice(r, 1, columns)))
+    plain = F.transform(shown, lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    first = F.slice(F.filter(plain, lambda c: c != ""), 1, cells)
+    width = F.coalesce(F.size(F.get(rows, 0)), F.lit(0))
+    return F.sha1(F.concat(F.size(rows).cast("string"), F.lit("x"), width.cast("string"), F.lit("|"), F.array_join(first, "|")))
 
 
 def synonyms_applied(text: Column, synonyms: dict[str, str]) -> Column:
     """Whole-word rewriting, longest first and ties by text; later rules see earlier output."""
     ordered = sorted(synonyms.items(), key=lambda kv: (-len(kv[0]), kv[0]))
-    return reduce(lambda t, kv: F.regexp_replace(t, rf"\b{kv[0]}\b", kv[1]), ordered, text)
+    return reduce(lambda t, kv: F.regexp_replace(t, rf"\b{re.escape(kv[0])}\b", _literally(kv[1])), ordered, text)
+
+
+def _literally(by: str) -> str:
+    return by.replace("\\", "\\\\").replace("$", "\\$")
+
+
+def magnitudes(c: Column) -> Column:
+    """Numbers with a known unit, in order: array of struct(value, unit, value_si, unit_si); a comma is a decimal
+    point, units compare in lower case, and what names no known unit is left out."""
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(MAGNITUDE), F.lit(0))
+    names = F.create_map(*[F.lit(x) for kv in UNIT_ALIASES.items() for x in kv])
+    si = F.create_map(*[x for u, name, factor, offset in SI_UNITS for x in (F.lit(u), F.struct(F.lit(name).alias("unit"), F.lit(factor).alias("factor"), F.lit(offset).alias("offset")))])
+
+    def parts(m: Column) -> Column:
+        value = F.replace(F.regexp_extract(m, MAGNITUDE, 1), F.lit(","), F.lit(".")).cast("double")
+        unit = F.lower(F.regexp_extract(m, MAGNITUDE, 2))
+        known = F.coalesce(F.try_element_at(names, unit), unit)
+        to = F.try_element_at(si, known)
+        return F.struct(value.alias("value"), known.alias("unit"), (value * to["factor"] + to["offset"]).alias("value_si"), to["unit"].alias("unit_si"))
+
+    return F.filter(F.transform(found, parts), lambda m: m["unit_si"].isNotNull())
+
+
+def without_rivals(detail: Column, target: Column, catalogue: list[str]) -> Column:
+    """Lines that name another crop of the catalogue go, then its name wherever it is left as a word; if no line
+    stays, all do. Without a target or a text nothing changes."""
+    key = compact_name(F.trim(target))
+    others = [(c, compact(c)) for c in catalogue if compact(c)]
+    named = lambda x: reduce(lambda a, b: a | b, [(key != k) & F.contains(compact_name(x), F.lit(k)) for _, k in others], F.lit(False))
+    left = stripped(F.array_join(F.filter(F.split(detail, "\r\n|[\n\r]"), lambda x: ~named(x)), "\n"))
+    clean = F.when(left != "", left).otherwise(detail)
+    for c, k in others:
+        clean = F.when(key == k, clean).otherwise(F.regexp_replace(clean, rf"(?i)\b{re.escape(c)}\b", ""))
+    return F.when((F.coalesce(detail, F.lit("")) == "") | (F.coalesce(key, F.lit("")) == ""), F.coalesce(detail, F.lit(""))).otherwise(clean)
+
+
+def compact(name: str) -> str:
+    return re.sub("[^a-z0-9]+", "", name.strip().lower())
+
+
+def blocked_names(target: Column, catalogue: list[str]) -> Column:
+    """The catalogue without the target, compared as compact names."""
+    names = [c for c in catalogue if compact(c)]
+    return F.filter(F.array(*[F.lit(c) for c in names]), lambda c: compact_name(c) != compact_name(F.trim(F.coalesce(target, F.lit("")))))
+
+
+def file_type(name: Column) -> Column:
+    """What follows the last dot, in lower case; `desconocido` without any."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(F.trim(name), r"\.([^.]*)$", 1)), F.lit("")), F.lit("desconocido"))
+
+
+def pdf_year(created: Column, modified: Column) -> Column:
+    """The year of the first date `D:YYYY…` that lies in 1980 to 2100."""
+    year = lambda c: F.regexp_extract(F.trim(c), r"^D:(\d{4})", 1).try_cast("int")
+    valid = lambda c: F.when(year(c).between(1980, 2100), year(c))
+    return F.coalesce(valid(created), valid(modified))
+
+
+def merged_metadata(form: dict[str, Column], found: dict[str, Column], file_name: Column) -> Column:
+    """struct(title, author, year): the form's values, else those found in a PDF, else the file's stem; generic
+    author names count as none, and a file that is no PDF has nothing to be found in."""
+    given = lambda c: F.nullif(F.trim(c), F.lit(""))
+    is_pdf = F.lower(F.substring_index(F.coalesce(file_name, F.lit("")), ".", -1)) == "pdf"
+    author = F.when(~F.lower(F.trim(found["author"])).isin("usuario", "user", "author"), given(found["author"]))
+    stem = F.regexp_replace(F.regexp_replace(F.coalesce(file_name, F.lit("doc")), r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    return F.struct(
+        F.coalesce(given(form["title"]), F.when(is_pdf, given(found["title"])), given(stem), F.lit("documento")).alias("title"),
+        F.coalesce(given(form["author"]), F.when(is_pdf, author)).alias("author"),
+        F.coalesce(form["year"], F.when(is_pdf, found["year"])).alias("year"),
+    )
+
+
+@dataclass(frozen=True)
+class Term:
+    """A glossary entry; `keep`: the source term is not translated."""
+
+    source: str
+    target: str = ""
+    keep: bool = False
+
+
+def masked(text: Column, terms: list[Term]) -> Column:
+    """Terms to be kept as placeholders numbered by their place in the glossary."""
+    for i, t in enumerate(terms):
+        if t.keep:
+            text = F.regexp_replace(text, rf"(?i){re.escape(t.source)}", f"⟦DNT_{i}⟧")
+    return text
+
+
+def unmasked(text: Column, terms: list[Term]) -> Column:
+    for i, t in enumerate(terms):
+        if t.keep:
+            text = F.replace(text, F.lit(f"⟦DNT_{i}⟧"), F.lit(t.source))
+    return text
+
+
+def glossary_applied(text: Column, terms: list[Term]) -> Column:
+    """Source terms as whole words become target terms, one after the other."""
+    for t in terms:
+        if not t.keep:
+            text = F.regexp_replace(text, rf"(?i)\b{re.escape(t.source)}\b", _literally(t.target))
+    return text
+
+
+def glossary_consistency(text: Column, terms: list[Term]) -> Column:
+    """Share of the target terms that occur, four places; 1 without any."""
+    wanted = [t for t in terms if not t.keep]
+    if not wanted:
+        return F.lit(1.0)
+    hits = reduce(lambda a, b: a + b, [F.when(text.rlike(rf"(?i)\b{re.escape(t.target)}\b"), 1).otherwise(0) for t in wanted])
+    return F.round(hits / len(wanted), 4)
+
+
+def context_hash(text: Column, window: int = 200) -> Column:
+    """Key of a text in a translation memory."""
+    return F.sha1(F.lower(stripped(F.substring(text, 1, window))))

@@ -21,13 +21,21 @@ def bound(profile: Column, default: float) -> Column:
 
 
 def days_between(start: Column, end: Column, floor_at_zero: bool = True) -> Column:
+    """Whole days; null where a date is missing."""
     d = F.datediff(end, start)
-    return F.greatest(F.lit(0), d) if floor_at_zero else d
+    return F.when(d.isNotNull(), F.greatest(F.lit(0), d)) if floor_at_zero else d
 
 
 def expected_progress(days: Column, cycle: Column, half_even: bool = True) -> Column:
-    """Percent of the cycle, at most 100; half-even in the first score, half-up in the second."""
-    return F.least(F.lit(100), (F.bround if half_even else F.round)(days / cycle * 100).cast("int"))
+    """Percent of the cycle, at most 100, null without a planting date; half-even in the first score, half-up in
+    the second."""
+    share = (F.bround if half_even else F.round)(days / cycle * 100).cast("int")
+    return F.when(share.isNotNull(), F.least(F.lit(100), share))
+
+
+def plan_base(planted: Column, today: Column) -> Column:
+    """The day from which activities are planned: planting if it is still ahead, else today."""
+    return F.when(planted > today, planted).otherwise(today)
 
 
 def stage(percent: Column) -> Column:
@@ -154,17 +162,30 @@ def alerts(soil: Column, temp: Column, hum: Column, regional: Column, b: dict[st
     ))
 
 
-def irrigation(events: DataFrame, key: str, as_of: Column) -> DataFrame:
+def irrigation(events: DataFrame, key: str, as_of: Column, profiles: DataFrame | None = None) -> DataFrame:
     """Five metrics, their mean and the gap to the goal, over the newest events of each key.
 
-    events: key, day, liters, before, after, minutes. Population variance; half-even rounding.
+    events: key, day, liters, before, after, minutes. profiles: key and any of liters, per_month, minutes,
+    delta, a crop's own optima; null and 0 mean the default. Population variance; half-even rounding. What no
+    event tells takes its neutral value: distribution and absorption 70, time 75. Events without liters give
+    no absorption and do not count in their mean.
     """
     o, whole = IRRIGATION, lambda c: F.bround(c).cast("int")
-    gain = F.when((F.col("liters") > 0) & F.col("before").isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), (F.col("after") - F.col("before")) / o["delta"] * 100)))
-    agg = events.groupBy(key).agg(F.count("*").alias("events"), F.avg("liters").alias("l"), F.count(F.when(F.col("day") >= F.date_sub(as_of, 30), 1)).alias("recent"), F.avg(gain).alias("g"), F.var_pop("after").alias("v"), F.avg("minutes").alias("m"))
+    names = ["liters", "per_month", "minutes", "delta"]
+    had = [n for n in names if profiles is not None and n in profiles.columns]
+    if had:
+        events = events.join(profiles.select(key, *[F.col(n).alias(f"best_{n}") for n in had]), key, "left")
+    best = {n: bound(F.col(f"best_{n}"), o[n]) if n in had else F.lit(o[n]) for n in names}
+    percent = lambda c: F.when(c.isNotNull(), F.least(F.lit(100.0), F.greatest(F.lit(0.0), c)))
+    gain = F.when(F.col("liters") > 0, percent((F.col("after") - F.col("before")) / best["delta"] * 100))
+    agg = events.groupBy(key).agg(
+        F.count("*").alias("events"), F.avg("liters").alias("l"), F.count(F.when(F.col("day") >= F.date_sub(as_of, 30), 1)).alias("recent"), F.avg(gain).alias("g"),
+        F.var_pop("after").alias("v"), F.avg("minutes").alias("m"), *[F.max(best[n]).alias(f"o_{n}") for n in names],
+    )
+    spread = F.when(F.col("v").isNotNull(), F.greatest(F.lit(40.0), 100 - F.round("v", 6) * 2))
     parts = agg.select(
-        key, "events", whole(F.least(F.lit(100.0), F.col("l") / o["liters"] * 100)).alias("cantidad"), whole(F.least(F.lit(100.0), F.col("recent") / o["per_month"] * 100)).alias("frecuencia"),
-        whole(F.coalesce(F.greatest(F.lit(40.0), 100 - F.round("v", 6) * 2), F.lit(70.0))).alias("distribucion"), whole(F.coalesce(F.round("g", 6), F.lit(70.0))).alias("absorcion"), whole(F.coalesce(F.least(F.lit(100.0), F.col("m") / o["minutes"] * 100), F.lit(75.0))).alias("tiempo"),
+        key, "events", whole(F.coalesce(percent(F.col("l") / F.col("o_liters") * 100), F.lit(0.0))).alias("cantidad"), whole(percent(F.col("recent") / F.col("o_per_month") * 100)).alias("frecuencia"),
+        whole(F.coalesce(spread, F.lit(70.0))).alias("distribucion"), whole(F.coalesce(F.round("g", 6), F.lit(70.0))).alias("absorcion"), whole(F.coalesce(percent(F.col("m") / F.col("o_minutes") * 100), F.lit(75.0))).alias("tiempo"),
     )
     mean = whole((F.col("cantidad") + F.col("frecuencia") + F.col("distribucion") + F.col("absorcion") + F.col("tiempo")) / 5)
     return parts.withColumn("eficiencia", mean).withColumn("mejora", F.greatest(F.lit(0), F.lit(o["goal"]) - F.col("eficiencia")))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import chat_text
+from tillage.functions.text import chat_text, strip_html, stripped
 
 # Short messages that are valid, words of the domain, and the intents in their order.
 SHORT_VALID = ["ph", "p h", "npk", "n", "p", "k", "agua", "riego", "viento", "clima", "lluvia", "luz", "maiz", "frijol", "chile", "tomate"]
@@ -33,8 +34,44 @@ OTHER_INTENTS = [
     ("crop_status", r"\b(estado|resumen|avance|progreso|salud|como\s+va|condicion)\b"),
 ]
 SMASH = r"^(asdf|qwerty?|zxcv|xxxxx|aaaaa|dadad|abab|jaja{4,}|jeje{4,})"
-LEAKS = ["system prompt", "instrucciones del sistema", "as an ai", "eres un asistente"]
-GENERIC = ["no tengo informacion", "no puedo responder", "consulta a un experto"]
+# Intents that documents answer, that readings answer, that fall back to the only active crop.
+DOCUMENT_INTENTS = ("library_question", "pest_or_disease", "fertilization", "soil_condition")
+READING_INTENTS = ("water_balance", "temperature_status", "wind_status", "precipitation_status", "air_humidity_status", "light_status", "climate_status")
+PARCEL_INTENTS = (*READING_INTENTS[1:], "soil_condition")
+FALLBACK_INTENTS = ("water_balance", *PARCEL_INTENTS, "crop_status", "unknown", "harvest_date", "pest_or_disease", "fertilization")
+# Technical topics by intent.
+TOPICS = {
+    "pest_or_disease": "plagas enfermedades manejo sanitario control prevencion",
+    "fertilization": "fertilizacion nutricion abonado requerimientos manejo",
+    "soil_condition": "suelo pH conductividad salinidad humedad materia organica manejo",
+}
+# Marks of leaked prompts, of generic answers, of questions about history and of support for them.
+LEAKS = ["eres el componente documental", "agrobot milpa", "no debes desplazar", "salud calculada", "pregunta del agricultor", "devuelve solo manejo tecnico"]
+GENERIC = ["pasos y recomendaciones para «eres", 'pasos y recomendaciones para "eres', "parametros agronomicos relevantes para «recomendaciones"]
+HISTORY_QUESTIONS = ["historia", "origen", "origenes", "domesticacion"]
+HISTORY_SUPPORT = ["historia", "origen", "originario", "originaria", "domesticacion", "prehispanico", "ancestral", "mesoamerica", "teocintle"]
+# What an answer says when it has nothing to say.
+NOT_UNDERSTOOD = (
+    "No entendí tu mensaje. Prueba con el nombre de un cultivo activo o una consulta como "
+    "'¿cómo estoy de agua?', 'temperatura', 'viento' o 'plagas en el maíz'."
+)
+NO_LIBRARY = "No tengo información suficiente en la biblioteca para procesar esa solicitud."
+NO_CROPS = "Aún no tienes cultivos registrados. Agrega uno en Configuración para recibir diagnóstico de parcela."
+CONFLICT = ("Aviso: preguntaste por '", "', pero no es un cultivo activo en tu parcela.")
+CONFLICT_EMPTY = " No puedo hacer diagnóstico personalizado y no encontré información suficiente en la biblioteca para esa solicitud."
+SEVERAL = ("Tienes varios cultivos activos y no detecté uno específico en tu pregunta.", "\n\nPregunta por uno en particular, por ejemplo: '¿cómo va mi maíz?' o 'plagas en mi frijol'.")
+NEEDS_CROP = {
+    "pest_or_disease": (
+        "Para revisar plagas o enfermedades necesito el cultivo específico, porque no se manejan igual en cada cultivo.",
+        "Por ahora revisa señales generales: hojas mordidas o manchadas, insectos en el envés, tallos débiles, frutos dañados y humedad alta que favorezca hongos.",
+    ),
+    "fertilization": (
+        "Para fertilización necesito el cultivo específico y, si existe, nutrientes reales cargados.",
+        "Sin análisis de N, P, K o materia orgánica solo puedo dar orientación preventiva, no dosis exactas.",
+    ),
+}
+NEEDS_CROP_END = "\n\nPregunta por uno en particular, por ejemplo: 'plagas en mi tomate' o 'fertilización en maíz'."
+NO_SUPPORT = "No encontré información suficiente en los documentos para respaldar esa parte de la consulta."
 
 
 def keyboard_smash(norm: Column) -> Column:
@@ -63,26 +100,146 @@ def intent(message: Column) -> Column:
     return out
 
 
-def mode(intent_col: Column, asked: Column) -> Column:
-    """`asked` unless it is null or auto; then library for library questions, parcel for metrics."""
-    auto = F.when(intent_col == "library_question", "biblioteca").when(intent_col.isin(*[n for n, _ in METRIC_INTENTS]), "parcela").otherwise("auto")
+def mode(intent_col: Column, asked: Column, active: Column) -> Column:
+    """`asked` unless it is null or auto; then library for library questions and where no crop is active, else parcel."""
+    auto = F.when((intent_col == "library_question") | (F.coalesce(F.size(active), F.lit(0)) <= 0), "biblioteca").otherwise("parcela")
     return F.when(asked.isNotNull() & (asked != "auto"), asked).otherwise(auto)
 
 
 def needs_documents(intent_col: Column, mode_col: Column) -> Column:
-    return (mode_col == "biblioteca") | intent_col.isin("library_question", "pest_or_disease", "fertilization")
+    """Noise and what readings answer never ask the documents; library mode always does."""
+    never = (intent_col == "garbage") | intent_col.isin(*READING_INTENTS)
+    return ~never & ((mode_col == "biblioteca") | intent_col.isin(*DOCUMENT_INTENTS))
 
 
-def target_crop(message: Column, crops: list[str], active: Column) -> Column:
-    """The longest crop named in the message, else the only active one."""
+def named_crop(message: Column, names: Column) -> Column:
+    """The longest of the names (array, at least two characters) that the message holds; the first among equals."""
     norm = chat_text(message)
-    named = [F.when(F.contains(norm, F.lit(c)), c) for c in sorted(crops, key=lambda c: (-len(c), c)) if len(c) >= 2]
-    return F.coalesce(*named, F.when(F.size(active) == 1, F.get(active, 0)))
+    held = F.filter(F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name"))), lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"]))
+    longest = F.aggregate(held, F.lit(None).cast("struct<norm: string, name: string>"), lambda best, n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best))
+    return longest["name"]
 
 
-def quality_gate(answer: Column, insufficient: Column) -> Column:
-    """`ok`, or the first reason against an answer."""
-    has = lambda marks: reduce(lambda a, b: a | b, [F.contains(chat_text(answer), F.lit(m)) for m in marks])
-    empty = F.trim(F.coalesce(answer, F.lit(""))) == ""
-    declared = F.contains(chat_text(answer), F.lit("no hay informacion suficiente"))
-    return F.when(F.coalesce(insufficient, F.lit(False)), "rag_insufficient_evidence").when(empty, "rag_empty_answer").when(declared, "rag_declared_insufficient").when(has(LEAKS), "rag_prompt_leak").when(has(GENERIC), "rag_generic_or_unrelated_answer").otherwise("ok")
+def target_crop(message: Column, crops: list[str], active: Column) -> Column:
+    """The longest crop named in the message, else the only active one."""
+    return F.coalesce(named_crop(message, F.array(*[F.lit(c) for c in crops])), F.when(F.size(active) == 1, F.get(active, 0)))
+
+
+def holds_any(text: Column, marks: list[str]) -> Column:
+    """Whether a text holds one of the marks, both compared as chat text."""
+    norm = chat_text(text)
+    return reduce(lambda a, b: a | b, [F.contains(norm, F.lit(m)) for m in sorted({plain_mark(m) for m in marks})])
+
+
+def plain_mark(mark: str) -> str:
+    """A mark in the form that chat_text gives texts."""
+    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9%°\s\-_/.,]", " ", mark)).strip()
+
+
+def quality_gate(answer: Column, insufficient: Column, message: Column, mode_col: Column, evidence: Column) -> Column:
+    """`ok`, or the first reason against an answer. evidence: the texts and titles it rests on, as one string."""
+    plain = strip_html(F.coalesce(answer, F.lit("")))
+    unsupported = (mode_col == "biblioteca") & holds_any(message, HISTORY_QUESTIONS) & ~holds_any(F.concat_ws(" ", plain, evidence), HISTORY_SUPPORT)
+    return (
+        F.when(F.coalesce(insufficient, F.lit(False)), "rag_insufficient_evidence")
+        .when(plain == "", "rag_empty_answer")
+        .when(F.contains(chat_text(plain), F.lit("no hay informacion suficiente")), "rag_declared_insufficient")
+        .when(holds_any(plain, LEAKS), "rag_prompt_leak")
+        .when(holds_any(plain, GENERIC), "rag_generic_or_unrelated_answer")
+        .when(unsupported, "rag_no_history_support")
+        .otherwise("ok")
+    )
+
+
+def clean_query(message: Column, intent_col: Column, mode_col: Column, target: Column, requested: Column, active: Column) -> Column:
+    """The query sent to the documents: never a long prompt, never readings.
+
+    target: the crop in question; requested: a crop of the catalogue that the message names; active: display
+    names of the active crops. Library mode sends the message alone.
+    """
+    raw = stripped(F.coalesce(message, F.lit("")))
+    crop = F.coalesce(F.nullif(target, F.lit("")), F.nullif(requested, F.lit("")))
+    topic = F.lit(None).cast("string")
+    for name, words in TOPICS.items():
+        topic = F.when(intent_col == name, words).otherwise(topic)
+    technical = F.when(crop.isNotNull(), F.concat(topic, F.lit(" en cultivo de "), crop, F.lit(": "), raw))
+    technical = technical.when(F.size(active) > 0, F.concat(topic, F.lit(" para cultivos activos ("), F.array_join(active, ", "), F.lit("): "), raw)).otherwise(F.concat(topic, F.lit(": "), raw))
+    conflict = requested.isNotNull() & target.isNull()
+    own = F.nullif(raw, F.lit(""))
+    return (
+        F.when(mode_col == "biblioteca", F.coalesce(own, F.lit("consulta agricola de biblioteca")))
+        .when(topic.isNotNull(), stripped(technical))
+        .when(conflict, F.coalesce(own, F.concat(F.lit("informacion tecnica sobre "), crop)))
+        .otherwise(F.coalesce(own, F.lit("consulta agricola")))
+    )
+
+
+def query_scope(mode_col: Column, target: Column, target_id: Column, requested: Column) -> Column:
+    """struct(crop_focus, retrieval_scope, user_crop_id) of the request to the documents."""
+    scope = lambda focus, name, crop: F.struct(focus.cast("string").alias("crop_focus"), F.lit(name).alias("retrieval_scope"), crop.cast("long").alias("user_crop_id"))
+    none = F.lit(None)
+    by_request = requested.isNotNull() & (target.isNull() | (mode_col == "biblioteca"))
+    return F.when(by_request, scope(requested, "crop_boost", none)).when(target.isNotNull(), scope(target, "crop_boost", target_id)).otherwise(scope(none, "global", none))
+
+
+def contexts(messages: DataFrame, crops: DataFrame, catalogue: list[str]) -> DataFrame:
+    """messages with their user's context: active, n_active, named_id, named, target_id, target, requested, source.
+
+    messages: user_id, text, intent; crops: user_id, crop_id, crop_name, display_name, status, created. A
+    crop counts as active unless its status is `inactivo`; newest first. The target is the active crop that
+    the message names best; else the only active crop, for intents that allow it; never the first of several.
+    requested is the crop of the catalogue that the message names. A user's crops are one list: their number
+    is what a person grows.
+    """
+    alive = crops.where(F.coalesce("status", F.lit("activo")) != "inactivo")
+    entry = F.struct(F.col("created"), F.col("crop_id"), F.col("crop_name"), F.coalesce(F.nullif("display_name", F.lit("")), F.initcap("crop_name")).alias("display"))
+    listed = alive.groupBy(F.col("user_id").alias("_user")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("_crops"))
+    joined = messages.join(listed, F.col("user_id") == F.col("_user"), "left").drop("_user").withColumn("_crops", F.coalesce("_crops", F.array().cast(listed.schema["_crops"].dataType)))
+    named = named_crop(F.col("text"), F.flatten(F.transform("_crops", lambda c: F.array(c["crop_name"], c["display"]))))
+    joined = joined.withColumn("_named", named)
+    found = F.get(F.filter("_crops", lambda c: (c["crop_name"] == F.col("_named")) | (c["display"] == F.col("_named"))), 0)
+    only = F.when((F.size("_crops") == 1) & F.col("intent").isin(*FALLBACK_INTENTS), F.get("_crops", 0))
+    target = F.coalesce(found, only)
+    requested = named_crop(F.col("text"), F.array(*[F.lit(c) for c in catalogue]))
+    source = F.when(found.isNotNull(), "explicit").when(only.isNotNull(), "fallback_single_crop").otherwise("none")
+    return joined.select(
+        *messages.columns, F.transform("_crops", lambda c: c["display"]).alias("active"), F.size("_crops").alias("n_active"),
+        found["crop_id"].alias("named_id"), target["crop_id"].alias("target_id"), target["crop_name"].alias("target"), requested.alias("requested"), source.alias("source"),
+        (requested.isNotNull() & found.isNull()).alias("conflict"),
+    )
+
+
+def recent_recommendations(recommendations: DataFrame, as_of: Column, hours: int = 6) -> DataFrame:
+    """Of each crop the newest pending recommendation of the last hours: one row a crop, to be used again.
+
+    recommendations: id, crop_id, action, status, created and whatever else; ties go to the larger id.
+    """
+    young = recommendations.where((F.col("status") == "pendiente") & (F.col("created") >= as_of - F.make_interval(hours=F.lit(hours))))
+    newest = young.groupBy("crop_id").agg(F.max_by(F.struct(*[c for c in recommendations.columns if c != "crop_id"]), F.struct("created", "id")).alias("_r"))
+    return newest.select("crop_id", "_r.*")
+
+
+def answer(c: dict[str, Column]) -> Column:
+    """The answer cascade: the first case that fits decides.
+
+    c: intent, mode, requested, conflict, library (cleaned library text or null), documents (cleaned answer of
+    the documents or null), active (display names), crop_lines (one line a crop), target, water, metric and
+    crop_answer (the texts of those cases).
+    """
+    lines = F.array_join(F.transform(c["crop_lines"], lambda x: F.concat(F.lit("- "), x)), "\n")
+    conflict = F.concat(F.lit(CONFLICT[0]), c["requested"], F.lit(CONFLICT[1]))
+    with_library = F.concat(conflict, F.lit("\n\nInformación de biblioteca:\n"), c["documents"])
+    out = F.concat(F.lit(SEVERAL[0] + "\n\nCultivos activos:\n"), lines, F.lit(SEVERAL[1]))
+    for name, (intro, checks) in NEEDS_CROP.items():
+        out = F.when(c["intent"] == name, F.concat(F.lit(f"{intro}\n\nCultivos activos:\n"), lines, F.lit(f"\n\n{checks}{NEEDS_CROP_END}"))).otherwise(out)
+    no_target = c["target"].isNull()
+    return (
+        F.when(c["intent"] == "garbage", NOT_UNDERSTOOD)
+        .when(c["conflict"] & (c["mode"] != "biblioteca"), F.coalesce(with_library, F.concat(conflict, F.lit(CONFLICT_EMPTY))))
+        .when(c["mode"] == "biblioteca", F.coalesce(c["library"], F.lit(NO_LIBRARY)))
+        .when(F.size(c["active"]) <= 0, NO_CROPS)
+        .when((c["intent"] == "water_balance") & no_target, c["water"])
+        .when(c["intent"].isin(*PARCEL_INTENTS) & no_target, c["metric"])
+        .when(~no_target, c["crop_answer"])
+        .otherwise(out)
+    )

@@ -58,3 +58,27 @@ def summary(metrics: DataFrame) -> DataFrame:
     one = metrics.agg(F.count("*").cast("double").alias("queries_evaluated"), *[F.avg(c).alias(c) for c in names])
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("queries_evaluated", *names)])).alias("x")
     return one.select(pairs).select("x.metric", "x.value").where("value is not null")
+
+
+def canary_ranks(hits: DataFrame, fragments: DataFrame, canaries: DataFrame, modes: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(mode, query_id, found, rank_of_canary): where the first hit with the planted string stands, from 0; -1 if none.
+
+    hits: mode, query_id, id, rank, the few that a search returns; canaries: query_id, needle.
+    """
+    met = hits.join(canaries, "query_id").join(fragments.select(id_col, text_col), id_col).where(F.contains(F.coalesce(F.col(text_col), F.lit("")), F.col("needle")))
+    first = met.groupBy("mode", "query_id").agg(F.min("rank").alias("_rank"))
+    every = canaries.select("query_id", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
+    joined = every.join(first, ["mode", "query_id"], "left")
+    return joined.select("mode", "query_id", F.col("_rank").isNotNull().alias("found"), (F.coalesce("_rank", F.lit(0)) - 1).alias("rank_of_canary"))
+
+
+def audit(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row a query: fragments, distinct documents, titles in rank order, whether nothing was found.
+
+    hits: query_id, rank, doc, title, the few that a search returns; queries: query_id, query and whatever else.
+    """
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("title", F.substring(F.col("doc").cast("string"), 1, 8)).alias("title")))), lambda x: x["title"])
+    found = hits.groupBy("query_id").agg(F.count("*").alias("_n"), F.count_distinct("doc").alias("_docs"), listed.alias("_titles"))
+    joined = queries.join(found, "query_id", "left")
+    n = F.coalesce("_n", F.lit(0))
+    return joined.select(*queries.columns, n.alias("n_fragments"), F.coalesce("_docs", F.lit(0)).alias("unique_docs"), F.coalesce("_titles", F.array().cast("array<string>")).alias("titles"), (n == 0).alias("insufficient"))

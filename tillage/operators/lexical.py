@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.functions.stemming import spanish_stem, stem
-from tillage.functions.text import tokens
+from tillage.functions.stemming import stem
+from tillage.functions.text import stripped, tokens
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,40 +29,70 @@ def bm25(docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id"
     """(query_id, id, score, rank): the best k documents of each query with a positive score.
 
     Repeated query words count as often as they occur; n, df and avgdl are those of all documents even
-    where `keep` (a condition on docs) filters what may be returned. Only tokens that some query holds
-    leave the scan's stage. queries is a list given by the caller, so its broadcast is bounded.
+    where `keep` (a condition on docs) filters what may be returned. Two readings of docs: one for the
+    figures of the terms, one for the scores; only tokens that some query holds leave the scan's stage.
+    queries is a list given by the caller, so what is collected and broadcast, a row a term, is bounded.
     """
+    asked = docs.sparkSession.createDataFrame(queries, "query_id long, query string").select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
+    return _scored(docs, asked, lambda t: t, tokens(F.col(text_col)), id_col, k, k1, b, keep)
+
+
+def _scored(docs: DataFrame, asked: DataFrame, term_of, words: Column, id_col: str, k: int, k1: float = 1.5, b: float = 0.75, keep=None) -> DataFrame:
+    """bm25 for asked (query_id, term); term_of gives the term of a token column, null for tokens of no interest."""
     spark = docs.sparkSession
-    asked = spark.createDataFrame(queries, "query_id long, query string").select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = [r["term"] for r in asked.select("term").distinct().collect()]
-    sized = docs.withColumn("_tokens", tokens(F.col(text_col))).withColumn("_dl", F.size("_tokens")).withColumn("_keep", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"))
-    found = F.filter("_tokens", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
-    tf = sized.select(id_col, "_dl", "_keep", F.explode(found).alias("term")).groupBy(id_col, "_dl", "_keep", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * weight * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_dl") / F.col("avgdl")))
-    scored = tf.where("_keep").join(F.broadcast(asked), "term").join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"))
+    times = asked.groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()  # the caller's few queries
+    terms = sorted({r["term"] for r in times})
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    sized = docs.withColumns({"_words": words, "_keep": F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))})
+    found = F.filter(F.transform("_words", term_of), lambda t: t.isNotNull() & F.array_contains(wanted, t))
+    sized = sized.select(id_col, "_keep", F.size("_words").alias("_dl"), found.alias("_found"))
+    # every document counts once under the empty term, which is no word: its row gives n and avgdl
+    once = sized.select("_dl", F.explode(F.array_append(F.array_distinct("_found"), F.lit(""))).alias("term"))
+    figures = {r["term"]: (r["n"], r["dl"]) for r in once.groupBy("term").agg(F.count("*").alias("n"), F.avg("_dl").alias("dl")).collect()}
+    n, average = figures.get("", (0, 0.0))
+    weight = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t in terms for df in [figures.get(t, (0, 0.0))[0]]}
+    weights = spark.createDataFrame([(r["query_id"], r["term"], r["times"] * weight[r["term"]]) for r in times], "query_id long, term string, weight double")
+    one = F.transform(F.array_distinct("_found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_found", lambda x: x == t)).alias("tf")))
+    tf = sized.where("_keep").select(id_col, "_dl", F.explode(one).alias("t")).select(id_col, "_dl", "t.term", "t.tf")
+    norm = (1 - b) + F.col("_dl") * (b / average) if average else F.lit(1.0)
+    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm * k1)
+    scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def analysed_search(docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", k: int = 100) -> DataFrame:
+# Words that the stopping analyser leaves out.
+STOP_WORDS = (
+    "a an and are as at be by can for from have if in is it may not of on or tbd that the this to us we when will with yet you your"
+).split()
+
+
+def analysed_search(
+    docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", k: int = 100, labels_col: str | None = None, stop: list[str] = (), least: int = 1
+) -> DataFrame:
     """BM25 over Spanish stems: plural and inflected forms of a query's words count as those words.
 
-    The vocabulary is stemmed, not the texts; what is collected are the word forms that share a stem with
-    a query. Queries are read leniently: whatever is no word is ignored.
+    The vocabulary is stemmed, not the texts. Labels (an array column) are searched as if they were words of
+    the text. With stop and least, words of the list and shorter ones are left out on both sides. Queries are
+    read leniently: whatever is no word is ignored. The word forms that share a stem with a query are what is
+    collected: their number is bounded by the language, not by the documents.
     """
     spark = docs.sparkSession
-    asked = spark.createDataFrame(queries, "query_id long, query string").select("query_id", tokens(F.col("query")).alias("words")).collect()
-    stemmed = [(r["query_id"], " ".join(spanish_stem(w) for w in r["words"])) for r in asked]
-    wanted = sorted({s for _, q in stemmed for s in q.split()})
-    vocabulary = docs.select(F.explode(tokens(F.col(text_col))).alias("word")).distinct().withColumn("stem", stem(F.col("word")))
+    usable = lambda w: (F.length(w) >= least) & ~w.isin(*stop) if stop else F.length(w) >= least
+    body = F.col(text_col) if labels_col is None else F.concat_ws(" ", F.col(text_col), F.array_join(labels_col, " "))
+    words = F.filter(tokens(body), usable)
+    asked = spark.createDataFrame(queries, "query_id long, query string").select("query_id", F.explode(F.filter(tokens(F.col("query")), usable)).alias("word"))
+    asked = asked.select("query_id", stem(F.col("word")).alias("term"))
+    wanted = [r["term"] for r in asked.select("term").distinct().collect()]
+    vocabulary = docs.select(F.explode(words).alias("word")).distinct().withColumn("stem", stem(F.col("word")))
     forms = {r["word"]: r["stem"] for r in vocabulary.where(F.col("stem").isin(*wanted)).collect()} if wanted else {}
-    table = F.create_map(*[F.lit(x) for kv in forms.items() for x in kv]) if forms else F.create_map(F.lit(""), F.lit(""))
-    # words outside the map keep their place in the length but can match nothing: their form is marked
-    text = F.array_join(F.transform(tokens(F.col(text_col)), lambda w: F.coalesce(F.try_element_at(table, w), F.lit("0"))), " ")
-    return bm25(docs.select(id_col, text.alias("_stems")), stemmed, id_col, "_stems", k)
+    table = F.create_map(*[F.lit(x) for kv in sorted(forms.items()) for x in kv]) if forms else F.lit(None).cast("map<string,string>")
+    return _scored(docs, asked, lambda w: F.try_element_at(table, w), words, id_col, k)
+
+
+def indexable(docs: DataFrame, text_col: str, order: list[str]) -> DataFrame:
+    """What a rebuilt index takes: documents in order inside each task, those without text left out."""
+    return docs.where(stripped(F.coalesce(F.col(text_col), F.lit(""))) != "").sortWithinPartitions(*order)
 
 
 def replaced(index: DataFrame, fresh: DataFrame, id_col: str) -> DataFrame:

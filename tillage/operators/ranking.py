@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.functions.text import contained, fold
+from tillage.functions.text import contained, fold, squeeze, stripped
 
 #: Sources that count as authorities.
 AUTHORITIES = ("inifap", "fao", "sagarpa", "senasica")
@@ -32,7 +32,8 @@ def term_coverage(score: Column, terms: Column, text: Column) -> tuple[Column, C
 
 
 def freshness(created: Column, as_of: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - F.datediff(as_of, created) / 365.0), F.lit(0.5))
+    """Linear decay over a year; 0.5 without a date."""
+    return F.when(created.isNotNull(), F.greatest(F.lit(0.0), 1 - F.datediff(as_of, created) / 365.0)).otherwise(0.5)
 
 
 def authority(source: Column) -> Column:
@@ -87,17 +88,82 @@ def evidence_gate(hits: DataFrame, by: list[str], score: str = "rrf_score", doc:
 def greedy_keep(hits: DataFrame, by: list[str], rank: str, doc: Column, page: Column, title: Column, text: Column, per_title: int = 2, prefix: int = 220) -> DataFrame:
     """Hits in rank order, one for each (doc, page), at most per_title for a title, one for a text prefix.
 
+    Titles are compared in lower case with single blanks, texts by their first characters in lower case.
+    What is missing or empty restricts nothing: no title, no text, neither document nor page (page 0 is none).
     Whether a hit stays depends on those kept before it, so each query's hits are folded in order; the
     lists are the top-k that ranking left.
     """
-    item = F.struct(F.col(rank).alias("rank"), F.concat_ws("#", doc.cast("string"), page.cast("string")).alias("place"), F.coalesce(title, F.lit("")).alias("title"), F.md5(F.substring(fold(F.coalesce(text, F.lit(""))), 1, prefix)).alias("print"))
-    start = F.struct(F.array().cast("array<string>").alias("places"), F.array().cast("array<string>").alias("titles"), F.array().cast("array<string>").alias("prints"), F.array().cast("array<bigint>").alias("ranks"))
+    strings = "array<string>"
+    known = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    leaf = F.when(known(page) == "0", "").otherwise(known(page))
+    place = F.when((known(doc) != "") | (leaf != ""), F.concat_ws("\x1f", known(doc), leaf)).otherwise("")
+    name = F.regexp_replace(F.lower(stripped(known(title))), r"\s+", " ")
+    start_of = F.lower(F.substring(stripped(known(text)), 1, prefix))
+    print_ = F.when(start_of == "", "").otherwise(F.md5(start_of))
+    item = F.struct(F.col(rank).alias("rank"), place.alias("place"), name.alias("title"), print_.alias("print"))
+    empty = lambda kind: F.array().cast(kind)
+    start = F.struct(empty(strings).alias("places"), empty(strings).alias("titles"), empty(strings).alias("prints"), empty("array<bigint>").alias("ranks"))
 
     def step(s, x):
-        fits = ~F.array_contains(s["places"], x["place"]) & ~F.array_contains(s["prints"], x["print"]) & (F.size(F.filter(s["titles"], lambda t: t == x["title"])) < per_title)
-        grown = F.struct(F.array_append(s["places"], x["place"]).alias("places"), F.array_append(s["titles"], x["title"]).alias("titles"), F.array_append(s["prints"], x["print"]).alias("prints"), F.array_append(s["ranks"], x["rank"]).alias("ranks"))
-        return F.when(fits, grown).otherwise(s)
+        new = lambda seen, v: (v == "") | ~F.array_contains(seen, v)
+        room = (x["title"] == "") | (F.size(F.filter(s["titles"], lambda t: t == x["title"])) < per_title)
+        fits = new(s["places"], x["place"]) & new(s["prints"], x["print"]) & room
+        grown = [F.array_append(s[list_], x[one].cast("bigint") if one == "rank" else x[one]).alias(list_) for list_, one in (("places", "place"), ("titles", "title"), ("prints", "print"), ("ranks", "rank"))]
+        return F.when(fits, F.struct(*grown)).otherwise(s)
 
     listed = hits.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
     kept = listed.select(*by, F.explode(F.aggregate("_items", start, step)["ranks"]).alias(rank))
     return hits.join(kept, [*by, rank])
+
+
+def unified_score(score: Column, fused: Column) -> Column:
+    """The fused score, or where it is missing or 0 the score of the single search; 0 without both."""
+    return F.coalesce(F.nullif(fused.cast("double"), F.lit(0.0)), score.cast("double"), fused.cast("double"), F.lit(0.0))
+
+
+def effective_focus(crop_of_id: Column, asked: Column, detected: Column, scope: Column) -> Column:
+    """struct(focus, scope, auto): the crop with the given id, else the crop asked for, else, if neither was
+    given and the scope is global, the crop that the query names, which then is boosted."""
+    given = F.coalesce(F.nullif(squeeze(crop_of_id), F.lit("")), F.nullif(squeeze(asked), F.lit("")))
+    auto = given.isNull() & crop_of_id.isNull() & asked.isNull() & (scope == "global") & detected.isNotNull()
+    focus = F.coalesce(given, F.when(auto, squeeze(detected)))
+    return F.struct(focus.alias("focus"), F.when(auto, "crop_boost").otherwise(scope).alias("scope"), auto.alias("auto"))
+
+
+def focused_query(query: Column, focus: Column) -> Column:
+    """The query as it is sent to the searches; focus: effective_focus."""
+    apply = focus["focus"].isNotNull() & (focus["scope"] != "global")
+    return F.when(apply, F.concat(F.lit("documentacion agronomica sobre "), focus["focus"], F.lit(": "), query)).otherwise(query)
+
+
+# The answer without evidence.
+INSUFFICIENT = ("<p><em>Insuficiente evidencia en el conjunto documental actual.</em></p>", "insuficiente_evidencia")
+
+
+def insufficient_payload(kept: Column, sources: Column, mean: Column, reason: Column) -> Column:
+    """The structured answer of a query whose evidence does not suffice; null for the others."""
+    diagnosis = F.struct(kept.alias("kept"), sources.alias("sources"), mean.alias("mean_score"), reason.alias("reason"))
+    payload = F.struct(F.lit(INSUFFICIENT[0]).alias("respuesta_html"), F.array().cast("array<string>").alias("citas"), F.array(F.lit(INSUFFICIENT[1])).alias("advertencias"), diagnosis.alias("diagnostico"))
+    return F.when(reason.isNotNull(), payload)
+
+
+def hydrated(hits: DataFrame, fragments: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits with what a caller shows: text, title, pages, source, box and links.
+
+    fragments: fragment_id, doc_id, text, page_start, page_end, bbox (JSON), source; docs: doc_id, title.
+    Hits whose fragment is gone are left out; a box that is no list of four numbers is null; without a
+    document and a page there are no links.
+    """
+    box = F.from_json("bbox", "array<double>")
+    page = F.nullif(F.col("page_start"), F.lit(0))
+    base = F.concat(F.lit("/api/documents/"), F.col("doc_id").cast("string"))
+    name = F.col("fragment_id").cast("string")
+    linked = F.col("doc_id").isNotNull() & page.isNotNull()
+    own = fragments.select("fragment_id", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "page_start", "page_end", "bbox", "source")
+    joined = hits.join(own, "fragment_id").join(docs.select("doc_id", "title"), "doc_id", "left")
+    return joined.select(
+        *hits.columns, "doc_id", "text", F.col("title").alias("doc_title"), "page_start", "page_end", "source",
+        F.when((F.size(box) >= 4) & ~F.exists(F.slice(box, 1, 4), lambda x: x.isNull()), F.slice(box, 1, 4)).alias("bbox"),
+        F.when(linked, F.concat(base, F.lit("/render?page="), page.cast("string"), F.lit("&fragment_id="), name)).alias("render_url"),
+        F.when(linked, F.concat(base, F.lit("/fragments/"), name, F.lit("/locate"))).alias("locate_url"),
+    )

@@ -108,3 +108,99 @@ def levene(df: DataFrame, group: str, y: str) -> DataFrame:
     t = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
     between = F.col("sq") - F.col("n") * F.col("mean") * F.col("mean")
     return t.select(((F.col("n") - F.col("k")) / (F.col("k") - 1) * between / F.col("within")).alias("levene"))
+
+
+# The rational approximation of the normal quantile (its central and tail parts), and the
+# polynomials of the Shapiro-Wilk weights and of the distribution of the statistic.
+_CENTRE = ([3.3871327179, 50.434271938, 159.29113202, 59.109374720], [1.0, 17.895169469, 78.757757664, 67.187563600])
+_TAIL = ([1.4234372777, 2.7568153900, 1.3067284816, 0.17023821103], [1.0, 0.73700164250, 0.12021132975])
+_FAR = ([6.6579051150, 3.0812263860, 0.42868294337, 0.017337203997], [1.0, 0.24197894225, 0.012258202635])
+_FIRST = [0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056]
+_SECOND = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+_SMALL = ([0.544, -0.39978, 0.025054, -6.714e-4], [1.3822, -0.77857, 0.062767, -0.0020322], [-2.273, 0.459])
+_LARGE = ([-1.5861, -0.31082, -0.083751, 0.0038915], [-0.4803, -0.082676, 0.0030302])
+
+
+def _poly(coefficients: list[float], x):
+    out = coefficients[-1]
+    for c in reversed(coefficients[:-1]):
+        out = out * x + c
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile, to about seven digits."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.when(q < 0, p).otherwise(1 - p)))
+    centre = q * _poly(_CENTRE[0], 0.180625 - q * q) / _poly(_CENTRE[1], 0.180625 - q * q)
+    tail = F.when(r <= 5, _poly(_TAIL[0], r - 1.6) / _poly(_TAIL[1], r - 1.6)).otherwise(_poly(_FAR[0], r - 5) / _poly(_FAR[1], r - 5))
+    return F.when(F.abs(q) <= 0.425, centre).otherwise(F.when(q < 0, -tail).otherwise(tail))
+
+
+def ranked(df: DataFrame, x: str, parts: int = 200) -> tuple[DataFrame, int]:
+    """df with `_rank`, the place of x in ascending order from 1, and the number of rows; rows without x are left out.
+
+    Places are counted inside ranges of x that hold about the same number of rows, so no task sorts everything;
+    a value that many rows share stays in one range.
+    """
+    rows = df.where(F.col(x).isNotNull())
+    edges = rows.agg(F.percentile_approx(x, F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(10 * parts)).alias("e")).first()["e"] or []
+    table = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>")
+    marked = rows.withColumn("_part", F.size(F.filter(table, lambda e: e < F.col(x))))
+    counts = {r["_part"]: r["n"] for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for part in sorted(counts):
+        before.append((part, total))
+        total += counts[part]
+    offsets = F.broadcast(df.sparkSession.createDataFrame(before, "_part int, _before long"))  # at most `parts` rows
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(x)) + F.col("_before")
+    return marked.join(offsets, "_part").withColumn("_rank", place).drop("_part", "_before"), total
+
+
+def shapiro_wilk(df: DataFrame, x: str) -> tuple[float, float]:
+    """The statistic and its p-value for at least three values; 1 and 1 where all are equal.
+
+    Weights come from the places in order, so everything is one pass of sums over ranked values.
+    """
+    placed, n = ranked(df.select(F.col(x).cast("double").alias(x)), x)
+    if n < 3:
+        raise ValueError("at least three values")
+    m = normal_quantile((F.col("_rank") - 0.375) / (n + 0.25))
+    if n == 3:
+        ends = {1: -math.sqrt(0.5), 3: math.sqrt(0.5)}
+        own, factor = {**ends, 2: 0.0}, 1.0
+    else:
+        spread, first, second = (float(v) for v in placed.agg(F.sum(m * m), F.max(F.when(F.col("_rank") == n, m)), F.max(F.when(F.col("_rank") == n - 1, m))).first())
+        root, rsn = math.sqrt(spread), 1 / math.sqrt(n)
+        a1 = _poly(_FIRST, rsn) + first / root
+        own = {n: a1, 1: -a1}
+        if n > 5:
+            a2 = _poly(_SECOND, rsn) + second / root
+            own |= {n - 1: a2, 2: -a2}
+            factor = math.sqrt((spread - 2 * first**2 - 2 * second**2) / (1 - 2 * a1**2 - 2 * a2**2))
+        else:
+            factor = math.sqrt((spread - 2 * first**2) / (1 - 2 * a1**2))
+    weight = m / factor
+    for place, a in own.items():
+        weight = F.when(F.col("_rank") == place, a).otherwise(weight)
+    one = placed.agg(F.sum(weight * F.col(x)).alias("s"), (F.var_pop(x) * n).alias("ss")).first()
+    if not one["ss"]:
+        return 1.0, 1.0
+    w = min(1.0, one["s"] ** 2 / one["ss"])
+    if n == 3:
+        return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
+    y, ln = math.log(max(1 - w, 1e-300)), math.log(n)
+    if n <= 11:
+        gamma = _poly(_SMALL[2], n)
+        if y >= gamma:
+            return w, 1e-19
+        y, mean, deviation = -math.log(gamma - y), _poly(_SMALL[0], n), math.exp(_poly(_SMALL[1], n))
+    else:
+        mean, deviation = _poly(_LARGE[0], ln), math.exp(_poly(_LARGE[1], ln))
+    return w, 0.5 * math.erfc((y - mean) / deviation / math.sqrt(2))
+
+
+def optimum(beta: np.ndarray, factors: list[str]) -> tuple[dict[str, int], float]:
+    """The level of each factor that raises the response, and the response predicted there."""
+    levels = {f: 1 if b > 0 else -1 for f, b in zip(factors, beta[1:])}
+    return levels, float(beta[0] + sum(abs(b) for b in beta[1:]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillage.functions.text import ANSWER_STOPWORDS, clip, contained, fold, keywords, sentences
-from tillage.operators.ranking import greedy_keep
+from tillage.operators.ranking import focus_class, greedy_keep
 
 # What makes a question of one type; the first that fits decides.
 QUESTION_TYPES = [
@@ -33,11 +33,44 @@ def relevant_sentences(text: Column, terms: Column, most: Column) -> Column:
     return F.when(F.size(hit) > 0, chosen).otherwise(F.slice(all_of, 1, 1))
 
 
+def _terms(query: Column, focus: str | None) -> Column:
+    own = keywords(query, ANSWER_STOPWORDS)
+    return own if not focus else F.when(F.array_contains(own, focus), own).otherwise(F.concat(F.array(F.lit(focus)), own))
+
+
 def citation(number: Column, author: Column, title: Column, doc: Column, page: Column) -> Column:
     name = F.when(author.isNotNull() & title.isNotNull(), F.concat(author, F.lit(', "'), title, F.lit('"'))).when(title.isNotNull(), F.concat(F.lit('"'), title, F.lit('"'))).otherwise(F.coalesce(author, F.concat(F.lit("Documento "), F.substring(doc.cast("string"), 1, 16), F.lit("..."))))
     return F.concat_ws(" — ", F.concat(F.lit("["), number.cast("string"), F.lit("]")), name, F.concat(F.lit("p. "), page.cast("string")))
 
 
+def citation_struct(number: Column, doc: Column, fragment: Column, score: Column, title: Column, author: Column, page: Column, bbox: Column, place: dict[str, Column]) -> Column:
+    """What a citation points at; the page 0 is none. place: table_id, row, col, figure_id, caption; cells only count
+    with their table, captions with their figure."""
+    table, figure = place["table_id"], place["figure_id"]
+    return F.struct(
+        F.concat(F.lit("cite_"), number.cast("string")).alias("citation_id"), F.coalesce(doc.cast("string"), F.lit("unknown")).alias("doc_id"), fragment.alias("fragment_id"),
+        F.coalesce(score, F.lit(0.0)).alias("score"), title.alias("doc_title"), author.alias("doc_author"), F.nullif(page, F.lit(0)).alias("page"), bbox.alias("bbox"),
+        table.alias("table_id"), F.when(table.isNotNull(), place["row"]).alias("row"), F.when(table.isNotNull(), place["col"]).alias("col"),
+        figure.alias("figure_id"), F.when(figure.isNotNull(), place["caption"]).alias("caption"),
+    )
+
+
+def concatenated(hits: DataFrame, most: int = 5) -> DataFrame:
+    """(query_id, context, citations): a query's first fragments one after the other, numbered, and their sources.
+
+    hits: query_id, rank, doc_id, page, text.
+    """
+    first = hits.where(F.col("rank") <= most)
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown"))
+    item = F.struct("rank", F.coalesce("text", F.lit("")).alias("text"), F.substring(doc, 1, 8).alias("doc"), F.coalesce(F.col("page").cast("string"), F.lit("?")).alias("page"))
+    listed = first.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    number = lambda i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "))
+    return listed.select(
+        "query_id", F.array_join(F.transform("x", lambda e, i: F.concat(number(i), e["text"])), "\n\n").alias("context"),
+        F.transform("x", lambda e, i: F.concat(number(i), F.lit("Documento "), e["doc"], F.lit(", página "), e["page"])).alias("citations"),
+    )
+
+
 def faithfulness(answer: Column, bodies: Column) -> Column:
     """Share of the answer's sentences of which some body holds three long words; four places."""
     words = lambda s: F.filter(F.regexp_extract_all(fold(s), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3)
@@ -46,8 +79,16 @@ def faithfulness(answer: Column, bodies: Column) -> Column:
     return F.when((F.size(all_of) > 0) & (F.size(bodies) > 0), F.round(F.size(backed) / F.size(all_of), 4)).otherwise(0.0)
 
 
-def compose(hits: DataFrame, queries: DataFrame, fragments: int = 3) -> DataFrame:
-    """One answer for each query: (query_id, question_type, answer, faithfulness, warning).
+def in_focus(hits: DataFrame, focus: Column, hints: Column, rank: str = "rank") -> DataFrame:
+    """hits ranked anew: those of the crop in focus first, then those without hints, with several, with another;
+    inside a class as before."""
+    order = Window.partitionBy("query_id").orderBy(focus_class(focus, hints), rank)
+    return hits.withColumn("_rank", F.row_number().over(order).cast("long")).drop(rank).withColumnRenamed("_rank", rank)
+
+
+def compose(hits: DataFrame, queries: DataFrame, fragments: int = 3, focus: str | None = None) -> DataFrame:
+    """One answer for each query: (query_id, question_type, answer, faithfulness, warning). A crop in focus counts
+    as the first of the query's keywords.
 
     hits: (query_id, rank, doc_id, text, author, title, page); queries: (query_id, query). Hits are
     de-duplicated in rank order, the first `fragments` give one or two sentences as bullets with their
@@ -56,7 +97,7 @@ def compose(hits: DataFrame, queries: DataFrame, fragments: int = 3) -> DataFram
     kept = greedy_keep(hits, ["query_id"], "rank", F.col("doc_id"), F.col("page"), F.lit(None).cast("string"), F.col("text"), per_title=1 << 30)
     order = Window.partitionBy("query_id").orderBy("rank")
     top = kept.withColumn("n", F.row_number().over(order)).where(F.col("n") <= fragments)
-    asked = queries.withColumn("question_type", question_type(F.col("query"))).withColumn("terms", keywords(F.col("query"), ANSWER_STOPWORDS))
+    asked = queries.withColumn("question_type", question_type(F.col("query"))).withColumn("terms", _terms(F.col("query"), focus))
     both = top.join(F.broadcast(asked), "query_id")
     per = F.when(F.col("question_type").isin("parametro", "accion"), 2).otherwise(1)
     bullets = F.transform(relevant_sentences(F.coalesce("text", F.lit("")), F.col("terms"), per), lambda s: F.concat(F.lit("- "), clip(s), F.lit(" ["), F.col("n").cast("string"), F.lit("]")))

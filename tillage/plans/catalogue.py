@@ -7,5 +7,5 @@ import importlib
 from tillage.plans.registry import Registry
 
 REGISTRY = Registry()
-for _name in ("retrieval", "texts", "telemetry", "relations", "studies", "streams", "sources"):
+for _name in ("retrieval", "texts", "normal", "chunks", "agronomic", "telemetry", "chat", "dashboard", "relations", "studies", "streams", "sources"):
     importlib.import_module(f"tillage.plans.{_name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillage.functions.text import clip
+from tillage.functions.text import clip, table_signature
 from tillage.operators import planning as K
 from tillage.operators import relational as R
 from tillage.operators import timeseries as W
@@ -47,10 +47,15 @@ def library_page(spark, sf_dir):
     return match.orderBy(F.desc("n_chars"), "doc_id").offset(40).limit(20).crossJoin(F.broadcast(total))  # one row
 
 
-@add("library_facets", "SELECT 'source' AS facet, source AS value, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM documents GROUP BY lang")
+@add(
+    "library_facets",
+    """SELECT 'source' AS facet, source AS value, count(*) AS n, row_number() OVER (ORDER BY source) AS place FROM documents GROUP BY source
+UNION ALL SELECT 'length', CAST(n_chars // 1000 AS VARCHAR), count(*), row_number() OVER (ORDER BY n_chars // 1000 DESC) FROM documents GROUP BY n_chars // 1000""",
+)
 def library_facets(spark, sf_dir):
-    one = lambda c: _docs(spark, sf_dir).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), "value", "n")
-    return one("source").unionByName(one("lang"))
+    """What there is to choose from: sources in alphabetical order, thousands of characters (for years) falling."""
+    docs = _docs(spark, sf_dir).select("source", F.floor(F.col("n_chars") / 1000).alias("length"))
+    return R.facet(docs, "source").unionByName(R.facet(docs, "length", falling=True))
 
 
 @add("fragments_by_page_source", "SELECT source, lang, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars FROM documents GROUP BY ALL")
@@ -100,14 +105,15 @@ def recommendations_filtered(spark, sf_dir):
 
 @add(
     "recommendation_dedupe_window",
-    """WITH p AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id, user_id, event_type FROM p WHERE before IS NULL OR ts > before + INTERVAL 75 MINUTE""",
+    """WITH e AS (SELECT event_id, user_id, event_type, ts, 'texto ' || CAST(floor(value / 60) AS BIGINT) AS text, CASE WHEN event_id % 4 = 0 THEN 'hecho' ELSE 'pendiente' END AS status FROM events),
+p AS (SELECT *, lag(ts) OVER w AS before, lag(text) OVER w AS said FROM e WHERE status = 'pendiente' WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
+SELECT event_id, user_id, event_type FROM p WHERE before IS NULL OR said <> text OR ts > before + INTERVAL 75 MINUTE""",
 )
 def recommendation_dedupe_window(spark, sf_dir):
-    """A recommendation repeats the one before it (same crop and action) within 75 minutes: a lag, not a self join."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("before", F.lag("ts").over(w))
-    return e.where(F.col("before").isNull() | (F.col("ts") > F.col("before") + F.expr("INTERVAL 75 MINUTES"))).select("event_id", "user_id", "event_type")
+    """A pending recommendation repeats the one before it (same crop, action and text) within 75 minutes: a lag, not a self join."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", F.concat(F.lit("texto "), F.floor(F.col("value") / 60).cast("string")).alias("text"), F.when(i % 4 == 0, "hecho").otherwise("pendiente").alias("status"))
+    return W.not_repeated(e.where("status = 'pendiente'"), ["user_id", "event_type"], "text", "ts", "event_id", 75).select("event_id", "user_id", "event_type")
 
 
 @add("seed_guard_anti_join", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_orderstatus = 'F')")
@@ -165,7 +171,7 @@ def calendar_rule_expand(spark, sf_dir):
     crops = _calendar(spark, sf_dir)
     rules = spark.createDataFrame(_RULES, "crop_name string, event_type string, day_offset int, title_template string")
     existing = crops.where("crop_id % 10 = 0").select("crop_id", F.concat(F.lit("Visita a "), "display").alias("title"), F.coalesce("planted", "today").alias("event_date"))
-    out = K.expand_rules(crops, rules, existing, F.col("today"), include_past=True).join(crops.select("crop_id", "today"), "crop_id").where("event_date >= today")
+    out = K.expand_rules(crops, rules, existing, F.col("today"))
     return out.select("crop_id", F.col("event_date").cast("string").alias("event_date"), "title", "event_type")
 
 
@@ -192,23 +198,6 @@ def upcoming_tasks(spark, sf_dir):
     return K.next_tasks(tasks).select("id", F.col("start").cast("string").alias("start"), "urgency")
 
 
-@add(
-    "evidence_plan",
-    f"""WITH q AS (SELECT * FROM (VALUES {S.values(list(enumerate(K.STAGE_QUESTIONS and [s for s, _ in K.STAGE_QUESTIONS])))}) t(k, stage)),
-m AS (SELECT lang AS crop, CASE WHEN count(*) % 5 = 0 THEN 'establecimiento' WHEN count(*) % 5 = 1 THEN 'vegetativo' WHEN count(*) % 5 = 2 THEN 'floración' WHEN count(*) % 5 = 3 THEN 'fructificación' ELSE 'cosecha' END AS stage FROM documents GROUP BY lang),
-s AS (SELECT k AS k0, crop FROM m JOIN q USING (stage)),
-b AS (SELECT lang, arg_max(doc_id, (n_chars, -doc_id)) AS doc_id FROM documents GROUP BY lang)
-SELECT crop, q.stage, b.doc_id FROM s JOIN q ON q.k >= k0 JOIN b ON b.lang = crop""",
-)
-def evidence_plan(spark, sf_dir):
-    """For every crop (language) the questions of its stage and later ones, with the best document as evidence."""
-    questions = spark.createDataFrame([(i, s, q) for i, (s, q) in enumerate(K.STAGE_QUESTIONS)], "k int, stage string, question string")
-    docs = _docs(spark, sf_dir)
-    names = F.array(*[F.lit(s) for s, _ in K.STAGE_QUESTIONS])
-    crops = docs.groupBy(F.col("lang").alias("crop")).agg((F.count("*") % 5).cast("int").alias("k0"), F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id")).where(F.get(names, F.col("k0")).isNotNull())
-    return crops.join(F.broadcast(questions), F.col("k") >= F.col("k0")).select("crop", "stage", "doc_id")
-
-
 @add(
     "profile_fuzzy_lookup",
     """WITH w AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS wanted FROM part), p AS (SELECT lower(p_name) AS pn, max(p_size) AS cycle FROM part GROUP BY 1),
@@ -232,10 +221,46 @@ def sparse_patch(spark, sf_dir):
     return R.patched(base, patch, "c_custkey")
 
 
-@add("clamp_ranges", "SELECT event_id, greatest(5.0, least(60.0, value)) AS clamped, value < 5 OR value > 60 AS outside FROM events")
+@add(
+    "clamp_ranges",
+    """WITH e AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value, CASE WHEN event_id % 5 <> 0 THEN event_id % 11 END AS low, event_id % 9 AS high FROM events)
+SELECT event_id, CASE WHEN value < 5 THEN 5.0 WHEN value > 60 THEN 60.0 ELSE value END AS clamped, value < 5 OR value > 60 AS outside, low IS NULL OR low <= high AS in_order FROM e""",
+)
 def clamp_ranges(spark, sf_dir):
-    v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", R.clamp(v, 5.0, 60.0).alias("clamped"), ((v < 5) | (v > 60)).alias("outside"))
+    """Missing values stay missing; bounds that are the wrong way round are told."""
+    i = F.col("event_id")
+    v = F.when(i % 7 != 0, F.col("value"))
+    ordered = R.in_order([(F.when(i % 5 != 0, i % 11), i % 9)])
+    return table(spark, sf_dir, "events").select("event_id", R.clamp(v, 5.0, 60.0).alias("clamped"), ((v < 5) | (v > 60)).alias("outside"), ordered.alias("in_order"))
+
+
+@add(
+    "status_and_owner_filters",
+    """WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'activo' WHEN 1 THEN 'inactivo' WHEN 2 THEN 'pausa' END AS status, CASE WHEN c_custkey % 3 > 0 THEN c_custkey % 3 END AS owner FROM customer)
+SELECT c_custkey, coalesce(status, 'activo') = 'activo' AS strictly, coalesce(status, 'activo') <> 'inactivo' AS loosely FROM c WHERE owner IS NULL OR owner = 2""",
+)
+def status_and_owner_filters(spark, sf_dir):
+    """Two readings of a missing status, and rows of everybody or of one owner."""
+    k = F.col("c_custkey")
+    status = F.when(k % 4 == 0, "activo").when(k % 4 == 1, "inactivo").when(k % 4 == 2, "pausa")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", status.alias("status"), F.when(k % 3 > 0, k % 3).alias("owner"))
+    return rows.where(R.missing_or(F.col("owner"), F.lit(2))).select("c_custkey", R.active(F.col("status")).alias("strictly"), R.active(F.col("status"), strict=False).alias("loosely"))
+
+
+@add("limits_in_bounds", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
+def limits_in_bounds(spark, sf_dir):
+    """Somebody asks for 720 rows of a list that gives fifty at most."""
+    return table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(R.limited(720, high=50)).select("c_custkey")
+
+
+@add(
+    "library_filters",
+    """SELECT p_partkey FROM part WHERE p_size = 15 AND contains(lower(p_brand), 'brand#1') AND (NULL IS NULL OR p_type = 'todos')""",
+)
+def library_filters(spark, sf_dir):
+    """Filters that are given: a year stands for itself, an author is looked for inside, `todos` and nothing mean all."""
+    given = R.optional_filters(year=(F.col("p_size"), 15), kind=(F.col("p_type"), "todos"), status=(F.col("p_type"), None))
+    return table(spark, sf_dir, "part").where(given & R.holds(F.col("p_brand"), "Brand#1")).select("p_partkey")
 
 
 @add("upsert_merge", "SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, s_name || '*', s_acctbal + 1 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey + 1000000000, s_name, s_acctbal FROM supplier WHERE s_suppkey % 7 = 0")
@@ -310,11 +335,18 @@ def batch_registration(spark, sf_dir):
     return d.join(known, "content_id", "left_anti").groupBy("content_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("files"))
 
 
-@add("table_signatures", "SELECT l_returnflag, l_linestatus, count(DISTINCT (l_partkey, l_suppkey)) AS tables FROM lineitem GROUP BY ALL")
+@add(
+    "table_signatures",
+    r"""WITH c AS (SELECT l_orderkey, l_linenumber, ['a b' || lower(l_linestatus), lower(l_returnflag), '', NULL, 'x'] AS cells FROM lineitem WHERE l_linenumber <= 4),
+s AS (SELECT l_orderkey, l_linenumber, sha1('1x5|' || array_to_string(list_filter(cells[1:4], lambda x: x <> ''), '|')) AS signature FROM c)
+SELECT l_orderkey, signature, min(l_linenumber) AS kept, count(*) AS found FROM s GROUP BY ALL""",
+)
 def table_signatures(spark, sf_dir):
-    """Tables found twice are one: rows de-duplicated by signature before they count."""
-    li = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_partkey", "l_suppkey")
-    return li.dropDuplicates().groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("tables"))
+    """A table found in two ways is one: by the signature of its size and first cells."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 4")
+    rows = F.array(F.array(F.concat(F.lit(" A  b"), F.col("l_linestatus")), F.col("l_returnflag"), F.lit(" "), F.lit(None).cast("string"), F.lit("x")))
+    signed = li.select("l_orderkey", "l_linenumber", table_signature(rows).alias("signature"))
+    return signed.groupBy("l_orderkey", "signature").agg(F.min("l_linenumber").alias("kept"), F.count("*").alias("found"))
 
 
 @add("newest_orders", "SELECT o_custkey, o_orderkey, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n <= 3")

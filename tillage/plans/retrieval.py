@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tillage.functions.text import RANK_STOPWORDS, fold, keywords, tokens
 from tillage.functions.vectors import hashed_embedding, norm
-from tillage.operators import lexical, ranking
+from tillage.operators import evaluation, lexical, ranking
+from tillage.operators.assistant import named_crop
 from tillage.operators.dense import top_vectors, top_vectors_of_set
+from tillage.operators.entities import coverage, crop_hints
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
 from tillage.session import scratch, table
@@ -107,10 +109,10 @@ def dummy_embedding_norm(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 7), 6).alias("last"), F.round(norm(F.col("v")), 6).alias("norm"))
 
 
-def hybrid(spark, sf_dir, k_lexical: int = 100, k_dense: int = 8) -> DataFrame:
+def hybrid(spark, sf_dir, k_lexical: int = 100, k_dense: int = 8, queries: list[tuple[int, str]] = QUERIES) -> DataFrame:
     """(query_id, doc_id, rrf_score, rank): both searches for all queries at once, fused."""
-    lex = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=k_lexical).select("query_id", "doc_id", "rank")
-    den = top_vectors(table(spark, sf_dir, "embeddings"), _query_vectors(spark), k=k_dense).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    lex = lexical.bm25(_docs(spark, sf_dir), queries, k=k_lexical).select("query_id", "doc_id", "rank")
+    den = top_vectors(table(spark, sf_dir, "embeddings"), _query_vectors(spark, queries), k=k_dense).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     return ranking.reciprocal_rank_fusion([den, lex], ["query_id"], "doc_id")
 
 
@@ -153,21 +155,30 @@ def term_coverage_rerank(spark, sf_dir):
     return out.select("query_id", "doc_id", "rrf_score", F.round("coverage", 6).alias("coverage"), "boosted", "rank")
 
 
+_ASKED = ["the", "and", "les"]
+
+
 @REGISTRY.add(
     "multifactor_rerank",
     f"""WITH {_HYBRID}, a AS (SELECT max(o_orderdate) AS as_of FROM orders),
-m AS (SELECT query_id, doc_id, rrf_score, source, greatest(0.0, 1 - date_diff('day', CAST(o_orderdate AS DATE), CAST(as_of AS DATE)) / 365.0) AS fresh
-      FROM (SELECT * FROM rrf WHERE rank <= 20) JOIN documents USING (doc_id) LEFT JOIN orders ON o_orderkey = doc_id, a),
-s AS (SELECT query_id, doc_id, round(0.4 * rrf_score + 0.2 * coalesce(fresh, 0.5) + 0.2 * CASE WHEN regexp_matches(lower(coalesce(source, '')), 'inifap|fao|sagarpa|senasica') THEN 1.0 ELSE 0.5 END + 0.2 * 0.5, 9) AS rerank_score FROM m)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rank FROM s""",
+m AS (SELECT query_id, doc_id, rrf_score, source, {S.fold("coalesce(text, '')")} AS t,
+      CASE WHEN o_orderdate IS NULL THEN 0.5 ELSE greatest(0.0, 1 - date_diff('day', CAST(o_orderdate AS DATE), CAST(as_of AS DATE)) / 365.0) END AS fresh
+      FROM (SELECT * FROM rrf WHERE rank <= 20) JOIN documents USING (doc_id) LEFT JOIN orders ON o_orderkey = doc_id AND doc_id % 3 <> 0, a),
+s AS (SELECT query_id, doc_id, fresh, round(0.4 * rrf_score + 0.2 * fresh + 0.2 * CASE WHEN regexp_matches(lower(coalesce(source, '')), 'inifap|fao|sagarpa|senasica') THEN 1.0 ELSE 0.5 END
+      + 0.2 * round(len(list_filter({_ASKED}, lambda w: list_contains(regexp_extract_all(t, '[a-z0-9_]+'), w))) / {len(_ASKED)}, 4), 9) AS rerank_score FROM m)
+SELECT query_id, doc_id, round(fresh, 6) AS fresh, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, doc_id) AS rank FROM s""",
 )
 def multifactor_rerank(spark, sf_dir):
-    """Orders stand in for dates of documents: the order with the document's number."""
+    """Orders stand in for dates of documents: the order with the document's number; every third has none."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     as_of = orders.agg(F.max("o_orderdate").alias("as_of"))
-    top = hybrid(spark, sf_dir).where("rank <= 20").drop("rank").join(_docs(spark, sf_dir), "doc_id").join(orders, F.col("o_orderkey") == F.col("doc_id"), "left").crossJoin(F.broadcast(as_of))
-    score = ranking.multifactor(F.col("rrf_score"), ranking.freshness(F.col("o_orderdate"), F.col("as_of")), ranking.authority(F.col("source")), F.lit(0.5))
-    return ranking.ranked(top.select("query_id", "doc_id", F.round(score, 9).alias("rerank_score")), "rerank_score", ["query_id"], "doc_id")
+    dated = orders.where("o_orderkey % 3 <> 0")
+    top = hybrid(spark, sf_dir).where("rank <= 20").drop("rank").join(_docs(spark, sf_dir), "doc_id").join(dated, F.col("o_orderkey") == F.col("doc_id"), "left").crossJoin(F.broadcast(as_of))
+    fresh = ranking.freshness(F.col("o_orderdate"), F.col("as_of"))
+    asked = F.array(*[F.lit(w) for w in _ASKED])
+    entity = coverage(asked, F.array_distinct(tokens(F.col("text"))))
+    score = ranking.multifactor(F.col("rrf_score"), fresh, ranking.authority(F.col("source")), entity)
+    return ranking.ranked(top.select("query_id", "doc_id", F.round(fresh, 6).alias("fresh"), F.round(score, 9).alias("rerank_score")), "rerank_score", ["query_id"], "doc_id")
 
 
 @REGISTRY.add(
@@ -188,8 +199,6 @@ _HINT_SQL = "list_sort(list_filter([" + ", ".join(f"'{w}'" for w in FOCUS_WORDS)
 
 
 def _focused(spark, sf_dir, scope: str) -> DataFrame:
-    from tillage.operators.entities import crop_hints
-
     hits = _reranked(spark, sf_dir).withColumn("hints", crop_hints(F.coalesce("text", F.lit("")), FOCUS_WORDS))
     factor, reason = ranking.focus_factor(F.lit("with"), F.col("hints"), F.coalesce("text", F.lit("")), scope)
     return hits.withColumn("factor", F.round(factor, 6)).withColumn("reason", reason).withColumn("score", F.round(F.col("boosted") * factor, 9))
@@ -249,11 +258,25 @@ def auto_focus_detect(spark, sf_dir):
     return out.select("doc_id", "focus", F.when(F.col("focus").isNull(), "global").otherwise("crop_boost").alias("scope"), F.when(F.col("focus").isNull(), F.lit("consulta")).otherwise(F.concat(F.lit("documentacion agronomica sobre "), "focus", F.lit(": consulta"))).alias("rewritten"))
 
 
-@REGISTRY.add("fragment_dedupe_rules")
+@REGISTRY.add(
+    "fragment_dedupe_rules",
+    f"""WITH RECURSIVE {S.bm25(QUERIES, 50)},
+h AS (SELECT query_id, rank, doc_id, source, coalesce(CAST(doc_id // 4 AS VARCHAR), '') || '/' || lang AS place,
+      regexp_replace(lower(trim(CASE WHEN doc_id % 5 = 0 THEN '' ELSE coalesce(source, '') END)), '\\s+', ' ', 'g') AS title,
+      lower(substr(regexp_replace(coalesce(text, ''), '^\\s+', ''), 1, 220)) AS head FROM lex JOIN documents USING (doc_id)),
+g AS (SELECT query_id, 0::BIGINT AS rank, []::VARCHAR[] AS places, []::VARCHAR[] AS titles, []::VARCHAR[] AS heads, false AS kept FROM q
+      UNION ALL
+      SELECT query_id, h.rank, CASE WHEN ok THEN list_append(places, place) ELSE places END, CASE WHEN ok THEN list_append(titles, title) ELSE titles END, CASE WHEN ok THEN list_append(heads, head) ELSE heads END, ok
+      FROM (SELECT g.query_id, h.rank, h.place, h.title, h.head, g.places, g.titles, g.heads,
+                   NOT list_contains(g.places, h.place) AND (h.title = '' OR len(list_filter(g.titles, lambda t: t = h.title)) < 2) AND (h.head = '' OR NOT list_contains(g.heads, h.head)) AS ok
+            FROM g JOIN h ON h.query_id = g.query_id AND h.rank = g.rank + 1) h)
+SELECT query_id, rank, doc_id, source FROM g JOIN h USING (query_id, rank) WHERE kept""",
+)
 def fragment_dedupe_rules(spark, sf_dir):
-    """Greedy and order-dependent, so without SQL: the language stands for the page, the source for the title."""
+    """Four neighbouring documents stand for one, the language for the page, the source for the title; every fifth is untitled."""
     hits = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=50).join(_docs(spark, sf_dir), "doc_id")
-    kept = ranking.greedy_keep(hits, ["query_id"], "rank", F.col("doc_id"), F.col("lang"), F.col("source"), F.col("text"))
+    title = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source"))
+    kept = ranking.greedy_keep(hits, ["query_id"], "rank", F.floor(F.col("doc_id") / 4), F.col("lang"), title, F.col("text"))
     return kept.select("query_id", "rank", "doc_id", "source")
 
 
@@ -268,17 +291,123 @@ def exact_dup_by_prefix_hash(spark, sf_dir):
 
 
 @REGISTRY.add(
-    "canary_recall",
+    "planted_strings",
     f"""WITH b AS (SELECT item_id AS query_id, {S.fold("coalesce(text, '')")} AS t FROM benchmark),
 d AS (SELECT doc_id, {S.fold("coalesce(text, '')")} AS t FROM documents)
 SELECT query_id, count(doc_id) AS n_docs, min(doc_id) AS first_doc, count(doc_id) > 0 AS found FROM b LEFT JOIN d ON contains(d.t, b.t) GROUP BY query_id""",
 )
-def canary_recall(spark, sf_dir):
+def planted_strings(spark, sf_dir):
     """Which documents hold a planted string whole."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), fold(F.coalesce("text", F.lit(""))).alias("needle"))
     return planted(items, _docs(spark, sf_dir).select("doc_id", fold(F.coalesce("text", F.lit(""))).alias("t")))
 
 
+#: Query and planted string, by query.
+CANARIES = [(1, "that"), (2, "nicht"), (3, "dans"), (4, "para los"), (5, "no such string")]
+
+
+@REGISTRY.add(
+    "canary_recall",
+    f"""WITH {_HYBRID}, c AS (SELECT * FROM (VALUES {S.values(CANARIES)}) t(query_id, needle)),
+h AS (SELECT 'hybrid' AS mode, query_id, doc_id, rank FROM rrf WHERE rank <= 8 UNION ALL SELECT 'lex', query_id, doc_id, rank FROM lex WHERE rank <= 8),
+x AS (SELECT mode, query_id, min(rank) AS rank FROM h JOIN c USING (query_id) JOIN documents USING (doc_id) WHERE contains(coalesce(text, ''), needle) GROUP BY ALL)
+SELECT m.mode, c.query_id, x.rank IS NOT NULL AS found, coalesce(x.rank, 0) - 1 AS rank_of_canary FROM c CROSS JOIN (VALUES ('hybrid'), ('lex')) m(mode) LEFT JOIN x ON x.mode = m.mode AND x.query_id = c.query_id""",
+)
+def canary_recall(spark, sf_dir):
+    """Whether and where each way of searching brings up the planted string, among the first eight."""
+    docs = _docs(spark, sf_dir)
+    lex = lexical.bm25(docs, QUERIES, k=8).select(F.lit("lex").alias("mode"), "query_id", "doc_id", "rank")
+    both = hybrid(spark, sf_dir).where("rank <= 8").select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rank").unionByName(lex)
+    canaries = spark.createDataFrame(CANARIES, "query_id long, needle string")
+    return evaluation.canary_ranks(both, docs, canaries, ["hybrid", "lex"])
+
+
+@REGISTRY.add(
+    "audit_summary",
+    f"""WITH {_HYBRID}, h AS (SELECT query_id, count(*) AS n_fragments, count(DISTINCT doc_id // 4) AS unique_docs, string_agg(source, '|' ORDER BY rank) AS titles, max(rrf_score) AS best FROM rrf JOIN documents USING (doc_id) WHERE rank <= 10 GROUP BY query_id)
+SELECT query_id, query, coalesce(n_fragments, 0) AS n_fragments, coalesce(unique_docs, 0) AS unique_docs, coalesce(titles, '') AS titles, coalesce(n_fragments, 0) = 0 AS insufficient FROM q LEFT JOIN h USING (query_id)""",
+)
+def audit_summary(spark, sf_dir):
+    """Four neighbouring documents stand for one, the source for the title."""
+    hits = hybrid(spark, sf_dir).where("rank <= 10").join(_docs(spark, sf_dir), "doc_id").select("query_id", "rank", F.floor(F.col("doc_id") / 4).alias("doc"), F.col("source").alias("title"))
+    asked = spark.createDataFrame(QUERIES, "query_id long, query string")
+    return evaluation.audit(hits, asked).select("query_id", "query", "n_fragments", "unique_docs", F.array_join("titles", "|").alias("titles"), "insufficient")
+
+
+_FOCUS_CASES = [(1, "plagas del maiz", None, None, "global"), (2, "plagas del maiz", "Frijol", None, "crop_strict"), (3, "plagas", "Chile", "Tomate Rojo", "crop_boost"), (4, "clima", None, None, "global"), (5, "maiz y frijol", None, None, "crop_boost"), (6, "calabaza y chile", "", None, "global")]
+_FOCUS_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in _FOCUS_CASES)
+
+
+@REGISTRY.add(
+    "focus_precedence",
+    f"""WITH f AS (SELECT * FROM (VALUES {_FOCUS_ROWS}) t(id, query, asked, crop_of_id, scope)),
+g AS (SELECT *, coalesce(nullif(lower(trim(crop_of_id)), ''), nullif(lower(trim(asked)), '')) AS given,
+      CASE WHEN contains(query, 'calabaza') THEN 'calabaza' WHEN contains(query, 'frijol') THEN 'frijol' WHEN contains(query, 'chile') THEN 'chile' WHEN contains(query, 'maiz') THEN 'maiz' END AS seen FROM f),
+a AS (SELECT *, given IS NULL AND crop_of_id IS NULL AND asked IS NULL AND scope = 'global' AND seen IS NOT NULL AS auto FROM g),
+e AS (SELECT id, query, auto, coalesce(given, CASE WHEN auto THEN seen END) AS focus, CASE WHEN auto THEN 'crop_boost' ELSE scope END AS scope FROM a)
+SELECT *, CASE WHEN focus IS NOT NULL AND scope <> 'global' THEN 'documentacion agronomica sobre ' || focus || ': ' || query ELSE query END AS search_query FROM e""",
+)
+def focus_precedence(spark, sf_dir):
+    """The crop of an id before the crop asked for before the crop that the query names."""
+    rows = spark.createDataFrame(_FOCUS_CASES, "id long, query string, asked string, crop_of_id string, scope string")
+    seen = named_crop(F.col("query"), F.array(*[F.lit(c) for c in ("calabaza", "frijol", "chile", "maiz")]))
+    focus = ranking.effective_focus(F.col("crop_of_id"), F.col("asked"), seen, F.col("scope"))
+    done = rows.withColumn("f", focus).withColumn("search_query", ranking.focused_query(F.col("query"), F.col("f")))
+    return done.select("id", "query", "f.auto", "f.focus", "f.scope", "search_query")
+
+
+_MODES = f"""WITH {_HYBRID},
+m AS (SELECT 'hybrid' AS mode, query_id, doc_id, rrf_score, NULL::DOUBLE AS score FROM rrf WHERE rank <= 8 UNION ALL SELECT 'lex', query_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 0.0 END, score FROM lex WHERE rank <= 8),
+u AS (SELECT mode, query_id, doc_id, round(coalesce(nullif(rrf_score, 0), score, rrf_score, 0), 9) AS rrf_score FROM m)"""
+
+
+def _by_mode(spark, sf_dir) -> DataFrame:
+    """Hits of both modes with one score; the single search's have no fused score, or 0."""
+    lex = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).select(F.lit("lex").alias("mode"), "query_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, 0.0).alias("rrf_score"), "score")
+    both = hybrid(spark, sf_dir).where("rank <= 8").select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rrf_score", F.lit(None).cast("double").alias("score"))
+    return both.unionByName(lex).select("mode", "query_id", "doc_id", F.round(ranking.unified_score(F.col("score"), F.col("rrf_score")), 9).alias("rrf_score"))
+
+
+@REGISTRY.add("score_unification", f"{_MODES} SELECT * FROM u")
+def score_unification(spark, sf_dir):
+    return _by_mode(spark, sf_dir)
+
+
+@REGISTRY.add(
+    "insufficient_payload",
+    f"""{_MODES}, g AS (SELECT mode, query_id, count(*) FILTER (rrf_score >= 0.001) AS n1, count(*) AS n0, avg(rrf_score) FILTER (rrf_score >= 0.001) AS m1, avg(rrf_score) AS m0,
+      count(DISTINCT source) FILTER (rrf_score >= 0.001) AS s1, count(DISTINCT source) AS s0 FROM u JOIN documents USING (doc_id) GROUP BY ALL),
+k AS (SELECT mode, query_id, CASE WHEN n1 > 0 THEN n1 ELSE n0 END AS kept, CASE WHEN n1 > 0 THEN s1 ELSE s0 END AS sources, CASE WHEN n1 > 0 THEN m1 ELSE m0 END AS mean FROM g)
+SELECT mode, query_id, CASE WHEN kept < 3 THEN 'k_min_after_filter' WHEN sources < 2 THEN 'min_sources' WHEN mean < 0.02 THEN 'mean_score' END AS reason,
+CASE WHEN kept < 3 OR sources < 2 OR mean < 0.02 THEN '<p><em>Insuficiente evidencia en el conjunto documental actual.</em></p>' END AS html,
+CASE WHEN kept < 3 OR sources < 2 OR mean < 0.02 THEN 'insuficiente_evidencia' END AS warning FROM k""",
+)
+def insufficient_payload(spark, sf_dir):
+    hits = _by_mode(spark, sf_dir).join(_docs(spark, sf_dir), "doc_id")
+    gate = ranking.evidence_gate(hits, ["mode", "query_id"], doc="source", k_min=3, sources_min=2, mean_min=0.02)
+    p = ranking.insufficient_payload(F.col("kept"), F.col("sources"), F.col("mean_score"), F.col("reason"))
+    return gate.select("mode", "query_id", "reason", p["respuesta_html"].alias("html"), F.get(p["advertencias"], 0).alias("warning"))
+
+
+@REGISTRY.add(
+    "hit_hydration",
+    f"""WITH {_HYBRID}, h AS (SELECT query_id, doc_id AS f, rrf_score, rank FROM rrf WHERE rank <= 10),
+x AS (SELECT query_id, f, rank, CASE WHEN f % 7 = 0 THEN NULL ELSE f // 4 END AS doc, CASE WHEN f % 5 = 0 THEN 0 ELSE f % 5 END AS page, source, text FROM h JOIN documents ON doc_id = f)
+SELECT query_id, f AS fragment_id, rank, doc AS doc_id, d.source AS doc_title, page AS page_start, CAST(length(coalesce(x.text, '')) AS BIGINT) AS n_chars,
+CASE WHEN f % 3 = 1 THEN 4 END AS n_box, CASE WHEN doc IS NOT NULL AND page > 0 THEN '/api/documents/' || doc || '/render?page=' || page || '&fragment_id=' || f END AS render_url,
+CASE WHEN doc IS NOT NULL AND page > 0 THEN '/api/documents/' || doc || '/fragments/' || f || '/locate' END AS locate_url FROM x LEFT JOIN documents d ON d.doc_id = x.doc""",
+)
+def hit_hydration(spark, sf_dir):
+    """Documents stand for fragments, four neighbouring ones for a document that the one with its number describes."""
+    d = _docs(spark, sf_dir)
+    f = F.col("doc_id")
+    box = F.when(f % 3 == 0, "not a list").when(f % 3 == 1, "[1, 2, 3.5, 4]").otherwise("[1, 2]")
+    fragments = d.select(f.alias("fragment_id"), F.when(f % 7 != 0, F.floor(f / 4)).alias("doc_id"), "text", (f % 5).cast("int").alias("page_start"), (f % 5).cast("int").alias("page_end"), box.alias("bbox"), "source")
+    hits = hybrid(spark, sf_dir).where("rank <= 10").select("query_id", F.col("doc_id").alias("fragment_id"), "rank")
+    out = ranking.hydrated(hits, fragments, d.select("doc_id", F.col("source").alias("title")))
+    return out.select("query_id", "fragment_id", "rank", "doc_id", "doc_title", "page_start", F.length("text").cast("long").alias("n_chars"), F.nullif(F.coalesce(F.size("bbox"), F.lit(-1)), F.lit(-1)).alias("n_box"), "render_url", "locate_url")
+
+
 def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
     """(query_id, n_docs, first_doc, found) of items (query_id, needle): documents (doc_id, t) that contain the needle.
 
@@ -289,10 +418,12 @@ def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> Da
     spark = items.sparkSession
     needles = items.select("needle", F.split("needle", " ").alias("n")).distinct()
     keyed = needles.where(F.size("n") >= 7).select("needle", F.array_join(F.slice("n", 2, 5), " ").alias("key"))
-    words = docs.withColumn("w", F.split("t", " "))
-    grams = words.select("doc_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, F.lit(5)), " ")))).alias("key"))
+    five = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " "))
+    # only the keys travel with a document's number; its text is met again where a key fits
+    grams = docs.select("doc_id", F.explode(F.array_distinct(five(F.split("t", " ")))).alias("key"))
     counted = lambda hit: hit.groupBy("needle").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    found = counted(grams.join(keyed, "key").where(F.contains("t", "needle")))
+    met = grams.join(keyed, "key").select("doc_id", "needle").distinct()
+    found = counted(docs.join(met, "doc_id").where(F.contains("t", "needle")))
     short = needles.where(F.size("n") < 7).select("needle")
     size = short.agg(F.sum(F.octet_length("needle") + 8).alias("b")).first()["b"]
     if size is not None:

@@ -2,11 +2,49 @@
 
 from __future__ import annotations
 
-from tillage.functions.text import MARKED, PLAIN
+from pyspark.sql import functions as F
+
+from tillage.functions.text import MARKED, PAIRS, PLAIN
 
 
 def fold(c: str) -> str:
-    return f"lower(translate({c}, '{MARKED}', '{PLAIN}'))"
+    out = rf"lower(translate(regexp_replace({c}, '\p{{M}}+', '', 'g'), '{MARKED}', '{PLAIN}'))"
+    for letter, plain in PAIRS.items():
+        out = f"replace({out}, '{letter}', '{plain}')"
+    return out
+
+
+def ascii_only(c):
+    """Other letters as blanks, for a column or in SQL: engines differ on word boundaries next to them."""
+    if isinstance(c, str):
+        return rf"regexp_replace({c}, '[^\x00-\x7F]', ' ', 'g')"
+    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
+
+
+def strip(c: str) -> str:
+    return rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+def chain(c: str, rules: list[tuple[str, str]]) -> str:
+    """Replacements in order; line breaks are written as chr(10)."""
+    for pattern, by in rules:
+        by = by.replace("$1", "\\1").replace("$2", "\\2")
+        c = f"regexp_replace({c}, '{pattern}', {'chr(10) || chr(10)' if by == chr(10) * 2 else repr_sql(by)}, 'g')"
+    return c
+
+
+def repr_sql(v: str) -> str:
+    return "'" + v.replace("'", "''") + "'"
+
+
+def packed(pieces: str, size: str, most: int, between: int, joiner: str) -> str:
+    """CTEs ending in k(doc_id, n, chunk): pieces (a list for each document) packed greedily, by recursion."""
+    grown = f"r.held + s.size + {between}"
+    return f"""a AS (SELECT doc_id, {pieces} AS ss FROM documents),
+s AS (SELECT doc_id, i, ss[i] AS piece, {size} AS size FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM a)),
+r AS (SELECT doc_id, i, size AS held, 0 AS n FROM s WHERE i = 1
+      UNION ALL SELECT s.doc_id, s.i, CASE WHEN {grown} > {most} THEN s.size ELSE {grown} END, CASE WHEN {grown} > {most} THEN r.n + 1 ELSE r.n END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1),
+k AS (SELECT doc_id, n, string_agg(piece, {joiner} ORDER BY i) AS chunk FROM r JOIN s USING (doc_id, i) GROUP BY doc_id, n)"""
 
 
 def squeeze(c: str) -> str:

@@ -14,21 +14,39 @@ def _events(spark, sf_dir):
     return Z.timed(Z.read_stream(spark, sf_dir, "events"))
 
 
-@add("stream_daily_avg")
+_MARK = "m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)"
+
+
+@add(
+    "stream_daily_avg",
+    f"""WITH {_MARK} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, round(avg(value), 6) AS avg_value, count(*) AS n FROM events, m
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY ALL""",
+)
 def stream_daily_avg(spark, sf_dir):
     """Windows behind the watermark: the last day stays open."""
-    return Z.drained(Z.window_means(_events(spark, sf_dir), "1 day", by=["event_type"]))
+    out = Z.drained(Z.window_means(_events(spark, sf_dir), "1 day", by=["event_type"]))
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", F.round("avg_value", 6).alias("avg_value"), "n")
 
 
-@add("stream_dedupe")
+@add("stream_dedupe", "SELECT DISTINCT user_id, event_type, 'texto ' || CAST(floor(value / 50) AS BIGINT) AS text FROM events")
 def stream_dedupe(spark, sf_dir):
+    """One of each recommendation (crop, action, text) of a batch; which one is left open, so only the keys are shown."""
     e = Z.timed(Z.read_stream(spark, sf_dir, "events"), late="75 minutes")
-    return Z.drained(Z.first_in_window(e, ["user_id", "event_type"]).select("event_id", "user_id", "event_type"))
+    e = e.withColumn("text", F.concat(F.lit("texto "), F.floor(F.col("value") / 50).cast("string")))
+    return Z.drained(Z.first_in_window(e, ["user_id", "event_type", "text"]).select("user_id", "event_type", "text"))
 
 
-@add("stream_sessions")
+@add(
+    "stream_sessions",
+    f"""WITH {_MARK}, g AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g), t AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z, count(*) AS n FROM s GROUP BY user_id, s)
+SELECT user_id, strftime(a, '%Y-%m-%d %H:%M:%S') AS start, strftime(z, '%Y-%m-%d %H:%M:%S') AS "end", n FROM t, m WHERE z <= mark""",
+)
 def stream_sessions(spark, sf_dir):
-    return Z.drained(Z.sessions(_events(spark, sf_dir), "user_id", "30 minutes"))
+    """A user's events less than half an hour apart, once the watermark has passed them."""
+    out = Z.drained(Z.sessions(_events(spark, sf_dir), "user_id", "30 minutes"))
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return out.select("user_id", shown("start").alias("start"), shown("end").alias("end"), "n")
 
 
 @add("stream_latest_state", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, count(*) AS seen FROM events GROUP BY user_id")
@@ -41,3 +59,9 @@ def stream_latest_state(spark, sf_dir):
 def stream_breaker(spark, sf_dir):
     e = _events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
     return Z.drained(Z.breaker(e, "user_id", "ok", "value", max_error=0.3, max_p95=140.0), "update")
+
+
+@add("stream_late_rows", "SELECT 3::BIGINT AS late, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")
+def stream_late_rows(spark, sf_dir):
+    """Rows that come behind the watermark are counted, not lost in silence: three of them follow the newest ten days."""
+    return Z.late_rows(spark, sf_dir)

@@ -146,10 +146,44 @@ def corr_rank(spark, sf_dir):
 
 @add("ols_fit")
 def ols_fit(spark, sf_dir):
+    """Coefficients, fit and optimum; the normal equations are checked by ols_residuals."""
     beta, fit = Q.least_squares(_coded(spark, sf_dir), FACTORS, "awc")
-    names = ["intercept", *FACTORS]
-    best = [("optimum", float(beta[0] + sum(abs(b) for b in beta[1:])))]
-    return spark.createDataFrame([*[(n, float(b)) for n, b in zip(names, beta)], *fit.items(), *best], "term string, value double")
+    levels, best = Q.optimum(beta, FACTORS)
+    named = [(n, float(b)) for n, b in zip(["intercept", *FACTORS], beta)]
+    advised = _soil(spark, sf_dir).agg(*[F.percentile(f, 0.75 if levels[f] > 0 else 0.25).alias(f) for f in FACTORS]).first()
+    more = [*[(f"level_{f}", float(levels[f])) for f in FACTORS], *[(f"advised_{f}", float(advised[f])) for f in FACTORS], ("optimum", best)]
+    return spark.createDataFrame([*named, *fit.items(), *more], "term string, value double")
+
+
+@add("ols_residuals", "SELECT t.term, 0.0::DOUBLE AS correlation FROM (VALUES ('intercept'), " + ", ".join(f"('{f}')" for f in FACTORS) + ") t(term)")
+def ols_residuals(spark, sf_dir):
+    """What the fit leaves over correlates with nothing in it: of all coefficients only those of least squares do that."""
+    coded = _coded(spark, sf_dir)
+    beta, _ = Q.least_squares(coded, FACTORS, "awc")
+    x = [F.lit(1.0), *[F.col(f"{f}_c").cast("double") for f in FACTORS]]
+    left = F.col("awc") - sum((float(b) * v for b, v in zip(beta, x)), F.lit(0.0))
+    one = coded.agg(*[(F.sum(left * v) / F.sum(F.abs(left))).alias(n) for n, v in zip(["intercept", *FACTORS], x)])
+    listed = F.array(*[F.struct(F.lit(n).alias("term"), (F.round(n, 6) + 0.0).alias("correlation")) for n in ["intercept", *FACTORS]])
+    return one.select(F.explode(listed).alias("x")).select("x.term", F.abs("x.correlation").alias("correlation"))
+
+
+@add("shapiro_wilk")
+def shapiro_wilk(spark, sf_dir):
+    """Whether water in the soil is normal; quantiles of the normal distribution are beyond SQL."""
+    w, p = Q.shapiro_wilk(_soil(spark, sf_dir), "awc")
+    return spark.createDataFrame([(float(w), float(p))], "w double, p double")
+
+
+@add(
+    "value_ranks",
+    "WITH " + _SOIL + """, r AS (SELECT l_orderkey * 10 + l_linenumber AS number, row_number() OVER (ORDER BY l_orderkey * 10 + l_linenumber) AS r FROM w)
+SELECT CAST(number AS DOUBLE) AS number, count(*) AS n, CAST(sum(r) AS BIGINT) AS ranks FROM r GROUP BY number""",
+)
+def value_ranks(spark, sf_dir):
+    """Places in a global order, found without sorting everything in one task."""
+    lines = _soil(spark, sf_dir).withColumn("number", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("double"))
+    placed, _ = Q.ranked(lines, "number")
+    return placed.groupBy("number").agg(F.count("*").alias("n"), F.sum("_rank").cast("long").alias("ranks"))
 
 
 @add(

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillage.functions import chunking as C
 from tillage.functions import text as T
 from tillage.operators import assistant as A
 from tillage.operators import entities as E
-from tillage.operators import lexical
 from tillage.operators import synthesis as Y
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
-from tillage.plans.retrieval import QUERIES
+from tillage.plans.sqlparts import ascii_only
 from tillage.session import table
 
 add = REGISTRY.add
@@ -27,23 +25,6 @@ def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
 
 
-@add("fold_tokens", f"SELECT doc_id, CAST(len({S.tokens('text')}) AS BIGINT) AS n_tokens, md5(array_to_string({S.tokens('text')}, ' ')) AS digest FROM documents")
-def fold_tokens(spark, sf_dir):
-    t = T.tokens(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
-
-
-@add(
-    "normalize_text_chain",
-    rf"""WITH a AS (SELECT doc_id, regexp_replace({TEXT}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', ' ', 'g') AS t FROM documents),
-b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS t FROM a)
-SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM b""",
-)
-def normalize_text_chain(spark, sf_dir):
-    t = T.normalize_text(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(T.ANSWER_STOPWORDS)))
 
 
@@ -53,24 +34,18 @@ def keyword_extract(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.size(k).cast("long").alias("n"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"))
 
 
-_SENT = rf"list_filter(list_transform(string_split_regex(regexp_replace({TEXT}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 6)"
+SENTENCES = rf"list_filter(list_transform(string_split_regex(regexp_replace({TEXT}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 6)"
 
 
-@add("sentence_split", f"WITH s AS (SELECT doc_id, {_SENT} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS BIGINT) AS longest, md5(array_to_string(ss, '|')) AS digest FROM s")
+@add("sentence_split", f"WITH s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS BIGINT) AS longest, md5(array_to_string(ss, '|')) AS digest FROM s")
 def sentence_split(spark, sf_dir):
     s = T.sentences(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join(s, "|")).alias("digest"))
 
 
-@add("sentence_variants")
-def sentence_variants(spark, sf_dir):
-    c = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.size(T.sentences_before_capital(c)).alias("before_capital"), F.size(T.sentences_and_lines(c)).alias("and_lines"), F.size(T.sentences_or_dashes(c)).alias("or_dashes"), F.size(T.paragraphs(c)).alias("paragraphs"))
-
-
 @add(
     "relevant_sentences",
-    f"""WITH s AS (SELECT doc_id, {_SENT} AS ss FROM documents),
+    f"""WITH s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents),
 u AS (SELECT doc_id, i, ss[i] AS sent, len(list_filter(['the', 'with', 'les', 'und'], lambda t: contains({S.fold('ss[i]')}, t))) AS n FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM s)),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN n > 0 THEN -n ELSE 0 END, i) AS k, max(n) OVER (PARTITION BY doc_id) AS best FROM u)
 SELECT doc_id, k AS place, sent FROM r WHERE (n > 0 AND k <= 2) OR (best = 0 AND k = 1)""",
@@ -114,72 +89,51 @@ def href_neutralise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.neutral_links(h)).alias("digest"))
 
 
-@add("units_equations_names")
-def units_equations_names(spark, sf_dir):
-    """Unit spellings, equation protection with its round trip, compact and safe names, furniture and line kinds."""
-    kept, pairs = T.protect_equations(F.col("text"))
-    base = _docs(spark, sf_dir).select("doc_id", "text", "source", kept.alias("kept"), pairs.alias("pairs"))
-    return base.select(
-        "doc_id", F.length(T.canonical_units(F.concat("text", F.lit(" 5 KG / HA")))).cast("long").alias("n_unit_chars"), F.size("pairs").cast("long").alias("n_equations"),
-        (T.restore_equations(F.col("kept"), F.col("pairs")) == F.col("text")).alias("restored"), T.compact_name(F.col("source")).alias("compact"), T.safe_name(F.concat(F.lit("a/b/"), "source", F.lit(" ñ.pdf"))).alias("safe"),
-        F.size(F.filter(F.split("text", "\n"), lambda x: T.page_furniture(x))).cast("long").alias("n_furniture"), F.length(T.normalize_extracted(F.col("text"))).cast("long").alias("n_extracted"), F.length(T.clip_at_word(F.col("text"))).cast("long").alias("n_clipped"),
-    )
-
-
-@add("markdown_lines")
-def markdown_lines(spark, sf_dir):
-    lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).withColumn("kind", T.line_kind(F.col("line")))
-    inside = F.sum(F.when(F.col("kind") == "fence", 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("n")) % 2 == 1
-    return lines.withColumn("kind", F.when(inside & (F.col("kind") != "fence"), "code").otherwise(F.col("kind"))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
-
-
 _NORM = rf"trim(regexp_replace(translate({S.fold('trim(' + TEXT + ')')}, '¿?¡!', '    '), '[^a-z0-9%°\s\-_/.,]', ' ', 'g'))"
 _NORMAL = rf"trim(regexp_replace({_NORM}, '\s+', ' ', 'g'))"
 _SHORT = ", ".join(f"'{w}'" for w in A.SHORT_VALID)
 _ODD = f"((length(s) >= 5 AND v = 0) OR (length(s) >= 8 AND v / greatest(length(s), 1) < 0.18) OR (length(s) >= 6 AND replace(s, s[1], '') = '') OR regexp_matches(s, '{A.SMASH}') OR regexp_matches(s, '[bcdfghjklmnpqrstvwxyz]{{6,}}'))"
-_CHAT = rf"""WITH c AS (SELECT conv_id, turn, {_NORMAL} AS n FROM conversations),
+CHAT = rf"""WITH c AS (SELECT conv_id, turn, {_NORMAL} AS n FROM conversations),
 x AS (SELECT *, regexp_replace(n, '\s+', '', 'g') AS s, len(regexp_extract_all(regexp_replace(n, '\s+', '', 'g'), '[aeiou]')) AS v, len(regexp_extract_all(n, '[a-z]')) / greatest(length(n), 1) AS letters FROM c),
 y AS (SELECT *, n = '' OR (s NOT IN ({_SHORT}) AND NOT regexp_matches(n, '{A.DOMAIN}') AND {_ODD}) AS smash FROM x),
 z AS (SELECT *, n = '' OR (NOT (n IN ({_SHORT}) OR regexp_matches(n, '{A.DOMAIN}')) AND (letters < 0.4 OR (length(n) <= 3 AND NOT regexp_matches(n, '\d')) OR smash)) AS low FROM y)"""
 
 
-@add("garbage_detector", f"{_CHAT} SELECT conv_id, turn, smash, low FROM z")
+@add("garbage_detector", f"{CHAT} SELECT conv_id, turn, smash, low FROM z")
 def garbage_detector(spark, sf_dir):
     norm = T.chat_text(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", norm.alias("n")).select("conv_id", "turn", A.keyboard_smash(F.col("n")).alias("smash"), A.low_confidence(F.col("n")).alias("low"))
 
 
-_CASE = " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.METRIC_INTENTS) + " WHEN low THEN 'garbage' " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.OTHER_INTENTS)
+INTENT_CASE = " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.METRIC_INTENTS) + " WHEN low THEN 'garbage' " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.OTHER_INTENTS)
 
 
-@add("intent_cascade", f"{_CHAT} SELECT conv_id, turn, CASE {_CASE} ELSE 'unknown' END AS intent FROM z")
+@add("intent_cascade", f"{CHAT} SELECT conv_id, turn, CASE {INTENT_CASE} ELSE 'unknown' END AS intent FROM z")
 def intent_cascade(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.intent(F.col("text")).alias("intent"))
 
 
-@add("assistant_routing")
-def assistant_routing(spark, sf_dir):
-    """Mode, document gate, target crop and answer gate of every message."""
-    c = table(spark, sf_dir, "conversations").withColumn("intent", A.intent(F.col("text"))).withColumn("mode", A.mode(F.col("intent"), F.lit("auto")))
-    return c.select("conv_id", "turn", "intent", "mode", A.needs_documents(F.col("intent"), F.col("mode")).alias("documents"), A.target_crop(F.col("text"), ["the", "with", "der", "les"], F.array(F.lit("maiz"))).alias("target"), A.quality_gate(F.col("text"), F.lit(False)).alias("gate"))
-
-
-def _ner_sql(text: str) -> str:
+def ner_sql(text: str, more: str = "0 AS start") -> str:
     terms = [(t, v) for t, vs in WORDS.items() for v in vs]
     return rf"""t AS (SELECT doc_id, {text} AS t FROM documents),
 p AS (SELECT doc_id, regexp_extract_all(t, '[a-z0-9_]+|[^a-z0-9_]+') AS w FROM t),
 o AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM p),
-e AS (SELECT doc_id, type, value FROM o, (VALUES {S.values(terms)}) x(type, value) WHERE w[i] = string_split(value, ' ')[1] AND array_to_string(w[i : i + 2 * len(string_split(value, ' ')) - 2], '') = value)"""
+e AS (SELECT doc_id, type, value, {more} FROM o, (VALUES {S.values(terms)}) x(type, value) WHERE w[i] = string_split(value, ' ')[1] AND array_to_string(w[i : i + 2 * len(string_split(value, ' ')) - 2], '') = value)"""
+
 
+_START = "length(array_to_string(w[1 : i - 1], '')) AS start"
+_PLACED = f"WITH {ner_sql(S.squeeze(TEXT), _START)}"
 
-@add("dict_ner", f"WITH {_ner_sql(S.squeeze(TEXT))} SELECT doc_id, type, value, count(*) AS n FROM e GROUP BY ALL")
+
+@add("dict_ner", f"{_PLACED} SELECT doc_id, type, value, count(*) AS n, CAST(sum(start) AS BIGINT) AS starts FROM e GROUP BY ALL")
 def dict_ner(spark, sf_dir):
-    return E.entities(_docs(spark, sf_dir), WORDS).groupBy("doc_id", "type", "value").agg(F.count("*").alias("n"))
+    found = E.entities(_docs(spark, sf_dir), WORDS)
+    return found.groupBy("doc_id", "type", "value").agg(F.count("*").alias("n"), F.sum("start").alias("starts"))
 
 
 @add(
     "entity_coverage",
-    f"WITH {_ner_sql(S.squeeze(TEXT))}, g AS (SELECT doc_id, count(DISTINCT value) FILTER (value IN ('the', 'and', 'of the')) AS n FROM e GROUP BY doc_id) SELECT doc_id, CAST(round(coalesce(n, 0) / 3, 4) AS DOUBLE) AS coverage FROM documents LEFT JOIN g USING (doc_id)",
+    f"WITH {ner_sql(S.squeeze(TEXT))}, g AS (SELECT doc_id, count(DISTINCT value) FILTER (value IN ('the', 'and', 'of the')) AS n FROM e GROUP BY doc_id) SELECT doc_id, CAST(round(coalesce(n, 0) / 3, 4) AS DOUBLE) AS coverage FROM documents LEFT JOIN g USING (doc_id)",
 )
 def entity_coverage(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -188,32 +142,19 @@ def entity_coverage(spark, sf_dir):
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", E.coverage(asked, F.coalesce("found", F.array().cast("array<string>"))).alias("coverage"))
 
 
-def _ascii(c):
-    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
-
-
-def _ascii_sql(c: str) -> str:
-    return rf"regexp_replace({c}, '[^\x00-\x7F]', ' ', 'g')"
-
-
 def _rename_sql(text: str) -> str:
     for k, v in sorted(RENAMED.items(), key=lambda kv: (-len(kv[0]), kv[0])):
         text = rf"regexp_replace({text}, '\b{k}\b', '{v}', 'g')"
     return text
 
 
-@add("synonym_rewrite", f"SELECT doc_id, md5({_rename_sql(_ascii_sql(S.squeeze(TEXT)))}) AS digest FROM documents")
+@add("synonym_rewrite", f"SELECT doc_id, md5({_rename_sql(S.ascii_only(S.squeeze(TEXT)))}) AS digest FROM documents")
 def synonym_rewrite(spark, sf_dir):
     """Letters that do not fold to ASCII count as blanks: engines differ on word boundaries next to them."""
-    t = _ascii(T.squeeze(F.col("text")))
+    t = ascii_only(T.squeeze(F.col("text")))
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.synonyms_applied(t, RENAMED)).alias("digest"))
 
 
-@add("agronomic_entities")
-def agronomic_entities(spark, sf_dir):
-    return E.extract(_docs(spark, sf_dir)).groupBy("type", "value").agg(F.count_distinct("doc_id").alias("docs"))
-
-
 _LAB = ", ".join(f"CASE WHEN regexp_matches({S.squeeze(TEXT)}, '{p}') THEN '{n}' END" for n, p in E.LABEL_PATTERNS)
 
 
@@ -222,15 +163,6 @@ def label_classifier(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(E.labels(F.col("text")), ",").alias("labels"))
 
 
-@add("crop_hints_multi", f"WITH {_ner_sql(S.squeeze(TEXT))}, h AS (SELECT doc_id, list_sort(list(DISTINCT value)) AS hints FROM e WHERE NOT contains(value, ' ') GROUP BY doc_id) SELECT doc_id, coalesce(array_to_string(hints, ','), '') AS hints, coalesce(len(hints), 0) > 1 AS multi FROM documents LEFT JOIN h USING (doc_id)")
-def crop_hints_multi(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    single = {k: [v for v in vs if " " not in v] for k, vs in WORDS.items()}
-    hints = E.entities(docs, single).groupBy("doc_id").agg(F.array_sort(F.collect_set("value")).alias("h"))
-    h = F.coalesce("h", F.array().cast("array<string>"))
-    return docs.select("doc_id").join(hints, "doc_id", "left").select("doc_id", F.array_join(h, ",").alias("hints"), (F.size(h) > 1).alias("multi"))
-
-
 @add(
     "token_windows",
     f"""WITH d AS (SELECT doc_id, {S.tokens('text')} AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 88)) AS s FROM d)
@@ -246,25 +178,6 @@ def fragment_uid(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", C.fragment_uid(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text")).alias("uid"), C.approximate_tokens(F.col("text")).alias("approx_tokens"))
 
 
-@add("char_chunks")
-def char_chunks(spark, sf_dir):
-    chunks = C.pack(T.sentences(F.col("text")), 900)
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(chunks).alias("n", "chunk")).select("doc_id", "n", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
-
-
-@add("chunk_overlap")
-def chunk_overlap(spark, sf_dir):
-    base = _docs(spark, sf_dir).select("doc_id", C.pack(T.sentences(F.col("text")), 110, unit="words").alias("chunks"))
-    return base.select("doc_id", F.posexplode(C.with_previous_tail(F.col("chunks"), 80)).alias("n", "chunk")).select("doc_id", "n", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
-
-
-@add("word_pages")
-def word_pages(spark, sf_dir):
-    """Pages of up to 500 words that keep paragraphs whole."""
-    pages = C.pack(T.paragraphs(F.regexp_replace("text", "\n", "\n\n")), 500, "\n", unit="words")
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(pages).alias("page", "body")).select("doc_id", "page", F.size(F.split("body", r"\s+")).alias("n_words"))
-
-
 @add(
     "repeating_lines",
     f"""WITH l AS (SELECT source, lang, trim(unnest(string_split({TEXT}, chr(10)))) AS line FROM documents),
@@ -279,29 +192,18 @@ def repeating_lines(spark, sf_dir):
     return lines.groupBy("source", "line").agg(F.count_distinct("lang").alias("on_pages")).join(pages, "source").where("on_pages >= 2 and on_pages / pages >= 0.5").select("source", "line", "on_pages")
 
 
-_TYPES = " ".join(f"WHEN regexp_matches({_ascii_sql(S.fold(TEXT))}, '{p}') THEN '{n}'" for n, p in Y.QUESTION_TYPES)
+_TYPES = " ".join(f"WHEN regexp_matches({S.ascii_only(S.fold(TEXT))}, '{p}') THEN '{n}'" for n, p in Y.QUESTION_TYPES)
 
 
 @add("question_type", f"SELECT conv_id, turn, CASE {_TYPES} ELSE 'general' END AS question_type FROM conversations")
 def question_type(spark, sf_dir):
-    t = _ascii(T.fold(F.coalesce("text", F.lit(""))))
+    t = ascii_only(T.fold(F.coalesce("text", F.lit(""))))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", Y.question_type(t).alias("question_type"))
 
 
-def _answers(spark, sf_dir):
-    hits = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).join(_docs(spark, sf_dir), "doc_id")
-    shaped = hits.select("query_id", "rank", "doc_id", "text", F.lit(None).cast("string").alias("author"), F.col("source").alias("title"), F.col("lang").alias("page"))
-    return Y.compose(shaped, spark.createDataFrame(QUERIES, "query_id long, query string"))
-
-
-@add("answer_compose")
-def answer_compose(spark, sf_dir):
-    return _answers(spark, sf_dir)
-
-
 @add(
     "faithfulness",
-    rf"""WITH s AS (SELECT conv_id, turn, {_SENT} AS ss FROM conversations),
+    rf"""WITH s AS (SELECT conv_id, turn, {SENTENCES} AS ss FROM conversations),
 p AS (SELECT a.conv_id, a.turn, a.ss, {S.fold("coalesce(b.text, '')")} AS body FROM s a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1),
 w AS (SELECT conv_id, turn, len(ss) AS n, body, list_transform(ss, lambda x: list_filter(regexp_extract_all({S.fold('x')}, '[a-z]+'), lambda y: length(y) > 3)) AS ws FROM p)
 SELECT conv_id, turn, CASE WHEN n > 0 THEN CAST(round(len(list_filter(ws, lambda x: len(x) >= 3 AND len(list_filter(x, lambda y: contains(body, y))) >= 3)) / n, 4) AS DOUBLE) ELSE 0.0 END AS faithfulness FROM w""",

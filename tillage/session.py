@@ -40,3 +40,13 @@ def scratch(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"file:///tmp/checkpoints/tillage-core-{os.getpid()}"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file written by the driver to any store that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()

@@ -19,13 +19,43 @@ def column_gaps(blocks: DataFrame, columns: int, page_width: float) -> DataFrame
     return gaps.withColumn("n", F.row_number().over(best)).where(F.col("n") < columns).drop("n")
 
 
-def reading_order(blocks: DataFrame, page_width: float, columns: int = 2, wide: float = 0.78) -> DataFrame:
-    """blocks with `place`: wide blocks cut a page into bands; inside a band column by column, then downwards."""
-    is_wide = (F.col("x1") - F.col("x0")) >= wide * page_width
-    down = Window.partitionBy("page").orderBy("y0", "x0")
-    # a wide block is a band of its own between the bands above and below it
-    before = F.sum(F.when(F.col("wide"), 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, -1))
-    banded = blocks.withColumn("wide", is_wide).withColumn("band", 2 * F.coalesce(before, F.lit(0)) + F.when(F.col("wide"), 1).otherwise(0))
-    column = F.when(F.col("wide"), 0).otherwise(F.least(F.lit(columns - 1), F.floor((F.col("x0") + F.col("x1")) / 2 / (page_width / columns))))
-    order = Window.partitionBy("page").orderBy("band", "column", "y0", "x0")
-    return banded.withColumn("column", column.cast("int")).withColumn("place", F.row_number().over(order)).drop("wide")
+def column_cuts(blocks: DataFrame, page_width: float) -> DataFrame:
+    """(page, cuts): where the columns of a page part, none for a single column.
+
+    The two widest gaps between the centres of neighbouring blocks cut a page of at least six blocks in three,
+    the widest one of at least four in two, if all are at least 8 % of the width and 30 points and the centres
+    spread by a tenth of the width. A page's blocks are one list.
+    """
+    least = max(0.08 * page_width, 30.0)
+    centers = F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2))
+    pages = blocks.groupBy("page").agg(centers.alias("c"), F.stddev_samp((F.col("x0") + F.col("x1")) / 2).alias("spread"))
+    gaps = F.transform(F.slice("c", 1, F.size("c") - 1), lambda c, i: F.struct((c - F.get("c", i + 1)).alias("less"), ((c + F.get("c", i + 1)) / 2).alias("at")))
+    widest = lambda n: F.slice("gaps", 1, n)
+    wide_enough = lambda n: (F.size("c") >= 2 * (n + 1)) & F.forall(widest(n), lambda g: -g["less"] >= least)
+    places = lambda n: F.array_sort(F.transform(widest(n), lambda g: g["at"]))
+    many = (F.size("c") >= 4) & (F.col("spread") >= 0.1 * page_width)
+    cuts = F.when(many & wide_enough(2), places(2)).when(many & wide_enough(1), places(1)).otherwise(F.array().cast("array<double>"))
+    return pages.withColumn("gaps", F.array_sort(gaps)).select("page", cuts.alias("cuts"))
+
+
+def reading_order(blocks: DataFrame, page_width: float, wide: float = 0.78, tie: str = "x1") -> DataFrame:
+    """blocks with `column` and `place`: columns are parted at a page's gaps; a wide block stands between what begins
+    above it and what does not; inside such a band column by column, then downwards. Where a column would be
+    empty, the page has one column and is read downwards. Blocks at one place go by `tie`.
+    """
+    cut = blocks.join(column_cuts(blocks, page_width), "page")
+    center = (F.col("x0") + F.col("x1")) / 2
+    cut = cut.withColumn("wide", ((F.col("x1") - F.col("x0")) >= wide * page_width) & (F.size("cuts") > 0))
+    cut = cut.withColumn("column", F.when(F.col("wide"), -1).otherwise(F.size(F.filter("cuts", lambda c: center >= c))))
+    page = Window.partitionBy("page")
+    used = F.size(F.collect_set(F.when(~F.col("wide"), F.col("column"))).over(page))
+    single = (F.size("cuts") == 0) | (used <= F.size("cuts"))
+    cut = cut.withColumn("single", single)
+    # wide blocks that begin at or above a block come before it
+    above = F.sum(F.when(F.col("wide"), 1).otherwise(0)).over(page.orderBy("y0").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    nth = F.sum(F.when(F.col("wide"), 1).otherwise(0)).over(page.orderBy("y0", "x0", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    band = F.when(F.col("single"), 0).when(F.col("wide"), 2 * nth - 1).otherwise(2 * above)
+    column = F.when(F.col("single"), 0).when(F.col("wide"), 0).otherwise(F.col("column"))
+    placed = cut.withColumn("band", band).withColumn("column", column.cast("int"))
+    order = page.orderBy("band", "column", "y0", "x0", tie)
+    return placed.withColumn("place", F.row_number().over(order)).select(*blocks.columns, "column", "place")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.functions.text import squeeze
+from tillage.functions.chunking import pack
+from tillage.functions.text import paragraphs, squeeze
+from tillage.operators.dashboard import GUIDE
 from tillage.operators.relational import zero_as_null
 
 GOLD = "query string, gold_ids array<string>, query_entities array<string>"
@@ -28,12 +30,45 @@ def decoded(content: Column) -> Column:
 
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, page, text): pages end at a form feed or a line of three or more dashes; pages count from 1."""
-    t = files(spark, path).select("doc_id", decoded(F.col("bytes")).alias("t"))
-    pages = F.split(F.regexp_replace("t", "\r\n?", "\n"), r"\f|\n-{3,}[ \t]*\n")
+    """(doc_id, page, text): pages end at a form feed or a line of three or more dashes; pages count from 1.
+
+    A markdown file without such marks ends a page before every heading of the first level that is not the
+    first thing on its page; any other file without marks has pages of up to 500 words in whole paragraphs.
+    """
+    t = files(spark, path).select("doc_id", F.regexp_replace(decoded(F.col("bytes")), "\r\n?", "\n").alias("t"), F.lower("path").rlike(r"\.(md|markdown)$").alias("markdown"))
+    mark = r"\f|(?m:^[ \t]*-{3,}[ \t]*$)"
+    plain, marked = ~F.col("markdown"), F.col("t").rlike(mark)
+    headed = F.regexp_replace(F.col("t"), r"(?<=\S)([ \t]*\n(?:[ \t]*\n)*)(?=#[ \t]+\S)", "\f")
+    by_words = pack(F.when(plain & ~marked, paragraphs(F.col("t"))), 500, "\n\n", unit="words")
+    parted = F.split(F.when(~marked & ~F.contains("t", F.lit("```")), headed).otherwise(F.col("t")), mark)
+    pages = F.transform(F.coalesce(by_words, parted), lambda p: F.regexp_replace(p, r"^\n+|\n+$", ""))
     return t.select("doc_id", F.posexplode(pages).alias("p", "text")).where(F.trim("text") != "").select("doc_id", (F.col("p") + 1).alias("page"), "text")
 
 
+def needs_ocr(text: Column, least: int = 40) -> Column:
+    """Whether a page's own text has fewer characters than that, blanks aside, so that its image must be read."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")) < least
+
+
+def text_coverage(text: Column) -> Column:
+    """Share of a page's characters that are no blanks; 0 without any."""
+    all_of = F.length(F.coalesce(text, F.lit("")))
+    return F.when(all_of > 0, F.length(F.regexp_replace(text, r"\s", "")) / all_of).otherwise(0.0)
+
+
+def workbook(spark: SparkSession, path: str) -> DataFrame:
+    """(sheet, name, cells, total) of a workbook whose sheets are CSV files in one folder.
+
+    Every sheet's first column names its rows, and rows without a name are left out; the other cells are in a
+    map, and total adds up those that are numbers. 0 counts as missing, as at the origin.
+    """
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("sheet"), delimited(F.col("value")).alias("rows"))
+    rows = raw.select("sheet", F.get("rows", 0).alias("head"), F.explode(F.slice("rows", 2, F.size("rows"))).alias("cells"))
+    named = rows.select("sheet", F.get("cells", 0).alias("name"), F.map_from_arrays(F.slice("head", 2, F.size("head")), F.transform(F.sequence(F.lit(1), F.size("head") - 1), lambda i: F.get("cells", i))).alias("cells")).where("name <> ''")
+    numbers = F.filter(F.transform(F.map_values("cells"), lambda v: zero_as_null(v.try_cast("double"))), lambda v: v.isNotNull())
+    return named.withColumn("total", F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x))
+
+
 def word_documents(spark: SparkSession, path: str, words_to_page: int = 500) -> DataFrame:
     """(doc_id, n, page, kind, text) of .docx files: headings, lists, paragraphs and table rows in body order.
 
@@ -100,12 +135,19 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def delimited(text: Column) -> Column:
-    """Rows of trimmed cells of a delimited text: the delimiter is the most frequent of comma, semicolon and tab in its first line."""
+    """Rows of trimmed cells of a delimited text: the delimiter is the most frequent of comma, semicolon and tab in
+    its first line. A cell in double quotes may hold delimiters; doubled quotes inside are one."""
     lines = F.filter(F.split(text, "\r?\n"), lambda x: F.trim(x) != "")
     head = F.coalesce(F.get(lines, 0), F.lit(""))
     n = {d: F.regexp_count(head, F.lit(p)) for d, p in ((",", ","), (";", ";"), ("\t", "\t"))}
     best = F.when((n[";"] > n[","]) & (n[";"] >= n["\t"]), ";").when((n["\t"] > n[","]) & (n["\t"] > n[";"]), "\t").otherwise(",")
-    return F.transform(lines, lambda x: F.transform(F.split(x, best), lambda c: F.trim(c)))
+
+    def cells(line: Column, mark: str) -> Column:
+        # an empty match at the end of a line that does not end in the delimiter is no cell
+        found = F.regexp_extract_all(F.concat(line, F.lit(mark)), F.lit(rf'\s*("(?:[^"]|"")*"|[^{mark}]*?)\s*{mark}'), F.lit(1))
+        return F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
+
+    return F.transform(lines, lambda x: F.when(best == ";", cells(x, ";")).when(best == "\t", cells(x, "\t")).otherwise(cells(x, ",")))
 
 
 def sheet(rows: DataFrame, numbers: list[str], quirk: bool = True) -> DataFrame:
@@ -124,20 +166,37 @@ def soil_profile(response: Column) -> Column:
     return F.coalesce(F.flatten(rows), F.array().cast("array<struct<name: string, top: int, bottom: int, value: double>>"))
 
 
+def soil_rows(responses: DataFrame, response: str = "response") -> DataFrame:
+    """responses with `rows` (soil_profile) and `_error`: what is wrong with a response that is no soil profile."""
+    parsed = F.from_json(F.col(response), "properties map<string,string>")
+    error = F.when(F.trim(F.coalesce(F.col(response), F.lit(""))) == "", "empty response").when(parsed.isNull() | parsed["properties"].isNull(), "no properties in response").when(parsed["properties"]["layers"].isNull(), "no layers in response")
+    return responses.withColumn("rows", soil_profile(F.col(response))).withColumn("_error", error)
+
+
 def monitoring_weeks(spark: SparkSession, crops: int = 3, weeks: int = 24) -> DataFrame:
-    """A deterministic data set of weekly readings from modular arithmetic."""
-    seed = F.col("week") * 7 + F.col("crop") * 13
+    """A deterministic data set of weekly readings from modular arithmetic on the week and the crop's place."""
+    seed = F.col("week") + F.col("crop") * 3
+    one = lambda c: F.round(c, 1).cast("double")
     base = spark.range(crops * weeks).select(F.expr(f"id div {weeks}").cast("int").alias("crop"), (F.col("id") % weeks).cast("int").alias("week"))
-    return base.select("crop", "week", (38 + seed % 35).cast("double").alias("soil_moisture"), (16 + (seed * 3) % 18).cast("double").alias("air_temp"), (45 + (seed * 5) % 45).cast("double").alias("air_humidity"), F.when(seed % 4 == 0, (seed % 20).cast("double")).otherwise(0.0).alias("precipitation"))
+    return base.select(
+        "crop", "week", one(44 + (seed % 8) * 3).alias("soil_moisture"), one(19 + (seed % 9) * 1.7).alias("air_temp"), one(42 + (seed % 10) * 3.1).alias("air_humidity"), one(58 + (seed % 9) * 3.2).alias("light"),
+        F.when(seed % 5 == 0, 6.8).otherwise(0.0).alias("precipitation"), one(5.5 + (seed % 6) * 0.8).alias("wind_speed"),
+    )
 
 
-#: Guideline thresholds of a parcel's climate.
-GUIDELINE = {"air_temp_c": (12.0, 34.0), "soil_moisture_pct": (35.0, 75.0), "air_humidity_pct": (40.0, 85.0), "relative_light_pct": (35.0, 90.0), "wind_kmh": (0.0, 30.0)}
+def global_weeks(spark: SparkSession, weeks: int = 24) -> DataFrame:
+    """The location's weekly readings that go with monitoring_weeks."""
+    w = F.col("week")
+    at = lambda c, n=1: F.round(c, n).cast("double")
+    return spark.range(weeks).select(F.col("id").cast("int").alias("week")).select(
+        "week", at(18 + (w % 8) * 1.1).alias("soil_temp"), at(20 + (w % 10) * 1.4).alias("air_temp"), at(45 + (w % 9) * 2.8).alias("air_humidity"), at(40 + (w % 10) * 2.9).alias("soil_moisture"),
+        F.when(w % 4 == 0, 8.2).otherwise(0.0).alias("precipitation"), at(6 + (w % 6) * 0.7).alias("wind_speed"), at(6.2 + (w % 5) * 0.1, 2).alias("ph"), at(0.9 + (w % 4) * 0.15, 2).alias("conductivity"),
+    )
 
 
 def guideline(spark: SparkSession) -> DataFrame:
-    """The guideline as one row of structs."""
-    return spark.range(1).select(*[F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")).alias(k) for k, (a, b) in GUIDELINE.items()])
+    """The guideline's thresholds as one row of structs."""
+    return spark.range(1).select(*[F.struct(*[F.lit(v).alias(name) for name, v in bounds.items()]).alias(k) for k, bounds in GUIDE.items()])
 
 
 #: Schemas of the domain tables, for readers that must not infer.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillage.session import scratch
+from tillage.sources.sinks import LateRows
 
 
 def timed(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -111,3 +112,30 @@ def drained(df: DataFrame, mode: str = "append") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], columns)  # nothing was emitted
+
+
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(late, kept): a stream's newest ten days, and then rows of three hours before its watermark, as files in turn.
+
+    What is counted is what state would have taken: one late row an hour, since tasks add up an hour's rows first.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    last = events.agg(F.max("ts").alias("last"))
+    at = scratch(spark)
+    near = events.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 10 DAYS"))  # one row
+    near.drop("last").coalesce(1).write.parquet(f"{at}/in/1")
+    old = last.select(F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(-1).cast("long"))).alias("event_id"), "last").select("event_id", (F.col("last") - F.expr("INTERVAL 9 DAYS") + F.make_interval(hours=F.col("event_id").cast("int"))).alias("ts"))
+    columns = [F.col(f.name) if f.name in ("event_id", "ts") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    listener = LateRows()
+    spark.streams.addListener(listener)
+    try:
+        stream = timed(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"))
+        means = window_means(stream, "1 hour")
+        run = lambda: means.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/{i}")).start().awaitTermination()
+        run()
+        old.select(*columns).coalesce(1).write.parquet(f"{at}/in/2")
+        run()
+        listener.settle()
+    finally:
+        spark.streams.removeListener(listener)
+    return near.agg(F.lit(listener.dropped).cast("long").alias("late"), F.count("*").alias("kept"))
