@@ -428,3 +428,16 @@ def test_every_query_is_compared_with_something():
 @pytest.mark.parametrize("name", sorted(REGISTRY.sql))
 def test_query(spark, name):
     compare(REGISTRY.queries[name](spark, SF), REGISTRY.sql[name])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=200), st.integers(0, 600))
+def test_pdf_reader_never_fails(junk, cut):
+    from tillage.plans.sources import _pdf_file
+    from tillage.sources.pdf import page_texts
+
+    whole = _pdf_file()
+    assert page_texts(junk) == [] and page_texts(whole)[1] == "thin ©"
+    assert all(isinstance(t, str) for t in page_texts(whole[:cut] + junk + whole[cut:]))
+    packed = b"%PDF-1.5\n1 0 obj << /Type /ObjStm /N 2 /First 8 /Filter /FlateDecode >> stream\n" + __import__("zlib").compress(b"3 0 4 32<< /Type /Page /Contents 9 0 R>>") + b"\nendstream endobj 9 0 obj << >> stream\nBT [(a) -900 (b)] TJ ET\nendstream endobj"
+    assert page_texts(packed) == ["a b"]

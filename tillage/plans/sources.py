@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import zipfile
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tillage.operators import lexical
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
 from tillage.session import put, scratch, table
-from tillage.sources import layout, sinks
+from tillage.sources import layout, pdf, sinks
 from tillage.sources import readers as X
 
 add = REGISTRY.add
@@ -120,6 +121,30 @@ def word_documents(spark, sf_dir):
     return found.select("n", "page", "kind", F.length("text").alias("n_chars"))
 
 
+def _pdf_file() -> bytes:
+    """Two pages: a packed one whose font has a map to Unicode, and a thin one in plain bytes, whose page comes second
+    in the tree though its object comes first."""
+    show = b"BT /F1 12 Tf 72 700 Td [(Ma) -20 (\\(z) -400 (y)] TJ 0 -14 Td <0102> Tj T* (fin de la p\\341gina, con bastante texto y palabras) ' ET"
+    cmap = b"1 begincodespacerange <00> <ff> endcodespacerange 2 beginbfchar <01> <00F1> <02> <006F> endbfchar 1 beginbfrange <20> <e1> <0020> endbfrange"
+    bodies = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Kids [5 0 R 3 0 R] /Count 2 /Resources << /Font << /F1 7 0 R >> >> >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>",
+        4: b"<< /Length 30 >>\nstream\nBT (thin \\251) Tj ET\nendstream",
+        5: b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R] >>",
+        6: b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(show) + b"\nendstream",
+        7: b"<< /Type /Font /Subtype /Type1 /ToUnicode 8 0 R >>",
+        8: b"<< /Filter /FlateDecode >>\nstream\n" + zlib.compress(cmap) + b"\nendstream",
+    }
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in bodies.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+@add("pdf_pages", "SELECT * FROM (VALUES (1, 'Ma(z y' || chr(10) || 'ño' || chr(10) || 'fin de la página, con bastante texto y palabras', false), (2, 'thin ©', true)) t(page, text, by_ocr)")
+def pdf_pages(spark, sf_dir):
+    """The text layer of a PDF's pages, and which pages need their image read."""
+    return pdf.pdf_pages(spark, _folder(spark, {"a.pdf": _pdf_file(), "b.pdf": b"no pdf"})).select("page", "text", "by_ocr")
+
+
 @add("taxonomy_files", "SELECT * FROM (VALUES ('CULTIVO', 'chile verde'), ('CULTIVO', 'maiz'), ('sinonimo', 'elote=maiz')) t(kind, value)")
 def taxonomy_files(spark, sf_dir):
     """A list of names and a map of synonyms, both normalised, each value once, what is empty left out."""
