@@ -27,7 +27,8 @@ from tillage.llm._graph import components
 @dataclass(frozen=True)
 class SimHashParams:
     """shingle: words to a shingle. distance: differing bits that still link, at most 3 (the grid's
-    guarantee). dense: fingerprints in one cell from which it is compared in blocks of that size."""
+    guarantee). dense: fingerprints in one cell from which it is compared in blocks of that size: the plan of
+    such cells differs, their components do not."""
 
     shingle: int = 3
     distance: int = 3
@@ -203,15 +204,14 @@ def _sketch(p: SimilarParams):
             words = text.as_py().lower().split() if text.is_valid else []
             digests.append(_digest(words))
             distinct = set(words)
-            if len(known) > 300_000:
+            if len(known) > 200_000:
                 known.clear()
-            for w in distinct - known.keys():
-                known[w] = blake2b(w, digest_size=size, key=salt).digest()
-            if distinct:
-                bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, distinct)), np.uint8).reshape(len(distinct), size), axis=1)
-                prints.append(np.packbits(2 * bits.sum(0, dtype=np.int32) > len(distinct)).view(">i8").astype(np.int64))
-            else:
-                prints.append(np.zeros(p.prints, np.int64))
+            hashes = [known.get(w) or known.setdefault(w, blake2b(w, digest_size=size, key=salt).digest()) for w in distinct]
+            ones = np.zeros(8 * size, np.int64)
+            for i in range(0, len(hashes), 16384):
+                part = np.frombuffer(b"".join(hashes[i : i + 16384]), np.uint8).reshape(-1, size)
+                ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+            prints.append(np.packbits(2 * ones > len(hashes)).view(">i8").astype(np.int64))
         flat = np.concatenate(prints) if prints else np.zeros(0, np.int64)
         fps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, p.prints, dtype=np.int32)), pa.array(flat))
         return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), fps], ["digest", "fps"])

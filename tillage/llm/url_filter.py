@@ -21,7 +21,7 @@ from tillage.llm._common import ascii_lower, batches
 @dataclass(frozen=True)
 class UrlModelParams:
     """order: longest context in characters. slots: size of the hashed count tables, a power of two,
-    the bound on what is collected and broadcast. strength: weight of the shorter context's estimate.
+    the bound on what is collected and broadcast; the model reports how full they are. strength: weight of the shorter context's estimate.
     holdout: one in so many labelled URLs (by hash) calibrates instead of being counted."""
 
     order: int = 5
@@ -135,7 +135,8 @@ def fit_url_model(labelled: DataFrame, params: UrlModelParams = UrlModelParams()
     """labelled: body string (host and path), label int (1 accepted, 0 rejected).
 
     Rows with a null body or label are left out. With no held-out rows of one class the threshold
-    stays 0, with no rows at all every score is 0 and every URL is accepted.
+    stays 0, with no rows at all every score is 0 and every URL is accepted. The report holds the load of the
+    tables and the accuracy on held-out URLs.
     """
     spark = labelled.sparkSession
     rows = labelled.select(F.col("body"), F.col("label").cast("int").alias("label")).where("body is not null and label in (0, 1)")
@@ -143,6 +144,8 @@ def fit_url_model(labelled: DataFrame, params: UrlModelParams = UrlModelParams()
     flat = np.zeros(4 * params.slots)
     flat[found["slot"].to_numpy()] = found["n"].to_numpy()
     model = UrlModel(params, flat.reshape(2, 2, params.slots).astype(np.float32))
+    # the share of slots in use by class: from about a half on, long contexts share slots and slots should be raised
+    model.report = {"load": [float((model.counts[a, 0] > 0).mean()) for a in (0, 1)]}
     shared = spark.sparkContext.broadcast(model)
     step = 2 * params.span / (params.bins - 1)
     bin_of = F.greatest(F.lit(0), F.least(F.lit(params.bins - 1), F.floor((F.col("score") + params.span) / step).cast("int")))
@@ -157,7 +160,7 @@ def fit_url_model(labelled: DataFrame, params: UrlModelParams = UrlModelParams()
         best = np.flatnonzero(right >= right.max() - 1e-12)
         cut = best[len(best) // 2]
         model.threshold = float(cut * step - params.span)
-        model.report = {"balanced_accuracy": float(right[cut]), "held_out": totals.tolist()}
+        model.report |= {"balanced_accuracy": float(right[cut]), "held_out": totals.tolist()}
     return model
 
 
