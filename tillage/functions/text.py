@@ -36,7 +36,10 @@ ANSWER_STOPWORDS = (
 ).split()
 #: Markers that speak for a language when they occur.
 LANGUAGE_MARKERS = {
-    "es": ["el ", "la ", " de ", " los ", " las ", " y ", " una ", " para ", " con ", "ión", "ción", "ación", " del ", " al ", " es ", " en ", "se ", " que ", " no ", " por ", "ñ", "á", "é", "í", "ó", "ú"],
+    "es": [
+        "el ", "la ", " de ", " los ", " las ", " y ", " una ", " para ", " con ", "ión", "ción", "ación", " del ", " al ", " es ", " en ",
+        "se ", " que ", " no ", " por ", "ñ", "á", "é", "í", "ó", "ú"
+    ],
     "en": [" the ", " and ", " of ", " to ", " in ", " is ", " that ", " for ", " with ", " as ", " on ", " by ", " be ", " this ", " an "],
     "pt": [" o ", " a ", " os ", " as ", " de ", " do ", " da ", " que ", " não ", "ção", "ões", "ã", "õ"],
     "fr": [" le ", " la ", " les ", " de ", " des ", " du ", " et ", " un ", " une ", " que ", "œ", "ç", "à", "é", "è", "ê"],
@@ -273,12 +276,21 @@ def string_hash32(c: Column) -> Column:
 
 def table_text(rows: Column, kind: str, header: Column | None = None) -> Column:
     """Rows of cells as searchable lines under a title with the table's size; empty cells and rows are left out."""
-    title = F.concat(F.lit(f"[Tabla {kind} "), F.size(rows).cast("string"), F.lit("x"), F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)).cast("string"), F.lit("]"))
+    title = F.concat(
+        F.lit(f"[Tabla {kind} "), F.size(rows).cast("string"), F.lit("x"),
+        F.coalesce(F.array_max(F.transform(rows, lambda r: F.size(r))), F.lit(0)).cast("string"), F.lit("]")
+    )
     filled = lambda r: F.array_join(F.filter(F.transform(r, lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != ""), " | ")
     lines = F.filter(F.transform(rows, filled), lambda x: x != "")
     if header is not None:
         names = F.array_join(F.transform(header, lambda c: F.trim(c)), " | ")
-        lines = F.concat(F.when(F.replace(F.replace(names, F.lit("|"), F.lit("")), F.lit(" "), F.lit("")) != "", F.array(F.concat(F.lit("Tabla (encabezado): "), names))).otherwise(F.array().cast("array<string>")), lines)
+        lines = F.concat(
+            F.when(
+                F.replace(F.replace(names, F.lit("|"), F.lit("")), F.lit(" "), F.lit("")) != "",
+                F.array(F.concat(F.lit("Tabla (encabezado): "), names))
+            ).otherwise(F.array().cast("array<string>")),
+            lines
+        )
     return F.array_join(F.concat(F.array(title), lines), "\n")
 
 
@@ -306,7 +318,10 @@ def magnitudes(c: Column) -> Column:
     point, units compare in lower case, and what names no known unit is left out."""
     found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(MAGNITUDE), F.lit(0))
     names = F.create_map(*[F.lit(x) for kv in UNIT_ALIASES.items() for x in kv])
-    si = F.create_map(*[x for u, name, factor, offset in SI_UNITS for x in (F.lit(u), F.struct(F.lit(name).alias("unit"), F.lit(factor).alias("factor"), F.lit(offset).alias("offset")))])
+    si = F.create_map(*[
+        x for u, name, factor,
+        offset in SI_UNITS for x in (F.lit(u), F.struct(F.lit(name).alias("unit"), F.lit(factor).alias("factor"), F.lit(offset).alias("offset")))
+    ])
 
     def parts(m: Column) -> Column:
         value = F.replace(F.regexp_extract(m, MAGNITUDE, 1), F.lit(","), F.lit(".")).cast("double")

@@ -84,7 +84,9 @@ def health(soil: Column, temp: Column, hum: Column, progress: Column, days: Colu
     return score, codes, _label(score, severe, days)
 
 
-def health_by_settings(soil: Column, temp: Column, hum: Column, progress: Column, days: Column, expected: Column, soil_min=40.0, temp_max=35.0, hum_min=50.0) -> tuple[Column, Column, Column]:
+def health_by_settings(
+    soil: Column, temp: Column, hum: Column, progress: Column, days: Column, expected: Column, soil_min=40.0, temp_max=35.0, hum_min=50.0
+) -> tuple[Column, Column, Column]:
     """Second health score: a user's settings, no upper bounds for water, no cold rule."""
     lag = F.coalesce(progress, F.lit(0)) - expected
     score, codes, severe = _score([
@@ -124,9 +126,29 @@ def query_text(crop: Column, soil: Column, temp: Column, hum: Column, light: Col
     """A search query in words from a reading; parts without a reading are left out."""
     f = lambda c: F.bround(c).cast("bigint").cast("string")
     say = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else f(x) for x in xs])
-    soil_part = F.when(soil < b["soil_min"], say("humedad del suelo baja (", soil, "%) por debajo del mínimo del cultivo (", b["soil_min"], "%) requiere riego inmediato")).when(soil > b["soil_max"], say("humedad del suelo excesiva (", soil, "%) por encima del máximo (", b["soil_max"], "%) riesgo encharcamiento")).when(soil.isNotNull(), say("humedad del suelo ", soil, "%"))
-    temp_part = F.when(temp >= EXTREME_HEAT, say("temperatura extrema (", temp, "°C) calor crítico activar alerta de calor extremo y medidas de emergencia")).when(temp > b["temp_max"], say("temperatura alta (", temp, "°C) por encima del máximo del cultivo (", b["temp_max"], "°C) estrés térmico riesgo de aborto floral")).when(temp < b["temp_min"], say("temperatura baja (", temp, "°C) por debajo del mínimo (", b["temp_min"], "°C) riesgo helada")).when(temp.isNotNull(), say("temperatura ", temp, "°C"))
-    hum_part = F.when(hum < b["hum_min"], say("humedad ambiental baja (", hum, "%) por debajo del mínimo (", b["hum_min"], "%) riesgo deshidratación reducir estrés hídrico")).when(hum > b["hum_max"], say("humedad ambiental alta (", hum, "%) por encima del máximo (", b["hum_max"], "%) riesgo enfermedades fúngicas")).when(hum.isNotNull(), say("humedad aire ", hum, "%"))
+    soil_part = F.when(
+        soil < b["soil_min"],
+        say("humedad del suelo baja (", soil, "%) por debajo del mínimo del cultivo (", b["soil_min"], "%) requiere riego inmediato")
+    ).when(
+        soil > b["soil_max"],
+        say("humedad del suelo excesiva (", soil, "%) por encima del máximo (", b["soil_max"], "%) riesgo encharcamiento")
+    ).when(soil.isNotNull(), say("humedad del suelo ", soil, "%"))
+    temp_part = F.when(
+        temp >= EXTREME_HEAT,
+        say("temperatura extrema (", temp, "°C) calor crítico activar alerta de calor extremo y medidas de emergencia")
+    ).when(
+        temp > b["temp_max"],
+        say("temperatura alta (", temp, "°C) por encima del máximo del cultivo (", b["temp_max"], "°C) estrés térmico riesgo de aborto floral")
+    ).when(
+        temp < b["temp_min"], say("temperatura baja (", temp, "°C) por debajo del mínimo (", b["temp_min"], "°C) riesgo helada")
+    ).when(temp.isNotNull(), say("temperatura ", temp, "°C"))
+    hum_part = F.when(
+        hum < b["hum_min"],
+        say("humedad ambiental baja (", hum, "%) por debajo del mínimo (", b["hum_min"], "%) riesgo deshidratación reducir estrés hídrico")
+    ).when(
+        hum > b["hum_max"],
+        say("humedad ambiental alta (", hum, "%) por encima del máximo (", b["hum_max"], "%) riesgo enfermedades fúngicas")
+    ).when(hum.isNotNull(), say("humedad aire ", hum, "%"))
     light_part = F.when(light < 20, "baja luminosidad").when(light > 90, "alta radiación solar")
     rain_part = F.when(rain > 0, F.concat(F.lit("precipitación reciente "), F.bround(rain, 1).cast("string"), F.lit("mm")))
     return F.concat_ws(". ", F.concat(F.lit("recomendaciones para cultivo de "), crop), soil_part, temp_part, hum_part, light_part, rain_part)

@@ -27,7 +27,10 @@ METRIC_INTENTS = [
     ("soil_condition", r"\b(suelo|ph|conductividad|salinidad|edafolog|materia\s+organica|textura)\b"),
 ]
 OTHER_INTENTS = [
-    ("library_question", r"\b(historia|origen|origenes|domesticacion|que\s+es|definicion|biblioteca|manual|documento|referencia|bibliograf|autor|fuente|cita|citas)\b"),
+    (
+        "library_question",
+        r"\b(historia|origen|origenes|domesticacion|que\s+es|definicion|biblioteca|manual|documento|referencia|bibliograf|autor|fuente|cita|citas)\b"
+    ),
     ("harvest_date", r"\b(cuando\s+(cosech|recolect)|fecha\s+de\s+cosech|proxima\s+cosech|falta\s+para\s+cosech|cosecha\s+estimada)\b"),
     ("pest_or_disease", r"\b(plaga|plagas|gusano|insecto|hongo|hongos|mildiu|tizon|roya|enfermedad)\b"),
     ("fertilization", r"\b(fertiliz|abono|nutri|nutricion|nitrogeno|fosforo|potasio|npk)\b"),
@@ -59,7 +62,10 @@ NO_LIBRARY = "No tengo información suficiente en la biblioteca para procesar es
 NO_CROPS = "Aún no tienes cultivos registrados. Agrega uno en Configuración para recibir diagnóstico de parcela."
 CONFLICT = ("Aviso: preguntaste por '", "', pero no es un cultivo activo en tu parcela.")
 CONFLICT_EMPTY = " No puedo hacer diagnóstico personalizado y no encontré información suficiente en la biblioteca para esa solicitud."
-SEVERAL = ("Tienes varios cultivos activos y no detecté uno específico en tu pregunta.", "\n\nPregunta por uno en particular, por ejemplo: '¿cómo va mi maíz?' o 'plagas en mi frijol'.")
+SEVERAL = (
+    "Tienes varios cultivos activos y no detecté uno específico en tu pregunta.",
+    "\n\nPregunta por uno en particular, por ejemplo: '¿cómo va mi maíz?' o 'plagas en mi frijol'."
+)
 NEEDS_CROP = {
     "pest_or_disease": (
         "Para revisar plagas o enfermedades necesito el cultivo específico, porque no se manejan igual en cada cultivo.",
@@ -115,8 +121,14 @@ def needs_documents(intent_col: Column, mode_col: Column) -> Column:
 def named_crop(message: Column, names: Column) -> Column:
     """The longest of the names (array, at least two characters) that the message holds; the first among equals."""
     norm = chat_text(message)
-    held = F.filter(F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name"))), lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"]))
-    longest = F.aggregate(held, F.lit(None).cast("struct<norm: string, name: string>"), lambda best, n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best))
+    held = F.filter(
+        F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name"))),
+        lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"])
+    )
+    longest = F.aggregate(
+        held, F.lit(None).cast("struct<norm: string, name: string>"), lambda best,
+        n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best)
+    )
     return longest["name"]
 
 
@@ -163,7 +175,9 @@ def clean_query(message: Column, intent_col: Column, mode_col: Column, target: C
     for name, words in TOPICS.items():
         topic = F.when(intent_col == name, words).otherwise(topic)
     technical = F.when(crop.isNotNull(), F.concat(topic, F.lit(" en cultivo de "), crop, F.lit(": "), raw))
-    technical = technical.when(F.size(active) > 0, F.concat(topic, F.lit(" para cultivos activos ("), F.array_join(active, ", "), F.lit("): "), raw)).otherwise(F.concat(topic, F.lit(": "), raw))
+    technical = technical.when(
+        F.size(active) > 0, F.concat(topic, F.lit(" para cultivos activos ("), F.array_join(active, ", "), F.lit("): "), raw)
+    ).otherwise(F.concat(topic, F.lit(": "), raw))
     conflict = requested.isNotNull() & target.isNull()
     own = F.nullif(raw, F.lit(""))
     return (
@@ -176,7 +190,9 @@ def clean_query(message: Column, intent_col: Column, mode_col: Column, target: C
 
 def query_scope(mode_col: Column, target: Column, target_id: Column, requested: Column) -> Column:
     """struct(crop_focus, retrieval_scope, user_crop_id) of the request to the documents."""
-    scope = lambda focus, name, crop: F.struct(focus.cast("string").alias("crop_focus"), F.lit(name).alias("retrieval_scope"), crop.cast("long").alias("user_crop_id"))
+    scope = lambda focus, name, crop: F.struct(
+        focus.cast("string").alias("crop_focus"), F.lit(name).alias("retrieval_scope"), crop.cast("long").alias("user_crop_id")
+    )
     none = F.lit(None)
     by_request = requested.isNotNull() & (target.isNull() | (mode_col == "biblioteca"))
     return F.when(by_request, scope(requested, "crop_boost", none)).when(target.isNotNull(), scope(target, "crop_boost", target_id)).otherwise(scope(none, "global", none))
@@ -192,9 +208,14 @@ def contexts(messages: DataFrame, crops: DataFrame, catalogue: list[str]) -> Dat
     is what a person grows.
     """
     alive = crops.where(F.coalesce("status", F.lit("activo")) != "inactivo")
-    entry = F.struct(F.col("created"), F.col("crop_id"), F.col("crop_name"), F.coalesce(F.nullif("display_name", F.lit("")), F.initcap("crop_name")).alias("display"))
+    entry = F.struct(
+        F.col("created"), F.col("crop_id"), F.col("crop_name"),
+        F.coalesce(F.nullif("display_name", F.lit("")), F.initcap("crop_name")).alias("display")
+    )
     listed = alive.groupBy(F.col("user_id").alias("_user")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("_crops"))
-    joined = messages.join(listed, F.col("user_id") == F.col("_user"), "left").drop("_user").withColumn("_crops", F.coalesce("_crops", F.array().cast(listed.schema["_crops"].dataType)))
+    joined = messages.join(listed, F.col("user_id") == F.col("_user"), "left").drop("_user").withColumn(
+        "_crops", F.coalesce("_crops", F.array().cast(listed.schema["_crops"].dataType))
+    )
     named = named_crop(F.col("text"), F.flatten(F.transform("_crops", lambda c: F.array(c["crop_name"], c["display"]))))
     joined = joined.withColumn("_named", named)
     found = F.get(F.filter("_crops", lambda c: (c["crop_name"] == F.col("_named")) | (c["display"] == F.col("_named"))), 0)

@@ -12,7 +12,10 @@ from tillage.session import scratch
 BLOCK = 4096
 
 
-def top_vectors(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "cosine") -> DataFrame:
+def top_vectors(
+    vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding",
+    score: str = "cosine"
+) -> DataFrame:
     """(query_id, id, score, rank): the k nearest of each query.
 
     score `cosine`: max(0, cosine); `l2`: max(0, 1 - squared distance of the unit vectors). Tasks keep
@@ -41,14 +44,20 @@ def top_vectors(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: i
                     best[n * BLOCK + i] = sorted(rows)[:k]
         out = [(ids[q], v, -s) for q, rows in best.items() for s, v in rows]
         columns = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", id_col, "score"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
+            ["query_id", id_col, "score"]
+        )
 
     found = vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, f"query_id long, {id_col} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def top_vectors_of_set(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "cosine", block: int = BLOCK) -> DataFrame:
+def top_vectors_of_set(
+    vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", score: str = "cosine",
+    block: int = BLOCK
+) -> DataFrame:
     """top_vectors for a query table (query_id, vector) of any size: one block of queries after the other.
 
     The driver and the tasks hold one block at a time; each block's result is kept in the shared folder.

@@ -12,11 +12,26 @@ from tillage.functions.text import squeeze, synonyms_applied
 # The agronomic dictionaries.
 TAXONOMY = {
     "CULTIVO": "maiz frijol calabaza trigo tomate chile jitomate cebolla nopal aguacate amaranto sorgo avena".split(),
-    "PLAGA": ["roya", "pulgon", "gusano cogollero", "minador", "mosca blanca", "chapulin", "gallina ciega", "chinche verde", "arana roja", "cenicilla", "tizon tardio", "fusarium", "antracnosis"],
-    "NUTRIENTE": ["n", "p", "k", "nitrogeno", "fosforo", "potasio", "calcio", "magnesio", "azufre", "hierro", "zinc", "boro", "manganeso", "cobre", "molibdeno", "materia organica"],
-    "FENOFASE": ["germinacion", "emergencia", "macollaje", "desarrollo vegetativo", "floracion", "polinizacion", "llenado", "maduracion", "cosecha", "poscosecha"],
-    "LUGAR": ["oaxaca", "puebla", "veracruz", "jalisco", "guanajuato", "chiapas", "guerrero", "michoacan", "tlaxcala", "estado de mexico", "hidalgo", "morelos", "tabasco"],
-    "PARAM_AMBIENTAL": ["temperatura", "humedad suelo", "humedad aire", "precipitacion", "ph", "luminosidad", "velocidad viento", "radiacion solar", "evapotranspiracion", "conductividad electrica", "salinidad"],
+    "PLAGA": [
+        "roya", "pulgon", "gusano cogollero", "minador", "mosca blanca", "chapulin", "gallina ciega", "chinche verde", "arana roja",
+        "cenicilla", "tizon tardio", "fusarium", "antracnosis"
+    ],
+    "NUTRIENTE": [
+        "n", "p", "k", "nitrogeno", "fosforo", "potasio", "calcio", "magnesio", "azufre", "hierro", "zinc", "boro", "manganeso", "cobre",
+        "molibdeno", "materia organica"
+    ],
+    "FENOFASE": [
+        "germinacion", "emergencia", "macollaje", "desarrollo vegetativo", "floracion", "polinizacion", "llenado", "maduracion", "cosecha",
+        "poscosecha"
+    ],
+    "LUGAR": [
+        "oaxaca", "puebla", "veracruz", "jalisco", "guanajuato", "chiapas", "guerrero", "michoacan", "tlaxcala", "estado de mexico",
+        "hidalgo", "morelos", "tabasco"
+    ],
+    "PARAM_AMBIENTAL": [
+        "temperatura", "humedad suelo", "humedad aire", "precipitacion", "ph", "luminosidad", "velocidad viento", "radiacion solar",
+        "evapotranspiracion", "conductividad electrica", "salinidad"
+    ],
 }
 SYNONYMS = {
     "zea mays": "maiz", "elote": "maiz", "phaseolus vulgaris": "frijol", "ejote": "frijol", "cucurbita": "calabaza", "capsicum": "chile",
@@ -57,13 +72,22 @@ def entities(docs: DataFrame, taxonomy: dict[str, list[str]], id_col: str = "doc
     span = max(SPAN, ahead)
     text = squeeze(F.coalesce(F.col(text_col), F.lit(""))) if normal is None else normal
     cut = docs.select(F.col(id_col), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{span}}}"), F.lit(0)).alias("_spans"))
-    beside = F.transform("_spans", lambda c, i: F.struct(F.coalesce(F.get("_spans", i - 1), F.lit("")).alias("before"), c.alias("own"), F.substring(F.coalesce(F.get("_spans", i + 1), F.lit("")), 1, ahead).alias("after")))
+    beside = F.transform(
+        "_spans", lambda c,
+        i: F.struct(
+            F.coalesce(F.get("_spans", i - 1), F.lit("")).alias("before"), c.alias("own"),
+            F.substring(F.coalesce(F.get("_spans", i + 1), F.lit("")), 1, ahead).alias("after")
+        )
+    )
     each = cut.select(id_col, F.posexplode(beside).alias("_n", "_c"))
     each = each.select(
         id_col, (F.col("_n") * span).alias("_from"), F.length("_c.own").alias("_size"), F.col("_c.before").rlike("[a-z0-9_]$").alias("_goes_on"),
         F.regexp_extract_all(F.concat("_c.own", "_c.after"), F.lit("[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0)).alias("_words"),
     )
-    at = F.filter(F.transform("_words", lambda w, i: F.struct(w.alias("first"), i.alias("at"))), lambda x: x["first"].isin(*firsts) & ((x["at"] > 0) | ~F.col("_goes_on")))
+    at = F.filter(
+        F.transform("_words", lambda w, i: F.struct(w.alias("first"), i.alias("at"))),
+        lambda x: x["first"].isin(*firsts) & ((x["at"] > 0) | ~F.col("_goes_on"))
+    )
     begun = each.select(id_col, "_from", "_size", "_words", F.explode(at).alias("_x")).select(id_col, "_from", "_size", "_words", "_x.first", "_x.at")
     hit = begun.join(F.broadcast(terms), "first")
     # words and what lies between them alternate: a term of n words covers 2n - 1 pieces
@@ -83,7 +107,10 @@ def with_phrases(found: DataFrame, phrases: DataFrame, id_col: str = "doc_id") -
     return found.unionByName(new.select(*found.columns))
 
 
-def extract(docs: DataFrame, taxonomy: dict[str, list[str]] = TAXONOMY, synonyms: dict[str, str] = SYNONYMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def extract(
+    docs: DataFrame, taxonomy: dict[str, list[str]] = TAXONOMY, synonyms: dict[str, str] = SYNONYMS, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """Normalise, rewrite synonyms, find entities: (id, type, value, start on the rewritten text)."""
     return entities(docs, taxonomy, id_col, text_col, synonyms_applied(squeeze(F.coalesce(F.col(text_col), F.lit(""))), synonyms))
 

@@ -42,13 +42,18 @@ def per_query(gold: DataFrame, pred: DataFrame, ks: tuple[int, ...]) -> DataFram
     gold: query, n, gold_ids, query_entities; pred: query, n, pred_ids, pred_entities, faithfulness.
     Entity coverage and faithfulness are null for queries that do not supply them.
     """
-    last = lambda df: df.groupBy("query").agg(F.max_by(F.struct(*[c for c in df.columns if c not in ("query", "n")]), "n").alias("r")).select("query", "r.*")
+    last = lambda df: df.groupBy("query").agg(F.max_by(
+        F.struct(*[c for c in df.columns if c not in ("query", "n")]), "n"
+    ).alias("r")).select("query", "r.*")
     both = last(gold).join(last(pred), "query")
     p, g = F.col("pred_ids"), F.col("gold_ids")
     given = (F.size(F.coalesce("query_entities", F.array().cast("array<string>"))) > 0) & (F.size(F.coalesce("pred_entities", F.array().cast("array<array<string>>"))) > 0)
     columns = []
     for k in ks:
-        columns += [precision_at(p, g, k).alias(f"precision_{k}"), recall_at(p, g, k).alias(f"recall_{k}"), ndcg_at(p, g, k).alias(f"ndcg_{k}"), F.when(given, entity_coverage_at(F.col("query_entities"), F.col("pred_entities"), k)).alias(f"entity_coverage_{k}")]
+        columns += [
+            precision_at(p, g, k).alias(f"precision_{k}"), recall_at(p, g, k).alias(f"recall_{k}"), ndcg_at(p, g, k).alias(f"ndcg_{k}"),
+            F.when(given, entity_coverage_at(F.col("query_entities"), F.col("pred_entities"), k)).alias(f"entity_coverage_{k}")
+        ]
     return both.select("query", *columns, reciprocal_rank(p, g).alias("mrr"), "faithfulness")
 
 
@@ -77,8 +82,14 @@ def audit(hits: DataFrame, queries: DataFrame) -> DataFrame:
 
     hits: query_id, rank, doc, title, the few that a search returns; queries: query_id, query and whatever else.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("title", F.substring(F.col("doc").cast("string"), 1, 8)).alias("title")))), lambda x: x["title"])
+    listed = F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", F.coalesce("title", F.substring(F.col("doc").cast("string"), 1, 8)).alias("title")))),
+        lambda x: x["title"]
+    )
     found = hits.groupBy("query_id").agg(F.count("*").alias("_n"), F.count_distinct("doc").alias("_docs"), listed.alias("_titles"))
     joined = queries.join(found, "query_id", "left")
     n = F.coalesce("_n", F.lit(0))
-    return joined.select(*queries.columns, n.alias("n_fragments"), F.coalesce("_docs", F.lit(0)).alias("unique_docs"), F.coalesce("_titles", F.array().cast("array<string>")).alias("titles"), (n == 0).alias("insufficient"))
+    return joined.select(
+        *queries.columns, n.alias("n_fragments"), F.coalesce("_docs", F.lit(0)).alias("unique_docs"),
+        F.coalesce("_titles", F.array().cast("array<string>")).alias("titles"), (n == 0).alias("insufficient")
+    )

@@ -25,7 +25,10 @@ def corpus_stats(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.size(tokens(F.col(text_col))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def bm25(docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", k: int = 100, k1: float = 1.5, b: float = 0.75, keep=None) -> DataFrame:
+def bm25(
+    docs: DataFrame, queries: list[tuple[int, str]], id_col: str = "doc_id", text_col: str = "text", k: int = 100, k1: float = 1.5,
+    b: float = 0.75, keep=None
+) -> DataFrame:
     """(query_id, id, score, rank): the best k documents of each query with a positive score.
 
     Repeated query words count as often as they occur; n, df and avgdl are those of all documents even

@@ -67,7 +67,10 @@ def focus_class(focus: Column, hints: Column) -> Column:
     return F.when(focus.isNull() | F.array_contains(hints, focus), 0).when(F.size(hints) == 0, 1).when(F.size(hints) > 1, 2).otherwise(3)
 
 
-def evidence_gate(hits: DataFrame, by: list[str], score: str = "rrf_score", doc: str = "doc_id", k_min: int = 1, sources_min: int = 1, mean_min: float = 0.005, fragment_min: float = 0.001) -> DataFrame:
+def evidence_gate(
+    hits: DataFrame, by: list[str], score: str = "rrf_score", doc: str = "doc_id", k_min: int = 1, sources_min: int = 1,
+    mean_min: float = 0.005, fragment_min: float = 0.001
+) -> DataFrame:
     """One row for each query: kept hits, sources, mean score, sufficient and the first rule that failed.
 
     Hits under fragment_min are left out unless that leaves none.
@@ -82,10 +85,15 @@ def evidence_gate(hits: DataFrame, by: list[str], score: str = "rrf_score", doc:
     sources = F.when(any_strong, F.col("sources_strong")).otherwise(F.col("sources_all"))
     mean = F.when(any_strong, F.col("sum_strong")).otherwise(F.col("sum_all")) / F.greatest(kept, F.lit(1))
     reason = F.when(kept < k_min, "k_min_after_filter").when(sources < sources_min, "min_sources").when(mean < mean_min, "mean_score")
-    return agg.select(*by, kept.alias("kept"), sources.alias("sources"), F.round(mean, 6).alias("mean_score"), reason.isNull().alias("sufficient"), reason.alias("reason"))
+    return agg.select(
+        *by, kept.alias("kept"), sources.alias("sources"), F.round(mean, 6).alias("mean_score"), reason.isNull().alias("sufficient"),
+        reason.alias("reason")
+    )
 
 
-def greedy_keep(hits: DataFrame, by: list[str], rank: str, doc: Column, page: Column, title: Column, text: Column, per_title: int = 2, prefix: int = 220) -> DataFrame:
+def greedy_keep(
+    hits: DataFrame, by: list[str], rank: str, doc: Column, page: Column, title: Column, text: Column, per_title: int = 2, prefix: int = 220
+) -> DataFrame:
     """Hits in rank order, one for each (doc, page), at most per_title for a title, one for a text prefix.
 
     Titles are compared in lower case with single blanks, texts by their first characters in lower case.
@@ -108,7 +116,10 @@ def greedy_keep(hits: DataFrame, by: list[str], rank: str, doc: Column, page: Co
         new = lambda seen, v: (v == "") | ~F.array_contains(seen, v)
         room = (x["title"] == "") | (F.size(F.filter(s["titles"], lambda t: t == x["title"])) < per_title)
         fits = new(s["places"], x["place"]) & new(s["prints"], x["print"]) & room
-        grown = [F.array_append(s[list_], x[one].cast("bigint") if one == "rank" else x[one]).alias(list_) for list_, one in (("places", "place"), ("titles", "title"), ("prints", "print"), ("ranks", "rank"))]
+        grown = [
+            F.array_append(s[list_], x[one].cast("bigint") if one == "rank" else x[one]).alias(list_) for list_,
+            one in (("places", "place"), ("titles", "title"), ("prints", "print"), ("ranks", "rank"))
+        ]
         return F.when(fits, F.struct(*grown)).otherwise(s)
 
     listed = hits.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("_items"))
@@ -143,7 +154,10 @@ INSUFFICIENT = ("<p><em>Insuficiente evidencia en el conjunto documental actual.
 def insufficient_payload(kept: Column, sources: Column, mean: Column, reason: Column) -> Column:
     """The structured answer of a query whose evidence does not suffice; null for the others."""
     diagnosis = F.struct(kept.alias("kept"), sources.alias("sources"), mean.alias("mean_score"), reason.alias("reason"))
-    payload = F.struct(F.lit(INSUFFICIENT[0]).alias("respuesta_html"), F.array().cast("array<string>").alias("citas"), F.array(F.lit(INSUFFICIENT[1])).alias("advertencias"), diagnosis.alias("diagnostico"))
+    payload = F.struct(
+        F.lit(INSUFFICIENT[0]).alias("respuesta_html"), F.array().cast("array<string>").alias("citas"),
+        F.array(F.lit(INSUFFICIENT[1])).alias("advertencias"), diagnosis.alias("diagnostico")
+    )
     return F.when(reason.isNotNull(), payload)
 
 

@@ -60,7 +60,10 @@ def facet(rows: DataFrame, column: str, falling: bool = False) -> DataFrame:
     """(facet, value, n, place): the distinct values of a column with their counts, in order."""
     counted = rows.groupBy(column).agg(F.count("*").alias("n"))
     order = Window.orderBy(F.desc(column) if falling else F.asc(column))  # as many rows as there are choices
-    return counted.select(F.lit(column).alias("facet"), F.col(column).cast("string").alias("value"), "n", F.row_number().over(order).cast("long").alias("place"))
+    return counted.select(
+        F.lit(column).alias("facet"), F.col(column).cast("string").alias("value"), "n",
+        F.row_number().over(order).cast("long").alias("place")
+    )
 
 
 def patched(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
@@ -84,7 +87,9 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame, ke
 def _grams(c: Column, n: int) -> Column:
     """The distinct pieces of n characters."""
     many = F.greatest(F.length(c) - (n - 1), F.lit(0))
-    return F.array_distinct(F.transform(F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(c, i, F.lit(n))))
+    return F.array_distinct(F.transform(
+        F.when(many > 0, F.sequence(F.lit(1), many)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(c, i, F.lit(n))
+    ))
 
 
 def contained_pairs(small: DataFrame, large: DataFrame, a: str, b: str) -> DataFrame:
@@ -105,7 +110,9 @@ def contained_pairs(small: DataFrame, large: DataFrame, a: str, b: str) -> DataF
     return rarest.join(of_large, "_piece").where(F.contains(b, a)).select(a, b)
 
 
-def best_name_match(wanted: DataFrame, profiles: DataFrame, name: str, profile_name: str, value: str, default: int, least: int, both_ways: bool = False) -> DataFrame:
+def best_name_match(
+    wanted: DataFrame, profiles: DataFrame, name: str, profile_name: str, value: str, default: int, least: int, both_ways: bool = False
+) -> DataFrame:
     """For each wanted name the value of the profile named alike: the same name first, else one that holds it
     (both_ways: or that it holds).
 

@@ -34,9 +34,14 @@ def coded(df: DataFrame, factors: list[str]) -> DataFrame:
 
 def main_effects(df: DataFrame, factors: list[str], y: str) -> DataFrame:
     """(factor, effect, mean and population deviation of both levels, counts)."""
-    long = df.select(y, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"{f}_c").alias("level")) for f in factors])).alias("x")).select(y, "x.factor", "x.level")
+    long = df.select(
+        y, F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.col(f"{f}_c").alias("level")) for f in factors])).alias("x")
+    ).select(y, "x.factor", "x.level")
     at = lambda fn, level: fn(F.when(F.col("level") == level, F.col(y)))
-    g = long.groupBy("factor").agg(at(F.avg, 1).alias("mean_high"), at(F.avg, -1).alias("mean_low"), at(F.stddev_pop, 1).alias("std_high"), at(F.stddev_pop, -1).alias("std_low"), at(F.count, 1).alias("n_high"), at(F.count, -1).alias("n_low"))
+    g = long.groupBy("factor").agg(
+        at(F.avg, 1).alias("mean_high"), at(F.avg, -1).alias("mean_low"), at(F.stddev_pop, 1).alias("std_high"),
+        at(F.stddev_pop, -1).alias("std_low"), at(F.count, 1).alias("n_high"), at(F.count, -1).alias("n_low")
+    )
     return g.withColumn("effect", F.col("mean_high") - F.col("mean_low"))
 
 
@@ -45,7 +50,9 @@ def interactions(df: DataFrame, factors: list[str], y: str) -> DataFrame:
     pairs = list(combinations(factors, 2))
     mean = lambda a, b, i, j: F.coalesce(F.avg(F.when((F.col(f"{a}_c") == i) & (F.col(f"{b}_c") == j), F.col(y))), F.lit(0.0))
     one = df.agg(*[(((mean(a, b, 1, 1) + mean(a, b, -1, -1)) - (mean(a, b, 1, -1) + mean(a, b, -1, 1))) / 2).alias(f"{a}|{b}") for a, b in pairs])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}|{b}`").alias("effect")) for a, b in pairs])).alias("x")).select("x.*")
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(f"`{a}|{b}`").alias("effect")) for a, b in pairs
+    ])).alias("x")).select("x.*")
 
 
 def anova(df: DataFrame, factors: list[str], y: str) -> DataFrame:
@@ -82,7 +89,10 @@ def least_squares(df: DataFrame, factors: list[str], y: str) -> tuple[np.ndarray
     """Coefficients (intercept first) and fit of y on coded factors: one pass of sums, a small system on the driver."""
     x = [F.lit(1.0), *[F.col(f"{f}_c").cast("double") for f in factors]]
     k = len(x)
-    sums = df.agg(*[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)], *[F.sum(x[i] * F.col(y)).alias(f"b{i}") for i in range(k)], F.sum(F.col(y) * F.col(y)).alias("yy")).first()
+    sums = df.agg(
+        *[F.sum(x[i] * x[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)],
+        *[F.sum(x[i] * F.col(y)).alias(f"b{i}") for i in range(k)], F.sum(F.col(y) * F.col(y)).alias("yy")
+    ).first()
     a = np.array([[sums[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     b = np.array([sums[f"b{i}"] for i in range(k)])
     beta = np.linalg.lstsq(a, b, rcond=None)[0]
@@ -105,7 +115,10 @@ def levene(df: DataFrame, group: str, y: str) -> DataFrame:
     m = df.groupBy(group).agg(F.avg(y).alias("_m"))
     z = df.join(F.broadcast(m), group).select(group, F.abs(F.col(y) - F.col("_m")).alias("z"))  # one row for each level
     g = z.groupBy(group).agg(F.count("*").alias("n"), F.avg("z").alias("m"), F.var_pop("z").alias("v"))
-    t = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq"))
+    t = g.agg(
+        F.sum("n").alias("n"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
+        F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("sq")
+    )
     between = F.col("sq") - F.col("n") * F.col("mean") * F.col("mean")
     return t.select(((F.col("n") - F.col("k")) / (F.col("k") - 1) * between / F.col("within")).alias("levene"))
 
@@ -137,7 +150,7 @@ def normal_quantile(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.425, centre).otherwise(F.when(q < 0, -tail).otherwise(tail))
 
 
-def ranked(df: DataFrame, x: str, parts: int = 200) -> tuple[DataFrame, int]:
+def ranked(df: DataFrame, x: str, parts: int = 48) -> tuple[DataFrame, int]:
     """df with `_rank`, the place of x in ascending order from 1, and the number of rows; rows without x are left out.
 
     Places are counted inside ranges of x that hold about the same number of rows, so no task sorts everything;
@@ -170,7 +183,9 @@ def shapiro_wilk(df: DataFrame, x: str) -> tuple[float, float]:
         ends = {1: -math.sqrt(0.5), 3: math.sqrt(0.5)}
         own, factor = {**ends, 2: 0.0}, 1.0
     else:
-        spread, first, second = (float(v) for v in placed.agg(F.sum(m * m), F.max(F.when(F.col("_rank") == n, m)), F.max(F.when(F.col("_rank") == n - 1, m))).first())
+        spread, first, second = (float(v) for v in placed.agg(
+            F.sum(m * m), F.max(F.when(F.col("_rank") == n, m)), F.max(F.when(F.col("_rank") == n - 1, m))
+        ).first())
         root, rsn = math.sqrt(spread), 1 / math.sqrt(n)
         a1 = _poly(_FIRST, rsn) + first / root
         own = {n: a1, 1: -a1}

@@ -12,9 +12,15 @@ from tillage.operators.ranking import focus_class, greedy_keep
 QUESTION_TYPES = [
     ("definicion", r"\b(que es|definicion|describe|describir)\b"),
     ("accion", r"\b(como|cuando|paso|pasos|protocolo|recomenda|aplica|aplicar|controla|prevenir|gestionar|manejar)\b"),
-    ("parametro", r"\b(temperatura|humedad|ph|conductividad|riego|fertilizacion|dosis|profundidad|densidad|distancia|ciclo|dias|edad|altitud|luz|nutriente|n|p|k|mg|ca|microelemento)\b"),
+    (
+        "parametro",
+        r"\b(temperatura|humedad|ph|conductividad|riego|fertilizacion|dosis|profundidad|densidad|distancia|ciclo|dias|edad|altitud|luz|nutriente|n|p|k|mg|ca|microelemento)\b"
+    ),
 ]
-HEADERS = {"definicion": "Definición de «{}»:", "parametro": "Parámetros agronómicos relevantes para «{}»:", "accion": "Pasos y recomendaciones para «{}»:", "general": "Hallazgos en la biblioteca para «{}»:"}
+HEADERS = {
+    "definicion": "Definición de «{}»:", "parametro": "Parámetros agronómicos relevantes para «{}»:",
+    "accion": "Pasos y recomendaciones para «{}»:", "general": "Hallazgos en la biblioteca para «{}»:"
+}
 
 
 def question_type(query: Column) -> Column:
@@ -39,11 +45,18 @@ def _terms(query: Column, focus: str | None) -> Column:
 
 
 def citation(number: Column, author: Column, title: Column, doc: Column, page: Column) -> Column:
-    name = F.when(author.isNotNull() & title.isNotNull(), F.concat(author, F.lit(', "'), title, F.lit('"'))).when(title.isNotNull(), F.concat(F.lit('"'), title, F.lit('"'))).otherwise(F.coalesce(author, F.concat(F.lit("Documento "), F.substring(doc.cast("string"), 1, 16), F.lit("..."))))
+    name = F.when(
+        author.isNotNull() & title.isNotNull(), F.concat(author, F.lit(', "'), title, F.lit('"'))
+    ).when(title.isNotNull(), F.concat(F.lit('"'), title, F.lit('"'))).otherwise(F.coalesce(
+        author, F.concat(F.lit("Documento "), F.substring(doc.cast("string"), 1, 16), F.lit("..."))
+    ))
     return F.concat_ws(" — ", F.concat(F.lit("["), number.cast("string"), F.lit("]")), name, F.concat(F.lit("p. "), page.cast("string")))
 
 
-def citation_struct(number: Column, doc: Column, fragment: Column, score: Column, title: Column, author: Column, page: Column, bbox: Column, place: dict[str, Column]) -> Column:
+def citation_struct(
+    number: Column, doc: Column, fragment: Column, score: Column, title: Column, author: Column, page: Column, bbox: Column,
+    place: dict[str, Column]
+) -> Column:
     """What a citation points at; the page 0 is none. place: table_id, row, col, figure_id, caption; cells only count
     with their table, captions with their figure."""
     table, figure = place["table_id"], place["figure_id"]
@@ -62,7 +75,10 @@ def concatenated(hits: DataFrame, most: int = 5) -> DataFrame:
     """
     first = hits.where(F.col("rank") <= most)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown"))
-    item = F.struct("rank", F.coalesce("text", F.lit("")).alias("text"), F.substring(doc, 1, 8).alias("doc"), F.coalesce(F.col("page").cast("string"), F.lit("?")).alias("page"))
+    item = F.struct(
+        "rank", F.coalesce("text", F.lit("")).alias("text"), F.substring(doc, 1, 8).alias("doc"),
+        F.coalesce(F.col("page").cast("string"), F.lit("?")).alias("page")
+    )
     listed = first.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
     number = lambda i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "))
     return listed.select(
@@ -100,7 +116,10 @@ def compose(hits: DataFrame, queries: DataFrame, fragments: int = 3, focus: str
     asked = queries.withColumn("question_type", question_type(F.col("query"))).withColumn("terms", _terms(F.col("query"), focus))
     both = top.join(F.broadcast(asked), "query_id")
     per = F.when(F.col("question_type").isin("parametro", "accion"), 2).otherwise(1)
-    bullets = F.transform(relevant_sentences(F.coalesce("text", F.lit("")), F.col("terms"), per), lambda s: F.concat(F.lit("- "), clip(s), F.lit(" ["), F.col("n").cast("string"), F.lit("]")))
+    bullets = F.transform(
+        relevant_sentences(F.coalesce("text", F.lit("")), F.col("terms"), per),
+        lambda s: F.concat(F.lit("- "), clip(s), F.lit(" ["), F.col("n").cast("string"), F.lit("]"))
+    )
     parts = both.withColumn("bullets", bullets).withColumn("source", citation(F.col("n"), F.col("author"), F.col("title"), F.col("doc_id"), F.col("page")))
     listed = parts.groupBy("query_id", "query", "question_type").agg(F.array_sort(F.collect_list(F.struct("n", "bullets", "source", "text"))).alias("x"))
     header = F.lit(None).cast("string")
@@ -109,5 +128,7 @@ def compose(hits: DataFrame, queries: DataFrame, fragments: int = 3, focus: str
         header = F.when(F.col("question_type") == name, F.concat(F.lit(a), F.trim("query"), F.lit(z))).otherwise(header)
     body = F.array_join(F.array_distinct(F.flatten(F.transform("x", lambda e: e["bullets"]))), "\n")
     answer = F.concat(header, F.lit("\n\n"), body, F.lit("\n\nFuentes:\n"), F.array_join(F.transform("x", lambda e: e["source"]), "\n"))
-    done = listed.withColumn("answer", answer).withColumn("faithfulness", faithfulness(F.col("answer"), F.transform("x", lambda e: F.coalesce(e["text"], F.lit("")))))
+    done = listed.withColumn("answer", answer).withColumn(
+        "faithfulness", faithfulness(F.col("answer"), F.transform("x", lambda e: F.coalesce(e["text"], F.lit(""))))
+    )
     return done.select("query_id", "question_type", "answer", "faithfulness", F.when(F.col("faithfulness") < 0.55, "baja_fidelidad").alias("warning"))

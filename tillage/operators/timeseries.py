@@ -30,7 +30,10 @@ def latest_by_ts_id(rows: DataFrame, key: str, ts: str, id_col: str) -> DataFram
 
 def latest_metrics(rows: DataFrame, key: str, metric: str, value: str, ts: str, names: dict[str, str], id_col: str = "event_id") -> DataFrame:
     """One row for each key with the newest value of every metric: one pass instead of a subquery for each."""
-    return rows.groupBy(key).agg(*[F.max_by(value, F.when(F.col(metric) == m, F.struct(F.col(ts), F.col(id_col)))).alias(out) for m, out in names.items()], F.max(ts).alias("created_at"))
+    return rows.groupBy(key).agg(
+        *[F.max_by(value, F.when(F.col(metric) == m, F.struct(F.col(ts), F.col(id_col)))).alias(out) for m, out in names.items()],
+        F.max(ts).alias("created_at")
+    )
 
 
 def daily(rows: DataFrame, ts: str, value: str, extra: list[Column] = ()) -> DataFrame:

@@ -111,10 +111,16 @@ def citations(spark, sf_dir):
     """Citations as structures: cells only with a table, captions only with a figure."""
     i, c = F.col("doc_id"), F.col
     hits = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).join(_docs(spark, sf_dir), "doc_id")
-    place = {"table_id": F.when(i % 2 == 0, F.concat(F.lit("t"), i.cast("string"))), "row": c("rank"), "col": F.lit(1), "figure_id": F.when(i % 5 == 0, "f"), "caption": c("source")}
+    place = {
+        "table_id": F.when(i % 2 == 0, F.concat(F.lit("t"), i.cast("string"))), "row": c("rank"), "col": F.lit(1),
+        "figure_id": F.when(i % 5 == 0, "f"), "caption": c("source")
+    }
     made = Y.citation_struct(c("rank"), i, i, c("score"), c("source"), F.lit(None).cast("string"), i % 4, F.lit(None).cast("array<double>"), place)
     out = hits.select("query_id", made.alias("c"))
-    return out.select("c.citation_id", "query_id", "c.doc_id", F.round("c.score", 6).alias("score"), "c.page", "c.table_id", "c.row", "c.figure_id", "c.caption")
+    return out.select(
+        "c.citation_id", "query_id", "c.doc_id", F.round("c.score", 6).alias("score"), "c.page", "c.table_id", "c.row", "c.figure_id",
+        "c.caption"
+    )
 
 
 @add(
@@ -134,5 +140,8 @@ def answer_order(spark, sf_dir):
 def answer_compose(spark, sf_dir):
     """Ranking, de-duplication, sentences, citations and faithfulness in one; a test follows it in plain Python."""
     hits = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).join(_docs(spark, sf_dir), "doc_id")
-    shaped = hits.select("query_id", "rank", "doc_id", "text", F.lit(None).cast("string").alias("author"), F.col("source").alias("title"), F.col("lang").alias("page"))
+    shaped = hits.select(
+        "query_id", "rank", "doc_id", "text", F.lit(None).cast("string").alias("author"), F.col("source").alias("title"),
+        F.col("lang").alias("page")
+    )
     return Y.compose(shaped, spark.createDataFrame(QUERIES, "query_id long, query string"))

@@ -25,7 +25,10 @@ def _crops(spark, sf_dir):
     k = F.col("c_custkey")
     name = F.get(F.array(*[F.lit(n) for n in NAMES]), (k % len(NAMES)).cast("int"))
     status = F.when(k % 7 == 0, "inactivo").when(k % 7 != 1, "activo")
-    return table(spark, sf_dir, "customer").select((k % 50).alias("user_id"), k.alias("crop_id"), name.alias("crop_name"), F.lit("").alias("display_name"), status.alias("status"), k.alias("created"))
+    return table(spark, sf_dir, "customer").select(
+        (k % 50).alias("user_id"), k.alias("crop_id"), name.alias("crop_name"), F.lit("").alias("display_name"), status.alias("status"),
+        k.alias("created")
+    )
 
 
 def _messages(spark, sf_dir):
@@ -49,11 +52,17 @@ u AS (SELECT m.*, coalesce(n_active, 0) AS n_active, coalesce(active, []) AS act
 y1 AS (SELECT *, requested IS NOT NULL AND named_id IS NULL AS conflict, CASE WHEN intent = 'library_question' OR n_active = 0 THEN 'biblioteca' ELSE 'parcela' END AS mode FROM u)"""
 
 
-@add("chat_context", f"{_CONTEXT} SELECT conv_id, turn, intent, array_to_string(active, ',') AS active, CAST(n_active AS INT) AS n_active, target_id, target, requested, source, conflict FROM y1")
+@add(
+    "chat_context",
+    f"{_CONTEXT} SELECT conv_id, turn, intent, array_to_string(active, ',') AS active, CAST(n_active AS INT) AS n_active, target_id, target, requested, source, conflict FROM y1"
+)
 def chat_context(spark, sf_dir):
     """What is known about a message's user: active crops, the crop in question, a crop that is not grown."""
     c = _contexts(spark, sf_dir)
-    return c.select("conv_id", "turn", "intent", F.array_join("active", ",").alias("active"), "n_active", "target_id", "target", "requested", "source", "conflict")
+    return c.select(
+        "conv_id", "turn", "intent", F.array_join("active", ",").alias("active"), "n_active", "target_id", "target", "requested", "source",
+        "conflict"
+    )
 
 
 _DOCUMENTS = f"intent <> 'garbage' AND intent NOT IN {_IN(A.READING_INTENTS)} AND (mode = 'biblioteca' OR intent IN {_IN(A.DOCUMENT_INTENTS)})"
@@ -112,7 +121,9 @@ def answer_gate(spark, sf_dir):
     """The first reason against an answer; the answers are dealt to the messages by number."""
     i = F.col("conv_id") + F.col("turn")
     c = table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", "text", F.get(F.array(*[F.lit(a) for a in _ANSWERS]), (i % len(_ANSWERS)).cast("int")).alias("answer"), (F.col("conv_id") % 9 == 0).alias("poor"),
+        "conv_id", "turn", "text", F.get(
+            F.array(*[F.lit(a) for a in _ANSWERS]), (i % len(_ANSWERS)).cast("int")
+        ).alias("answer"), (F.col("conv_id") % 9 == 0).alias("poor"),
         F.when(F.col("turn") % 2 == 0, "biblioteca").otherwise("parcela").alias("mode"), F.when(F.col("conv_id") % 2 == 0, "teocintle").otherwise("suelo").alias("evidence"),
     )
     return c.select("conv_id", "turn", A.quality_gate(F.col("answer"), F.col("poor"), F.col("text"), F.col("mode"), F.col("evidence")).alias("gate"))
@@ -126,7 +137,10 @@ def _text_sql(v: str) -> str:
     return _Q(v).replace("\n", "' || chr(10) || '")
 
 
-_NEEDS = " ".join(f"WHEN intent = '{k}' THEN {_text_sql(intro + chr(10) * 2 + 'Cultivos activos:' + chr(10))} || {_LINES} || {_text_sql(chr(10) * 2 + checks + A.NEEDS_CROP_END)}" for k, (intro, checks) in A.NEEDS_CROP.items())
+_NEEDS = " ".join(
+    f"WHEN intent = '{k}' THEN {_text_sql(intro + chr(10) * 2 + 'Cultivos activos:' + chr(10))} || {_LINES} || {_text_sql(chr(10) * 2 + checks + A.NEEDS_CROP_END)}" for k,
+    (intro, checks) in A.NEEDS_CROP.items()
+)
 
 
 @add(
@@ -158,6 +172,10 @@ def recent_recommendations(spark, sf_dir):
     """Orders stand for recommendations, open ones are pending; half a year stands for six hours."""
     o = table(spark, sf_dir, "orders")
     as_of = o.agg(F.max("o_orderdate").alias("as_of"))
-    rows = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("crop_id"), F.col("o_orderpriority").alias("action"), F.when(F.col("o_orderstatus") == "O", "pendiente").otherwise("hecho").alias("status"), F.col("o_orderdate").cast("timestamp").alias("created"))
+    rows = o.select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("crop_id"), F.col("o_orderpriority").alias("action"),
+        F.when(F.col("o_orderstatus") == "O", "pendiente").otherwise("hecho").alias("status"),
+        F.col("o_orderdate").cast("timestamp").alias("created")
+    )
     dated = rows.crossJoin(F.broadcast(as_of))  # one row
     return A.recent_recommendations(dated, F.col("as_of").cast("timestamp"), 4320).select("crop_id", "id", "action")

@@ -39,7 +39,10 @@ def char_chunks(spark, sf_dir):
 _BY_WORDS = S.packed(SENTENCES, _WORDS, 110, 0, repr(" "))
 
 
-@add("chunk_overlap", f"WITH RECURSIVE {_BY_WORDS}, o AS (SELECT doc_id, n, CASE WHEN n = 0 THEN chunk ELSE right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY n), 80) || ' ' || chunk END AS chunk FROM k) {_SHOW} o")
+@add(
+    "chunk_overlap",
+    f"WITH RECURSIVE {_BY_WORDS}, o AS (SELECT doc_id, n, CASE WHEN n = 0 THEN chunk ELSE right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY n), 80) || ' ' || chunk END AS chunk FROM k) {_SHOW} o"
+)
 def chunk_overlap(spark, sf_dir):
     """The last eighty characters of the chunk before."""
     base = _docs(spark, sf_dir).select("doc_id", C.pack(T.sentences(F.col("text")), 110, unit="words").alias("chunks"))

@@ -41,7 +41,10 @@ def fold_tokens(spark, sf_dir):
 _CLEAN = [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " "), (r"[ \t\x{A0}]+", " "), (r"\n{3,}", "\n\n")]
 
 
-@add("normalize_text_chain", f"WITH a AS (SELECT doc_id, {S.strip(S.chain(f'nfc_normalize({_LOOSE_SQL})', _CLEAN))} AS t FROM documents) SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM a")
+@add(
+    "normalize_text_chain",
+    f"WITH a AS (SELECT doc_id, {S.strip(S.chain(f'nfc_normalize({_LOOSE_SQL})', _CLEAN))} AS t FROM documents) SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM a"
+)
 def normalize_text_chain(spark, sf_dir):
     """Every text with accents that are not composed, which the first step composes."""
     t = T.normalize_text(_loose(F.col("text")))
@@ -67,7 +70,10 @@ def sentence_variants(spark, sf_dir):
 _UNITS = " 5 KG / HA y 3 l/HA 20 °  c 4 PPM 2 G/ l"
 
 
-@add("unit_spellings", rf"SELECT doc_id, md5(trim(regexp_replace({S.chain(f'({TEXT} || {S.repr_sql(_UNITS)})', T.UNITS)}, '\s+', ' ', 'g'))) AS digest FROM documents")
+@add(
+    "unit_spellings",
+    rf"SELECT doc_id, md5(trim(regexp_replace({S.chain(f'({TEXT} || {S.repr_sql(_UNITS)})', T.UNITS)}, '\s+', ' ', 'g'))) AS digest FROM documents"
+)
 def unit_spellings(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.canonical_units(F.concat("text", F.lit(_UNITS)))).alias("digest"))
 
@@ -84,7 +90,10 @@ def equation_protection(spark, sf_dir):
     base = _docs(spark, sf_dir).select("doc_id", F.concat("text", F.lit(_EQUATIONS)).alias("t"))
     kept, pairs = T.protect_equations(F.col("t"))
     base = base.select("doc_id", "t", kept.alias("kept"), pairs.alias("pairs"))
-    return base.select("doc_id", F.size("pairs").cast("long").alias("n_equations"), (T.restore_equations(F.col("kept"), F.col("pairs")) == F.col("t")).alias("restored"))
+    return base.select(
+        "doc_id", F.size("pairs").cast("long").alias("n_equations"),
+        (T.restore_equations(F.col("kept"), F.col("pairs")) == F.col("t")).alias("restored")
+    )
 
 
 @add(
@@ -92,7 +101,10 @@ def equation_protection(spark, sf_dir):
     r"""SELECT doc_id, regexp_replace(lower(source), '[^a-z0-9]', '', 'g') AS compact, regexp_replace(regexp_replace('a/b/' || source || ' ñ.pdf', '^.*[\\/]', ''), '[^A-Za-z0-9._-]+', '_', 'g') AS safe FROM documents""",
 )
 def safe_names(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.compact_name(F.col("source")).alias("compact"), T.safe_name(F.concat(F.lit("a/b/"), "source", F.lit(" ñ.pdf"))).alias("safe"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", T.compact_name(F.col("source")).alias("compact"),
+        T.safe_name(F.concat(F.lit("a/b/"), "source", F.lit(" ñ.pdf"))).alias("safe")
+    )
 
 
 _FURNITURE = "\nPage 3 of 9\n17\npág. 4\nPage three"
@@ -122,7 +134,10 @@ def extracted_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
-@add("clipped_at_word", rf"SELECT doc_id, CASE WHEN length({TEXT}) <= 900 THEN {TEXT} ELSE regexp_replace(substr({TEXT}, 1, 900), '\s+\S*$', '') || '…' END AS clipped FROM documents")
+@add(
+    "clipped_at_word",
+    rf"SELECT doc_id, CASE WHEN length({TEXT}) <= 900 THEN {TEXT} ELSE regexp_replace(substr({TEXT}, 1, 900), '\s+\S*$', '') || '…' END AS clipped FROM documents"
+)
 def clipped_at_word(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.clip_at_word(F.col("text")).alias("clipped"))
 
@@ -157,7 +172,10 @@ def glossary(spark, sf_dir):
     plain = S.ascii_only(T.squeeze(F.col("text")))
     done = T.glossary_applied(T.unmasked(T.masked(plain, _GLOSSARY), _GLOSSARY), _GLOSSARY)
     base = _docs(spark, sf_dir).select("doc_id", "text", done.alias("t"))
-    return base.select("doc_id", F.md5("t").alias("digest"), T.glossary_consistency(F.col("t"), _GLOSSARY).alias("consistency"), T.context_hash(F.col("text")).alias("memory_key"))
+    return base.select(
+        "doc_id", F.md5("t").alias("digest"), T.glossary_consistency(F.col("t"), _GLOSSARY).alias("consistency"),
+        T.context_hash(F.col("text")).alias("memory_key")
+    )
 
 
 _COMPACT = "regexp_replace(lower(x), '[^a-z0-9]', '', 'g')"
@@ -173,7 +191,10 @@ def rival_lines(spark, sf_dir):
     """Lines that name another word of the catalogue than the target go."""
     catalogue = ["that", "dans", "nicht"]
     base = _docs(spark, sf_dir).select("doc_id", S.ascii_only(F.col("text")).alias("a"))
-    return base.select("doc_id", F.md5(T.without_rivals(F.col("a"), F.lit("That"), catalogue)).alias("digest"), F.array_join(T.blocked_names(F.lit("That"), catalogue), ",").alias("blocked"))
+    return base.select(
+        "doc_id", F.md5(T.without_rivals(F.col("a"), F.lit("That"), catalogue)).alias("digest"),
+        F.array_join(T.blocked_names(F.lit("That"), catalogue), ",").alias("blocked")
+    )
 
 
 @add(
@@ -193,7 +214,9 @@ def metadata_precedence(spark, sf_dir):
     }
     form = {"title": F.when(i % 3 == 0, F.concat(F.lit(" T"), i.cast("string"))).otherwise("  "), "author": none, "year": F.lit(None).cast("int")}
     file = F.concat(F.lit("dir/"), "source", F.when(i % 2 == 0, ".v1.PDF").otherwise(".txt"))
-    return _docs(spark, sf_dir).select("doc_id", T.merged_metadata(form, found, file).alias("m")).select("doc_id", "m.title", "m.author", F.col("m.year").cast("long").alias("year"))
+    return _docs(spark, sf_dir).select("doc_id", T.merged_metadata(form, found, file).alias("m")).select(
+        "doc_id", "m.title", "m.author", F.col("m.year").cast("long").alias("year")
+    )
 
 
 @add(
@@ -223,7 +246,9 @@ def markdown_lines(spark, sf_dir):
     text = F.concat("text", F.lit(_LINES))
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split(text, "\n")).alias("n", "line")).withColumn("kind", T.line_kind(F.col("line")))
     inside = F.sum(F.when(F.col("kind") == "fence", 1).otherwise(0)).over(Window.partitionBy("doc_id").orderBy("n")) % 2 == 1
-    return lines.withColumn("kind", F.when(inside & (F.col("kind") != "fence"), "code").otherwise(F.col("kind"))).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    return lines.withColumn(
+        "kind", F.when(inside & (F.col("kind") != "fence"), "code").otherwise(F.col("kind"))
+    ).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
 @add(

@@ -56,7 +56,9 @@ def bm25_label_filter(spark, sf_dir):
 @REGISTRY.add("analysed_search")
 def analysed_search(spark, sf_dir):
     """Stems have no SQL; membership is tested on hand-made rows."""
-    return lexical.analysed_search(_docs(spark, sf_dir), [(1, "las plantas para regiones"), (2, "los cultivos con datos")], k=20).select("query_id", "doc_id", "score", "rank")
+    return lexical.analysed_search(
+        _docs(spark, sf_dir), [(1, "las plantas para regiones"), (2, "los cultivos con datos")], k=20
+    ).select("query_id", "doc_id", "score", "rank")
 
 
 @REGISTRY.add(
@@ -87,7 +89,10 @@ def dense_cosine_topk(spark, sf_dir):
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@REGISTRY.add("dense_where_label", f"WITH {_VQ}, {S.dense('vq', where='label IN (1, 3)')} SELECT query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM den")
+@REGISTRY.add(
+    "dense_where_label",
+    f"WITH {_VQ}, {S.dense('vq', where='label IN (1, 3)')} SELECT query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM den"
+)
 def dense_where_label(spark, sf_dir):
     found = top_vectors_of_set(table(spark, sf_dir, "embeddings").where("label in (1, 3)"), _every_fiftieth(spark, sf_dir))
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -106,7 +111,10 @@ SELECT doc_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[8
 )
 def dummy_embedding_norm(spark, sf_dir):
     v = hashed_embedding(F.coalesce(F.col("text"), F.lit(" ")), 8)
-    return _docs(spark, sf_dir).select("doc_id", v.alias("v")).select("doc_id", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 7), 6).alias("last"), F.round(norm(F.col("v")), 6).alias("norm"))
+    return _docs(spark, sf_dir).select("doc_id", v.alias("v")).select(
+        "doc_id", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 7), 6).alias("last"),
+        F.round(norm(F.col("v")), 6).alias("norm")
+    )
 
 
 def hybrid(spark, sf_dir, k_lexical: int = 100, k_dense: int = 8, queries: list[tuple[int, str]] = QUERIES) -> DataFrame:
@@ -178,7 +186,10 @@ def multifactor_rerank(spark, sf_dir):
     asked = F.array(*[F.lit(w) for w in _ASKED])
     entity = coverage(asked, F.array_distinct(tokens(F.col("text"))))
     score = ranking.multifactor(F.col("rrf_score"), fresh, ranking.authority(F.col("source")), entity)
-    return ranking.ranked(top.select("query_id", "doc_id", F.round(fresh, 6).alias("fresh"), F.round(score, 9).alias("rerank_score")), "rerank_score", ["query_id"], "doc_id")
+    return ranking.ranked(
+        top.select("query_id", "doc_id", F.round(fresh, 6).alias("fresh"), F.round(score, 9).alias("rerank_score")), "rerank_score",
+        ["query_id"], "doc_id"
+    )
 
 
 @REGISTRY.add(
@@ -255,7 +266,12 @@ def auto_focus_detect(spark, sf_dir):
     ordered = sorted((w for w in FOCUS_WORDS if len(w) >= 3), key=lambda w: (-len(w), w))
     focus = F.coalesce(*[F.when(F.contains(t, F.lit(w)), w) for w in ordered])
     out = _docs(spark, sf_dir).select("doc_id", focus.alias("focus"))
-    return out.select("doc_id", "focus", F.when(F.col("focus").isNull(), "global").otherwise("crop_boost").alias("scope"), F.when(F.col("focus").isNull(), F.lit("consulta")).otherwise(F.concat(F.lit("documentacion agronomica sobre "), "focus", F.lit(": consulta"))).alias("rewritten"))
+    return out.select(
+        "doc_id", "focus", F.when(F.col("focus").isNull(), "global").otherwise("crop_boost").alias("scope"),
+        F.when(F.col("focus").isNull(), F.lit("consulta")).otherwise(F.concat(
+            F.lit("documentacion agronomica sobre "), "focus", F.lit(": consulta")
+        )).alias("rewritten")
+    )
 
 
 @REGISTRY.add(
@@ -329,12 +345,18 @@ SELECT query_id, query, coalesce(n_fragments, 0) AS n_fragments, coalesce(unique
 )
 def audit_summary(spark, sf_dir):
     """Four neighbouring documents stand for one, the source for the title."""
-    hits = hybrid(spark, sf_dir).where("rank <= 10").join(_docs(spark, sf_dir), "doc_id").select("query_id", "rank", F.floor(F.col("doc_id") / 4).alias("doc"), F.col("source").alias("title"))
+    hits = hybrid(spark, sf_dir).where("rank <= 10").join(_docs(spark, sf_dir), "doc_id").select(
+        "query_id", "rank", F.floor(F.col("doc_id") / 4).alias("doc"), F.col("source").alias("title")
+    )
     asked = spark.createDataFrame(QUERIES, "query_id long, query string")
     return evaluation.audit(hits, asked).select("query_id", "query", "n_fragments", "unique_docs", F.array_join("titles", "|").alias("titles"), "insufficient")
 
 
-_FOCUS_CASES = [(1, "plagas del maiz", None, None, "global"), (2, "plagas del maiz", "Frijol", None, "crop_strict"), (3, "plagas", "Chile", "Tomate Rojo", "crop_boost"), (4, "clima", None, None, "global"), (5, "maiz y frijol", None, None, "crop_boost"), (6, "calabaza y chile", "", None, "global")]
+_FOCUS_CASES = [
+    (1, "plagas del maiz", None, None, "global"), (2, "plagas del maiz", "Frijol", None, "crop_strict"),
+    (3, "plagas", "Chile", "Tomate Rojo", "crop_boost"), (4, "clima", None, None, "global"), (5, "maiz y frijol", None, None, "crop_boost"),
+    (6, "calabaza y chile", "", None, "global")
+]
 _FOCUS_ROWS = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in _FOCUS_CASES)
 
 
@@ -363,8 +385,12 @@ u AS (SELECT mode, query_id, doc_id, round(coalesce(nullif(rrf_score, 0), score,
 
 def _by_mode(spark, sf_dir) -> DataFrame:
     """Hits of both modes with one score; the single search's have no fused score, or 0."""
-    lex = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).select(F.lit("lex").alias("mode"), "query_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, 0.0).alias("rrf_score"), "score")
-    both = hybrid(spark, sf_dir).where("rank <= 8").select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rrf_score", F.lit(None).cast("double").alias("score"))
+    lex = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).select(
+        F.lit("lex").alias("mode"), "query_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, 0.0).alias("rrf_score"), "score"
+    )
+    both = hybrid(spark, sf_dir).where("rank <= 8").select(
+        F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rrf_score", F.lit(None).cast("double").alias("score")
+    )
     return both.unionByName(lex).select("mode", "query_id", "doc_id", F.round(ranking.unified_score(F.col("score"), F.col("rrf_score")), 9).alias("rrf_score"))
 
 
@@ -402,10 +428,16 @@ def hit_hydration(spark, sf_dir):
     d = _docs(spark, sf_dir)
     f = F.col("doc_id")
     box = F.when(f % 3 == 0, "not a list").when(f % 3 == 1, "[1, 2, 3.5, 4]").otherwise("[1, 2]")
-    fragments = d.select(f.alias("fragment_id"), F.when(f % 7 != 0, F.floor(f / 4)).alias("doc_id"), "text", (f % 5).cast("int").alias("page_start"), (f % 5).cast("int").alias("page_end"), box.alias("bbox"), "source")
+    fragments = d.select(
+        f.alias("fragment_id"), F.when(f % 7 != 0, F.floor(f / 4)).alias("doc_id"), "text", (f % 5).cast("int").alias("page_start"),
+        (f % 5).cast("int").alias("page_end"), box.alias("bbox"), "source"
+    )
     hits = hybrid(spark, sf_dir).where("rank <= 10").select("query_id", F.col("doc_id").alias("fragment_id"), "rank")
     out = ranking.hydrated(hits, fragments, d.select("doc_id", F.col("source").alias("title")))
-    return out.select("query_id", "fragment_id", "rank", "doc_id", "doc_title", "page_start", F.length("text").cast("long").alias("n_chars"), F.nullif(F.coalesce(F.size("bbox"), F.lit(-1)), F.lit(-1)).alias("n_box"), "render_url", "locate_url")
+    return out.select(
+        "query_id", "fragment_id", "rank", "doc_id", "doc_title", "page_start", F.length("text").cast("long").alias("n_chars"),
+        F.nullif(F.coalesce(F.size("bbox"), F.lit(-1)), F.lit(-1)).alias("n_box"), "render_url", "locate_url"
+    )
 
 
 def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> DataFrame:
@@ -436,4 +468,7 @@ def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> Da
                 hit.write.mode("append").parquet(at)
         found = found.unionByName(spark.read.parquet(at) if at else hit)
     out = items.join(found, "needle", "left").groupBy("query_id")
-    return out.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).cast("long").alias("n_docs"), F.min("first_doc").alias("first_doc"), (F.coalesce(F.sum("n_docs"), F.lit(0)) > 0).alias("found"))
+    return out.agg(
+        F.coalesce(F.sum("n_docs"), F.lit(0)).cast("long").alias("n_docs"), F.min("first_doc").alias("first_doc"),
+        (F.coalesce(F.sum("n_docs"), F.lit(0)) > 0).alias("found")
+    )

@@ -64,12 +64,17 @@ def delimited_rows(spark, sf_dir):
     rows = X.delimited(F.lit(_ROWS))
     comma = X.delimited(F.concat(F.lit("x"), F.col("doc_id").cast("string"), F.lit(" , y\n")))
     line = lambda r, i: F.array_join(F.get(r, i), "|")
-    return _docs(spark, sf_dir).select("doc_id", line(rows, 0).alias("head"), line(rows, 1).alias("last"), F.size(rows).cast("long").alias("n_rows"), line(comma, 0).alias("by_comma"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", line(rows, 0).alias("head"), line(rows, 1).alias("last"), F.size(rows).cast("long").alias("n_rows"),
+        line(comma, 0).alias("by_comma")
+    )
 
 
 @add("sheet_zero_as_null", "SELECT l_orderkey, l_linenumber, nullif(l_discount, 0) AS l_discount, nullif(l_tax, 0) AS l_tax FROM lineitem")
 def sheet_zero_as_null(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("string").alias("l_discount"), F.col("l_tax").cast("string").alias("l_tax"))
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_discount").cast("string").alias("l_discount"), F.col("l_tax").cast("string").alias("l_tax")
+    )
     return X.sheet(li, ["l_discount", "l_tax"])
 
 
@@ -82,7 +87,10 @@ _SHEETS = {
 }
 
 
-@add("workbook", "SELECT * FROM (VALUES ('cultivos', 2, 45.0::DOUBLE), ('sensores', 2, 63.5), ('nutrientes', 1, 1.5), ('riego', 1, 40.0), ('global', 1, 6.2)) t(sheet, n, total)")
+@add(
+    "workbook",
+    "SELECT * FROM (VALUES ('cultivos', 2, 45.0::DOUBLE), ('sensores', 2, 63.5), ('nutrientes', 1, 1.5), ('riego', 1, 40.0), ('global', 1, 6.2)) t(sheet, n, total)"
+)
 def workbook(spark, sf_dir):
     """Five sheets, one file each: rows without a name are left out, numbers that are 0 or no numbers are missing."""
     at = _folder(spark, {f"{name}.csv": body.encode() for name, body in _SHEETS.items()})
@@ -94,7 +102,10 @@ _TEXTS = {
 }
 
 
-@add("text_pages", r"SELECT * FROM (VALUES (1, 'uno'), (2, 'dos'), (3, 'tres'), (1, 'caña' || chr(10) || 'verde'), (1, '# Uno' || chr(10) || 'x'), (2, '# Dos' || chr(10) || 'y' || chr(10) || '## Otro' || chr(10) || 'z'), (1, '```' || chr(10) || '# no' || chr(10) || '```' || chr(10) || '# si')) t(page, text)")
+@add(
+    "text_pages",
+    r"SELECT * FROM (VALUES (1, 'uno'), (2, 'dos'), (3, 'tres'), (1, 'caña' || chr(10) || 'verde'), (1, '# Uno' || chr(10) || 'x'), (2, '# Dos' || chr(10) || 'y' || chr(10) || '## Otro' || chr(10) || 'z'), (1, '```' || chr(10) || '# no' || chr(10) || '```' || chr(10) || '# si')) t(page, text)"
+)
 def text_pages(spark, sf_dir):
     """Texts in three encodings, parted by marks or by headings."""
     return X.text_pages(spark, _folder(spark, _TEXTS)).select("page", "text")
@@ -115,7 +126,10 @@ def _word_file() -> bytes:
     return out.getvalue()
 
 
-@add("word_documents", "SELECT * FROM (VALUES (0, 1, 'heading', 6), (1, 1, 'paragraph', 5), (2, 2, 'table', 5), (3, 2, 'paragraph', 3999), (4, 3, 'paragraph', 3)) t(n, page, kind, n_chars)")
+@add(
+    "word_documents",
+    "SELECT * FROM (VALUES (0, 1, 'heading', 6), (1, 1, 'paragraph', 5), (2, 2, 'table', 5), (3, 2, 'paragraph', 3999), (4, 3, 'paragraph', 3)) t(n, page, kind, n_chars)"
+)
 def word_documents(spark, sf_dir):
     found = X.word_documents(spark, _folder(spark, {"a.docx": _word_file()}))
     return found.select("n", "page", "kind", F.length("text").alias("n_chars"))
@@ -139,7 +153,10 @@ def _pdf_file() -> bytes:
     return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % kv for kv in bodies.items()) + b"trailer << /Root 1 0 R >>\n%%EOF"
 
 
-@add("pdf_pages", "SELECT * FROM (VALUES (1, 'Ma(z y' || chr(10) || 'ño' || chr(10) || 'fin de la página, con bastante texto y palabras', false), (2, 'thin ©', true)) t(page, text, by_ocr)")
+@add(
+    "pdf_pages",
+    "SELECT * FROM (VALUES (1, 'Ma(z y' || chr(10) || 'ño' || chr(10) || 'fin de la página, con bastante texto y palabras', false), (2, 'thin ©', true)) t(page, text, by_ocr)"
+)
 def pdf_pages(spark, sf_dir):
     """The text layer of a PDF's pages, and which pages need their image read."""
     return pdf.pdf_pages(spark, _folder(spark, {"a.pdf": _pdf_file(), "b.pdf": b"no pdf"})).select("page", "text", "by_ocr")
@@ -173,7 +190,9 @@ def soil_service(spark, sf_dir):
     """Responses of a soil service, three in four of them of no use, which a column says."""
     k = F.col("p_partkey")
     head, tail = _soil("@").split("@")
-    response = F.when(k % 4 == 0, F.concat(F.lit(head), k.cast("string"), F.lit(tail))).when(k % 4 == 1, " ").when(k % 4 == 2, '{"detail": "down"}').otherwise('{"properties": {}}')
+    response = F.when(
+        k % 4 == 0, F.concat(F.lit(head), k.cast("string"), F.lit(tail))
+    ).when(k % 4 == 1, " ").when(k % 4 == 2, '{"detail": "down"}').otherwise('{"properties": {}}')
     rows = X.soil_rows(table(spark, sf_dir, "part").select(k.alias("part"), response.alias("response")))
     return rows.select("part", F.size("rows").alias("n"), F.get("rows", 0)["value"].alias("value"), "_error")
 
@@ -184,7 +203,10 @@ def soil_service(spark, sf_dir):
 )
 def stored_files(spark, sf_dir):
     """Files go by the hash of what they hold, under a time and a safe name."""
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_id"), sinks.stored_name(F.lit(1717200000), F.concat("source", F.lit(" ñ.txt"))).alias("stored_name"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("file_id"),
+        sinks.stored_name(F.lit(1717200000), F.concat("source", F.lit(" ñ.txt"))).alias("stored_name")
+    )
 
 
 @add(
@@ -198,7 +220,10 @@ def fragment_sink(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
     sinks.write_fragments(sinks.numbered(rows, "doc_id", ["page"]), at)
     back = spark.read.parquet(at)
-    return back.groupBy(F.col("doc_id").alias("source")).agg(F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"), F.sum("char_count").cast("long").alias("chars"), F.count_distinct("fragment_id").alias("ids"))
+    return back.groupBy(F.col("doc_id").alias("source")).agg(
+        F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"), F.sum("char_count").cast("long").alias("chars"),
+        F.count_distinct("fragment_id").alias("ids")
+    )
 
 
 @add(
@@ -242,7 +267,9 @@ def vector_sink(spark, sf_dir):
     e.write.parquet(first)
     fresh = e.where("vec_id % 4 = 0").withColumn("label", F.col("label") + 100).unionByName(e.where("vec_id % 10 = 0").withColumn("vec_id", F.col("vec_id") + 1000000000))
     sinks.upsert_vectors(spark, first, fresh, second)
-    return lexical.without(spark.read.parquet(second), e.unionByName(fresh).where("vec_id % 7 = 2"), "vec_id").select("vec_id", F.col("label").cast("long").alias("label"))
+    return lexical.without(
+        spark.read.parquet(second), e.unionByName(fresh).where("vec_id % 7 = 2"), "vec_id"
+    ).select("vec_id", F.col("label").cast("long").alias("label"))
 
 
 #: Blocks of pages: lines of orders dealt to two or three columns, every fifth across the page.
@@ -257,7 +284,10 @@ def _blocks(spark, sf_dir):
     x0 = F.when(across, 20.0).when(kind == 0, 30.0).when(kind == 1, 30.0 + 250 * (i % 2)).otherwise(20.0 + 160 * (i % 3))
     x1 = F.when(across, 480.0).when(kind == 0, 300.0).when(kind == 1, 250.0 + 240 * (i % 2)).otherwise(160.0 + 165 * (i % 3))
     y0 = 40.0 * F.floor(i / 2) + 3 * (page % 4) * (i % 2)
-    return table(spark, sf_dir, "lineitem").select(page.alias("page"), i.alias("i"), x0.alias("x0"), y0.cast("double").alias("y0"), x1.alias("x1"), (y0 + 10).cast("double").alias("y1"))
+    return table(spark, sf_dir, "lineitem").select(
+        page.alias("page"), i.alias("i"), x0.alias("x0"), y0.cast("double").alias("y0"), x1.alias("x1"),
+        (y0 + 10).cast("double").alias("y1")
+    )
 
 
 _CUTS = """c AS (SELECT page, list_sort(list((x0 + x1) / 2)) AS c, stddev_samp((x0 + x1) / 2) AS sp FROM k GROUP BY page),
@@ -309,7 +339,10 @@ def table_texts(spark, sf_dir):
     return tables.select("l_orderkey", T.table_text(F.col("rows"), "lattice", F.array(F.lit("modo"), F.lit("marca "))).alias("text"))
 
 
-@add("ocr_codes", "SELECT doc_id, CASE lang WHEN 'es' THEN 'spa' WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' ELSE 'spa+eng' END AS code, lang IN ('es', 'en') AS ready FROM documents")
+@add(
+    "ocr_codes",
+    "SELECT doc_id, CASE lang WHEN 'es' THEN 'spa' WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' ELSE 'spa+eng' END AS code, lang IN ('es', 'en') AS ready FROM documents"
+)
 def ocr_codes(spark, sf_dir):
     """Languages as codes of the recogniser, of those that are installed."""
     code = T.ocr_language(F.col("lang"), ("spa", "eng", "fra"))

@@ -49,7 +49,10 @@ def stream_sessions(spark, sf_dir):
     return out.select("user_id", shown("start").alias("start"), shown("end").alias("end"), "n")
 
 
-@add("stream_latest_state", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, count(*) AS seen FROM events GROUP BY user_id")
+@add(
+    "stream_latest_state",
+    "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, count(*) AS seen FROM events GROUP BY user_id"
+)
 def stream_latest_state(spark, sf_dir):
     found = Z.drained(Z.latest_state(_events(spark, sf_dir)), "update")
     return found.groupBy("user_id").agg(F.max_by("event_id", "seen").alias("event_id"), F.max_by("value", "seen").alias("value"), F.max("seen").alias("seen"))

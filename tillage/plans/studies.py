@@ -17,12 +17,19 @@ def _gold_pred(spark, sf_dir):
     """Gold: a source's good labelled documents by id. Prediction: its ten longest documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", "lang")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().join(docs, "doc_id")
-    gold = good.groupBy(F.col("source").alias("query")).agg(F.array_sort(F.collect_list("doc_id")).alias("gold_ids"), F.array(F.lit("en"), F.lit("fr")).alias("query_entities"), F.lit(1).alias("n"))
+    gold = good.groupBy(F.col("source").alias("query")).agg(
+        F.array_sort(F.collect_list("doc_id")).alias("gold_ids"), F.array(F.lit("en"), F.lit("fr")).alias("query_entities"),
+        F.lit(1).alias("n")
+    )
     from tillage.operators.timeseries import newest
 
     top = newest(docs, ["source"], [F.desc("n_chars"), F.col("doc_id")], 10, "place")
     listed = F.array_sort(F.collect_list(F.struct("place", "doc_id", "lang")))
-    pred = top.groupBy(F.col("source").alias("query")).agg(listed.alias("x")).select("query", F.transform("x", lambda e: e["doc_id"]).alias("pred_ids"), F.transform("x", lambda e: F.array(e["lang"])).alias("pred_entities"), F.lit(None).cast("double").alias("faithfulness"), F.lit(1).alias("n"))
+    pred = top.groupBy(F.col("source").alias("query")).agg(listed.alias("x")).select(
+        "query", F.transform("x", lambda e: e["doc_id"]).alias("pred_ids"),
+        F.transform("x", lambda e: F.array(e["lang"])).alias("pred_entities"), F.lit(None).cast("double").alias("faithfulness"),
+        F.lit(1).alias("n")
+    )
     return gold, pred
 
 
@@ -64,12 +71,18 @@ def ndcg_at_k(spark, sf_dir):
     return _rounded(_metrics(spark, sf_dir), ["ndcg_3", "ndcg_10"])
 
 
-@add("entity_coverage_at_k", f"WITH {_LISTS} SELECT query, CAST(round(len(list_filter(['en', 'fr'], lambda x: list_contains(langs[1:3], x))) / 2, 6) AS DOUBLE) AS entity_coverage_3 FROM j")
+@add(
+    "entity_coverage_at_k",
+    f"WITH {_LISTS} SELECT query, CAST(round(len(list_filter(['en', 'fr'], lambda x: list_contains(langs[1:3], x))) / 2, 6) AS DOUBLE) AS entity_coverage_3 FROM j"
+)
 def entity_coverage_at_k(spark, sf_dir):
     return _rounded(_metrics(spark, sf_dir), ["entity_coverage_3"])
 
 
-@add("eval_summary", f"WITH {_LISTS}, m AS (SELECT {_PR}, {_RR} FROM j) SELECT 'queries_evaluated' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m UNION ALL SELECT 'precision_3', round(avg(precision_3), 5) FROM m UNION ALL SELECT 'recall_10', round(avg(recall_10), 5) FROM m UNION ALL SELECT 'mrr', round(avg(mrr), 5) FROM m")
+@add(
+    "eval_summary",
+    f"WITH {_LISTS}, m AS (SELECT {_PR}, {_RR} FROM j) SELECT 'queries_evaluated' AS metric, CAST(count(*) AS DOUBLE) AS value FROM m UNION ALL SELECT 'precision_3', round(avg(precision_3), 5) FROM m UNION ALL SELECT 'recall_10', round(avg(recall_10), 5) FROM m UNION ALL SELECT 'mrr', round(avg(mrr), 5) FROM m"
+)
 def eval_summary(spark, sf_dir):
     m = _rounded(_metrics(spark, sf_dir), ["precision_3", "recall_10", "mrr"])
     return V.summary(m).select("metric", F.round("value", 5).alias("value"))
@@ -83,7 +96,11 @@ m AS (SELECT """ + ", ".join(f"quantile_cont({f}, 0.5) AS m_{f}" for f in FACTOR
 
 def _soil(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    s = li.select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("clay"), (60 - F.col("l_quantity")).alias("sand"), (F.col("l_discount") * 10).alias("om"), (1 + F.col("l_tax") * 5).alias("density"), (F.col("l_linenumber") * 10.0).alias("depth"))
+    s = li.select(
+        "l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").cast("double").alias("clay"),
+        (60 - F.col("l_quantity")).alias("sand"), (F.col("l_discount") * 10).alias("om"), (1 + F.col("l_tax") * 5).alias("density"),
+        (F.col("l_linenumber") * 10.0).alias("depth")
+    )
     return s.withColumn("awc", Q.available_water(*[F.col(c) for c in ("clay", "sand", "om", "density", "depth")]))
 
 
@@ -91,15 +108,26 @@ def _coded(spark, sf_dir):
     return Q.coded(_soil(spark, sf_dir), FACTORS)
 
 
-@add("awc_columns", f"WITH {_SOIL} SELECT l_returnflag, count(*) AS n, round(avg(awc), 6) AS mean_awc, round(min(awc), 6) AS low, round(max(awc), 6) AS high FROM w GROUP BY l_returnflag")
+@add(
+    "awc_columns",
+    f"WITH {_SOIL} SELECT l_returnflag, count(*) AS n, round(avg(awc), 6) AS mean_awc, round(min(awc), 6) AS low, round(max(awc), 6) AS high FROM w GROUP BY l_returnflag"
+)
 def awc_columns(spark, sf_dir):
-    return _soil(spark, sf_dir).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("awc"), 6).alias("mean_awc"), F.round(F.min("awc"), 6).alias("low"), F.round(F.max("awc"), 6).alias("high"))
+    return _soil(spark, sf_dir).groupBy("l_returnflag").agg(
+        F.count("*").alias("n"), F.round(F.avg("awc"), 6).alias("mean_awc"), F.round(F.min("awc"), 6).alias("low"),
+        F.round(F.max("awc"), 6).alias("high")
+    )
 
 
-@add("quartile_levels", "WITH " + _SOIL + " " + " UNION ALL ".join(f"SELECT '{f}' AS factor, round(quantile_cont({f}, 0.25), 6) AS low, round(quantile_cont({f}, 0.75), 6) AS high FROM w" for f in FACTORS))
+@add(
+    "quartile_levels",
+    "WITH " + _SOIL + " " + " UNION ALL ".join(f"SELECT '{f}' AS factor, round(quantile_cont({f}, 0.25), 6) AS low, round(quantile_cont({f}, 0.75), 6) AS high FROM w" for f in FACTORS)
+)
 def quartile_levels(spark, sf_dir):
     one = _soil(spark, sf_dir).agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.75))).alias(f) for f in FACTORS])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("factor"), F.round(F.get(f, 0), 6).alias("low"), F.round(F.get(f, 1), 6).alias("high")) for f in FACTORS])).alias("x")).select("x.*")
+    return one.select(F.explode(F.array(*[F.struct(
+        F.lit(f).alias("factor"), F.round(F.get(f, 0), 6).alias("low"), F.round(F.get(f, 1), 6).alias("high")
+    ) for f in FACTORS])).alias("x")).select("x.*")
 
 
 @add("median_split", f"WITH {_SOIL} SELECT clay_c, om_c, density_c, depth_c, count(*) AS n FROM c GROUP BY ALL")
@@ -111,20 +139,34 @@ def _per_factor(select: str) -> str:
     return "WITH " + _SOIL + " " + " UNION ALL ".join(select.replace("{f}", f) for f in FACTORS)
 
 
-@add("main_effects", _per_factor("SELECT '{f}' AS factor, round(avg(awc) FILTER ({f}_c = 1) - avg(awc) FILTER ({f}_c = -1), 5) AS effect, round(stddev_pop(awc) FILTER ({f}_c = 1), 5) AS std_high, count(*) FILTER ({f}_c = -1) AS n_low FROM c"))
+@add(
+    "main_effects",
+    _per_factor("SELECT '{f}' AS factor, round(avg(awc) FILTER ({f}_c = 1) - avg(awc) FILTER ({f}_c = -1), 5) AS effect, round(stddev_pop(awc) FILTER ({f}_c = 1), 5) AS std_high, count(*) FILTER ({f}_c = -1) AS n_low FROM c")
+)
 def main_effects(spark, sf_dir):
-    return Q.main_effects(_coded(spark, sf_dir), FACTORS, "awc").select("factor", F.round("effect", 5).alias("effect"), F.round("std_high", 5).alias("std_high"), "n_low")
+    return Q.main_effects(_coded(spark, sf_dir), FACTORS, "awc").select(
+        "factor", F.round("effect", 5).alias("effect"), F.round("std_high", 5).alias("std_high"), "n_low"
+    )
 
 
 _MEAN = lambda a, b, i, j: f"coalesce(avg(awc) FILTER ({a}_c = {i} AND {b}_c = {j}), 0)"
 
 
-@add("interactions", "WITH " + _SOIL + " " + " UNION ALL ".join(f"SELECT '{a}' AS first, '{b}' AS second, round((({_MEAN(a, b, 1, 1)} + {_MEAN(a, b, -1, -1)}) - ({_MEAN(a, b, 1, -1)} + {_MEAN(a, b, -1, 1)})) / 2, 5) AS effect FROM c" for i, a in enumerate(FACTORS) for b in FACTORS[i + 1 :]))
+@add(
+    "interactions",
+    "WITH " + _SOIL + " " + " UNION ALL ".join(
+        f"SELECT '{a}' AS first, '{b}' AS second, round((({_MEAN(a, b, 1, 1)} + {_MEAN(a, b, -1, -1)}) - ({_MEAN(a, b, 1, -1)} + {_MEAN(a, b, -1, 1)})) / 2, 5) AS effect FROM c" for i,
+        a in enumerate(FACTORS) for b in FACTORS[i + 1 :]
+    )
+)
 def interactions(spark, sf_dir):
     return Q.interactions(_coded(spark, sf_dir), FACTORS, "awc").select("first", "second", F.round("effect", 5).alias("effect"))
 
 
-@add("anova_f", _per_factor("SELECT '{f}' AS factor, round((count(*) FILTER ({f}_c = 1) * pow(avg(awc) FILTER ({f}_c = 1) - avg(awc), 2) + count(*) FILTER ({f}_c = -1) * pow(avg(awc) FILTER ({f}_c = -1) - avg(awc), 2)) / ((count(*) FILTER ({f}_c = 1) * var_pop(awc) FILTER ({f}_c = 1) + count(*) FILTER ({f}_c = -1) * var_pop(awc) FILTER ({f}_c = -1)) / (count(*) - 2)), 3) AS f FROM c"))
+@add(
+    "anova_f",
+    _per_factor("SELECT '{f}' AS factor, round((count(*) FILTER ({f}_c = 1) * pow(avg(awc) FILTER ({f}_c = 1) - avg(awc), 2) + count(*) FILTER ({f}_c = -1) * pow(avg(awc) FILTER ({f}_c = -1) - avg(awc), 2)) / ((count(*) FILTER ({f}_c = 1) * var_pop(awc) FILTER ({f}_c = 1) + count(*) FILTER ({f}_c = -1) * var_pop(awc) FILTER ({f}_c = -1)) / (count(*) - 2)), 3) AS f FROM c")
+)
 def anova_f(spark, sf_dir):
     return Q.anova(_coded(spark, sf_dir), FACTORS, "awc").select("factor", F.round("f", 3).alias("f"))
 
@@ -132,10 +174,16 @@ def anova_f(spark, sf_dir):
 @add("anova_p_values")
 def anova_p_values(spark, sf_dir):
     rows = [(r["factor"], r["f"], float(Q.f_tail(r["f"], 1, r["df"]))) for r in Q.anova(_coded(spark, sf_dir), FACTORS, "awc").collect()]  # one row for each factor
-    return spark.createDataFrame([(f, x, p, "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "NS") for f, x, p in rows], "factor string, f double, p double, mark string")
+    return spark.createDataFrame(
+        [(f, x, p, "***" if p < 0.001 else "**" if p < 0.01 else "*" if p < 0.05 else "NS") for f, x, p in rows],
+        "factor string, f double, p double, mark string"
+    )
 
 
-@add("corr_rank", "WITH " + _SOIL + ", r AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, round(corr({f}, awc), 6) AS r FROM w" for f in FACTORS) + ") SELECT factor, r, row_number() OVER (ORDER BY abs(r) DESC, factor) AS place FROM r")
+@add(
+    "corr_rank",
+    "WITH " + _SOIL + ", r AS (" + " UNION ALL ".join(f"SELECT '{f}' AS factor, round(corr({f}, awc), 6) AS r FROM w" for f in FACTORS) + ") SELECT factor, r, row_number() OVER (ORDER BY abs(r) DESC, factor) AS place FROM r"
+)
 def corr_rank(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -198,6 +246,9 @@ def durbin_watson(spark, sf_dir):
     return Q.durbin_watson(e, "e", "l_returnflag", ["l_orderkey", "l_linenumber", "awc"]).select("l_returnflag", F.round("dw", 6).alias("dw"))
 
 
-@add("levene", f"WITH {_SOIL}, z AS (SELECT l_returnflag, abs(awc - avg(awc) OVER (PARTITION BY l_returnflag)) AS z FROM w), g AS (SELECT l_returnflag, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS wi, sum(n * m * m) AS sq FROM g) SELECT round((n - k) / (k - 1) * (sq - n * mean * mean) / wi, 4) AS levene FROM t")
+@add(
+    "levene",
+    f"WITH {_SOIL}, z AS (SELECT l_returnflag, abs(awc - avg(awc) OVER (PARTITION BY l_returnflag)) AS z FROM w), g AS (SELECT l_returnflag, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY 1), t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mean, sum(n * v) AS wi, sum(n * m * m) AS sq FROM g) SELECT round((n - k) / (k - 1) * (sq - n * mean * mean) / wi, 4) AS levene FROM t"
+)
 def levene(spark, sf_dir):
     return Q.levene(_soil(spark, sf_dir), "l_returnflag", "awc").select(F.round("levene", 4).alias("levene"))

@@ -24,23 +24,34 @@ def latest_by_max_id(spark, sf_dir):
     return W.latest_by_max_id(_events(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", "value")
 
 
-@add("latest_by_ts", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1")
+@add(
+    "latest_by_ts",
+    "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS n FROM events) WHERE n = 1"
+)
 def latest_by_ts(spark, sf_dir):
     return W.latest_by_ts(_events(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
 
 
-@add("latest_by_ts_id", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@add(
+    "latest_by_ts_id",
+    "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('second', ts) DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+)
 def latest_by_ts_id(spark, sf_dir):
     return W.latest_by_ts_id(_events(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "value")
 
 
-@add("top_n_recent", "SELECT user_id, event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 12")
+@add(
+    "top_n_recent",
+    "SELECT user_id, event_id, n AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 12"
+)
 def top_n_recent(spark, sf_dir):
     out = W.newest(_events(spark, sf_dir), ["user_id"], [F.desc("ts"), F.desc("event_id")], 12, "place")
     return out.select("user_id", "event_id", F.col("place").cast("long").alias("place"))
 
 
-_LATEST = "l AS (SELECT user_id, " + ", ".join(f"arg_max(value, (ts, event_id)) FILTER (event_type = '{e}') AS {m}" for e, m in METRICS.items()) + ", max(ts) AS created_at FROM events GROUP BY user_id)"
+_LATEST = "l AS (SELECT user_id, " + ", ".join(
+    f"arg_max(value, (ts, event_id)) FILTER (event_type = '{e}') AS {m}" for e, m in METRICS.items()
+) + ", max(ts) AS created_at FROM events GROUP BY user_id)"
 _LAST_ROW = "x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1)"
 
 
@@ -57,7 +68,10 @@ _WHOLE = ", ".join(f"avg(value) FILTER (event_type = '{e}') AS g_{m}" for e, m i
 _FILLED = ", ".join(f"round({f'avg({m})' if m == 'light' else f'coalesce(avg({m}), any_value(g_{m}))'}, 6) AS {m}" for m in METRICS.values())
 
 
-@add("parcel_latest_avg", f"WITH {_LATEST}, k AS (SELECT * FROM l WHERE user_id % 50 = 7), g AS (SELECT {_WHOLE} FROM events) SELECT {_FILLED}, count(*) AS crops FROM g LEFT JOIN (SELECT * REPLACE (CASE WHEN user_id > 0 THEN NULL END AS air_temp, NULL AS light) FROM k) ON true".replace("count(*) AS crops", "count(user_id) AS crops"))
+@add(
+    "parcel_latest_avg",
+    f"WITH {_LATEST}, k AS (SELECT * FROM l WHERE user_id % 50 = 7), g AS (SELECT {_WHOLE} FROM events) SELECT {_FILLED}, count(*) AS crops FROM g LEFT JOIN (SELECT * REPLACE (CASE WHEN user_id > 0 THEN NULL END AS air_temp, NULL AS light) FROM k) ON true".replace("count(*) AS crops", "count(user_id) AS crops")
+)
 def parcel_latest_avg(spark, sf_dir):
     """Mean over one owner's crops of their latest readings; temperature and light were never read: one is filled
     from the global mean, light never is."""
@@ -71,18 +85,25 @@ def parcel_latest_avg(spark, sf_dir):
 
 @add("parcel_daily", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY ALL")
 def parcel_daily(spark, sf_dir):
-    return W.daily(_events(spark, sf_dir), "ts", "value", ["event_type"]).select(F.col("day").cast("string").alias("day"), "event_type", F.round("avg_value", 6).alias("avg_value"), "n")
+    return W.daily(_events(spark, sf_dir), "ts", "value", ["event_type"]).select(
+        F.col("day").cast("string").alias("day"), "event_type", F.round("avg_value", 6).alias("avg_value"), "n"
+    )
 
 
 _FILL = """p AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(avg(value), 6) AS avg_value, count(*) AS n FROM events WHERE user_id < 3 AND event_type = 'view' GROUP BY ALL),
 g AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, round(avg(value), 6) AS avg_value, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL)"""
 
 
-@add("parcel_daily_filled", f"WITH {_FILL} SELECT *, 'parcel' AS source FROM p UNION ALL SELECT *, 'global' AS source FROM g WHERE day NOT IN (SELECT day FROM p)")
+@add(
+    "parcel_daily_filled",
+    f"WITH {_FILL} SELECT *, 'parcel' AS source FROM p UNION ALL SELECT *, 'global' AS source FROM g WHERE day NOT IN (SELECT day FROM p)"
+)
 def parcel_daily_filled(spark, sf_dir):
     """A parcel of three crops; days it lacks come from all crops."""
     soil = _events(spark, sf_dir).where("event_type = 'view'")
-    shape = lambda df: W.daily(df, "ts", "value").select(F.col("day").cast("string").alias("day"), F.round("avg_value", 6).alias("avg_value"), "n")
+    shape = lambda df: W.daily(df, "ts", "value").select(
+        F.col("day").cast("string").alias("day"), F.round("avg_value", 6).alias("avg_value"), "n"
+    )
     return W.filled(shape(soil.where("user_id < 3")), shape(soil))
 
 
@@ -94,13 +115,21 @@ k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY week DESC) AS m
 SELECT user_id, CAST(week AS VARCHAR) AS week, event_id, value FROM k WHERE m <= 24""",
 )
 def weekly_latest(spark, sf_dir):
-    return W.weekly_latest(_events(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", F.col("week").cast("string").alias("week"), "event_id", "value")
+    return W.weekly_latest(_events(spark, sf_dir), "user_id", "ts", "event_id").select(
+        "user_id", F.col("week").cast("string").alias("week"), "event_id", "value"
+    )
 
 
-@add("day_merge", "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS day, round(avg(v), 6) AS mean_of_means, count(*) AS histories, min(v) <= max(v) AS ok FROM d GROUP BY day")
+@add(
+    "day_merge",
+    "WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY ALL) SELECT CAST(day AS VARCHAR) AS day, round(avg(v), 6) AS mean_of_means, count(*) AS histories, min(v) <= max(v) AS ok FROM d GROUP BY day"
+)
 def day_merge(spark, sf_dir):
     d = W.daily(_events(spark, sf_dir), "ts", "value", ["user_id"])
-    return d.groupBy(F.col("day").cast("string").alias("day")).agg(F.round(F.avg("avg_value"), 6).alias("mean_of_means"), F.count("*").alias("histories"), (F.min("avg_value") <= F.max("avg_value")).alias("ok"))
+    return d.groupBy(F.col("day").cast("string").alias("day")).agg(
+        F.round(F.avg("avg_value"), 6).alias("mean_of_means"), F.count("*").alias("histories"),
+        (F.min("avg_value") <= F.max("avg_value")).alias("ok")
+    )
 
 
 _PROGRESS = "pmod(user_id * 7, 101)"
@@ -120,9 +149,16 @@ def crops(spark, sf_dir):
     size = F.col("p_size").cast("double")
     base = _latest(spark, sf_dir).join(part, F.col("p_partkey") == F.col("user_id"), "left").crossJoin(F.broadcast(as_of))  # one row
     planted = F.expr("case when user_id % 11 <> 5 then date_sub(as_of, cast((user_id * 3) % 150 as int)) end")
-    c = base.select("user_id", *METRICS.values(), ((F.col("user_id") * 7) % 101).alias("progress"), "p_name", size.alias("soil_min"), (size + 30).alias("soil_max"), F.greatest(F.lit(G.LEAST_CYCLE), F.coalesce(60 + F.col("p_size") * 2, F.lit(G.LEAST_CYCLE))).alias("cycle"), planted.alias("planted"), "as_of")
+    c = base.select(
+        "user_id", *METRICS.values(), ((F.col("user_id") * 7) % 101).alias("progress"), "p_name", size.alias("soil_min"),
+        (size + 30).alias("soil_max"),
+        F.greatest(F.lit(G.LEAST_CYCLE), F.coalesce(60 + F.col("p_size") * 2, F.lit(G.LEAST_CYCLE))).alias("cycle"),
+        planted.alias("planted"), "as_of"
+    )
     days = G.days_between(F.col("planted"), F.col("as_of"))
-    return c.withColumn("days", days).withColumn("expected", G.expected_progress(days, F.col("cycle"))).withColumn("expected_up", G.expected_progress(days, F.col("cycle"), half_even=False))
+    return c.withColumn("days", days).withColumn("expected", G.expected_progress(days, F.col("cycle"))).withColumn(
+        "expected_up", G.expected_progress(days, F.col("cycle"), half_even=False)
+    )
 
 
 def _bounds(defaults: dict[str, float]):
@@ -154,7 +190,9 @@ WHEN score >= 28 THEN 'Crítico' WHEN severe THEN 'Crítico' ELSE 'Establecimien
 @add("health_score", _health_sql(_RULES1))
 def health_score(spark, sf_dir):
     c = crops(spark, sf_dir)
-    score, codes, label = G.health(*[F.col(x) for x in ("soil_moisture", "air_temp", "air_humidity", "progress", "days", "expected")], _bounds(G.HEALTH_FALLBACK))
+    score, codes, label = G.health(
+        *[F.col(x) for x in ("soil_moisture", "air_temp", "air_humidity", "progress", "days", "expected")], _bounds(G.HEALTH_FALLBACK)
+    )
     return c.select("user_id", score.cast("long").alias("score"), F.array_join(codes, ",").alias("factors"), label.alias("label"))
 
 
@@ -165,14 +203,23 @@ def health_by_settings(spark, sf_dir):
     return c.select("user_id", score.cast("long").alias("score"), F.array_join(codes, ",").alias("factors"), label.alias("label"))
 
 
-@add("health_factors", f"WITH h AS ({_health_sql(_RULES1)}) SELECT factor, count(*) AS crops FROM (SELECT unnest(string_split(factors, ',')) AS factor FROM h) WHERE factor <> '' GROUP BY factor")
+@add(
+    "health_factors",
+    f"WITH h AS ({_health_sql(_RULES1)}) SELECT factor, count(*) AS crops FROM (SELECT unnest(string_split(factors, ',')) AS factor FROM h) WHERE factor <> '' GROUP BY factor"
+)
 def health_factors(spark, sf_dir):
     return health_score(spark, sf_dir).select(F.explode(F.split("factors", ",")).alias("factor")).where("factor <> ''").groupBy("factor").agg(F.count("*").alias("crops"))
 
 
-@add("phenology_stage", f"WITH {CROPS_SQL} SELECT user_id, days, CAST(expected AS BIGINT) AS expected, CASE WHEN expected < 18 THEN 'establecimiento' WHEN expected < 45 THEN 'vegetativo' WHEN expected < 70 THEN 'floración' WHEN expected < 90 THEN 'fructificación' WHEN expected IS NULL THEN 'establecimiento' ELSE 'cosecha' END AS stage, CASE WHEN progress >= 75 THEN 'Maduración' WHEN progress >= 45 THEN 'Floración' WHEN progress >= 20 THEN 'Desarrollo vegetativo' ELSE 'Establecimiento' END AS reported FROM e")
+@add(
+    "phenology_stage",
+    f"WITH {CROPS_SQL} SELECT user_id, days, CAST(expected AS BIGINT) AS expected, CASE WHEN expected < 18 THEN 'establecimiento' WHEN expected < 45 THEN 'vegetativo' WHEN expected < 70 THEN 'floración' WHEN expected < 90 THEN 'fructificación' WHEN expected IS NULL THEN 'establecimiento' ELSE 'cosecha' END AS stage, CASE WHEN progress >= 75 THEN 'Maduración' WHEN progress >= 45 THEN 'Floración' WHEN progress >= 20 THEN 'Desarrollo vegetativo' ELSE 'Establecimiento' END AS reported FROM e"
+)
 def phenology_stage(spark, sf_dir):
-    return crops(spark, sf_dir).select("user_id", F.col("days").cast("long").alias("days"), F.col("expected").cast("long").alias("expected"), G.stage(F.col("expected")).alias("stage"), G.stage_from_progress(F.col("progress")).alias("reported"))
+    return crops(spark, sf_dir).select(
+        "user_id", F.col("days").cast("long").alias("days"), F.col("expected").cast("long").alias("expected"),
+        G.stage(F.col("expected")).alias("stage"), G.stage_from_progress(F.col("progress")).alias("reported")
+    )
 
 
 _ACTION = """CASE WHEN air_temp >= 55 THEN 'alerta de calor extremo y medidas de emergencia|high' WHEN soil_moisture < b1 - 10 THEN 'riego urgente|high' WHEN air_temp >= 38 THEN 'proteger del calor|high'
@@ -200,7 +247,10 @@ WHEN air_humidity > 85 THEN 'humedad ambiental alta (' || {_whole('air_humidity'
 CASE WHEN light < 20 THEN 'baja luminosidad' WHEN light > 90 THEN 'alta radiación solar' END, CASE WHEN precipitation > 0 THEN 'precipitación reciente ' || CAST(round_even(precipitation, 1) AS DECIMAL(18, 1)) || 'mm' END"""
 
 
-@add("sensor_query_text", f"WITH {CROPS_SQL} SELECT user_id, concat_ws('. ', 'recomendaciones para cultivo de ' || coalesce(p_name, 'cultivo'), {_SAID}) AS query FROM e")
+@add(
+    "sensor_query_text",
+    f"WITH {CROPS_SQL} SELECT user_id, concat_ws('. ', 'recomendaciones para cultivo de ' || coalesce(p_name, 'cultivo'), {_SAID}) AS query FROM e"
+)
 def sensor_query_text(spark, sf_dir):
     c = crops(spark, sf_dir)
     return c.select("user_id", G.query_text(F.coalesce("p_name", F.lit("cultivo")), *[F.col(m) for m in METRICS.values()], _bounds(G.FALLBACK)).alias("query"))
@@ -241,7 +291,10 @@ SELECT owner, water, count(*) AS crops, string_agg(CAST(user_id AS VARCHAR), ','
 def water_summary_by_status(spark, sf_dir):
     """An owner's crops by their water: what is listed is one owner's crops."""
     b = _bounds(G.HEALTH_FALLBACK)
-    w = crops(spark, sf_dir).select(F.floor(F.col("user_id") / 5).alias("owner"), "user_id", G.bounded_status(F.col("soil_moisture"), b["soil_min"], b["soil_max"]).alias("water"))
+    w = crops(spark, sf_dir).select(
+        F.floor(F.col("user_id") / 5).alias("owner"), "user_id",
+        G.bounded_status(F.col("soil_moisture"), b["soil_min"], b["soil_max"]).alias("water")
+    )
     ids = F.array_join(F.transform(F.array_sort(F.collect_list("user_id")), lambda x: x.cast("string")), ",")
     return w.groupBy("owner", "water").agg(F.count("*").alias("crops"), ids.alias("ids"))
 
@@ -275,13 +328,17 @@ def irrigation_efficiency(spark, sf_dir):
         F.when(wet, level + F.col("value") / 10).alias("after"), F.when(wet, (i % 60).cast("double")).alias("minutes"), "as_of",
     )
     size = F.col("p_size")
-    profiles = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("user_id"), F.when(size % 3 == 0, 0).otherwise(size + 20).alias("liters"), (size + 5).alias("delta"))
+    profiles = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("user_id"), F.when(size % 3 == 0, 0).otherwise(size + 20).alias("liters"), (size + 5).alias("delta")
+    )
     return G.irrigation(shaped, "user_id", F.col("as_of"), profiles)
 
 
 @add("hash_bucket", "SELECT event_type, (event_id * 31 + user_id) % 100 < 25 AS rollout, count(*) AS n FROM events GROUP BY ALL")
 def hash_bucket(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("event_type", (F.pmod(F.col("event_id") * 31 + F.col("user_id"), F.lit(100)) < 25).alias("rollout")).agg(F.count("*").alias("n"))
+    return _events(spark, sf_dir).groupBy(
+        "event_type", (F.pmod(F.col("event_id") * 31 + F.col("user_id"), F.lit(100)) < 25).alias("rollout")
+    ).agg(F.count("*").alias("n"))
 
 
 #: Upper bounds of the latency histogram in milliseconds.
@@ -307,7 +364,10 @@ def proxy_metrics(spark, sf_dir):
     """Counters over all events and a gauge, what is under way in the last hour, in one row."""
     e = _events(spark, sf_dir)
     last = e.agg(F.max("ts").alias("last"))
-    counters = e.agg(F.count("*").alias("total"), F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"), F.count(F.when(F.col("value") > 100, 1)).alias("slow"))
+    counters = e.agg(
+        F.count("*").alias("total"), F.count(F.when(F.col("event_type") == "error", 1)).alias("failed"),
+        F.count(F.when(F.col("value") > 100, 1)).alias("slow")
+    )
     gauge = e.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 1 HOUR")).agg(F.count("*").alias("in_flight"))
     return counters.crossJoin(F.broadcast(gauge))  # one row each
 
@@ -320,7 +380,10 @@ SELECT event_id, user_id, list_sort(vs)[least(len(vs) - 1, CAST(floor(len(vs) *
 def rolling_p95(spark, sf_dir):
     """The breaker's figures: 95th value and error share of the last 30 observations."""
     r = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-29, 0)
-    w = _events(spark, sf_dir).select("event_id", "user_id", F.sort_array(F.collect_list("value").over(r)).alias("vs"), F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).over(r).alias("er"))
+    w = _events(spark, sf_dir).select(
+        "event_id", "user_id", F.sort_array(F.collect_list("value").over(r)).alias("vs"),
+        F.avg(F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)).over(r).alias("er")
+    )
     at = F.least(F.size("vs") - 1, F.floor(F.size("vs") * 0.95).cast("int"))
     return w.select("event_id", "user_id", F.get("vs", at).alias("p95"), F.round("er", 6).alias("error_rate"))
 
@@ -341,9 +404,17 @@ def parcel_series_since(spark, sf_dir):
 
 @add("chat_thread_latest", "SELECT conv_id, max(turn) AS last_turn, arg_max(role, turn) AS role, count(*) AS n FROM conversations GROUP BY conv_id")
 def chat_thread_latest(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("role"), F.count("*").alias("n"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.max("turn").alias("last_turn"), F.max_by("role", "turn").alias("role"), F.count("*").alias("n")
+    )
 
 
-@add("vertical_rollup", "SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days FROM events GROUP BY user_id")
+@add(
+    "vertical_rollup",
+    "SELECT user_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(DISTINCT CAST(ts AS DATE)) AS BIGINT) AS days FROM events GROUP BY user_id"
+)
 def vertical_rollup(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct(F.to_date("ts")).alias("days"))
+    return _events(spark, sf_dir).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.count_distinct(F.to_date("ts")).alias("days")
+    )

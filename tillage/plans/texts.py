@@ -28,7 +28,10 @@ def _docs(spark, sf_dir):
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(T.ANSWER_STOPWORDS)))
 
 
-@add("keyword_extract", f"WITH k AS (SELECT doc_id, list_filter(regexp_extract_all({S.fold(TEXT)}, '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS ks FROM documents) SELECT doc_id, CAST(len(ks) AS BIGINT) AS n, CAST(len(list_distinct(ks)) AS BIGINT) AS n_distinct FROM k")
+@add(
+    "keyword_extract",
+    f"WITH k AS (SELECT doc_id, list_filter(regexp_extract_all({S.fold(TEXT)}, '[a-z]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})) AS ks FROM documents) SELECT doc_id, CAST(len(ks) AS BIGINT) AS n, CAST(len(list_distinct(ks)) AS BIGINT) AS n_distinct FROM k"
+)
 def keyword_extract(spark, sf_dir):
     k = T.keywords(F.col("text"), sorted(set(T.ANSWER_STOPWORDS)))
     return _docs(spark, sf_dir).select("doc_id", F.size(k).cast("long").alias("n"), F.size(F.array_distinct(k)).cast("long").alias("n_distinct"))
@@ -37,10 +40,17 @@ def keyword_extract(spark, sf_dir):
 SENTENCES = rf"list_filter(list_transform(string_split_regex(regexp_replace({TEXT}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: length(s) >= 6)"
 
 
-@add("sentence_split", f"WITH s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS BIGINT) AS longest, md5(array_to_string(ss, '|')) AS digest FROM s")
+@add(
+    "sentence_split",
+    f"WITH s AS (SELECT doc_id, {SENTENCES} AS ss FROM documents) SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(coalesce(list_max(list_transform(ss, lambda s: length(s))), 0) AS BIGINT) AS longest, md5(array_to_string(ss, '|')) AS digest FROM s"
+)
 def sentence_split(spark, sf_dir):
     s = T.sentences(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", F.size(s).cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join(s, "|")).alias("digest"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.size(s).cast("long").alias("n_sentences"),
+        F.coalesce(F.array_max(F.transform(s, lambda x: F.length(x))), F.lit(0)).cast("long").alias("longest"),
+        F.md5(F.array_join(s, "|")).alias("digest")
+    )
 
 
 @add(
@@ -68,7 +78,9 @@ SELECT doc_id, CAST(first AS BIGINT) AS markers, CASE WHEN size >= 80 AND first
 @add("language_markers", _marker_sql())
 def language_markers(spark, sf_dir):
     c = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.array_max(F.array(*T.marker_counts(c).values())).cast("long").alias("markers"), T.marker_language(c).alias("lang"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", F.array_max(F.array(*T.marker_counts(c).values())).cast("long").alias("markers"), T.marker_language(c).alias("lang")
+    )
 
 
 @add(
@@ -83,7 +95,10 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"))
 
 
-@add("href_neutralise", r"""WITH a AS (SELECT page_id, coalesce(html, '') || '<a href="' || coalesce(url, '') || '">x</a>' AS h FROM pages) SELECT page_id, md5(regexp_replace(h, '(?i)href=["'']https?://[^"'']+["'']', 'href="#"', 'g')) AS digest FROM a""")
+@add(
+    "href_neutralise",
+    r"""WITH a AS (SELECT page_id, coalesce(html, '') || '<a href="' || coalesce(url, '') || '">x</a>' AS h FROM pages) SELECT page_id, md5(regexp_replace(h, '(?i)href=["'']https?://[^"'']+["'']', 'href="#"', 'g')) AS digest FROM a"""
+)
 def href_neutralise(spark, sf_dir):
     h = F.concat(F.coalesce("html", F.lit("")), F.lit('<a href="'), F.coalesce("url", F.lit("")), F.lit('">x</a>'))
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.neutral_links(h)).alias("digest"))
@@ -102,10 +117,14 @@ z AS (SELECT *, n = '' OR (NOT (n IN ({_SHORT}) OR regexp_matches(n, '{A.DOMAIN}
 @add("garbage_detector", f"{CHAT} SELECT conv_id, turn, smash, low FROM z")
 def garbage_detector(spark, sf_dir):
     norm = T.chat_text(F.col("text"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", norm.alias("n")).select("conv_id", "turn", A.keyboard_smash(F.col("n")).alias("smash"), A.low_confidence(F.col("n")).alias("low"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", norm.alias("n")).select(
+        "conv_id", "turn", A.keyboard_smash(F.col("n")).alias("smash"), A.low_confidence(F.col("n")).alias("low")
+    )
 
 
-INTENT_CASE = " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.METRIC_INTENTS) + " WHEN low THEN 'garbage' " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.OTHER_INTENTS)
+INTENT_CASE = " ".join(
+    f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.METRIC_INTENTS
+) + " WHEN low THEN 'garbage' " + " ".join(f"WHEN regexp_matches(n, '{p}') THEN '{k}'" for k, p in A.OTHER_INTENTS)
 
 
 @add("intent_cascade", f"{CHAT} SELECT conv_id, turn, CASE {INTENT_CASE} ELSE 'unknown' END AS intent FROM z")
@@ -139,7 +158,9 @@ def entity_coverage(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     found = E.entities(docs, WORDS).groupBy("doc_id").agg(F.collect_set("value").alias("found"))  # at most the dictionary's size
     asked = F.array(*[F.lit(v) for v in ("the", "and", "of the")])
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", E.coverage(asked, F.coalesce("found", F.array().cast("array<string>"))).alias("coverage"))
+    return docs.select("doc_id").join(found, "doc_id", "left").select(
+        "doc_id", E.coverage(asked, F.coalesce("found", F.array().cast("array<string>"))).alias("coverage")
+    )
 
 
 def _rename_sql(text: str) -> str:
@@ -158,7 +179,10 @@ def synonym_rewrite(spark, sf_dir):
 _LAB = ", ".join(f"CASE WHEN regexp_matches({S.squeeze(TEXT)}, '{p}') THEN '{n}' END" for n, p in E.LABEL_PATTERNS)
 
 
-@add("label_classifier", f"WITH l AS (SELECT doc_id, list_filter([{_LAB}], lambda x: x IS NOT NULL) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'DATO' END AS labels FROM l")
+@add(
+    "label_classifier",
+    f"WITH l AS (SELECT doc_id, list_filter([{_LAB}], lambda x: x IS NOT NULL) AS l FROM documents) SELECT doc_id, CASE WHEN len(l) > 0 THEN array_to_string(l, ',') ELSE 'DATO' END AS labels FROM l"
+)
 def label_classifier(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(E.labels(F.col("text")), ",").alias("labels"))
 
@@ -170,12 +194,21 @@ SELECT doc_id, CAST(s AS BIGINT) AS start, CAST(len(w[s + 1 : s + 110]) AS BIGIN
 )
 def token_windows(spark, sf_dir):
     w = _docs(spark, sf_dir).select("doc_id", T.tokens(F.col("text")).alias("w"))
-    return w.select("doc_id", F.posexplode(C.token_windows(F.col("w"), 110, 0.2)).alias("i", "x")).select("doc_id", (F.col("i") * 88).cast("long").alias("start"), F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", " ")).alias("digest"))
+    return w.select("doc_id", F.posexplode(C.token_windows(F.col("w"), 110, 0.2)).alias("i", "x")).select(
+        "doc_id", (F.col("i") * 88).cast("long").alias("start"), F.size("x").cast("long").alias("n"),
+        F.md5(F.array_join("x", " ")).alias("digest")
+    )
 
 
-@add("fragment_uid", f"SELECT doc_id, sha1(concat_ws('|', doc_id, source, lang, sha1(substr({TEXT}, 1, 64)))) AS uid, CAST(greatest(1, floor((length({TEXT}) + 3) / 4)) AS BIGINT) AS approx_tokens FROM documents")
+@add(
+    "fragment_uid",
+    f"SELECT doc_id, sha1(concat_ws('|', doc_id, source, lang, sha1(substr({TEXT}, 1, 64)))) AS uid, CAST(greatest(1, floor((length({TEXT}) + 3) / 4)) AS BIGINT) AS approx_tokens FROM documents"
+)
 def fragment_uid(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", C.fragment_uid(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text")).alias("uid"), C.approximate_tokens(F.col("text")).alias("approx_tokens"))
+    return _docs(spark, sf_dir).select(
+        "doc_id", C.fragment_uid(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("text")).alias("uid"),
+        C.approximate_tokens(F.col("text")).alias("approx_tokens")
+    )
 
 
 @add(

@@ -14,7 +14,9 @@ def column_gaps(blocks: DataFrame, columns: int, page_width: float) -> DataFrame
     """(page, gap, at): the columns - 1 widest gaps between neighbouring left edges, of at least 8 % of the width or 30 points."""
     edges = blocks.select("page", "x0").distinct()
     ahead = edges.withColumn("next", F.lead("x0").over(Window.partitionBy("page").orderBy("x0")))
-    gaps = ahead.where(F.col("next") - F.col("x0") > max(0.08 * page_width, 30.0)).select("page", (F.col("next") - F.col("x0")).alias("gap"), ((F.col("next") + F.col("x0")) / 2).alias("at"))
+    gaps = ahead.where(F.col("next") - F.col("x0") > max(0.08 * page_width, 30.0)).select(
+        "page", (F.col("next") - F.col("x0")).alias("gap"), ((F.col("next") + F.col("x0")) / 2).alias("at")
+    )
     best = Window.partitionBy("page").orderBy(F.desc("gap"), "at")
     return gaps.withColumn("n", F.row_number().over(best)).where(F.col("n") < columns).drop("n")
 
@@ -29,7 +31,10 @@ def column_cuts(blocks: DataFrame, page_width: float) -> DataFrame:
     least = max(0.08 * page_width, 30.0)
     centers = F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2))
     pages = blocks.groupBy("page").agg(centers.alias("c"), F.stddev_samp((F.col("x0") + F.col("x1")) / 2).alias("spread"))
-    gaps = F.transform(F.slice("c", 1, F.size("c") - 1), lambda c, i: F.struct((c - F.get("c", i + 1)).alias("less"), ((c + F.get("c", i + 1)) / 2).alias("at")))
+    gaps = F.transform(
+        F.slice("c", 1, F.size("c") - 1), lambda c,
+        i: F.struct((c - F.get("c", i + 1)).alias("less"), ((c + F.get("c", i + 1)) / 2).alias("at"))
+    )
     widest = lambda n: F.slice("gaps", 1, n)
     wide_enough = lambda n: (F.size("c") >= 2 * (n + 1)) & F.forall(widest(n), lambda g: -g["less"] >= least)
     places = lambda n: F.array_sort(F.transform(widest(n), lambda g: g["at"]))

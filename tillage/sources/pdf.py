@@ -17,7 +17,10 @@ from tillage.sources.readers import files, needs_ocr
 _OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)(?:\bendobj\b|(?=\d+\s+\d+\s+obj\b)|\Z)", re.S)
 _STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
 _REFERENCE = re.compile(rb"(\d+)\s+\d+\s+R\b")
-_TOKEN = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s/\[\]<>()]+|[-+]?(?:\d+\.?\d*|\.\d+)|\[|\]|[A-Za-z'\"*][A-Za-z0-9'\"*]*", re.S)
+_TOKEN = re.compile(
+    rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s/\[\]<>()]+|[-+]?(?:\d+\.?\d*|\.\d+)|\[|\]|[A-Za-z'\"*][A-Za-z0-9'\"*]*",
+    re.S
+)
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 
 

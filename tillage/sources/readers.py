@@ -35,7 +35,10 @@ def text_pages(spark: SparkSession, path: str) -> DataFrame:
     A markdown file without such marks ends a page before every heading of the first level that is not the
     first thing on its page; any other file without marks has pages of up to 500 words in whole paragraphs.
     """
-    t = files(spark, path).select("doc_id", F.regexp_replace(decoded(F.col("bytes")), "\r\n?", "\n").alias("t"), F.lower("path").rlike(r"\.(md|markdown)$").alias("markdown"))
+    t = files(spark, path).select(
+        "doc_id", F.regexp_replace(decoded(F.col("bytes")), "\r\n?", "\n").alias("t"),
+        F.lower("path").rlike(r"\.(md|markdown)$").alias("markdown")
+    )
     mark = r"\f|(?m:^[ \t]*-{3,}[ \t]*$)"
     plain, marked = ~F.col("markdown"), F.col("t").rlike(mark)
     headed = F.regexp_replace(F.col("t"), r"(?<=\S)([ \t]*\n(?:[ \t]*\n)*)(?=#[ \t]+\S)", "\f")
@@ -62,9 +65,14 @@ def workbook(spark: SparkSession, path: str) -> DataFrame:
     Every sheet's first column names its rows, and rows without a name are left out; the other cells are in a
     map, and total adds up those that are numbers. 0 counts as missing, as at the origin.
     """
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("sheet"), delimited(F.col("value")).alias("rows"))
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv").select(
+        F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1).alias("sheet"), delimited(F.col("value")).alias("rows")
+    )
     rows = raw.select("sheet", F.get("rows", 0).alias("head"), F.explode(F.slice("rows", 2, F.size("rows"))).alias("cells"))
-    named = rows.select("sheet", F.get("cells", 0).alias("name"), F.map_from_arrays(F.slice("head", 2, F.size("head")), F.transform(F.sequence(F.lit(1), F.size("head") - 1), lambda i: F.get("cells", i))).alias("cells")).where("name <> ''")
+    named = rows.select(
+        "sheet", F.get("cells", 0).alias("name"),
+        F.map_from_arrays(F.slice("head", 2, F.size("head")), F.transform(F.sequence(F.lit(1), F.size("head") - 1), lambda i: F.get("cells", i))).alias("cells")
+    ).where("name <> ''")
     numbers = F.filter(F.transform(F.map_values("cells"), lambda v: zero_as_null(v.try_cast("double"))), lambda v: v.isNotNull())
     return named.withColumn("total", F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x))
 
@@ -145,7 +153,13 @@ def delimited(text: Column) -> Column:
     def cells(line: Column, mark: str) -> Column:
         # an empty match at the end of a line that does not end in the delimiter is no cell
         found = F.regexp_extract_all(F.concat(line, F.lit(mark)), F.lit(rf'\s*("(?:[^"]|"")*"|[^{mark}]*?)\s*{mark}'), F.lit(1))
-        return F.transform(found, lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(F.trim(c)))
+        return F.transform(
+            found,
+            lambda c: F.when(
+                c.startswith('"') & c.endswith('"') & (F.length(c) > 1),
+                F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+            ).otherwise(F.trim(c))
+        )
 
     return F.transform(lines, lambda x: F.when(best == ";", cells(x, ";")).when(best == "\t", cells(x, "\t")).otherwise(cells(x, ",")))
 
@@ -160,16 +174,30 @@ def soil_profile(response: Column) -> Column:
     """array<struct<name, top, bottom, value>> of a soil service's JSON: only known layers, the preferred statistic."""
     layer = "array<struct<name: string, depths: array<struct<range: struct<top_depth: int, bottom_depth: int>, values: map<string, double>>>>>"
     parsed = F.from_json(response, f"properties struct<layers: {layer}>")["properties"]["layers"]
-    known = lambda d: F.array_contains(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SOIL_LAYERS]), F.struct(d["range"]["top_depth"].alias("a"), d["range"]["bottom_depth"].alias("b")))
+    known = lambda d: F.array_contains(
+        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SOIL_LAYERS]),
+        F.struct(d["range"]["top_depth"].alias("a"), d["range"]["bottom_depth"].alias("b"))
+    )
     value = lambda d: F.coalesce(*[F.try_element_at(d["values"], F.lit(s)) for s in SOIL_STATISTICS])
-    rows = F.transform(parsed, lambda x: F.transform(F.filter(x["depths"], known), lambda d: F.struct(x["name"].alias("name"), d["range"]["top_depth"].alias("top"), d["range"]["bottom_depth"].alias("bottom"), value(d).alias("value"))))
+    rows = F.transform(
+        parsed,
+        lambda x: F.transform(
+            F.filter(x["depths"], known),
+            lambda d: F.struct(
+                x["name"].alias("name"), d["range"]["top_depth"].alias("top"), d["range"]["bottom_depth"].alias("bottom"),
+                value(d).alias("value")
+            )
+        )
+    )
     return F.coalesce(F.flatten(rows), F.array().cast("array<struct<name: string, top: int, bottom: int, value: double>>"))
 
 
 def soil_rows(responses: DataFrame, response: str = "response") -> DataFrame:
     """responses with `rows` (soil_profile) and `_error`: what is wrong with a response that is no soil profile."""
     parsed = F.from_json(F.col(response), "properties map<string,string>")
-    error = F.when(F.trim(F.coalesce(F.col(response), F.lit(""))) == "", "empty response").when(parsed.isNull() | parsed["properties"].isNull(), "no properties in response").when(parsed["properties"]["layers"].isNull(), "no layers in response")
+    error = F.when(F.trim(F.coalesce(F.col(response), F.lit(""))) == "", "empty response").when(
+        parsed.isNull() | parsed["properties"].isNull(), "no properties in response"
+    ).when(parsed["properties"]["layers"].isNull(), "no layers in response")
     return responses.withColumn("rows", soil_profile(F.col(response))).withColumn("_error", error)
 
 

@@ -20,7 +20,10 @@ def write_fragments(fragments: DataFrame, path: str, buckets: int = 64, id_col:
 def numbered(fragments: DataFrame, doc: str, order: list[str], text_col: str = "text") -> DataFrame:
     """fragments with what the store adds: a random id, the number inside the document, the length in characters."""
     seq = F.row_number().over(Window.partitionBy(doc).orderBy(*order)) - 1
-    return fragments.withColumns({"fragment_id": F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), "seq": seq, "char_count": F.length(F.coalesce(F.col(text_col), F.lit("")))})
+    return fragments.withColumns({
+        "fragment_id": F.replace(F.expr("uuid()"), F.lit("-"), F.lit("")), "seq": seq,
+        "char_count": F.length(F.coalesce(F.col(text_col), F.lit("")))
+    })
 
 
 def stored_name(seconds: Column, name: Column) -> Column:

@@ -53,10 +53,16 @@ def latest_state(stream: DataFrame, key: str = "user_id", ts: str = "ts", order:
         state.update((best[0], best[1], best[2], seen))
         yield pd.DataFrame({key: [k[0]], order: [best[1]], ts: [pd.Timestamp(best[0] * 1000, tz="UTC")], value: [best[2]], "seen": [seen]})
 
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} long, {order} long, {ts} timestamp, {value} double, seen long", "at long, id long, value double, seen long", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(
+        update, f"{key} long, {order} long, {ts} timestamp, {value} double, seen long", "at long, id long, value double, seen long",
+        "update", GroupStateTimeout.NoTimeout
+    )
 
 
-def breaker(stream: DataFrame, key: str, ok: str, ms: str, size: int = 30, max_error: float = 0.5, max_p95: float = 300_000.0, open_ms: int = 30_000, ts: str = "ts", order: str = "event_id") -> DataFrame:
+def breaker(
+    stream: DataFrame, key: str, ok: str, ms: str, size: int = 30, max_error: float = 0.5, max_p95: float = 300_000.0,
+    open_ms: int = 30_000, ts: str = "ts", order: str = "event_id"
+) -> DataFrame:
     """(key, state, error_rate, p95): a breaker over the last `size` observations of each key.
 
     Closed opens on too many errors or a slow 95th percentile; open lets observations through again
@@ -87,7 +93,10 @@ def breaker(stream: DataFrame, key: str, ok: str, ms: str, size: int = 30, max_e
         state.update((kind, since, [g for g, _ in recent], [t for _, t in recent]))
         yield pd.DataFrame({key: [k[0]], "state": [kind], "error_rate": [rate], "p95": [p95]})
 
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} long, state string, error_rate double, p95 double", "kind string, since long, oks array<boolean>, times array<double>", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(key).applyInPandasWithState(
+        update, f"{key} long, state string, error_rate double, p95 double",
+        "kind string, since long, oks array<boolean>, times array<double>", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
@@ -124,14 +133,18 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = scratch(spark)
     near = events.crossJoin(F.broadcast(last)).where(F.col("ts") >= F.col("last") - F.expr("INTERVAL 10 DAYS"))  # one row
     near.drop("last").coalesce(1).write.parquet(f"{at}/in/1")
-    old = last.select(F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(-1).cast("long"))).alias("event_id"), "last").select("event_id", (F.col("last") - F.expr("INTERVAL 9 DAYS") + F.make_interval(hours=F.col("event_id").cast("int"))).alias("ts"))
+    old = last.select(F.explode(F.sequence(F.lit(-3).cast("long"), F.lit(-1).cast("long"))).alias("event_id"), "last").select(
+        "event_id", (F.col("last") - F.expr("INTERVAL 9 DAYS") + F.make_interval(hours=F.col("event_id").cast("int"))).alias("ts")
+    )
     columns = [F.col(f.name) if f.name in ("event_id", "ts") else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
     listener = LateRows()
     spark.streams.addListener(listener)
     try:
         stream = timed(spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{at}/in"))
         means = window_means(stream, "1 hour")
-        run = lambda: means.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/{i}")).start().awaitTermination()
+        run = lambda: means.writeStream.outputMode("append").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(
+            lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/{i}")
+        ).start().awaitTermination()
         run()
         old.select(*columns).coalesce(1).write.parquet(f"{at}/in/2")
         run()
