@@ -373,6 +373,14 @@ def test_marks_fold_composed_or_not(spark):
     assert r["a"] == "cafe strasse oeuvre lodz" and r["b"] == ["nino"] and r["c"] == "caf\u00e9 x\n\ny"
 
 
+def test_only_allowed_elements_stay(spark):
+    page = """<div class="x"><p onclick="y('>')">a <EM>b</EM><script>alert("<p>")</script></p><a href="https://evil.example/x" data-page='3'>c</a><!-- <p> -->
+<a href=//evil.example>x</a><a title="t>" href="/in?a=1">e</a><img src=x><style>p{}</style><li>d<br/></li> 1 < 2</div>"""
+    want = """<p>a <em>b</em></p><a href="#" data-page="3">c</a>
+<a href="#">x</a><a href="/in?a=1">e</a><li>d<br /></li> 1 &lt; 2"""
+    assert one(spark, T.allowed_html(F.lit(page)).alias("h"))["h"] == want
+
+
 def test_entities_take_time_in_proportion(spark):
     import time
 

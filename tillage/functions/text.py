@@ -199,22 +199,45 @@ def contained(terms: Column, text: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(text, t)))
 
 
-def strip_html(c: Column) -> Column:
-    t = F.regexp_replace(c, r"(?i)<br\s*/?>|</p>", "\n")
-    t = F.regexp_replace(t, r"(?i)<li[^>]*>", "- ")
-    t = F.regexp_replace(t, r"<[^>]+>", "")
+def strip_html(c: Column, lines: bool = False) -> Column:
+    """Text without markup: list items with a dash, two entities decoded; white space as single blanks, or with
+    lines the breaks of lines, items and paragraphs kept, at most one empty line."""
+    rules = [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"(?i)<li[^>]*>", "- "), (r"(?i)</li>", "\n"), (r"<[^>]+>", "")]
+    t = reduce(lambda t, r: F.regexp_replace(t, r[0], r[1]), rules, c)
     t = F.replace(F.replace(t, F.lit("&nbsp;"), F.lit(" ")), F.lit("&amp;"), F.lit("&"))
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    return stripped(F.regexp_replace(t, r"\n{3,}", "\n\n")) if lines else F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def neutral_links(c: Column) -> Column:
     return F.regexp_replace(c, r"""(?i)href=["']https?://[^"']+["']""", 'href="#"')
 
 
-def allowed_html(c: Column, tags: tuple[str, ...] = ("p", "a", "em", "strong", "ul", "li", "br")) -> Column:
-    """Only the named elements stay, without attributes but a neutral href."""
-    t = neutral_links(F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1>", ""))
-    return F.regexp_replace(t, rf"(?i)</?(?!(?:{'|'.join(tags)})\b)[a-z][^>]*>", "")
+# Elements that may stay, attributes of links that may, and how addresses inside begin.
+ALLOWED_TAGS = ("a", "em", "strong", "ul", "ol", "li", "p", "br", "code", "pre")
+LINK_DATA = ("data-cite", "data-page", "data-bbox", "data-table", "data-row", "data-col")
+INSIDE = r"^(?:/(?!/)|#|\?|\.{1,2}/)"
+
+
+def allowed_html(c: Column, tags: tuple[str, ...] = ALLOWED_TAGS) -> Column:
+    """Only the named elements stay, without attributes; links keep an address inside, `#` in place of any other,
+    and what they cite. Scripts, styles and comments go with what they hold."""
+    t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
+    pieces = F.regexp_extract_all(t, F.lit(r"""(?s)</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^'">])*>|[^<]+|<"""), F.lit(0))
+    value = lambda p, name: F.regexp_extract(p, rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1)
+    single = lambda p, name: F.regexp_extract(p, rf"""(?is)\s{name}\s*=\s*'([^']*)'""", 1)
+    given = lambda p, name: F.coalesce(F.nullif(value(p, name), F.lit("")), F.nullif(single(p, name), F.lit("")))
+
+    def kept(p: Column) -> Column:
+        name = F.lower(F.regexp_extract(p, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        href = given(p, "href")
+        link = F.concat(F.lit('<a href="'), F.when(href.rlike(INSIDE), href).otherwise("#"), F.lit('"'))
+        for x in LINK_DATA:
+            link = F.concat(link, F.coalesce(F.concat(F.lit(f' {x}="'), given(p, x), F.lit('"')), F.lit("")))
+        opened = F.when(name == "a", F.concat(link, F.lit(">"))).when(name == "br", "<br />").otherwise(F.concat(F.lit("<"), name, F.lit(">")))
+        tag = F.when(~name.isin(*tags), "").when(p.startswith("</"), F.concat(F.lit("</"), name, F.lit(">"))).otherwise(opened)
+        return F.when(name != "", tag).when(p == "<", "&lt;").otherwise(p)
+
+    return F.array_join(F.transform(pieces, kept), "")
 
 
 def clip(c: Column, most: int = 240) -> Column:

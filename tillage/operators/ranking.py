@@ -25,6 +25,12 @@ def reciprocal_rank_fusion(runs: list[DataFrame], by: list[str], key: str, k: in
     return ranked(rows.groupBy(*by, key).agg(F.round(F.sum("_part"), 9).alias("rrf_score")), "rrf_score", by, key)
 
 
+def first_metadata(runs: list[DataFrame], by: list[str], key: str, columns: list[str]) -> DataFrame:
+    """(by, key, columns): what the first of the runs that has a key says of it."""
+    rows = reduce(lambda a, b: a.unionByName(b), [r.select(*by, key, *columns, F.lit(i).alias("_run")) for i, r in enumerate(runs)])
+    return rows.groupBy(*by, key).agg(F.min_by(F.struct(*columns), "_run").alias("_m")).select(*by, key, "_m.*")
+
+
 def term_coverage(score: Column, terms: Column, text: Column) -> tuple[Column, Column]:
     """(boosted score, share of terms that occur): score x (1 + share / 2); no terms, no change."""
     share = F.when(F.size(terms) > 0, contained(terms, fold(text)) / F.size(terms)).otherwise(0.0)

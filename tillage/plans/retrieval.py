@@ -394,6 +394,19 @@ def _by_mode(spark, sf_dir) -> DataFrame:
     return both.unionByName(lex).select("mode", "query_id", "doc_id", F.round(ranking.unified_score(F.col("score"), F.col("rrf_score")), 9).alias("rrf_score"))
 
 
+@REGISTRY.add(
+    "fusion_metadata",
+    f"""WITH {_HYBRID}, m AS (SELECT query_id, doc_id, 0 AS run, 'denso' AS found_by, rank FROM den UNION ALL SELECT query_id, doc_id, 1, 'lexico', rank FROM lex),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY run) AS n FROM m) SELECT query_id, doc_id, found_by, rank FROM f WHERE n = 1""",
+)
+def fusion_metadata(spark, sf_dir):
+    """What is known of a fused hit comes from the vector search if that found it."""
+    lex = lexical.bm25(_docs(spark, sf_dir), QUERIES).select("query_id", "doc_id", F.lit("lexico").alias("found_by"), "rank")
+    den = top_vectors(table(spark, sf_dir, "embeddings"), _query_vectors(spark))
+    den = den.select("query_id", F.col("vec_id").alias("doc_id"), F.lit("denso").alias("found_by"), "rank")
+    return ranking.first_metadata([den, lex], ["query_id"], "doc_id", ["found_by", "rank"])
+
+
 @REGISTRY.add("score_unification", f"{_MODES} SELECT * FROM u")
 def score_unification(spark, sf_dir):
     return _by_mode(spark, sf_dir)

@@ -86,7 +86,7 @@ def language_markers(spark, sf_dir):
 @add(
     "html_strip",
     r"""WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?i)<br\s*/?>|</p>', chr(10), 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', '- ', 'g'), '<[^>]+>', '', 'g') AS t FROM a),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', '- ', 'g'), '(?i)</li>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM a),
 c AS (SELECT page_id, trim(regexp_replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM b)
 SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM c""",
 )
@@ -95,6 +95,18 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"))
 
 
+@add(
+    "html_strip_lines",
+    r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '(?i)<br\s*/?>', chr(10), 'g'), '(?i)</p>', chr(10) || chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(?i)<li[^>]*>', '- ', 'g'), '(?i)</li>', chr(10), 'g'), '<[^>]+>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM b)
+SELECT page_id, CAST(length(t) AS BIGINT) AS n_chars, md5(t) AS digest FROM c""",
+)
+def html_strip_lines(spark, sf_dir):
+    t = T.strip_html(F.coalesce("html", F.lit("")), lines=True)
+    return table(spark, sf_dir, "pages").select("page_id", F.length(t).cast("long").alias("n_chars"), F.md5(t).alias("digest"))
+
+
 @add(
     "href_neutralise",
     r"""WITH a AS (SELECT page_id, coalesce(html, '') || '<a href="' || coalesce(url, '') || '">x</a>' AS h FROM pages) SELECT page_id, md5(regexp_replace(h, '(?i)href=["'']https?://[^"'']+["'']', 'href="#"', 'g')) AS digest FROM a"""
