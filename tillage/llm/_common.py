@@ -79,6 +79,22 @@ def check_absent(df: DataFrame, *names: str) -> None:
             raise ValueError(f"column {n} exists")
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system, where the C library can.
+
+    A worker serves one stage after the other and would else keep the most that any of them held.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def byte_words(text: bytes | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+`: bytes.split() splits at exactly these six characters."""
     return text.split() if text else []
@@ -117,5 +133,8 @@ def look_up(left: DataFrame, right: DataFrame, key: str, weight: str, row_id: st
     # the shuffle is on (key, salt); cold rows have salt 0 and hot rows, which find nothing there, any other
     marked = marked.withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), F.pmod(spread, F.lit(65536)) + 1).otherwise(F.lit(0).cast("long")))
     marked = marked.withColumn("_join_key", F.when(F.col("_salt") == 0, F.col(key)).otherwise(F.lit(None).cast(kind)))
-    joined = marked.join(cold.withColumn("_cold_salt", F.lit(0).cast("long")), F.col("_join_key").eqNullSafe(F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    joined = marked.join(
+        cold.withColumn("_cold_salt", F.lit(0).cast("long")),
+        F.col("_join_key").eqNullSafe(F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left"
+    )
     return joined.select(*left.columns, *[F.coalesce(F.col(f"_hot_{c}"), F.col(f"_cold_{c}")).alias(c) for c in values])

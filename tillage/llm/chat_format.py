@@ -64,10 +64,20 @@ def schema_fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) ->
     """Hash of the record's nested field paths, of those that some layout names; list elements are `name[]`."""
     known = sorted({p for x in layouts for p in (*x.required, *x.optional)})
     top = F.map_entries(F.from_json(record, "map<string,string>", _JSON))
-    inner = lambda e: F.flatten(F.transform(F.coalesce(F.from_json(e["value"], "array<map<string,string>>", _JSON), F.expr("array()")), lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))))
+    inner = lambda e: F.flatten(F.transform(
+        F.coalesce(F.from_json(e["value"], "array<map<string,string>>", _JSON), F.expr("array()")),
+        lambda m: F.coalesce(F.map_keys(m), F.array().cast("array<string>"))
+    ))
     lists = sorted({p.partition("[]")[0] for p in known if "[]" in p})
-    paths = F.flatten(F.transform(top, lambda e: F.when(e["key"].isin(lists), F.transform(F.array_distinct(inner(e)), lambda n: F.concat(e["key"], F.lit("[]."), n))).otherwise(F.array(e["key"]))))
-    return F.xxhash64(F.array_join(F.array_sort(F.array_intersect(F.coalesce(paths, F.array().cast("array<string>")), F.array(*[F.lit(p) for p in known]))), ","))
+    paths = F.flatten(F.transform(
+        top,
+        lambda e: F.when(
+            e["key"].isin(lists), F.transform(F.array_distinct(inner(e)), lambda n: F.concat(e["key"], F.lit("[]."), n))
+        ).otherwise(F.array(e["key"]))
+    ))
+    return F.xxhash64(F.array_join(
+        F.array_sort(F.array_intersect(F.coalesce(paths, F.array().cast("array<string>")), F.array(*[F.lit(p) for p in known]))), ","
+    ))
 
 
 def _turns(layout: Layout, r: Column) -> Column:
@@ -111,10 +121,16 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(F.replace(F.replace(c, F.lit("&#10;"), F.lit("\n")), F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
+    return F.replace(
+        F.replace(F.replace(F.replace(c, F.lit("&#10;"), F.lit("\n")), F.lit("&#91;"), F.lit("[")), F.lit("&lt;"), F.lit("<")),
+        F.lit("&amp;"), F.lit("&")
+    )
 
 
-def format_turns(records: DataFrame, turns_col: str = "turns", learned: tuple[str, ...] = ("assistant",), out: str = "formatted", mask_out: str = "loss_mask") -> DataFrame:
+def format_turns(
+    records: DataFrame, turns_col: str = "turns", learned: tuple[str, ...] = ("assistant",), out: str = "formatted",
+    mask_out: str = "loss_mask"
+) -> DataFrame:
     """records with the formatted text and its loss mask, array<struct<length, learn>> over code points.
 
     No turns (null or empty) give an empty text and mask. `out` and `mask_out` must not be columns.
@@ -124,7 +140,13 @@ def format_turns(records: DataFrame, turns_col: str = "turns", learned: tuple[st
     head = lambda t: F.concat(F.lit(OPEN), F.replace(escape(t["role"]), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
     text = F.array_join(F.transform(turns, lambda t: F.concat(head(t), escape(t["text"]), F.lit(CLOSE))), "")
     run = lambda n, on: F.struct(n.cast("int").alias("length"), on.alias("learn"))
-    mask = F.flatten(F.transform(turns, lambda t: F.array(run(F.length(head(t)), F.lit(False)), run(F.length(escape(t["text"])), t["role"].isin(*learned)), run(F.lit(len(CLOSE)), F.lit(False)))))
+    mask = F.flatten(F.transform(
+        turns,
+        lambda t: F.array(
+            run(F.length(head(t)), F.lit(False)), run(F.length(escape(t["text"])), t["role"].isin(*learned)),
+            run(F.lit(len(CLOSE)), F.lit(False))
+        )
+    ))
     return records.withColumn(out, text).withColumn(mask_out, mask)
 
 
@@ -132,14 +154,20 @@ def read_turns(formatted: Column) -> Column:
     """The turns of a formatted text, unescaped."""
     pieces = F.split(formatted, CLOSE, -1)
     body = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.substring(p, len(OPEN) + 1, 2147483647))
-    return F.transform(body, lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substr(p, F.instr(p, "\n") + 1)).alias("text")))
+    return F.transform(
+        body,
+        lambda p: F.struct(unescape(F.substring_index(p, "\n", 1)).alias("role"), unescape(F.substr(p, F.instr(p, "\n") + 1)).alias("text"))
+    )
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:
     """All text under the loss mask, in order, unescaped."""
     pieces = F.split(formatted, CLOSE, -1)
     bodies = F.slice(pieces, 1, F.size(pieces) - 1)
-    under = F.transform(bodies, lambda p, i: F.when(F.get(mask, i * 3 + 1)["learn"], F.substr(p, F.get(mask, i * 3)["length"] + 1, F.get(mask, i * 3 + 1)["length"])).otherwise(F.lit("")))
+    under = F.transform(
+        bodies, lambda p,
+        i: F.when(F.get(mask, i * 3 + 1)["learn"], F.substr(p, F.get(mask, i * 3)["length"] + 1, F.get(mask, i * 3 + 1)["length"])).otherwise(F.lit(""))
+    )
     return unescape(F.array_join(under, ""))
 
 

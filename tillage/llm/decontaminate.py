@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import check_absent, fresh, stored
+from tillage.llm._common import check_absent, fresh, release, stored
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,7 @@ def _pass(index):
     def run(texts):
         import pyarrow as pa
 
+        release()
         counts, spans, items = [], [], []
         for text in texts:
             n, hit, found = index.value.find(text.as_py())
@@ -154,7 +155,10 @@ def _pass(index):
             spans.append([{"start": a, "end": b} for a, b in zip(edges[::2], edges[1::2])])
             items.append(sorted(found))
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+        return pa.StructArray.from_arrays(
+            [pa.array(counts, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(items, pa.list_(pa.string()))],
+            ["n_words", "spans", "items"]
+        )
 
     return run
 
@@ -296,7 +300,9 @@ def _joined(docs: DataFrame, rows: DataFrame, text_col: str, p: DecontaminationP
         docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
         searched = docs.select(row, _near(shared, lengths, p)(F.col(text_col).cast("binary")).alias(near))
     else:
-        searched = docs.withColumn(near, _near(shared, lengths, p)(F.col(text_col).cast("binary"))).drop(text_col).withColumn(row, F.monotonically_increasing_id())
+        searched = docs.withColumn(
+            near, _near(shared, lengths, p)(F.col(text_col).cast("binary"))
+        ).drop(text_col).withColumn(row, F.monotonically_increasing_id())
     searched = stored(searched, "windows")
     each = searched.select(F.col(row).alias("_row"), F.explode(f"{near}.near").alias("_w")).select("_row", "_w.start", "_w.length", "_w.digest")
     # a passage may be in a third of all documents, or in many items: both sides meet once for a digest and a salt
@@ -317,7 +323,10 @@ def _joined(docs: DataFrame, rows: DataFrame, text_col: str, p: DecontaminationP
         searched = docs.join(searched.withColumnRenamed(row, number), F.col(row) == F.col(number))
     full = searched.join(found, F.col(row) == F.col(hit_row), "left")
     none = F.expr("array()")
-    struct = F.struct(F.col(f"{near}.n_words").alias("n_words"), F.coalesce(hit_spans, none.cast("array<struct<start: int, end: int>>")).alias("spans"), F.coalesce(hit_items, none.cast("array<string>")).alias("items"))
+    struct = F.struct(
+        F.col(f"{near}.n_words").alias("n_words"), F.coalesce(hit_spans, none.cast("array<struct<start: int, end: int>>")).alias("spans"),
+        F.coalesce(hit_items, none.cast("array<string>")).alias("items")
+    )
     return full.select(*[F.col(c) for c in kept.columns], struct.alias(out))
 
 
@@ -334,7 +343,10 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), step)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", params: DecontaminationParams = DecontaminationParams(), keep_text: bool = True, out: str = "benchmark_hits") -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    params: DecontaminationParams = DecontaminationParams(), keep_text: bool = True, out: str = "benchmark_hits"
+) -> DataFrame:
     """docs with a struct column `out`: n_words, n_hit, spans (word positions), items, contaminated.
 
     A document word is hit inside an occurrence of 13 consecutive words of an item, or of all words of

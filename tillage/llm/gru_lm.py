@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import stored
+from tillage.llm._common import release, stored
 
 #: A key no word can be: words hold no space.
 END = b" end"
@@ -505,13 +505,13 @@ def _scored(shared):
     def run(texts):
         import pyarrow as pa
 
+        release()
         names = ["n_tokens", "n_known", "base", "model", "rest"]
         parts = [_score_piece(shared.value, piece) for piece in _pieces(texts, shared.value.model.p.piece)]
         if not parts:
             entry = pa.struct([("word", pa.string()), ("n", pa.int32())])
             return pa.array([], pa.struct([(n, t) for n, t in zip(names, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(entry)])]))
         out = pa.StructArray.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], names)
-        pa.default_memory_pool().release_unused()
         return out
 
     return run
@@ -560,7 +560,10 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     import pyarrow as pa
 
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.coalesce(training, F.lit(False)).alias("training")
+    )
     learn = rows.where("training")
     counts = stored(word_counts(learn, "text", params), "word-counts")
     ends = learn.count()
@@ -574,7 +577,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         if found > params.common:
             break
         cut = r["step"]
-    top = [] if cut is None else sorted(((r["word"].encode(), r["n"]) for r in counts.where(step >= cut).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+    top = [] if cut is None else sorted(
+        ((r["word"].encode(), r["n"]) for r in counts.where(step >= cut).select("word", "n").collect()), key=lambda x: (-x[1], x[0])
+    )
     size = min(max(params.vocabulary, int(params.growth * tokens ** (1 / 3))), max(params.common, params.vocabulary))
     if size > params.vocabulary:
         params = replace(params, vocabulary=size, classes=max(params.classes, int(size**0.5)))
@@ -606,7 +611,10 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     marked = stored(marked.select("row", "doc_id", "training", "s.*"), "scores")
     rest = marked.select("row", F.explode("rest").alias("w")).select("row", F.col("w.word").alias("rare_word"), F.col("w.n").alias("times"))
     looked = rest.join(counts.select("word", F.col("n").alias("c")), F.col("rare_word") == F.col("word"), "left")
-    sums = looked.groupBy(F.col("row").alias("_row")).agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more"))
+    sums = looked.groupBy(F.col("row").alias("_row")).agg(
+        F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0))).alias("more")
+    )
     full = marked.drop("rest").join(sums, F.col("row") == F.col("_row"), "left")
     more = F.coalesce("more", F.lit(0.0))
     return full.select(

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm._common import check_absent
+from tillage.llm._common import check_absent, release
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ class CrfParams:
     decay: float = 1e-6
     segment: int = 1024
     context: int = 64
-    cache: int = 150_000
+    cache: int = 80_000
     seed: int = 7
 
 
@@ -158,7 +158,10 @@ class LanguageField:
             grad_hashed = np.stack([np.bincount(back, by_word[local, c], len(rows)) for c in range(k)], 1)
             seen, to = np.unique(known[used], return_inverse=True)
             grad_known = np.stack([np.bincount(to, by_word[:, c], len(seen)) for c in range(k)], 1)
-            for table, square, at_rows, g in ((self.hashed, squares[0], rows, grad_hashed), (self.known, squares[1], seen, grad_known), (self.moves, squares[2], slice(None), grad_moves)):
+            for table, square, at_rows, g in (
+                (self.hashed, squares[0], rows, grad_hashed), (self.known, squares[1], seen, grad_known),
+                (self.moves, squares[2], slice(None), grad_moves)
+            ):
                 g = (g / n - p.decay * table[at_rows]).astype(np.float32)
                 square[at_rows] += g * g
                 table[at_rows] += p.rate * g / np.sqrt(square[at_rows])
@@ -206,7 +209,7 @@ class Labeller:
         if fresh:
             for w in fresh:
                 self.ids[w] = len(self.ids)
-            parts = [self.field.emissions([normal(w) for w in fresh[i : i + 16384]]) for i in range(0, len(fresh), 16384)]  # features of all at once would take a multiple of the texts
+            parts = [self.field.emissions([normal(w) for w in fresh[i : i + 4096]]) for i in range(0, len(fresh), 4096)]  # features of all at once would take a multiple of the texts
             self.scores = np.concatenate([self.scores, *parts])
             self.letters = np.concatenate([self.letters, np.fromiter(map(has_letter, fresh), bool, len(fresh))])
         get = self.ids.__getitem__
@@ -302,7 +305,9 @@ def fit_field(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     """A field learned from text and lang of docs; rows with a null text, lang or id are left out, and
     every language that a row names is learned. What is collected is bounded by the parameters for each
     language; documents without words are not drawn."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("id is not null and text is not null and lang is not null")
+    rows = docs.select(
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+    ).where("id is not null and text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     langs = sorted(counts)
     n = params.docs_per_lang
@@ -312,7 +317,9 @@ def fit_field(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
     start = F.greatest(F.lit(1), (F.pmod(F.xxhash64("id"), F.greatest(F.size("words") - params.window + 1, F.lit(1))) + 1).cast("int"))
     drawn = rows.withColumn("draw", draw).join(F.broadcast(near), "lang").where("draw < below")
-    cut = drawn.select("id", "lang", "draw", words.alias("words")).where(F.size("words") > 0).select("id", "lang", "draw", F.slice("words", start, params.window).alias("words"))
+    cut = drawn.select("id", "lang", "draw", words.alias("words")).where(F.size("words") > 0).select(
+        "id", "lang", "draw", F.slice("words", start, params.window).alias("words")
+    )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "words"))
     sample = cut.withColumn("place", place).where(F.col("place") <= n)
     taken = {lang: [] for lang in langs}
@@ -337,6 +344,7 @@ def _predict(shared, runs: bool):
     def run(texts):
         import pyarrow as pa
 
+        release()
         field = shared.value
         labeller = field.__dict__.get("_labeller") or field.__dict__.setdefault("_labeller", Labeller(field))
         rows = labeller.label((t.as_py() for t in texts), runs) if field.langs else [(None, 0.0, [])] * len(texts)
@@ -344,7 +352,6 @@ def _predict(shared, runs: bool):
         if runs:
             span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
             columns.append(pa.array([[{"start": a, "end": z, "lang": y} for a, z, y in r[2]] for r in rows], pa.list_(span)))
-        pa.default_memory_pool().release_unused()
         return pa.StructArray.from_arrays(columns, ["lang", "score", "runs"][: len(columns)])
 
     return run

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillage.llm._common import check_absent, discard, stored
+from tillage.llm._common import check_absent, discard, release, stored
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     texts and domains are left out; of several labels of an id the smallest counts. What is collected is
     bounded by (sample + per_domain x domains) x doc_features slots of four bytes."""
     p, spark = params, docs.sparkSession
-    named = labelled.select(F.col(id_col).alias("_id"), F.col("domain").cast("string").alias("_domain")).where("_id is not null and _domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
+    named = labelled.select(
+        F.col(id_col).alias("_id"), F.col("domain").cast("string").alias("_domain")
+    ).where("_id is not null and _domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
     counts = {r["_domain"]: r["count"] for r in named.groupBy("_domain").count().collect()}  # one row a domain
     domains = sorted(counts)
     draw = F.xxhash64(F.lit(p.seed), "_id")
@@ -125,7 +127,9 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     of_each = named.withColumn("_place", place).where(F.col("_place") <= 2 * p.per_domain).drop("_place")
     chosen = of_all.union(of_each).distinct()
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where("_text is not null")
-    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_domain", F.xxhash64("_text").alias("_print"), _sample_features(p)(F.col("_text").cast("binary")).alias("_slots"))
+    met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(
+        "_id", "_domain", F.xxhash64("_text").alias("_print"), _sample_features(p)(F.col("_text").cast("binary")).alias("_slots")
+    )
     # repeated rows of an id: the one with the smallest hash of its text
     single = stored(met.groupBy("_id", "_domain").agg(F.min_by("_slots", F.struct("_print", "_slots")).alias("_slots")), "labelled")
     each = single.withColumn("_place", place).where(F.col("_place") <= p.per_domain).drop("_place")
@@ -170,6 +174,7 @@ def _memberships(shared, fit: RateFit | None = None):
     def run(texts):
         import pyarrow as pa
 
+        release()
         post, n = shared.value.posteriors([t.as_py() for t in texts])
         columns = [pa.array(n, pa.int64()), pa.array(post.tolist(), pa.list_(pa.float64()))]
         if fit:
@@ -295,7 +300,10 @@ def copies_column(rate: Column, id_col: Column, seed: int) -> Column:
     return F.floor(rate + u).cast("int")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text", params: MixParams = MixParams(), keep_text: bool = True, out: str = "mix") -> tuple[DataFrame, RateFit]:
+def mix(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], id_col: str = "doc_id", text_col: str = "text",
+    params: MixParams = MixParams(), keep_text: bool = True, out: str = "mix"
+) -> tuple[DataFrame, RateFit]:
     """docs with a struct column `out` (n_tokens, posteriors, rate, copies), and the fit.
 
     Every document gets a rate; nothing is dropped here. Null and empty texts have no tokens and the

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import check_absent, fresh, stored
+from tillage.llm._common import check_absent, fresh, release, stored
 
 #: Characters counted as symbols, ASCII white space, frequent function words.
 SYMBOLS = b"#*$%&|<>"
@@ -28,7 +28,10 @@ FUNCTION_WORDS = frozenset(
 )
 _FUNCTION_BYTES = frozenset(w.encode() for w in FUNCTION_WORDS)
 
-_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_function", "n_upper", "n_letters", "n_stops", "n_marks", "n_runs", "n_bare"]
+_COUNTS = [
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_function", "n_upper", "n_letters", "n_stops",
+    "n_marks", "n_runs", "n_bare"
+]
 COUNTS_TYPE = "struct<" + ", ".join(f"{c}: bigint" for c in _COUNTS) + ">"
 _STRIP = b".,;:!?\"'()[]"
 _ENDS = (b".", b"!", b"?")
@@ -93,6 +96,7 @@ def counts_column(text: Column, function_words: frozenset[str] = FUNCTION_WORDS)
     def run(texts):
         import pyarrow as pa
 
+        release()
         rows = [text_counts(t.as_py(), common) for t in texts]
         columns = list(zip(*rows)) if rows else [[] for _ in _COUNTS]
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], _COUNTS)
@@ -201,5 +205,8 @@ def judge_quality(docs: DataFrame, text_col: str = "text", params: QualityParams
     failed = (c["n_words"] < params.min_words) | (c["n_repeat_words"] > params.max_repeat * c["n_words"])
     full = counted.join(F.broadcast(learned), pattern == F.col(known), "left")
     fields = [c[n].alias(n) for n in _COUNTS] + [v.alias(f"vote_{n}") for n, v in ballot]
-    verdict = F.struct(*fields, F.col(posterior).alias("posterior"), failed.alias("base_failed"), (~failed & (F.col(posterior) >= params.keep_at)).alias("kept"))
+    verdict = F.struct(
+        *fields, F.col(posterior).alias("posterior"), failed.alias("base_failed"),
+        (~failed & (F.col(posterior) >= params.keep_at)).alias("kept")
+    )
     return full.withColumn(out, verdict).drop(known, posterior)

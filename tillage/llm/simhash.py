@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.llm._common import discard, fresh, look_up, stored
+from tillage.llm._common import discard, fresh, look_up, release, stored
 from tillage.llm._graph import components
 
 
@@ -76,7 +76,10 @@ def _cells(half: Column) -> Column:
 def _places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Points in their own cells (which, half, cell, fp), and the cells each point visits."""
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.col("fp"), 32)
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), _cells(low).alias("cell"), F.bit_count(low).alias("ones")), F.struct(F.lit(1).alias("half"), _cells(high).alias("cell"), F.bit_count(high).alias("ones"))))
+    halves = F.explode(F.array(
+        F.struct(F.lit(0).alias("half"), _cells(low).alias("cell"), F.bit_count(low).alias("ones")),
+        F.struct(F.lit(1).alias("half"), _cells(high).alias("cell"), F.bit_count(high).alias("ones"))
+    ))
     own = points.select("which", "fp", halves.alias("h")).select("which", "fp", "h.half", "h.cell", "h.ones")
     steps = []
     for j in range(16):
@@ -86,7 +89,9 @@ def _places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
     here = F.array(F.struct(F.col("cell").alias("at"), F.lit(True).alias("home")))
     around = F.transform(F.filter(F.array(*steps), lambda x: x.isNotNull()), lambda x: F.struct(x.alias("at"), F.lit(False).alias("home")))
     goes = F.when(F.pmod(F.col("ones"), F.lit(2)) == 1, F.concat(here, around)).otherwise(here)
-    visits = own.select("which", "fp", "half", F.explode(goes).alias("v")).select("which", "fp", "half", F.col("v.at").alias("cell"), F.col("v.home").alias("home"))
+    visits = own.select("which", "fp", "half", F.explode(goes).alias("v")).select(
+        "which", "fp", "half", F.col("v.at").alias("cell"), F.col("v.home").alias("home")
+    )
     return own.select("which", "fp", "half", "cell"), visits
 
 
@@ -136,7 +141,13 @@ def links(points: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     kinds = "which" in points.columns
     own, visits = _places(points if kinds else points.withColumn("which", F.lit(0)))
     many = own.groupBy("which", "half", "cell").agg(F.count("*").alias("n")).where(F.col("n") > p.dense)
-    crowd = stored(many.select(F.col("which").alias("_which"), F.col("half").alias("_half"), F.col("cell").alias("_cell"), F.ceil(F.col("n") / p.dense).cast("int").alias("_blocks")), "crowd")
+    crowd = stored(
+        many.select(
+            F.col("which").alias("_which"), F.col("half").alias("_half"), F.col("cell").alias("_cell"),
+            F.ceil(F.col("n") / p.dense).cast("int").alias("_blocks")
+        ),
+        "crowd"
+    )
     crowded = not crowd.isEmpty()
     on = (F.col("which") == F.col("_which")) & (F.col("half") == F.col("_half")) & (F.col("cell") == F.col("_cell"))
     thin = (lambda df: df.join(crowd, on, "left_anti")) if crowded else (lambda df: df)
@@ -147,7 +158,10 @@ def links(points: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     pairs = o.join(v, same & close & (~F.col("home") | (F.col("a") < F.col("b")))).select("a", "b", "which")
     if crowded:
         blocks = F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1)
-        side = lambda df, flag, mine, others: df.join(crowd, on).select("which", "half", "cell", "fp", "home", F.lit(flag).alias("is_own"), F.pmod(F.xxhash64("fp"), F.col("_blocks")).alias(mine), F.explode(blocks).alias(others))
+        side = lambda df, flag, mine, others: df.join(crowd, on).select(
+            "which", "half", "cell", "fp", "home", F.lit(flag).alias("is_own"), F.pmod(F.xxhash64("fp"), F.col("_blocks")).alias(mine),
+            F.explode(blocks).alias(others)
+        )
         both = side(own.withColumn("home", F.lit(True)), True, "i", "j").unionByName(side(visits, False, "j", "i"))
         pairs = pairs.union(both.groupBy("which", "half", "cell", "i", "j").applyInPandas(_forest(p.distance), "a long, b long, which int"))
     return pairs if kinds else pairs.drop("which")
@@ -169,7 +183,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = stored(joined, "placed")
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("n").alias("_n"))
     # a root has at most as many rows here as distinct fingerprints
-    of_point = placed.select("fp", "n", "root").join(smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")).select("fp", "n", "component_id")
+    of_point = placed.select("fp", "n", "root").join(
+        smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")
+    ).select("fp", "n", "component_id")
     by_point = stored(of_point, "components")
     discard(points, placed, found)
     return look_up(marked, by_point, "fp", "n", "doc_id")
@@ -197,6 +213,7 @@ def _sketch(p: SimilarParams):
         import pyarrow as pa
         from hashlib import blake2b
 
+        release()
         known: dict[bytes, bytes] = {}
         salt, size = p.seed.to_bytes(8, "little"), 8 * p.prints
         digests, prints = [], []
@@ -204,7 +221,7 @@ def _sketch(p: SimilarParams):
             words = text.as_py().lower().split() if text.is_valid else []
             digests.append(_digest(words))
             distinct = set(words)
-            if len(known) > 200_000:
+            if len(known) > 100_000:
                 known.clear()
             hashes = [known.get(w) or known.setdefault(w, blake2b(w, digest_size=size, key=salt).digest()) for w in distinct]
             ones = np.zeros(8 * size, np.int64)
@@ -233,6 +250,7 @@ def _shingles(p: SimilarParams):
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
+        release()
         digests, rows = [], []
         for text in texts:
             words = text.as_py().lower().split() if text.is_valid else []
@@ -256,7 +274,10 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     belongs to the smallest id of its component (null if none). Repeated rows stay; other columns are not carried.
     """
     p = params
-    marked = stored(docs.select(F.col(id_col).alias("doc_id"), _sketch(p)(F.col(text_col).cast("binary")).alias("s")).select("doc_id", "s.digest", "s.fps"), "sketches")
+    marked = stored(
+        docs.select(F.col(id_col).alias("doc_id"), _sketch(p)(F.col(text_col).cast("binary")).alias("s")).select("doc_id", "s.digest", "s.fps"),
+        "sketches"
+    )
     texts = stored(marked.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("fps").alias("fps"), F.count("*").alias("n")), "texts")
     each = texts.select("digest", F.posexplode("fps").alias("which", "fp"))
     heads = stored(each.groupBy("which", "fp").agg(F.min("digest").alias("head"), F.count("*").alias("texts")), "heads")
@@ -264,10 +285,14 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = each.join(shared, (F.col("which") == F.col("_which")) & (F.col("fp") == F.col("_fp"))).select(F.col("head").alias("x"), F.col("digest").alias("y"))
     near = links(heads.select("which", "fp"), p.grid)
     side = lambda end, name: heads.select(F.col("which").alias(f"_{end}_which"), F.col("fp").alias(f"_{end}"), F.col("head").alias(name))
-    met = lambda df, end, name: df.join(side(end, name), (F.col("which") == F.col(f"_{end}_which")) & (F.col(end) == F.col(f"_{end}"))).drop(f"_{end}_which", f"_{end}")
+    met = lambda df, end, name: df.join(
+        side(end, name), (F.col("which") == F.col(f"_{end}_which")) & (F.col(end) == F.col(f"_{end}"))
+    ).drop(f"_{end}_which", f"_{end}")
     linked = met(met(near, "a", "x"), "b", "y").select("x", "y")
     pairs = star.union(linked).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    with_fps = lambda df, end: df.join(texts.select(F.col("digest").alias(f"_{end}"), F.col("fps").alias(f"fps_{end}")), F.col(end) == F.col(f"_{end}")).drop(f"_{end}")
+    with_fps = lambda df, end: df.join(
+        texts.select(F.col("digest").alias(f"_{end}"), F.col("fps").alias(f"fps_{end}")), F.col(end) == F.col(f"_{end}")
+    ).drop(f"_{end}")
     apart = F.aggregate(F.zip_with("fps_x", "fps_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
     pairs = stored(with_fps(with_fps(pairs, "x"), "y").where(apart <= p.bits).select("x", "y"), "proposals")
     # the texts that proposals name, one document each
@@ -276,14 +301,21 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(wanted.hint("merge"), F.col("_id") == F.col("_first"))
     cut = found.select("_digest", _shingles(p)(F.col("_text")).alias("s")).where(F.col("_digest") == F.col("s.digest"))
     sets = stored(cut.groupBy("_digest").agg(F.any_value("s.shingles").alias("shingles")), "shingles")
-    with_set = lambda df, end: df.join(sets.select(F.col("_digest").alias(f"_{end}"), F.col("shingles").alias(f"set_{end}")), F.col(end) == F.col(f"_{end}")).drop(f"_{end}")
+    with_set = lambda df, end: df.join(
+        sets.select(F.col("_digest").alias(f"_{end}"), F.col("shingles").alias(f"set_{end}")), F.col(end) == F.col(f"_{end}")
+    ).drop(f"_{end}")
     common = F.size(F.array_intersect("set_x", "set_y"))
     similar = common >= p.similarity * (F.size("set_x") + F.size("set_y") - common)
     groups = components(with_set(with_set(pairs, "x"), "y").where(similar).select("x", "y"), "x", "y")
     tops = groups.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
-    placed = stored(texts.join(tops, F.col("digest") == F.col("_node"), "left").select("digest", "first_id", "n", F.coalesce("_root", "digest").alias("root")), "placed")
+    placed = stored(
+        texts.join(tops, F.col("digest") == F.col("_node"), "left").select("digest", "first_id", "n", F.coalesce("_root", "digest").alias("root")),
+        "placed"
+    )
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_text = placed.select("digest", "n", "root").join(smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")).select("digest", "n", "component_id")
+    of_text = placed.select("digest", "n", "root").join(
+        smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")
+    ).select("digest", "n", "component_id")
     by_text = stored(of_text, "components")
     discard(texts, heads, pairs, sets, placed, groups)
     return look_up(marked, by_text, "digest", "n", "doc_id").select("doc_id", "component_id")
@@ -300,7 +332,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = stored(group(docs, id_col, text_col, params).select("doc_id", "component_id"), "near-duplicates")
     id_name, row_name, kept_name = fresh(docs, "id"), fresh(docs, "row"), fresh(docs, "kept")
     # an id may stand on rows of several components: all its rows count
-    kept = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("first")
+    kept = found.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("first")
+    ).where("first")
     ids, key = kept.select(F.col("doc_id").alias(kept_name), "n"), F.col(id_col)
     once = ids.where("n = 1").select(kept_name).hint("merge")  # the same plan at every size: the ids grow with the input
     repeated = ids.where("n > 1").select(kept_name)

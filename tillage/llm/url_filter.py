@@ -185,7 +185,9 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colu
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], params: UrlModelParams = UrlModelParams(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: list[tuple[str, str]], params: UrlModelParams = UrlModelParams(), id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
     """Every row's host, path, rule, verdict and score.
 
     Rows a rule decides are the labelled rows that the two models learn from; the models decide the
