@@ -94,16 +94,24 @@ def low_confidence(norm: Column) -> Column:
     return (norm == "") | (~known & ((letters < 0.4) | ((F.length(norm) <= 3) & ~norm.rlike(r"\d")) | keyboard_smash(norm)))
 
 
+def _once(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def intent(message: Column) -> Column:
     """The first intent whose pattern fits: metrics, then noise, then the others; else unknown."""
-    norm = chat_text(message)
-    out = F.lit("unknown")
-    for name, pattern in reversed(OTHER_INTENTS):
-        out = F.when(norm.rlike(pattern), name).otherwise(out)
-    out = F.when(low_confidence(norm), "garbage").otherwise(out)
-    for name, pattern in reversed(METRIC_INTENTS):
-        out = F.when(norm.rlike(pattern), name).otherwise(out)
-    return out
+
+    def cascade(norm: Column) -> Column:
+        out = F.lit("unknown")
+        for name, pattern in reversed(OTHER_INTENTS):
+            out = F.when(norm.rlike(pattern), name).otherwise(out)
+        out = F.when(low_confidence(norm), "garbage").otherwise(out)
+        for name, pattern in reversed(METRIC_INTENTS):
+            out = F.when(norm.rlike(pattern), name).otherwise(out)
+        return out
+
+    return _once(chat_text(message), cascade)
 
 
 def mode(intent_col: Column, asked: Column, active: Column) -> Column:
@@ -120,16 +128,14 @@ def needs_documents(intent_col: Column, mode_col: Column) -> Column:
 
 def named_crop(message: Column, names: Column) -> Column:
     """The longest of the names (array, at least two characters) that the message holds; the first among equals."""
-    norm = chat_text(message)
-    held = F.filter(
-        F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name"))),
-        lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"])
-    )
-    longest = F.aggregate(
-        held, F.lit(None).cast("struct<norm: string, name: string>"), lambda best,
-        n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best)
-    )
-    return longest["name"]
+    plain = F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name")))
+    nothing = F.lit(None).cast("struct<norm: string, name: string>")
+
+    def longest(norm: Column) -> Column:
+        held = F.filter(plain, lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"]))
+        return F.aggregate(held, nothing, lambda best, n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best))
+
+    return _once(chat_text(message), longest)["name"]
 
 
 def target_crop(message: Column, crops: list[str], active: Column) -> Column:

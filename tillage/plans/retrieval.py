@@ -465,7 +465,8 @@ def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> Da
     keyed = needles.where(F.size("n") >= 7).select("needle", F.array_join(F.slice("n", 2, 5), " ").alias("key"))
     five = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - 4)), lambda i: F.array_join(F.slice(w, i, F.lit(5)), " "))
     # only the keys travel with a document's number; its text is met again where a key fits
-    grams = docs.select("doc_id", F.explode(F.array_distinct(five(F.split("t", " ")))).alias("key"))
+    words = docs.select("doc_id", F.split("t", " ").alias("w"))  # split once, not once for every piece
+    grams = words.select("doc_id", F.explode(F.array_distinct(five(F.col("w")))).alias("key"))
     counted = lambda hit: hit.groupBy("needle").agg(F.count("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
     met = grams.join(keyed, "key").select("doc_id", "needle").distinct()
     found = counted(docs.join(met, "doc_id").where(F.contains("t", "needle")))
