@@ -207,6 +207,16 @@ def test_similar_texts_equal_brute_force(spark):
     assert len({got[i * 3 + 1] for i, t in enumerate(rows) if not (t or "").split()}) == 1
 
 
+def test_similar_texts_in_a_large_group(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(300)]
+    rows = [" ".join(edited(rng, base, int(rng.integers(1, 5)))) for _ in range(400)]
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_texts(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    links = [(i, j) for i in range(0, 400, 3) for j in range(i) if jaccard(rows[i], rows[j]) >= 0.8]
+    want = roots(list(range(400)), links)
+    assert len(links) > 10_000 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links) and len(set(want.values())) < 10
+
+
 def test_similar_texts_recall_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

@@ -14,7 +14,7 @@ the distinct words go through the same grid join and propose pairs, and the shin
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,13 +27,14 @@ from tillage.llm._graph import components
 @dataclass(frozen=True)
 class SimHashParams:
     """shingle: words to a shingle. distance: differing bits that still link, at most 3 (the grid's
-    guarantee). dense: fingerprints in one cell from which it is compared in blocks of that size: the plan of
-    such cells differs, their components do not."""
+    guarantee). dense: fingerprints in a cell beyond which only a spanning forest of its links is kept, found in
+    blocks of `block`: the plan of such cells differs, their components do not."""
 
     shingle: int = 3
     distance: int = 3
     seed: int = 42
     dense: int = 1024
+    block: int = 1024
 
 
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
@@ -98,12 +99,12 @@ def _places(points: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _forest(distance: int):
     """Links inside one pair of blocks, thinned to a spanning forest of what they connect."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(group):
+        import pyarrow as pa
 
-        own = pdf[pdf["is_own"]]["fp"].to_numpy(np.int64)
-        visit = pdf[~pdf["is_own"]]
-        x, home = visit["fp"].to_numpy(np.int64), visit["home"].to_numpy(bool)
+        column = lambda n: group.column(n).to_numpy()
+        fp, mine, at_home = column("fp").astype(np.int64), column("is_own").astype(bool), column("home").astype(bool)
+        own, x, home = fp[mine], fp[~mine], at_home[~mine]
         parent: dict[int, int] = {}
 
         def top(v):
@@ -122,8 +123,9 @@ def _forest(distance: int):
                 if a != b:
                     parent[b] = a
                     kept.append((o, int(x[i])))
-        out = pd.DataFrame(kept, columns=["a", "b"]).astype("int64")
-        return out.assign(which=int(pdf["which"].iloc[0]))
+        ends = np.array(kept, np.int64).reshape(-1, 2)
+        which = np.full(len(ends), column("which")[0], np.int32)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1]), "which": pa.array(which)})
 
     return run
 
@@ -144,7 +146,7 @@ def links(points: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
     crowd = stored(
         many.select(
             F.col("which").alias("_which"), F.col("half").alias("_half"), F.col("cell").alias("_cell"),
-            F.ceil(F.col("n") / p.dense).cast("int").alias("_blocks")
+            F.ceil(F.col("n") / p.block).cast("int").alias("_blocks")
         ),
         "crowd"
     )
@@ -163,7 +165,7 @@ def links(points: DataFrame, p: SimHashParams = SimHashParams()) -> DataFrame:
             F.explode(blocks).alias(others)
         )
         both = side(own.withColumn("home", F.lit(True)), True, "i", "j").unionByName(side(visits, False, "j", "i"))
-        pairs = pairs.union(both.groupBy("which", "half", "cell", "i", "j").applyInPandas(_forest(p.distance), "a long, b long, which int"))
+        pairs = pairs.union(both.groupBy("which", "half", "cell", "i", "j").applyInArrow(_forest(p.distance), "a long, b long, which int"))
     return pairs if kinds else pairs.drop("which")
 
 
@@ -195,14 +197,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 class SimilarParams:
     """words, similarity: shingles of so many words, and the share of common shingles (Jaccard) from which two texts
     are duplicates. prints: fingerprints over distinct words; bits: differing bits of all of them beyond which a
-    proposed pair is not looked at (pairs of that similarity have about half as many). grid: the grid join."""
+    proposed pair is not looked at (pairs of that similarity have about half as many). grid: the grid join; cells
+    that hold many times what chance puts there are groups of near copies, which one forest for each fingerprint and
+    half proposes well enough."""
 
     words: int = 5
     similarity: float = 0.8
     prints: int = 6
     bits: int = 60
     seed: int = 42
-    grid: SimHashParams = SimHashParams()
+    grid: SimHashParams = SimHashParams(dense=64)
 
 
 def _sketch(p: SimilarParams):
@@ -283,7 +287,9 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heads = stored(each.groupBy("which", "fp").agg(F.min("digest").alias("head"), F.count("*").alias("texts")), "heads")
     shared = heads.where("texts > 1").select(F.col("which").alias("_which"), F.col("fp").alias("_fp"), "head")
     star = each.join(shared, (F.col("which") == F.col("_which")) & (F.col("fp") == F.col("_fp"))).select(F.col("head").alias("x"), F.col("digest").alias("y"))
-    near = links(heads.select("which", "fp"), p.grid)
+    # by chance the fullest cell holds one in 65,536 fingerprints of a kind
+    usual = 4 * heads.count() // (65536 * p.prints)
+    near = links(heads.select("which", "fp"), replace(p.grid, dense=max(p.grid.dense, usual), block=max(p.grid.block, usual)))
     side = lambda end, name: heads.select(F.col("which").alias(f"_{end}_which"), F.col("fp").alias(f"_{end}"), F.col("head").alias(name))
     met = lambda df, end, name: df.join(
         side(end, name), (F.col("which") == F.col(f"_{end}_which")) & (F.col(end) == F.col(f"_{end}"))
