@@ -120,11 +120,15 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id",
     ).where("_id is not null and _domain is not null").groupBy("_id").agg(F.min("_domain").alias("_domain"))
     counts = {r["_domain"]: r["count"] for r in named.groupBy("_domain").count().collect()}  # one row a domain
     domains = sorted(counts)
-    draw = F.xxhash64(F.lit(p.seed), "_id")
-    # twice as many as wanted, since some have no document: the bound of the broadcast
-    of_all = named.orderBy(draw, "_id").limit(2 * p.sample)
+    draw = F.pmod(F.xxhash64(F.lit(p.seed), "_id"), F.lit(1 << 30))
+    # twice as many as wanted, since some have no document: the bound of the broadcast. Few more than those are
+    # sorted: a share of the hashes that holds them for certain, however often a domain occurs
+    share_of = lambda n, m: int((1 << 30) * min(1.0, (n + 10 * n**0.5 + 50) / max(m, 1)))
+    of_all = named.where(draw < share_of(2 * p.sample, sum(counts.values()))).orderBy(draw, "_id").limit(2 * p.sample)
+    below = F.broadcast(spark.createDataFrame([(d, share_of(2 * p.per_domain, m)) for d, m in counts.items()], "_domain string, _below long"))
     place = F.row_number().over(Window.partitionBy("_domain").orderBy(draw, "_id"))
-    of_each = named.withColumn("_place", place).where(F.col("_place") <= 2 * p.per_domain).drop("_place")
+    near = named.join(below, "_domain").where(draw < F.col("_below")).select("_id", "_domain")
+    of_each = near.withColumn("_place", place).where(F.col("_place") <= 2 * p.per_domain).drop("_place")
     chosen = of_all.union(of_each).distinct()
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where("_text is not null")
     met = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select(
