@@ -206,7 +206,7 @@ class SimilarParams:
     prints: int = 6
     bits: int = 60
     seed: int = 42
-    grid: SimHashParams = SimHashParams(dense=64)
+    grid: SimHashParams = SimHashParams(dense=12)
 
 
 def _sketch(p: SimilarParams):
