@@ -14,6 +14,7 @@ from tillage.llm.language_id import fit_field, held_out, identify
 from tillage.llm.mixing import mix
 from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
+from tillage.llm.token_files import token_files
 from tillage.llm.url_filter import judge_urls
 from tillage.llm.warc import captures
 
@@ -166,3 +167,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     post = [F.coalesce(F.get("mix.posteriors", i), F.lit(0.0)).alias(f"p_{d}") for i, d in enumerate(fit.domains)]
     missed = max((abs(m) for m in fit.missed().values()), default=0.0)
     return found.select("doc_id", "mix.n_tokens", *post, "mix.rate", "mix.copies", F.lit(missed).alias("target_missed"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_files(docs, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
