@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tillage.llm import token_files as tf
+from tillage.llm import vector_codes as vc
 from tillage.llm._common import table
 from tillage.llm.queries import QUERIES, tokenizer_file
 
@@ -106,3 +107,90 @@ def test_token_files_of_nothing(spark):
 def test_op11_whole_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
     assert sorted(tuple(r) for r in QUERIES["op11_token_files"](spark, SF).collect()) == sorted(brute_files(rows))
+
+
+def brute_codes(rows, p=vc.CodeParams()):
+    """Plain product quantisation in Python integers; rows of (id, vector, group)."""
+    import math
+
+    rows = [r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+    dim = -(-max((len(v) for _, v, _ in rows), default=0) // p.parts) * p.parts
+    size = dim // p.parts
+    most = vc.limit(dim)
+    whole = [[max(-most, min(most, math.floor(p.scale * x))) for x in v] + [0] * (dim - len(v)) for _, v, _ in rows]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, rows[i][1]))[: p.entries]
+    cut = lambda v, k: v[k * size : (k + 1) * size]
+    books = [[cut(whole[i], k) for i in order] for k in range(p.parts)]
+
+    def nearest(v, k):
+        d = [sum((a - b) ** 2 for a, b in zip(cut(v, k), e)) for e in books[k]]
+        return d.index(min(d)), min(d)
+
+    for _ in range(p.rounds):
+        found = [[nearest(v, k)[0] for k in range(p.parts)] for v in whole]
+        for k in range(p.parts):
+            for e in range(len(order)):
+                own = [cut(v, k) for v, f in zip(whole, found) if f[k] == e]
+                if own:
+                    books[k][e] = [sum(c) // len(own) for c in zip(*own)]
+    out, sums = [], {}
+    for (i, _, group), v in zip(rows, whole):
+        found = [nearest(v, k) for k in range(p.parts)]
+        error = sum(d for _, d in found)
+        sums[group] = sums.get(group, 0) + error
+        out.append((i, "".join(f"{c:02x}" for c, _ in found), error, group))
+    return sorted(((i, c, e, sums[g]) for i, c, e, g in out), key=str), [[list(e) for e in b] for b in books]
+
+
+def check_codes(spark, rows, kind="array<float>"):
+    docs = spark.createDataFrame([(i, v, g, 1, "c") for i, v, g in rows], f"vec_id long, embedding {kind}, label int, key int, c string")
+    found, books = vc.vector_codes(docs.repartition(3))
+    want, plain = brute_codes(rows)
+    assert sorted(((r["id"], r["code"], r["error"], r["group_error"]) for r in found.collect()), key=str) == want
+    assert [b.tolist() for b in books.entries] == plain
+
+
+def test_codes_against_plain_search(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), [float(np.float32(x)) for x in rng.normal(0, 0.2, 24)], int(i) % 3 if i % 5 else None) for i in rng.permutation(300)]
+    check_codes(spark, rows)
+
+
+def test_codes_of_odd_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(5, [0.5] * 10, 1), (5, [0.5] * 10, 1), (5, [-0.25] * 10, None), (None, [1.0, 2.0], None), (2, [], 7), (3, None, 7), (4, [nan] * 8, 7), (6, [inf], 7),
+            (7, [0.0, None, 1.0], 7), (8, [3e38, -3e38] + [1e-30, -1e-30] * 4, 2), (-1, [0.1] * 9, 2)] + [(100 + i, [1.0] * 10, 9) for i in range(40)]
+    check_codes(spark, rows, "array<double>")
+    check_codes(spark, [(1, [], 1), (2, None, 1)])
+    check_codes(spark, [])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 17), st.integers(1, 20), st.sampled_from([3, 4096, 1 << 26]), st.integers(0, 10**6))
+def test_bounds_never_lose_the_nearest(dim, entries, size, seed):
+    rng = np.random.default_rng(seed)
+    x, book = rng.integers(-size, size + 1, (50, dim)), rng.integers(-size, size + 1, (entries, dim))
+    x[:10] = book[rng.integers(0, entries, 10)]
+    book[entries // 2] = book[0]  # a tie
+    search = vc.NearestEntry(book)
+    at, d = search(x)
+    every = ((x[:, None] - book[None]) ** 2).sum(2)
+    assert (at == every.argmin(1)).all() and (d == every.min(1)).all()
+
+
+def test_bounds_rule_entries_out():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(0, 4000, (64, 8)).astype(np.int64)
+    x = centres[rng.integers(0, 64, 2000)] + rng.integers(-50, 50, (2000, 8))
+    search = vc.NearestEntry(centres)
+    search(x)
+    assert search.compared < 10 * len(x)  # of 64 each
+
+
+def test_codes_decode_near_the_vectors(spark):
+    rows = table(spark, SF, "embeddings")
+    books = vc.fit_codebooks(rows)
+    found = vc.encode_vectors(rows, books).collect()
+    x = np.array([r["embedding"] for r in found])
+    codes = np.array([[int(r["codes"]["code"][i : i + 2], 16) for i in range(0, 16, 2)] for r in found])
+    assert ((books.decode(codes) - x) ** 2).sum() < 0.7 * ((x - x.mean(0)) ** 2).sum()

@@ -16,6 +16,7 @@ from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
 from tillage.llm.token_files import token_files
 from tillage.llm.url_filter import judge_urls
+from tillage.llm.vector_codes import vector_codes
 from tillage.llm.warc import captures
 
 QUERIES: dict = {}
@@ -181,3 +182,43 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = token_files(docs, tokenizer_file("word_bpe_49k.json"), end_id=2)
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Rounds of assignment and averaging as a chain of tables: b0 to b6 are codebooks, a0 to a6 assignments."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, p, min(d * 16 + e) % 16 AS e, min(d * 16 + e) // 16 AS d
+  FROM (SELECT vec_id, p, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM parts JOIN b{i} USING (p))
+  GROUP BY vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""b{i + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(n.c, b.c) AS c
+  FROM b{i} b LEFT JOIN (
+    SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS c
+    FROM (SELECT p, e, j, sum(x[j]) AS s, count(*) AS n FROM a{i} JOIN parts USING (vec_id, p), range(1, 9) r(j) GROUP BY p, e, j)
+    GROUP BY p, e
+  ) n ON b.p = n.p AND b.e = n.e)""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT vec_id, p, v[8 * p + 1 : 8 * p + 8] AS x FROM kept, range(8) r(p)),
+b0 AS MATERIALIZED (SELECT p, e, x AS c FROM (SELECT p, x, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 16),
+{", ".join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY p, e, j)) FROM (SELECT p, e, j, c[j] AS v FROM b{rounds}, range(1, 9) r(j))) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+ORACLE_SQL["op12_vector_codes"] = _codes_sql()
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = vector_codes(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", F.col("group_error").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
