@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tillage.llm import token_alignment as ta
 from tillage.llm import token_files as tf
 from tillage.llm import vector_codes as vc
 from tillage.llm._common import table
@@ -194,3 +195,121 @@ def test_codes_decode_near_the_vectors(spark):
     x = np.array([r["embedding"] for r in found])
     codes = np.array([[int(r["codes"]["code"][i : i + 2], 16) for i in range(0, 16, 2)] for r in found])
     assert ((books.decode(codes) - x) ** 2).sum() < 0.7 * ((x - x.mean(0)) ** 2).sum()
+
+
+BYTES, PIECES = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+
+
+def brute_tokens(text):
+    """(A ids, their byte ranges, B ids, their byte ranges) of the whole text at once, or None."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+    from tokenizers.decoders import ByteLevel
+
+    if not hasattr(brute_tokens, "a"):
+        brute_tokens.a, brute_tokens.b = Tokenizer.from_file(BYTES), SentencePieceProcessor(model_file=PIECES)
+        brute_tokens.a.encode_special_tokens = True
+        brute_tokens.decode = ByteLevel()
+    if not text:
+        return None
+    raw = f" {text}".encode()
+    a, b = brute_tokens.a.encode(f" {text}", add_special_tokens=False).ids, brute_tokens.b.encode(text)
+    # characters of byte-level tokens stand for one byte each
+    size_a = [len(brute_tokens.a.id_to_token(i)) for i in a]
+    part_b = [bytes.fromhex(p[3:5]) if brute_tokens.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in zip(b, map(brute_tokens.b.id_to_piece, b))]
+    whole = brute_tokens.decode.decode([brute_tokens.a.id_to_token(i) for i in a]).encode()
+    if whole != raw or b"".join(part_b) != raw:
+        return None
+    spans = lambda sizes: [(int(e - s), int(e)) for s, e in zip(sizes, np.cumsum(sizes))]
+    return a, spans(size_a), b, spans([len(p) for p in part_b])
+
+
+def brute_alignment(rows):
+    import hashlib
+    from collections import Counter
+
+    docs, held = [], Counter()
+    for doc, text in rows:
+        t = brute_tokens(text)
+        if t is None:
+            docs.append((doc, [], 0, 0, None))
+            continue
+        a, sa, b, sb = t
+        links = [(x, y) for x, (s, e) in zip(a, sa) for y, (u, v) in zip(b, sb) if max(s, u) < min(e, v)]
+        held.update(set(links))
+        both = sorted({e for _, e in sa} & {e for _, e in sb})
+        groups = [(",".join(str(x) for x, (_, e) in zip(a, sa) if lo < e <= hi), ",".join(str(y) for y, (_, e) in zip(b, sb) if lo < e <= hi)) for lo, hi in zip([0, *both], both)]
+        docs.append((doc, links, len(a), len(b), groups))
+    top = {}
+    for (x, _), n in held.items():
+        top[x] = max(top.get(x, 0), n)
+    out = []
+    for doc, links, n_a, n_b, groups in docs:
+        spelled = ";".join(f"{x}|{y}" for x, y in groups) if groups is not None else ""
+        digest = hashlib.sha256(spelled.encode()).hexdigest() if groups is not None else ""
+        out.append((doc, n_a, n_b, len(groups or []), len(links), sum(held[x] == top[x[0]] for x in links), sum(held[x] for x in links), digest))
+    return sorted(out, key=str)
+
+
+HARD = [
+    (1, "a  b\n c\t<s>  x ﬁ e\u0301 </s>"), (1, "a  b\n c\t<s>  x ﬁ e\u0301 </s>"), (None, "  leading and trailing  "), (2, ""), (3, None), (4, " "),
+    (5, "\u2581 a piece mark"), (6, "<|endoftext|>don't I'LL we've\u00a0x \u3000 y\x1c z\x00"), (7, "東京 naïve 😀 <0x41> ﷽"), (8, "\n\n \n  \t x\r\n  y"),
+    (2**62 + 1, "tail "), (9, "ab" * 2000), (10, "one two " * 500),
+]
+
+
+def alignment_rows(found):
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best_a", "count_sum", "groups_sha256"]
+    return sorted((tuple(r[n] for n in names) for r in found.collect()), key=str)
+
+
+@pytest.mark.parametrize("hot", [65536, 1])
+def test_alignment_of_odd_rows(spark, hot):
+    docs = spark.createDataFrame([(d, t, 1, "p") for d, t in HARD], "doc_id long, text string, row int, pairs string")
+    found, _ = ta.align_tokens(docs.repartition(3), ta.AlignParams(BYTES, PIECES, hot=hot))
+    assert alignment_rows(found) == brute_alignment(HARD)
+    import hashlib
+
+    assert all(r["groups_sha256"] == (hashlib.sha256(r["groups"].encode()).hexdigest() if r["n_a"] else "") for r in found.collect())
+
+
+def test_alignment_of_nothing(spark):
+    assert ta.align_tokens(spark.createDataFrame([], "doc_id long, text string"), ta.AlignParams(BYTES, PIECES))[0].count() == 0
+
+
+def test_op13_whole_table(spark):
+    rows = [(r["doc_id"], r["text"]) for r in table(spark, SF, "documents").collect()]
+    # texts of thousands of words are left to the test of units: comparing all tokens with all is slow
+    short = [r for r in rows if len(r[1] or "") < 3000]
+    docs = spark.createDataFrame(short, "doc_id long, text string")
+    assert alignment_rows(ta.align_tokens(docs, ta.AlignParams(BYTES, PIECES))[0]) == brute_alignment(short)
+    names = ["doc_id", "n_a", "n_b"]
+    whole = {r["doc_id"]: (r["n_a"], r["n_b"]) for r in QUERIES["op13_token_alignment"](spark, SF).select(*names).collect()}
+    want = {d: brute_tokens(t) for d, t in rows}
+    assert whole == {d: (len(t[0]), len(t[2])) if t else (0, 0) for d, t in want.items()}
+
+
+SPACES = st.sampled_from([" ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000", "\x1c", "\r\n  ", ""])
+WORDS = st.sampled_from(["the", "don't", "x'll", "12", "é", "!", "...", "<s>", "東京", "\U0001f600", "zz9", "'", "s"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(SPACES, WORDS), max_size=12), SPACES)
+def test_units_spell_the_whole_text(parts, tail):
+    text = "".join(s + w for s, w in parts) + tail
+    units, want = ta.aligner(BYTES, PIECES)(text), brute_tokens(text)
+    assert (units is None) == (want is None)
+    if units:
+        a = [i for u in units for g in u.groups.decode().split(";") for i in map(int, g.split("|")[0].split(","))]
+        b = [i for u in units for g in u.groups.decode().split(";") for i in map(int, g.split("|")[1].split(","))]
+        assert (a, b) == (want[0], want[2])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(SPACES, WORDS), max_size=12), SPACES)
+def test_words_spell_the_whole_text(parts, tail):
+    from tokenizers import Tokenizer
+
+    text = "".join(s + w for s, w in parts) + tail
+    test_words_spell_the_whole_text.t = getattr(test_words_spell_the_whole_text, "t", None) or Tokenizer.from_file(WORD)
+    assert tf.word_tokenizer(WORD)(text.encode()) == test_words_spell_the_whole_text.t.encode(text, add_special_tokens=False).ids

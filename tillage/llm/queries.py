@@ -14,6 +14,7 @@ from tillage.llm.language_id import fit_field, held_out, identify
 from tillage.llm.mixing import mix
 from tillage.llm.quality_rules import judge_quality
 from tillage.llm.simhash import near_duplicates
+from tillage.llm.token_alignment import AlignParams, align_tokens
 from tillage.llm.token_files import token_files
 from tillage.llm.url_filter import judge_urls
 from tillage.llm.vector_codes import vector_codes
@@ -222,3 +223,10 @@ ORACLE_SQL["op12_vector_codes"] = _codes_sql()
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = vector_codes(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "code", "error", F.col("group_error").alias("label_error"), F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = AlignParams(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"), with_groups=False)
+    found, _ = align_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), params)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.col("n_best_a").alias("n_best"), "count_sum", "groups_sha256")
