@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -290,7 +291,7 @@ def test_op13_whole_table(spark):
 
 
 SPACES = st.sampled_from([" ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000", "\x1c", "\r\n  ", ""])
-WORDS = st.sampled_from(["the", "don't", "x'll", "12", "é", "!", "...", "<s>", "東京", "\U0001f600", "zz9", "'", "s"])
+WORDS = st.sampled_from(["ÀÉß.", "Ÿx", "ÿ)", "×y", "İ", "<|endoftext|>", "a<|startoftext|>.", "(x)", "the", "don't", "x'll", "12", "é", "!", "...", "<s>", "東京", "\U0001f600", "zz9", "'", "s"])
 
 
 @settings(max_examples=300, deadline=None)
@@ -312,4 +313,6 @@ def test_words_spell_the_whole_text(parts, tail):
 
     text = "".join(s + w for s, w in parts) + tail
     test_words_spell_the_whole_text.t = getattr(test_words_spell_the_whole_text, "t", None) or Tokenizer.from_file(WORD)
-    assert tf.word_tokenizer(WORD)(text.encode()) == test_words_spell_the_whole_text.t.encode(text, add_special_tokens=False).ids
+    ids, ends = tf.word_tokenizer(WORD).texts(pa.array([text, None, text]))
+    assert ends.tolist() == [len(ids) // 2, len(ids) // 2, len(ids)]
+    assert ids[: ends[0]].tolist() == ids[ends[1] :].tolist() == test_words_spell_the_whole_text.t.encode(text, add_special_tokens=False).ids

@@ -13,9 +13,12 @@ are written, split and read by Spark wherever it can. A folder holds `blocks` an
 from __future__ import annotations
 
 import functools
+import json
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +40,8 @@ _LOW = 1 << 31
 class FileParams:
     """block: tokens to a block. lanes: interleaved states. segment: steps of all lanes between checkpoints."""
 
-    block: int = 1 << 18
-    lanes: int = 512
+    block: int = 1 << 20
+    lanes: int = 2048
     segment: int = 128
 
 
@@ -62,18 +65,24 @@ class Table:
         self.freq = np.array([freq[i] for i in self.ids.tolist()], np.uint64)
         self.below = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.freq)])[:-1].astype(np.uint64)
         self.digest = zlib.crc32(self.ids.astype("<u4").tobytes() + self.freq.astype("<u4").tobytes())
-        self._slots = None
+        self._slots = self._places = None
 
     @property
     def slots(self) -> np.ndarray:
         """The place in `ids` that each of the 2^20 slots belongs to."""
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.freq.astype(np.int64))
+            self._slots = np.repeat(np.arange(len(self.ids), dtype=np.uint16 if len(self.ids) <= 65536 else np.uint32), self.freq.astype(np.int64))
         return self._slots
 
     def places(self, ids: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.ids, ids)
-        if len(ids) and (at.max() >= len(self.ids) or (self.ids[at] != ids).any()):
+        if not len(self.ids) or self.ids[-1] > 1 << 24:  # no room for a place for each number
+            at = np.minimum(np.searchsorted(self.ids, ids), max(0, len(self.ids) - 1))
+        else:
+            if self._places is None:
+                self._places = np.zeros(int(self.ids[-1]) + 1, np.int32)
+                self._places[self.ids] = np.arange(len(self.ids))
+            at = self._places[np.minimum(ids, self.ids[-1])]
+        if len(ids) and (not len(self.ids) or (self.ids[at] != ids).any()):
             raise ValueError("an id is not in the table")
         return at
 
@@ -112,7 +121,8 @@ def decode_ids(n: int, states: np.ndarray, places: np.ndarray, stream: np.ndarra
     if first >= last:
         return np.zeros(0, np.uint32)
     lengths = [min(segment, steps - g * segment) for g in range(first, last)]
-    out = np.zeros((last - first, segment, lanes), np.uint32)
+    out = np.zeros((last - first, segment, lanes), table.slots.dtype)
+    words = np.append(stream, np.uint32(0)).astype(np.uint64)
     x, ptr = states[first:last].copy(), places[first:last].copy()
     for j in range(lengths[0]):
         live = len(lengths) if lengths[-1] > j else len(lengths) - 1  # only the last one can be shorter
@@ -122,11 +132,9 @@ def decode_ids(n: int, states: np.ndarray, places: np.ndarray, stream: np.ndarra
         out[:live, j] = s
         y = table.freq[s] * (y >> np.uint64(SCALE_BITS)) + slot - table.below[s]
         low = y < _LOW
-        taken = low.sum(1)
-        from_ = (ptr[:live, None] + np.cumsum(low, 1) - 1)[low]
-        y[low] = (y[low] << np.uint64(32)) | stream[from_]
-        ptr[:live] += taken
-        x[:live] = y
+        place = np.cumsum(low, 1, dtype=np.int64) + (ptr[:live, None] - 1)  # of the word that a low state takes
+        ptr[:live] = place[:, -1] + 1
+        x[:live] = np.where(low, (y << np.uint64(32)) | words[np.maximum(place, 0)], y)
     after = np.concatenate([states[first + 1 : last + 1], np.full((1, lanes), _LOW, np.uint64)])[: last - first]
     if (x != after).any():
         raise ValueError("a segment does not end at the next checkpoint")
@@ -228,32 +236,105 @@ def joined_crc(first: int, second: int, size: int) -> int:
     return product(power, first) ^ second
 
 
+# The normaliser and the splitter whose work on plain words is known.
+_KNOWN_NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
+_KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Letters that composition leaves alone and that have one lower-case form, then punctuation without an apostrophe.
+_PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+
+
 class WordTokenizer:
     """Encodes texts with a tokenizer file of the tokenizers library whose tokens never hold ASCII white space.
 
-    Such a tokenizer gives the words of a text the ids that they have alone, so each new word goes through the library
-    once and is then remembered (a bounded number of short ones).
+    Such a tokenizer gives the words of a text the ids that they have alone, so texts are encoded word by word. Where
+    the file's normaliser and splitter are the known ones, a word of letters and punctuation falls into these two, which go
+    to the library's merges as they are; every other word goes through the whole library. Words and parts that have been seen are
+    remembered, a bounded number of short ones.
     """
 
-    def __init__(self, path: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 600_000, longest: int = 40):
         from tokenizers import Tokenizer
 
-        self.of_library, self.known, self.most, self.longest = Tokenizer.from_file(path), {}, most, longest
-
-    def __call__(self, text: bytes | None) -> list[int]:
-        known = self.known
-        words = text.split() if text else []
-        try:
-            return [i for w in words for i in known[w]]
-        except KeyError:
-            pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        found = dict(zip(new, (e.ids for e in self.of_library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False))))
-        out = [i for w in words for i in (known.get(w) or found.get(w) or ())]
-        if len(known) + len(found) > self.most:
-            known.clear()
-        known.update((w, ids) for w, ids in found.items() if len(w) <= self.longest)
-        return out
+        self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.merges, self.words, self.parts = self.tokenizer.model, {}, {}
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [(n["type"], n.get("pattern", {}).get("Regex")) for n in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        known = steps == _KNOWN_NORMALIZER and splits == [("Split", _KNOWN_SPLIT), ("ByteLevel", None)]
+        # an added token with punctuation before letters cannot stand in a plain word
+        apart = all(re.search("[^A-Za-z].*[A-Za-z]", t["content"]) for t in spec["added_tokens"])
+        self.plain = _PLAIN if known and apart else None
+        # byte-level tokens name bytes by characters; those of letters' bytes are printable, or 128 to 160 and 173
+        others = [*range(33), *range(127, 161), 173]
+        self.names = {b: 256 + n for n, b in enumerate(others)}
+
+    def _part(self, part: str) -> bytes:
+        """The merges of a plain part, ids of 32 bits."""
+        text = part if part.isascii() else part.encode().decode("latin-1").translate(self.names)
+        return array("I", [t.id for t in self.merges.tokenize(text)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _spelled(self, known: dict[str, bytes], spell, names: list[str]) -> list[bytes]:
+        found = [known.get(n) for n in names]
+        if None in found:
+            new = {n: spell(n) for n, ids in zip(names, found) if ids is None}
+            if len(known) + len(new) > self.most:
+                known.clear()
+            known.update((n, ids) for n, ids in new.items() if len(n) <= self.longest)
+            found = [new[n] if ids is None else ids for n, ids in zip(names, found)]
+        return found
+
+    def _vocabulary(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has)."""
+        import pyarrow.compute as pc
+
+        if not self.plain:
+            return _row(self._spelled(self.words, self._word, _strings(words)))
+        cut = pc.extract_regex(words, self.plain)
+        whole = pc.is_null(cut)
+        letters = pc.fill_null(pc.utf8_lower(pc.struct_field(cut, "letters")), "").dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(cut, "marks"), "").dictionary_encode()
+        others = _strings(words.filter(whole))
+        spelled = [self._spelled(self.parts, self._part, _strings(x.dictionary)) for x in (letters, marks)]
+        ids, sizes = _row([*spelled[0], *spelled[1], *self._spelled(self.words, self._word, others)])
+        # a plain word is two entries of that row, another one its own entry and an empty one
+        n, m = len(spelled[0]), len(spelled[1])
+        two = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + n], 1).astype(np.int64)
+        two[whole.to_numpy(zero_copy_only=False), 0] = n + m + np.arange(len(others))
+        out, ends = _gather(ids, sizes, two.reshape(-1))
+        return out, np.diff(ends[1::2], prepend=0)
+
+    def texts(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, where each text ends there) of an Arrow array; a null text is empty."""
+        import pyarrow.compute as pc
+
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        out, ends = _gather(*self._vocabulary(coded.dictionary), coded.indices.to_numpy())
+        of_text = np.concatenate([[0], ends])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
+        if end_id is None:
+            return out, of_text
+        return np.insert(out, of_text, end_id), of_text + np.arange(1, len(of_text) + 1)
+
+
+def _strings(column) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
+
+
+def _row(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the entries `at` of a row of entries, one after the other, where each of them ends)."""
+    if not len(at):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    counts = sizes[at]
+    ends = np.cumsum(counts)
+    begins = (np.cumsum(sizes) - sizes)[at]
+    return ids[np.arange(ends[-1]) + np.repeat(begins - (ends - counts), counts)], ends
 
 
 @functools.lru_cache(maxsize=2)
@@ -262,6 +343,22 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+#: Bytes of text that a task encodes together; a longer text goes alone.
+_SLICE = 8 << 20
+
+
+def slices(texts, most: int = _SLICE):
+    """Parts of an Arrow array of strings with about so many bytes each."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
 def encoded(text: Column, tokenizer: str, end_id: int | None) -> Column:
     """The ids of each text as little-endian unsigned 32-bit integers, with the end id; a null text is empty."""
 
@@ -270,11 +367,14 @@ def encoded(text: Column, tokenizer: str, end_id: int | None) -> Column:
         import pyarrow as pa
 
         release()
-        encode = word_tokenizer(tokenizer)
-        end = [] if end_id is None else [end_id]
-        return pa.array([np.array(encode(t.as_py()) + end, "<u4").tobytes() for t in texts], pa.binary())
-
-    return run(text.cast("binary"))
+        encode, out = word_tokenizer(tokenizer), []
+        for part in slices(texts):
+            ids, ends = encode.texts(part, end_id)
+            offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.binary())
+
+    return run(text.cast("string"))
 
 
 def count_ids(coded: DataFrame, ids_col: str) -> dict[int, int]:
