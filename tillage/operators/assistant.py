@@ -49,7 +49,7 @@ TOPICS = {
     "soil_condition": "suelo pH conductividad salinidad humedad materia organica manejo",
 }
 # Marks of leaked prompts, of generic answers, of questions about history and of support for them.
-LEAKS = ["eres el componente documental", "agrobot milpa", "no debes desplazar", "salud calculada", "pregunta del agricultor", "devuelve solo manejo tecnico"]
+LEAKS = ["eres el componente documental", "no debes desplazar", "salud calculada", "pregunta del agricultor", "devuelve solo manejo tecnico"]
 GENERIC = ["pasos y recomendaciones para «eres", 'pasos y recomendaciones para "eres', "parametros agronomicos relevantes para «recomendaciones"]
 HISTORY_QUESTIONS = ["historia", "origen", "origenes", "domesticacion"]
 HISTORY_SUPPORT = ["historia", "origen", "originario", "originaria", "domesticacion", "prehispanico", "ancestral", "mesoamerica", "teocintle"]
@@ -154,15 +154,16 @@ def plain_mark(mark: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9%°\s\-_/.,]", " ", mark)).strip()
 
 
-def quality_gate(answer: Column, insufficient: Column, message: Column, mode_col: Column, evidence: Column) -> Column:
-    """`ok`, or the first reason against an answer. evidence: the texts and titles it rests on, as one string."""
+def quality_gate(answer: Column, insufficient: Column, message: Column, mode_col: Column, evidence: Column, own_marks: list[str] = ()) -> Column:
+    """`ok`, or the first reason against an answer. evidence: the texts and titles it rests on, as one string.
+    own_marks: marks of the caller's own prompts, such as an assistant's name, that an answer must not repeat either."""
     plain = strip_html(F.coalesce(answer, F.lit("")))
     unsupported = (mode_col == "biblioteca") & holds_any(message, HISTORY_QUESTIONS) & ~holds_any(F.concat_ws(" ", plain, evidence), HISTORY_SUPPORT)
     return (
         F.when(F.coalesce(insufficient, F.lit(False)), "rag_insufficient_evidence")
         .when(plain == "", "rag_empty_answer")
         .when(F.contains(chat_text(plain), F.lit("no hay informacion suficiente")), "rag_declared_insufficient")
-        .when(holds_any(plain, LEAKS), "rag_prompt_leak")
+        .when(holds_any(plain, [*LEAKS, *own_marks]), "rag_prompt_leak")
         .when(holds_any(plain, GENERIC), "rag_generic_or_unrelated_answer")
         .when(unsupported, "rag_no_history_support")
         .otherwise("ok")

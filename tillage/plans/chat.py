@@ -101,9 +101,11 @@ def clean_query(spark, sf_dir):
 
 #: Answers in all states, dealt to the messages by number.
 _ANSWERS = [
-    "", "<p> </p>", "No hay información suficiente aquí", "Eres el componente documental de AgroBot", "Pasos y recomendaciones para «Eres un", "El riego es útil.",
+    "", "<p> </p>", "No hay información suficiente aquí", "Eres el componente documental", "Soy Asistente de Prueba", "Pasos y recomendaciones para «Eres un", "El riego es útil.",
     "La historia del cultivo", "<p>Aplicar<br>agua &amp; abono</p>",
 ]
+#: The prompt mark that the query's caller adds.
+_OWN = ["asistente de prueba"]
 _HOLDS = lambda c, marks: "(" + " OR ".join(f"contains({c}, {S.repr_sql(m)})" for m in sorted({A.plain_mark(m) for m in marks})) + ")"
 _CHAT_NORM = lambda c: rf"trim(regexp_replace(regexp_replace(translate({S.fold(c)}, '¿?¡!', '    '), '[^a-z0-9%°\s\-_/.,]', ' ', 'g'), '\s+', ' ', 'g'))"
 _BARE = r"trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(a, '(?i)<br\s*/?>|</p>', chr(10), 'g'), '(?i)<li[^>]*>', '- ', 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))"
@@ -114,7 +116,7 @@ _BARE = r"trim(regexp_replace(replace(replace(regexp_replace(regexp_replace(rege
     f"""{CHAT}, g AS (SELECT conv_id, turn, n, ({_LIST([a.replace("'", "''") for a in _ANSWERS])})[(conv_id + turn) % {len(_ANSWERS)} + 1] AS a, conv_id % 9 = 0 AS poor, CASE WHEN turn % 2 = 0 THEN 'biblioteca' ELSE 'parcela' END AS mode, CASE WHEN conv_id % 2 = 0 THEN 'teocintle' ELSE 'suelo' END AS ev FROM z),
 h AS (SELECT *, {_BARE} AS p FROM g), i AS (SELECT *, {_CHAT_NORM('p')} AS pn, {_CHAT_NORM("p || ' ' || ev")} AS en FROM h)
 SELECT conv_id, turn, CASE WHEN poor THEN 'rag_insufficient_evidence' WHEN p = '' THEN 'rag_empty_answer' WHEN contains(pn, 'no hay informacion suficiente') THEN 'rag_declared_insufficient'
-WHEN {_HOLDS('pn', A.LEAKS)} THEN 'rag_prompt_leak' WHEN {_HOLDS('pn', A.GENERIC)} THEN 'rag_generic_or_unrelated_answer'
+WHEN {_HOLDS('pn', [*A.LEAKS, *_OWN])} THEN 'rag_prompt_leak' WHEN {_HOLDS('pn', A.GENERIC)} THEN 'rag_generic_or_unrelated_answer'
 WHEN mode = 'biblioteca' AND {_HOLDS('n', A.HISTORY_QUESTIONS)} AND NOT {_HOLDS('en', A.HISTORY_SUPPORT)} THEN 'rag_no_history_support' ELSE 'ok' END AS gate FROM i""",
 )
 def answer_gate(spark, sf_dir):
@@ -126,7 +128,7 @@ def answer_gate(spark, sf_dir):
         ).alias("answer"), (F.col("conv_id") % 9 == 0).alias("poor"),
         F.when(F.col("turn") % 2 == 0, "biblioteca").otherwise("parcela").alias("mode"), F.when(F.col("conv_id") % 2 == 0, "teocintle").otherwise("suelo").alias("evidence"),
     )
-    return c.select("conv_id", "turn", A.quality_gate(F.col("answer"), F.col("poor"), F.col("text"), F.col("mode"), F.col("evidence")).alias("gate"))
+    return c.select("conv_id", "turn", A.quality_gate(F.col("answer"), F.col("poor"), F.col("text"), F.col("mode"), F.col("evidence"), _OWN).alias("gate"))
 
 
 _LINES = "array_to_string(list_transform(active, lambda x: '- ' || x), chr(10))"
