@@ -93,7 +93,13 @@ def test_warc_cut_off_archives(spark, tmp_path):
     data = b"".join(gzip.compress(record(i, b)) for i, b in enumerate(bodies))
     (tmp_path / "a.warc.gz").write_bytes(data)
     (tmp_path / "b.warc.gz").write_bytes(data[: len(data) * 2 // 3])
-    rows = W.read_archives(spark, str(tmp_path)).collect()
+    with pytest.raises(Exception, match="(?i)gz|end of|corrupt|failed|EOF"):  # a lost part is not passed over
+        W.read_archives(spark, str(tmp_path)).collect()
+    (tmp_path / "c.warc.gz").write_bytes(b"no archive")
+    damaged = {r["file"].rsplit("/", 1)[1]: (r["bytes"], r["good_bytes"]) for r in W.damaged_archives(spark, str(tmp_path)).collect()}
+    assert sorted(damaged) == ["b.warc.gz", "c.warc.gz"] and damaged["c.warc.gz"] == (10, 0)
+    assert 0 < damaged["b.warc.gz"][1] < damaged["b.warc.gz"][0] == len(data) * 2 // 3
+    rows = W.read_archives(spark, str(tmp_path), lenient=True).collect()
     whole = Counter(r["record_id"] for r in rows if not r["truncated"])
     assert all(bytes(r["payload"]) == bodies[int(r["record_id"][1:-1])] for r in rows if not r["truncated"])
     assert all(1 <= whole[f"<{i}>"] <= 2 for i in range(60)) and 30 < sum(n == 2 for n in whole.values()) < 45 and sum(r["truncated"] for r in rows) <= 1

@@ -191,8 +191,41 @@ def _record_row(h: dict, block: bytes, whole: bool, with_payload: bool) -> dict:
     }
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """The records of all gzipped archives under path; digest and size are those of the payload as read.
+def damaged_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(file, bytes, good_bytes): gzipped archives under path that end before their stream does or hold bytes that are no
+    stream, and how far they can be trusted. For after a reading has failed: a task holds one archive, compressed.
+    """
+
+    @F.arrow_udf("long")
+    def good(contents):
+        import zlib
+
+        import pyarrow as pa
+
+        out = []
+        for c in contents:
+            data, done = memoryview(c.as_buffer()), 0
+            try:
+                while done < len(data):
+                    d, at = zlib.decompressobj(31), done
+                    while not d.eof and at < len(data):
+                        d.decompress(data[at : at + (1 << 20)])
+                        at = min(len(data), at + (1 << 20))
+                    if not d.eof:
+                        break
+                    done = at - len(d.unused_data)
+            except zlib.error:
+                pass
+            out.append(done)
+        return pa.array(out, pa.int64())
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    return files.select(F.col("path").alias("file"), F.col("length").alias("bytes"), good("content").alias("good_bytes")).where("good_bytes < bytes")
+
+
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, lenient: bool = False) -> DataFrame:
+    """The records of all gzipped archives under path; digest and size are those of the payload as read. An archive that cannot be
+    read to its end is an error, unless lenient: then what it gives before the damage counts, and `damaged_archives` names it.
 
     The payload is the block after the HTTP header of a response or request, else the block. Without
     payloads (with_payload False) that column is null and only digests travel on. A cut-off archive gives
@@ -247,7 +280,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     # gzipped files are not split, so a task sees whole archives, one after the other
-    text = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.gz").text(path)
+    text = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", lenient).option("pathGlobFilter", "*.gz").text(path)
     return text.select(F.col("value").cast("binary"), F.col("_metadata.file_path").alias("file")).mapInArrow(run, RECORD)
 
 
