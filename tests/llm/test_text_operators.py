@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -217,6 +218,64 @@ def test_similar_texts_in_a_large_group(spark):
     assert len(links) > 10_000 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links) and len(set(want.values())) < 10
 
 
+def scattered(rng, base, copies, changes):
+    """The base and copies of it, each with some words changed far apart: every change costs five shingles, so copies are
+    about 0.8 like the base and 0.65 like each other."""
+    rows = [base]
+    for _ in range(copies):
+        w = list(base)
+        for at in rng.choice(len(base) // 8, changes, replace=False):
+            w[8 * at + 3] = f"x{rng.integers(10**8)}"
+        rows.append(w)
+    return [" ".join(r) for r in rows]
+
+
+def links_of(rows, n=5):
+    """All pairs that share 0.8 of their shingles, by lists of who holds what."""
+    cut = [{hash(tuple(w[i : i + n])) for i in range(max(1, len(w) - n + 1))} for w in map(str.split, rows)]
+    ids, sizes, holders, out = {}, np.array([len(c) for c in cut]), {}, []
+    for i, c in enumerate(cut):
+        for h in c:
+            holders.setdefault(ids.setdefault(h, len(ids)), []).append(i)
+    arrays = {h: np.array(v) for h, v in holders.items()}
+    for i, c in enumerate(cut):
+        common = np.bincount(np.concatenate([arrays[ids[h]] for h in c]), minlength=len(cut))
+        near = np.flatnonzero(common >= 0.8 * (sizes[i] + sizes - common))
+        out += [(i, int(j)) for j in near if j < i]
+    return out
+
+
+@pytest.mark.parametrize("copies,changes,load", [(50, 4, 400_000), (300, 4, 20_000), (500, 4, 400_000), (5000, 4, 400_000)])
+def test_similar_texts_barely_similar_copies(spark, copies, changes, load):
+    rng = np.random.default_rng(copies)
+    rows = scattered(rng, [f"w{rng.integers(10**6)}" for _ in range(200)], copies, changes)
+    links = links_of(rows)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in S.similar_texts(docs, params=S.SimilarParams(load=load)).collect()}
+    assert len(links) >= copies and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+
+
+@pytest.mark.parametrize("load", [10**9, 3000, 900])
+def test_verified_links_connect_what_all_links_connect(spark, load):
+    rng = np.random.default_rng(9)
+    groups = [scattered(rng, [f"{g}w{i}" for i in range(60)], n, 1) + scattered(rng, [f"{g}v{i}" for i in range(60)], n // 2, 2) for g, n in enumerate((1, 4, 30, 90))]
+    rows = [(g, t) for g, group in enumerate(groups) for t in group] + [(9, "")]
+    links = links_of([t for _, t in rows])
+    sets = [(bytearray(f"{i:05}".encode()), f"{g}", sorted({hash(tuple(t.split()[j : j + 5])) for j in range(len(t.split()) - 4)})) for i, (g, t) in enumerate(rows)]
+    found = S.verified_links(spark.createDataFrame(sets, "digest binary, root string, shingles array<bigint>"), S.SimilarParams(load=load, heads=2)).collect()
+    pairs = {tuple(sorted((int(r["x"]), int(r["y"])))) for r in found}
+    assert pairs <= {tuple(sorted(x)) for x in links}
+    everyone = list(range(len(rows)))
+    assert roots(everyone, list(pairs)) == roots(everyone, links)
+    assert len(pairs) < 8 * len(rows) < len(links)
+
+
+def test_similar_texts_without_ids(spark):
+    base = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(None, base), (None, base + " a"), (5, base + " b"), (None, base + " c"), (8, "else")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in S.similar_texts(docs).collect()) == [(0, 5), (0, 5), (0, 5), (5, 5), (8, 8)]
+
+
 def test_similar_texts_recall_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

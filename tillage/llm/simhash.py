@@ -9,7 +9,7 @@ even, and every close pair meets exactly once for a half.
 
 `near_duplicates` links equal and close fingerprints as they are. `similar_texts` is for texts that share
 most of their word shingles, which a single fingerprint tells apart too often: several fingerprints over
-the distinct words go through the same grid join and propose pairs, and the shingles themselves decide.
+the distinct words go through the same grid join and give groups of candidates, inside which the shingles decide.
 """
 
 from __future__ import annotations
@@ -196,16 +196,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 @dataclass(frozen=True)
 class SimilarParams:
     """words, similarity: shingles of so many words, and the share of common shingles (Jaccard) from which two texts
-    are duplicates. prints: fingerprints over distinct words; bits: differing bits of all of them beyond which a
-    proposed pair is not looked at (pairs of that similarity have about half as many). grid: the grid join; cells
-    that hold many times what chance puts there are groups of near copies, which one forest for each fingerprint and
-    half proposes well enough."""
+    are duplicates. prints: fingerprints over distinct words. load: shingles that a task compares at a time on either
+    side, the bound of what it holds. heads: texts that all of a large group are compared with first. grid: the grid
+    join; cells that hold many times what chance puts there keep a forest of their links, which is all that groups
+    of candidates need."""
 
     words: int = 5
     similarity: float = 0.8
     prints: int = 6
-    bits: int = 60
     seed: int = 42
+    load: int = 400_000
+    heads: int = 8
     grid: SimHashParams = SimHashParams(dense=12)
 
 
@@ -268,14 +269,118 @@ def _shingles(p: SimilarParams):
     return run
 
 
+def similar_forest(similarity: float):
+    """A function of groups: verified links between texts, thinned to a spanning forest of what they connect.
+
+    A group holds rows (digest, shingles, row, column): texts marked `row` are compared with all marked `column`. The
+    texts that hold a shingle are listed once, so one count over a text's lists gives what it shares with every
+    other text, and no pair is looked at twice.
+    """
+
+    def run(group):
+        import pyarrow as pa
+
+        release()
+        lists = group.column("shingles").combine_chunks()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        n, ends = len(sizes), np.cumsum(sizes)
+        _, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        owners = np.repeat(np.arange(n), sizes)
+        row, column = (group.column(c).to_numpy().astype(bool) for c in ("row", "column"))
+        # owners of a shingle, those marked `column`, one shingle after the other
+        listed = column[owners]
+        by_shingle = np.argsort(at[listed], kind="stable")
+        holders = owners[listed][by_shingle]
+        length = np.bincount(at[listed], minlength=int(at.max()) + 1 if len(at) else 0)
+        begin = np.cumsum(length) - length
+        parent = np.arange(n)
+
+        def top(v):
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        kept, left = [], n
+        for i in np.flatnonzero(row).tolist():
+            if left == 1:
+                break
+            own = at[ends[i] - sizes[i] : ends[i]]
+            counts = length[own]
+            stops = np.cumsum(counts)
+            total = int(stops[-1]) if len(stops) else 0
+            places = np.arange(total) + np.repeat(begin[own] - (stops - counts), counts)
+            common = np.bincount(holders[places], minlength=n)
+            near = np.flatnonzero((common > 0) & (common >= similarity * (sizes[i] + sizes - common)))
+            for j in near.tolist():
+                a, b = top(i), top(j)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    kept.append((i, j))
+                    left -= 1
+        digests = group.column("digest").combine_chunks()
+        ends_ = np.array(kept, np.int64).reshape(-1, 2)
+        return pa.table({"x": digests.take(pa.array(ends_[:, 0])), "y": digests.take(pa.array(ends_[:, 1]))})
+
+    return run
+
+
+def verified_links(sets: DataFrame, p: SimilarParams) -> DataFrame:
+    """(x, y): links between texts of one candidate group that connect what all links inside it connect.
+
+    sets is (digest, root, shingles), a row a text. Groups of few shingles are compared whole, many to a task. A large one is cut into
+    blocks by digest: each block is compared with itself and with a few heads of its group; then the texts outside of
+    the group's largest part so far meet all others, block by block. Texts of one part need no comparison any
+    more, so a group of close copies takes one round, and no task holds more than two blocks.
+    """
+    size = F.size("shingles")
+    groups = sets.groupBy("root").agg(F.sum(size).alias("load"), F.count("*").alias("texts"))
+    large = stored(groups.where(F.col("load") > p.load).select(F.col("root").alias("_root"), F.ceil(F.col("load") / p.load).cast("int").alias("blocks")), "large-groups")
+    total = sets.agg(F.sum(size.cast("long")).alias("n")).first()["n"] or 0
+    compare = lambda df, *by: df.groupBy(*by).applyInArrow(similar_forest(p.similarity), "x binary, y binary")
+    yes, no = F.lit(True), F.lit(False)
+    rows = ["digest", "shingles", "row", "column"]
+    small = sets.join(F.broadcast(large), F.col("root") == F.col("_root"), "left_anti") if large.count() <= 10_000 else sets.join(large, F.col("root") == F.col("_root"), "left_anti")
+    bucket = F.pmod(F.xxhash64("root"), F.lit(1 + total // p.load))
+    found = compare(small.select("digest", "shingles", yes.alias("row"), yes.alias("column"), bucket.alias("bucket")), "bucket")
+    if large.isEmpty():
+        return found
+    members = stored(sets.join(large, F.col("root") == F.col("_root")).select("digest", "root", "shingles", "blocks", F.pmod(F.xxhash64("digest"), F.col("blocks")).alias("i")), "members")
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of).cast("long") - 1))
+    # a head is the text with the smallest digest of a block; the first few blocks give theirs
+    heads = members.where(F.col("i") < p.heads).groupBy("root", "i").agg(F.min("digest").alias("digest"), F.min_by("shingles", "digest").alias("shingles"), F.max("blocks").alias("blocks"))
+    inside = members.select("root", "i", *rows[:2], yes.alias("row"), yes.alias("column"))
+    beside = heads.select("root", F.col("i").alias("own"), *rows[:2], every("blocks").alias("i")).where("own <> i").select("root", "i", *rows[:2], yes.alias("row"), no.alias("column"))
+    first = stored(compare(inside.unionByName(beside), "root", "i"), "first-links")
+    tops = components(first, "x", "y")
+    placed = members.join(tops.select(F.col("node").alias("_node"), F.col("root").alias("_top")), F.col("digest") == F.col("_node"), "left").select(
+        "digest", "root", "shingles", "i", "blocks", F.coalesce("_top", "digest").alias("part")
+    )
+    parts = placed.groupBy("root", "part").agg(F.count("*").alias("n"), F.sum(F.size("shingles").cast("long")).alias("load"))
+    largest = parts.groupBy(F.col("root").alias("_r")).agg(F.max_by("part", F.struct("n", "part")).alias("largest"), F.sum("load").alias("all"), F.max_by("load", F.struct("n", "part")).alias("held"))
+    # blocks of the texts that are not in the largest part; none of them, and the group is done
+    open_ = stored(largest.where(F.col("all") > F.col("held")).select("_r", "largest", F.ceil((F.col("all") - F.col("held")) / p.load).cast("int").alias("others")), "open-groups")
+    if not open_.isEmpty():
+        again = placed.join(open_, F.col("root") == F.col("_r"))
+        outside = again.where(F.col("part") != F.col("largest")).select(
+            "root", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("others")).alias("j"), *rows[:2], yes.alias("row"), no.alias("column"), every("blocks").alias("i")
+        )
+        whole = again.select("root", every("others").alias("j"), *rows[:2], no.alias("row"), yes.alias("column"), "i")
+        second = stored(compare(outside.unionByName(whole), "root", "i", "j"), "second-links")
+        first = first.union(second)
+    out = stored(found.union(first), "links")
+    discard(large, members, tops, open_)
+    return out
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: SimilarParams = SimilarParams()) -> DataFrame:
     """(doc_id, component_id): the smallest id reachable over pairs of texts that share 0.8 of their five-word shingles.
 
-    A-Z are lower-cased. Texts with the same words in the same order are one text, whatever their number. Every
-    text is proposed to the smallest text with the same fingerprint, and those to each other whose fingerprints
-    are at most three bits apart, for each of six fingerprints; proposals are stars, so no group is paired out.
-    Shingles of the texts in proposals decide. Texts without words, null ones among them, are one text. A null id
-    belongs to the smallest id of its component (null if none). Repeated rows stay; other columns are not carried.
+    A-Z are lower-cased. Texts with the same words in the same order are one text, whatever their number. Texts whose
+    fingerprints are at most three bits apart, for one of six fingerprints, are candidates of each other; groups of texts that
+    candidates connect are then compared by their shingles, every text of a group with every other, and only links that
+    the shingles confirm count. Texts without words, null ones among them, are one text. A null id belongs to the smallest
+    id of its component (null if none). Repeated rows stay; other columns are not carried.
     """
     p = params
     marked = stored(
@@ -295,27 +400,23 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         side(end, name), (F.col("which") == F.col(f"_{end}_which")) & (F.col(end) == F.col(f"_{end}"))
     ).drop(f"_{end}_which", f"_{end}")
     linked = met(met(near, "a", "x"), "b", "y").select("x", "y")
-    pairs = star.union(linked).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    with_fps = lambda df, end: df.join(
-        texts.select(F.col("digest").alias(f"_{end}"), F.col("fps").alias(f"fps_{end}")), F.col(end) == F.col(f"_{end}")
-    ).drop(f"_{end}")
-    apart = F.aggregate(F.zip_with("fps_x", "fps_y", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
-    pairs = stored(with_fps(with_fps(pairs, "x"), "y").where(apart <= p.bits).select("x", "y"), "proposals")
-    # the texts that proposals name, one document each
-    named = pairs.select(F.col("x").alias("_d")).union(pairs.select("y")).distinct()
-    wanted = texts.join(named, F.col("digest") == F.col("_d")).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first"))
-    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(wanted.hint("merge"), F.col("_id") == F.col("_first"))
-    cut = found.select("_digest", _shingles(p)(F.col("_text")).alias("s")).where(F.col("_digest") == F.col("s.digest"))
-    sets = stored(cut.groupBy("_digest").agg(F.any_value("s.shingles").alias("shingles")), "shingles")
-    with_set = lambda df, end: df.join(
-        sets.select(F.col("_digest").alias(f"_{end}"), F.col("shingles").alias(f"set_{end}")), F.col(end) == F.col(f"_{end}")
-    ).drop(f"_{end}")
-    common = F.size(F.array_intersect("set_x", "set_y"))
-    similar = common >= p.similarity * (F.size("set_x") + F.size("set_y") - common)
-    groups = components(with_set(with_set(pairs, "x"), "y").where(similar).select("x", "y"), "x", "y")
-    tops = groups.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    candidates = components(star.union(linked), "x", "y")
+    tops = lambda found: found.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    # the texts of candidate groups, one document each
+    wanted = texts.join(tops(candidates), F.col("digest") == F.col("_node")).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first"), "_root")
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    shingled = lambda df: df.withColumn("s", _shingles(p)(F.col("_text")))
+    cut = shingled(own.join(wanted.where("_first is not null").hint("merge"), F.col("_id") == F.col("_first"))).where(F.col("_digest") == F.col("s.digest"))
+    cut = cut.select("_digest", "_root", "s.shingles")
+    nameless = wanted.where("_first is null").select("_digest", "_root")
+    if not nameless.isEmpty():  # texts that stand on rows without an id alone
+        bare = shingled(own.where("_id is null")).select(F.col("s.digest").alias("_d"), "s.shingles")
+        cut = cut.union(bare.join(nameless, F.col("_d") == F.col("_digest")).select("_digest", "_root", "shingles"))
+    once = cut.groupBy("_digest").agg(F.any_value("_root").alias("root"), F.any_value("shingles").alias("shingles"))
+    sets = stored(once.select(F.col("_digest").alias("digest"), "root", "shingles"), "shingles")
+    groups = components(verified_links(sets, p), "x", "y")
     placed = stored(
-        texts.join(tops, F.col("digest") == F.col("_node"), "left").select("digest", "first_id", "n", F.coalesce("_root", "digest").alias("root")),
+        texts.join(tops(groups), F.col("digest") == F.col("_node"), "left").select("digest", "first_id", "n", F.coalesce("_root", "digest").alias("root")),
         "placed"
     )
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -323,7 +424,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         smallest.select(F.col("root").alias("_r"), "component_id"), F.col("root") == F.col("_r")
     ).select("digest", "n", "component_id")
     by_text = stored(of_text, "components")
-    discard(texts, heads, pairs, sets, placed, groups)
+    discard(texts, heads, candidates, sets, placed, groups)
     return look_up(marked, by_text, "digest", "n", "doc_id").select("doc_id", "component_id")
 
 

@@ -359,8 +359,14 @@ def slices(texts, most: int = _SLICE):
         at = end
 
 
-def encoded(text: Column, tokenizer: str, end_id: int | None) -> Column:
-    """The ids of each text as little-endian unsigned 32-bit integers, with the end id; a null text is empty."""
+def width(tokenizer: str, end_id: int | None) -> str:
+    """The narrowest integers that hold the ids of a tokenizer file, and the end id."""
+    most = max(word_tokenizer(tokenizer).tokenizer.get_vocab_size(), (end_id or 0) + 1)
+    return "<u2" if most <= 1 << 16 else "<u4"
+
+
+def encoded(text: Column, tokenizer: str, end_id: int | None, kind: str = "<u4") -> Column:
+    """The ids of each text as little-endian integers of a kind, with the end id; a null text is empty."""
 
     @F.arrow_udf("binary")
     def run(texts):
@@ -370,14 +376,14 @@ def encoded(text: Column, tokenizer: str, end_id: int | None) -> Column:
         encode, out = word_tokenizer(tokenizer), []
         for part in slices(texts):
             ids, ends = encode.texts(part, end_id)
-            offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
-            out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4").tobytes())]))
+            offsets = np.concatenate([[0], np.dtype(kind).itemsize * ends]).astype(np.int32)
+            out.append(pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype(kind).tobytes())]))
         return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
     return run(text.cast("string"))
 
 
-def count_ids(coded: DataFrame, ids_col: str) -> dict[int, int]:
+def count_ids(coded: DataFrame, ids_col: str, kind: str = "<u4") -> dict[int, int]:
     """How often each id occurs; what reaches the driver is a row for each id of the vocabulary."""
 
     def run(it):
@@ -385,7 +391,7 @@ def count_ids(coded: DataFrame, ids_col: str) -> dict[int, int]:
 
         total = np.zeros(0, np.int64)
         for b in it:
-            ids = np.frombuffer(b"".join(b.column(0).drop_null().to_pylist()), "<u4")
+            ids = np.frombuffer(b"".join(b.column(0).drop_null().to_pylist()), kind)
             own = np.bincount(ids, minlength=len(total))
             own[: len(total)] += total
             total = own
@@ -404,11 +410,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
     empty table gives a folder without blocks. A document longer than a block goes on in the next one; blocks end with
     their task. Tasks hold one block besides their batch of rows.
     """
-    p = params
-    coded = docs.select(F.col(id_col).cast("long").alias("id"), encoded(F.col(text_col), tokenizer, end_id).alias("ids"))
+    p, kind = params, width(tokenizer, end_id)
+    coded = docs.select(F.col(id_col).cast("long").alias("id"), encoded(F.col(text_col), tokenizer, end_id, kind).alias("ids"))
     # the last column, fixed once written, spreads rows that repeat both id and text
     coded = stored(coded.withColumn("spread", F.monotonically_increasing_id()), "token-ids")
-    table_rows = frequencies(count_ids(coded, "ids"))
+    table_rows = frequencies(count_ids(coded, "ids", kind))
     spark = docs.sparkSession
     spark.createDataFrame(sorted(table_rows.items()), "id long, frequency long").coalesce(1).write.parquet(f"{path}/table")
     ordered = coded.withColumn("tie", F.xxhash64("ids")).repartitionByRange("id", "tie", "spread").sortWithinPartitions("id", "tie", "spread")
@@ -428,10 +434,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, id_col: str =
 
         for b in it:
             for doc, raw in zip(b.column(0), b.column(1)):
-                ids, piece = np.frombuffer(raw.as_buffer(), "<u4"), 0
+                ids, piece = np.frombuffer(raw.as_buffer(), kind).astype(np.uint32), 0
                 while True:
                     now, ids = ids[:room], ids[room:]
-                    held.append(now.copy())
+                    held.append(now)
                     pieces.append((doc.as_py() or 0, not doc.is_valid, document, piece, len(now), not len(ids)))
                     room, piece = room - len(now), piece + 1
                     if not room:
@@ -470,11 +476,11 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> D
         import pyarrow as pa
 
         for b in it:
-            heads = [read_header(x.as_buffer()[: _HEAD_SIZE].to_pybytes()) for x in b.column(0)]
+            heads = [read_header(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([h[2] for h in heads], pa.int64()), pa.array([h[5] for h in heads], pa.int64())], ["part", "n"])
 
     # one number a file, as many as tasks wrote
-    totals = {r["part"]: r["n"] for r in blocks.mapInArrow(sizes, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    totals = {r["part"]: r["n"] for r in blocks.select(F.substring("value", 1, _HEAD_SIZE)).mapInArrow(sizes, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect()}
     start, starts = 0, {}
     for part in sorted(totals):
         starts[part], start = start, start + totals[part]
