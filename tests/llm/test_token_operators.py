@@ -290,6 +290,19 @@ def test_op13_whole_table(spark):
     assert whole == {d: (len(t[0]), len(t[2])) if t else (0, 0) for d, t in want.items()}
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 4), min_size=1, max_size=20), st.lists(st.integers(1, 4), min_size=1, max_size=20))
+def test_merged_ends_against_all_pairs(a, b):
+    a, b = np.cumsum(a), np.cumsum(b)
+    total = max(a[-1], b[-1])
+    a, b = np.append(a[a < total], total), np.append(b[b < total], total)
+    m = ta.merge_ends(a, b)
+    span = lambda ends: list(zip([0, *ends[:-1].tolist()], ends.tolist()))
+    want = [(i, j) for i, (s, e) in enumerate(span(a)) for j, (u, v) in enumerate(span(b)) if max(s, u) < min(e, v)]
+    assert list(zip(m.a.tolist(), m.b.tolist())) == want
+    assert m.last_a.tolist() == [e in b for e in a] and m.last_b.tolist() == [e in a for e in b]
+
+
 SPACES = st.sampled_from([" ", "  ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000", "\x1c", "\r\n  ", ""])
 WORDS = st.sampled_from(["ÀÉß.", "Ÿx", "ÿ)", "×y", "İ", "<|endoftext|>", "a<|startoftext|>.", "(x)", "the", "don't", "x'll", "12", "é", "!", "...", "<s>", "東京", "\U0001f600", "zz9", "'", "s"])
 
@@ -298,12 +311,13 @@ WORDS = st.sampled_from(["ÀÉß.", "Ÿx", "ÿ)", "×y", "İ", "<|endoftext|>",
 @given(st.lists(st.tuples(SPACES, WORDS), max_size=12), SPACES)
 def test_units_spell_the_whole_text(parts, tail):
     text = "".join(s + w for s, w in parts) + tail
-    units, want = ta.aligner(BYTES, PIECES)(text), brute_tokens(text)
-    assert (units is None) == (want is None)
-    if units:
-        a = [i for u in units for g in u.groups.decode().split(";") for i in map(int, g.split("|")[0].split(","))]
-        b = [i for u in units for g in u.groups.decode().split(";") for i in map(int, g.split("|")[1].split(","))]
-        assert (a, b) == (want[0], want[2])
+    found, want = ta.aligner(BYTES, PIECES)([text, None, text, "and"]), brute_tokens(text)
+    assert found[1] == ta.NOTHING and found[3].n_a == 1 and found[0].groups == found[2].groups
+    if want is None:
+        assert found[0] == ta.NOTHING
+    else:
+        groups = [g.split("|") for g in found[0].groups.decode().split(";")]
+        assert [int(i) for g in groups for i in g[0].split(",")] == want[0] and [int(i) for g in groups for i in g[1].split(",")] == want[2]
 
 
 @settings(max_examples=100, deadline=None)

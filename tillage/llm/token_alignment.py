@@ -12,6 +12,9 @@ is aligned once, and texts are put together from units.
 from __future__ import annotations
 
 import functools
+import json
+import re
+from array import array
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillage.llm._common import discard, release, stored
+from tillage.llm.token_files import PLAIN, gather, joined_row, slices, strings
 
 
 @dataclass(frozen=True)
@@ -34,35 +38,34 @@ class AlignParams:
     with_groups: bool = True
 
 
-def merge_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, groups) of two ascending lists of ends with the same last one: links are pairs of places, groups the numbers of
-    tokens of both sides up to their ends."""
-    links, groups, i, j = [], [], 0, 0
-    while i < len(a) and j < len(b):
-        links.append((i, j))
-        x, y = a[i], b[j]
-        i += x <= y
-        j += y <= x
-        if x == y:
-            groups.append((i, j))
-    return links, groups
+class Merged(NamedTuple):
+    """Links as places of tokens (a, b), and whether each token of a side ends a group."""
 
+    a: np.ndarray
+    b: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
 
-class Unit(NamedTuple):
-    """An aligned stretch of text. groups: `a1,a2|b1;a3|b2,b3` in decimal ids. links: a id * 2^32 + b id, one an overlap."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    links: np.ndarray
+def merge_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> Merged:
+    """Walks along two ascending lists of ends with the same last one. Token i of side A begins where the one before
+    ends, so the first token of side B that overlaps it is the first to end behind that, and the last one the first to
+    end where it ends or later; both pointers only move on."""
+    begins = np.concatenate([[0], ends_a[:-1]])
+    first, last = np.searchsorted(ends_b, begins, "right"), np.searchsorted(ends_b, ends_a, "left")
+    count = last - first + 1
+    stops = np.cumsum(count)
+    a = np.repeat(np.arange(len(ends_a)), count)
+    b = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - count - first, count)
+    last_a = ends_b[last] == ends_a
+    last_b = np.zeros(len(ends_b), bool)
+    last_b[last[last_a]] = True
+    return Merged(a, b, last_a, last_b)
 
 
 def units_of(text: str) -> list[str]:
     """The text, with a space before it, cut before spaces that do not follow white space; units lack that space."""
     parts = text.split(" ")
-    if "" not in parts and not any(p[-1].isspace() for p in parts):
-        return parts
     out, held = [], parts[0]
     for p in parts[1:]:
         if not held or held[-1].isspace():
@@ -73,56 +76,180 @@ def units_of(text: str) -> list[str]:
     return [*out, held]
 
 
+#: Texts in which some space is no cut, or stands at an end: their units are found one by one. White space.
+_UNEVEN = "[\\s\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}] |^ | $"
+
+
+class Aligned(NamedTuple):
+    """What a text's alignment comes to. groups: `a1,a2|b1;a3|b2,b3` in decimal ids. pairs: a id * 2^32 + b id, distinct and
+    ascending, times: how often each is linked."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    groups: bytes
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+NOTHING = Aligned(0, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 class Aligner:
-    """Aligns texts unit by unit; short units are remembered, a bounded number of them."""
+    """Aligns texts; the ids of short units are remembered, a bounded number of them."""
 
-    def __init__(self, byte_level: str, pieces: str, most: int = 200_000, longest: int = 64):
+    def __init__(self, byte_level: str, pieces: str, most: int = 500_000, longest: int = 40):
+        import pyarrow as pa
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True  # their strings in a text are text
+        self.merges = self.a.model
         self.b = SentencePieceProcessor(model_file=pieces)
-        self.known: dict[str, Unit | None] = {}
+        self.known: dict[str, tuple[bytes, bytes]] = {}
         self.most, self.longest = most, longest
+        spec = json.loads(self.a.to_str())
+        split = spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        self.plain = re.compile(PLAIN).match if plain else None
         # byte-level tokens name bytes by characters: printable ones by themselves, the others by what comes after 255
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [i for i in range(256) if i not in set(plain)]
-        byte_of = {chr(i): i for i in plain} | {chr(256 + n): i for n, i in enumerate(others)}
-        self.a_bytes = [bytes(byte_of[c] for c in t) if t and all(c in byte_of for c in t) else (t or "").encode() for t in map(self.a.id_to_token, range(self.a.get_vocab_size()))]
-        piece = lambda i: self.b.id_to_piece(i)
-        self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())]
-        self.space = self.b.piece_to_id("▁")
-
-    def _unit(self, text: str, a: list[int], b: list[int]) -> Unit | None:
-        """None where one side's tokens do not spell the text."""
-        raw = b" " + text.encode()
-        parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        links, groups = merge_ends(np.cumsum([len(p) for p in parts_a]).tolist(), np.cumsum([len(p) for p in parts_b]).tolist())
-        spelled, i, j = [], 0, 0
-        for k, m in groups:
-            spelled.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}")
-            i, j = k, m
-        return Unit(len(a), len(b), len(groups), ";".join(spelled).encode(), np.array([(a[i] << 32) + b[j] for i, j in links], np.int64))
-
-    def __call__(self, text: str | None) -> list[Unit] | None:
-        """The aligned units of a text; None if it is null, empty, or not spelled by its tokens."""
-        if not text:
-            return None
-        units, known = units_of(text), self.known
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        found = {}
-        if new:
-            a = self.a.encode_batch_fast([f" {u}" for u in new], add_special_tokens=False)
-            b = self.b.encode(new, num_threads=1)  # adds the space, but not to nothing
-            found = {u: self._unit(u, x.ids, y if u else [self.space]) for u, x, y in zip(new, a, b)}
-        out = [known[u] if u in known else found[u] for u in units] if found else [known[u] for u in units]
-        if len(known) + len(found) > self.most:
-            known.clear()
-        known.update((u, x) for u, x in found.items() if len(u) <= self.longest)
-        return None if None in out else out
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [i for i in range(256) if i not in set(printable)]
+        self.names = {i: 256 + n for n, i in enumerate(others)}
+        byte_of = {chr(i): i for i in printable} | {chr(n): i for i, n in self.names.items()}
+        tokens = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        spelled_a = [bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t in tokens]
+        piece = self.b.id_to_piece
+        spelled_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.vocab_size())]
+        self.spelled = pa.array(spelled_a, pa.large_binary()), pa.array(spelled_b, pa.large_binary())
+        self.sizes = tuple(np.array([len(x) for x in s]) for s in (spelled_a, spelled_b))
+        n, m = len(spelled_a), len(spelled_b)
+        # ids in decimal with what follows them: inside a group and at the end of its side
+        shown = [f"{i}," for i in range(n)] + [f"{i}|" for i in range(n)] + [f"{i}," for i in range(m)] + [f"{i};" for i in range(m)]
+        self.shown = pa.array([x.encode() for x in shown], pa.large_binary())
+        self.space = array("I", [self.b.piece_to_id("▁")]).tobytes()
+
+    def _ids_a(self, new: list[str]) -> list[bytes]:
+        """A word of letters falls into itself and its marks; every other unit goes through the whole library."""
+        out: list[bytes | None] = []
+        name = lambda t: t if t.isascii() else t.encode().decode("latin-1").translate(self.names)
+        for u in new:
+            m = self.plain and self.plain(u)
+            if m:
+                found = [t.id for t in self.merges.tokenize("\u0120" + name(m[1]))]
+                out.append(array("I", found + [t.id for t in self.merges.tokenize(m[2])] if m[2] else found).tobytes())
+            else:
+                out.append(None)
+        rest = [f" {u}" for u, x in zip(new, out) if x is None]
+        coded = iter(self.a.encode_batch_fast(rest, add_special_tokens=False)) if rest else iter(())
+        return [array("I", next(coded).ids).tobytes() if x is None else x for x in out]
+
+    def ids(self, units: list[str]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of 32 bits of both sides for different units."""
+        known = self.known
+        found = [known.get(u) for u in units]
+        if None in found:
+            new = [u for u, x in zip(units, found) if x is None]
+            # side B adds the space itself, but not to nothing
+            b = [array("I", ids).tobytes() if u else self.space for u, ids in zip(new, self.b.encode(new, num_threads=1))]
+            spelled = dict(zip(new, zip(self._ids_a(new), b)))
+            if len(known) + len(spelled) > self.most:
+                known.clear()
+            known.update((u, x) for u, x in spelled.items() if len(u) <= self.longest)
+            found = [spelled[u] if x is None else x for u, x in zip(units, found)]
+        return [x for x, _ in found], [x for _, x in found]
+
+    def _misspelled(self, units: list[str], sides) -> np.ndarray:
+        """Whether some side's tokens do not spell a unit."""
+        raw = [b" " + u.encode() for u in units]
+        bad = np.zeros(len(units), bool)
+        for (ids, sizes), spelled, length in zip(sides, self.spelled, self.sizes):
+            joined = self._bytes(spelled, ids)
+            ends = np.concatenate([[0], np.cumsum(length[ids])])[np.cumsum(sizes)]
+            if joined != b"".join(raw) or (np.cumsum([len(r) for r in raw]) != ends).any():
+                begins = np.concatenate([[0], ends[:-1]])
+                bad |= np.array([joined[i:j] != r for i, j, r in zip(begins.tolist(), ends.tolist(), raw)], bool)
+        return bad
+
+    @staticmethod
+    def _bytes(table, at: np.ndarray) -> bytes:
+        return _data(table.take(_arrow(at)))[0]
+
+    def _together(self, lists, out: list[Aligned], rows: np.ndarray) -> None:
+        """Aligns texts given as an Arrow array of lists of units, and puts them into out at rows."""
+        coded = lists.flatten().dictionary_encode()
+        units = strings(coded.dictionary)
+        sides = [joined_row(x) for x in self.ids(units)]
+        at, offsets = coded.indices.to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        bad = self._misspelled(units, sides)
+        if bad.any():
+            before = np.concatenate([[0], np.cumsum(bad[at])])
+            good = before[offsets[1:]] == before[offsets[:-1]]
+            if good.any():
+                self._together(lists.filter(_arrow(good)), out, rows[good])
+            return
+        (a, ends_a), (b, ends_b) = (gather(ids, sizes, at) for ids, sizes in sides)
+        of = lambda ends: np.concatenate([[0], ends])[offsets]  # noqa: E731  a text's first and last token
+        cut_a, cut_b = of(ends_a), of(ends_b)
+        m = merge_ends(np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b]))
+        groups = np.concatenate([[0], np.cumsum(m.last_a)])
+        # ids in the order in which groups are written: a token stands behind all tokens of earlier groups, and those of side B
+        # behind their group's of side A
+        stop_a, stop_b = np.flatnonzero(m.last_a) + 1, np.flatnonzero(m.last_b) + 1
+        place_a = np.arange(len(a)) + np.concatenate([[0], stop_b])[groups[:-1]]
+        place_b = np.arange(len(b)) + stop_a[np.cumsum(m.last_b) - m.last_b]
+        n, k = len(self.sizes[0]), len(self.sizes[1])
+        written = np.zeros(len(a) + len(b), np.int64)
+        written[place_a] = a + n * m.last_a
+        written[place_b] = 2 * n + b + k * m.last_b
+        text, marks = _data(self.shown.take(_arrow(written)))
+        marks = marks[cut_a + cut_b]
+        # distinct pairs of each text
+        doc = np.repeat(np.arange(len(rows)), np.diff(cut_a))[m.a]
+        keys, times = np.unique((doc * n + a[m.a]) * k + b[m.b], return_counts=True)
+        cuts = np.searchsorted(keys, np.arange(len(rows) + 1) * (n * k))
+        pairs = ((keys // k % n) << 32) + keys % k
+        linked = np.searchsorted(m.a, cut_a)
+        for i, row in enumerate(rows.tolist()):
+            own = slice(cuts[i], cuts[i + 1])
+            out[row] = Aligned(
+                int(cut_a[i + 1] - cut_a[i]), int(cut_b[i + 1] - cut_b[i]), int(groups[cut_a[i + 1]] - groups[cut_a[i]]), int(linked[i + 1] - linked[i]),
+                text[marks[i] : marks[i + 1] - 1], pairs[own], times[own]
+            )
+
+    def __call__(self, texts: list[str | None]) -> list[Aligned]:
+        """Null and empty texts, and those that some side's tokens do not spell, have no tokens."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column, out, at = pa.array(texts, pa.string()), [NOTHING] * len(texts), 0
+        for part in slices(column):
+            rows = np.arange(at, at + len(part))
+            full = pc.fill_null(pc.greater(pc.binary_length(part), 0), False)
+            uneven = pc.fill_null(pc.match_substring_regex(part, _UNEVEN), False)
+            even, odd = (pc.and_(full, x).to_numpy(zero_copy_only=False) for x in (pc.invert(uneven), uneven))
+            if even.any():
+                self._together(pc.split_pattern(part.filter(_arrow(even)), " "), out, rows[even])
+            if odd.any():
+                self._together(pa.array([units_of(t) for t in part.filter(_arrow(odd)).to_pylist()], pa.list_(pa.string())), out, rows[odd])
+            at += len(part)
+        return out
+
+
+def _arrow(values: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(values)
+
+
+def _data(column) -> tuple[bytes, np.ndarray]:
+    """All bytes of a new Arrow array of byte strings in a row, and where each begins and the last ends."""
+    if not len(column):
+        return b"", np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+    return column.buffers()[2].to_pybytes()[: offsets[-1]], offsets
 
 
 @functools.lru_cache(maxsize=1)
@@ -144,18 +271,14 @@ def aligned(docs: DataFrame, id_col: str, text_col: str, p: AlignParams) -> Data
         release()
         align = aligner(p.byte_level, p.pieces)
         for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc"], frame["text"]):
-                units = align(text)
-                if units is None:
-                    rows.append((doc, 0, 0, 0, 0, "" if p.with_groups else None, "", [], []))
-                    continue
-                n_a, n_b, n_groups, groups, links = zip(*units)
-                spelled, links = b";".join(groups), np.concatenate(links)
-                pairs, times = np.unique(links, return_counts=True)
-                shown = spelled.decode() if p.with_groups else None
-                rows.append((doc, sum(n_a), sum(n_b), sum(n_groups), len(links), shown, sha256(spelled).hexdigest(), pairs, times))
-            yield pd.DataFrame(rows, columns=["doc", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "pairs", "times"])
+            for i in range(0, len(frame), 2000):
+                part = frame.iloc[i : i + 2000]
+                found = align(part["text"].tolist())
+                rows = [
+                    (doc, *x[:4], x.groups.decode() if p.with_groups else None, sha256(x.groups).hexdigest() if x.n_a else "", x.pairs, x.times)
+                    for doc, x in zip(part["doc"], found)
+                ]
+                yield pd.DataFrame(rows, columns=["doc", "n_a", "n_b", "n_groups", "n_links", "groups", "groups_sha256", "pairs", "times"])
 
     # ids pass as strings: pandas would turn longs beside nulls into doubles
     return docs.select(F.col(id_col).cast("string").alias("doc"), F.col(text_col).alias("text")).mapInPandas(run, _ALIGNED)
@@ -196,8 +319,8 @@ def align_tokens(docs: DataFrame, params: AlignParams, id_col: str = "doc_id", t
     )
     rest = near.where("_pair is null").select("row", "pair", "times").join(side.where(~often), F.col("pair") == F.col("_pair"))
     names = ["n_best_a", "n_best_b", "count_sum"]
-    both = sums(near.where("_pair is not null")).union(sums(rest)).groupBy(F.col("row").alias("_row")).agg(*[F.sum(n).alias(n) for n in names])
-    out = found.join(both, F.col("row") == F.col("_row"), "left").select(
+    both = sums(near.where("_pair is not null")).union(sums(rest)).groupBy(F.col("row").alias("_of")).agg(*[F.sum(n).alias(n) for n in names])
+    out = found.join(both, F.col("row") == F.col("_of"), "left").select(
         F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), "n_a", "n_b", "n_groups", "n_links", *[F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names],
         "groups", "groups_sha256"
     )

@@ -240,7 +240,7 @@ def joined_crc(first: int, second: int, size: int) -> int:
 _KNOWN_NORMALIZER = [("NFC", None), ("Replace", "\\s+"), ("Lowercase", None)]
 _KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Letters that composition leaves alone and that have one lower-case form, then punctuation without an apostrophe.
-_PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+PLAIN = "^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 
 
 class WordTokenizer:
@@ -263,7 +263,7 @@ class WordTokenizer:
         known = steps == _KNOWN_NORMALIZER and splits == [("Split", _KNOWN_SPLIT), ("ByteLevel", None)]
         # an added token with punctuation before letters cannot stand in a plain word
         apart = all(re.search("[^A-Za-z].*[A-Za-z]", t["content"]) for t in spec["added_tokens"])
-        self.plain = _PLAIN if known and apart else None
+        self.plain = PLAIN if known and apart else None
         # byte-level tokens name bytes by characters; those of letters' bytes are printable, or 128 to 160 and 173
         others = [*range(33), *range(127, 161), 173]
         self.names = {b: 256 + n for n, b in enumerate(others)}
@@ -291,19 +291,19 @@ class WordTokenizer:
         import pyarrow.compute as pc
 
         if not self.plain:
-            return _row(self._spelled(self.words, self._word, _strings(words)))
+            return joined_row(self._spelled(self.words, self._word, strings(words)))
         cut = pc.extract_regex(words, self.plain)
         whole = pc.is_null(cut)
         letters = pc.fill_null(pc.utf8_lower(pc.struct_field(cut, "letters")), "").dictionary_encode()
         marks = pc.fill_null(pc.struct_field(cut, "marks"), "").dictionary_encode()
-        others = _strings(words.filter(whole))
-        spelled = [self._spelled(self.parts, self._part, _strings(x.dictionary)) for x in (letters, marks)]
-        ids, sizes = _row([*spelled[0], *spelled[1], *self._spelled(self.words, self._word, others)])
+        others = strings(words.filter(whole))
+        spelled = [self._spelled(self.parts, self._part, strings(x.dictionary)) for x in (letters, marks)]
+        ids, sizes = joined_row([*spelled[0], *spelled[1], *self._spelled(self.words, self._word, others)])
         # a plain word is two entries of that row, another one its own entry and an empty one
         n, m = len(spelled[0]), len(spelled[1])
         two = np.stack([letters.indices.to_numpy(), marks.indices.to_numpy() + n], 1).astype(np.int64)
         two[whole.to_numpy(zero_copy_only=False), 0] = n + m + np.arange(len(others))
-        out, ends = _gather(ids, sizes, two.reshape(-1))
+        out, ends = gather(ids, sizes, two.reshape(-1))
         return out, np.diff(ends[1::2], prepend=0)
 
     def texts(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -312,22 +312,22 @@ class WordTokenizer:
 
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        out, ends = _gather(*self._vocabulary(coded.dictionary), coded.indices.to_numpy())
+        out, ends = gather(*self._vocabulary(coded.dictionary), coded.indices.to_numpy())
         of_text = np.concatenate([[0], ends])[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()]
         if end_id is None:
             return out, of_text
         return np.insert(out, of_text, end_id), of_text + np.arange(1, len(of_text) + 1)
 
 
-def _strings(column) -> list[str]:
+def strings(column) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()  # faster than to_pylist
 
 
-def _row(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def joined_row(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
-def _gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def gather(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the entries `at` of a row of entries, one after the other, where each of them ends)."""
     if not len(at):
         return np.zeros(0, np.uint32), np.zeros(0, np.int64)
