@@ -80,6 +80,10 @@ def units_of(text: str) -> list[str]:
 _UNEVEN = "[\\s\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}] |^ | $"
 
 
+#: Bytes of text that a task aligns together; a longer text goes alone.
+_SLICE = 2 << 20
+
+
 class Aligned(NamedTuple):
     """What a text's alignment comes to. groups: `a1,a2|b1;a3|b2,b3` in decimal ids. pairs: a id * 2^32 + b id, distinct and
     ascending, times: how often each is linked."""
@@ -99,7 +103,7 @@ NOTHING = Aligned(0, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
 class Aligner:
     """Aligns texts; the ids of short units are remembered, a bounded number of them."""
 
-    def __init__(self, byte_level: str, pieces: str, most: int = 500_000, longest: int = 40):
+    def __init__(self, byte_level: str, pieces: str, most: int = 300_000, longest: int = 40):
         import pyarrow as pa
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -225,7 +229,7 @@ class Aligner:
         import pyarrow.compute as pc
 
         column, out, at = pa.array(texts, pa.string()), [NOTHING] * len(texts), 0
-        for part in slices(column):
+        for part in slices(column, _SLICE):
             rows = np.arange(at, at + len(part))
             full = pc.fill_null(pc.greater(pc.binary_length(part), 0), False)
             uneven = pc.fill_null(pc.match_substring_regex(part, _UNEVEN), False)
@@ -268,11 +272,11 @@ def aligned(docs: DataFrame, id_col: str, text_col: str, p: AlignParams) -> Data
         import pandas as pd
         from hashlib import sha256
 
-        release()
         align = aligner(p.byte_level, p.pieces)
         for frame in frames:
-            for i in range(0, len(frame), 2000):
-                part = frame.iloc[i : i + 2000]
+            release()
+            for i in range(0, len(frame), 1000):
+                part = frame.iloc[i : i + 1000]
                 found = align(part["text"].tolist())
                 rows = [
                     (doc, *x[:4], x.groups.decode() if p.with_groups else None, sha256(x.groups).hexdigest() if x.n_a else "", x.pairs, x.times)
