@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions.stemming import stem
 from tillage.functions.text import stripped, tokens
+from tillage.session import kept
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -32,34 +33,62 @@ def bm25(
     """(query_id, id, score, rank): the best k documents of each query with a positive score.
 
     Repeated query words count as often as they occur; n, df and avgdl are those of all documents even
-    where `keep` (a condition on docs) filters what may be returned. Two readings of docs: one for the
-    figures of the terms, one for the scores; only tokens that some query holds leave the scan's stage.
+    where `keep` (a condition on docs) filters what may be returned. One reading of docs: the words that some query
+    holds are counted by document and stored, and both the terms' figures and the scores come from that table.
     queries is a list given by the caller, so what is collected and broadcast, a row a term, is bounded.
     """
     asked = docs.sparkSession.createDataFrame(queries, "query_id long, query string").select("query_id", F.explode(tokens(F.col("query"))).alias("term"))
-    return _scored(docs, asked, lambda t: t, tokens(F.col(text_col)), id_col, k, k1, b, keep)
+    return _scored(docs, asked, tokens(F.col(text_col)), id_col, k, k1, b, keep)
 
 
-def _scored(docs: DataFrame, asked: DataFrame, term_of, words: Column, id_col: str, k: int, k1: float = 1.5, b: float = 0.75, keep=None) -> DataFrame:
-    """bm25 for asked (query_id, term); term_of gives the term of a token column, null for tokens of no interest."""
+#: Word forms up to this number are broadcast, more of them meet the texts' words in a shuffle join.
+BROADCAST_FORMS = 100_000
+
+
+def idf(n: int, df: int) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf, dl, average: float, k1: float, b: float):
+    """The part of a term's weight that a document gets: grows with tf, falls with the length dl."""
+    norm = (1 - b) + dl * (b / average) if average else F.lit(1.0)
+    return tf * (k1 + 1) / (tf + norm * k1)
+
+
+def _scored(
+    docs: DataFrame, asked: DataFrame, words: Column, id_col: str, k: int, k1: float = 1.5, b: float = 0.75, keep=None, forms: DataFrame | None = None
+) -> DataFrame:
+    """bm25 for asked (query_id, term). forms (word, term) says which words of the texts count as which term; without it
+    words are terms."""
     spark = docs.sparkSession
     times = asked.groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()  # the caller's few queries
     terms = sorted({r["term"] for r in times})
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    sized = docs.withColumns({"_words": words, "_keep": F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))})
-    found = F.filter(F.transform("_words", term_of), lambda t: t.isNotNull() & F.array_contains(wanted, t))
-    sized = sized.select(id_col, "_keep", F.size("_words").alias("_dl"), found.alias("_found"))
-    # every document counts once under the empty term, which is no word: its row gives n and avgdl
-    once = sized.select("_dl", F.explode(F.array_append(F.array_distinct("_found"), F.lit(""))).alias("term"))
-    figures = {r["term"]: (r["n"], r["dl"]) for r in once.groupBy("term").agg(F.count("*").alias("n"), F.avg("_dl").alias("dl")).collect()}
-    n, average = figures.get("", (0, 0.0))
-    weight = {t: math.log(1 + (n - df + 0.5) / (df + 0.5)) for t in terms for df in [figures.get(t, (0, 0.0))[0]]}
+    own = [(t, t) for t in terms] if forms is None else []
+    # every document counts once under the empty term, which is no word: its rows give n and avgdl
+    looked = spark.createDataFrame([("", ""), *own], "word string, term string")
+    bounded = forms is None
+    if forms is not None:
+        forms = kept(forms.select("word", "term"))
+        bounded = forms.count() <= BROADCAST_FORMS
+        looked = looked.union(forms)
+    allowed = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    sized = docs.select(F.col(id_col), allowed.alias("_keep"), words.alias("_words"))
+    each = sized.select(id_col, "_keep", F.size("_words").alias("_dl"), F.explode(F.array_append("_words", F.lit(""))).alias("word"))
+    held = each.join(F.broadcast(looked) if bounded else looked, "word").groupBy(id_col, "_keep", "_dl", "term").agg(F.count("*").alias("tf"))
+    held = kept(held)
+    sums = held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("_dl")).alias("dl"))
+    figures = {r["term"]: r for r in sums.collect()}  # a row a term
+    n = figures[""]["n"] if "" in figures else 0
+    average = figures[""]["dl"] / n if n else 0.0
+    weight = {t: idf(n, figures[t]["df"] if t in figures else 0) for t in terms}
     weights = spark.createDataFrame([(r["query_id"], r["term"], r["times"] * weight[r["term"]]) for r in times], "query_id long, term string, weight double")
-    one = F.transform(F.array_distinct("_found"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_found", lambda x: x == t)).alias("tf")))
-    tf = sized.where("_keep").select(id_col, "_dl", F.explode(one).alias("t")).select(id_col, "_dl", "t.term", "t.tf")
-    norm = (1 - b) + F.col("_dl") * (b / average) if average else F.lit(1.0)
-    part = F.col("weight") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm * k1)
-    scored = tf.join(F.broadcast(weights), "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"))
+    part = F.col("weight") * saturation(F.col("tf"), F.col("_dl"), average, k1, b)
+    scored = held.where(F.col("_keep") & (F.col("term") != "")).join(F.broadcast(weights), "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 9).alias("score"))
+    return best(scored, id_col, k)
+
+
+def best(scored: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The k rows of each query with the highest positive score, ranked; ties by id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
@@ -77,8 +106,7 @@ def analysed_search(
 
     The vocabulary is stemmed, not the texts. Labels (an array column) are searched as if they were words of
     the text. With stop and least, words of the list and shorter ones are left out on both sides. Queries are
-    read leniently: whatever is no word is ignored. The word forms that share a stem with a query are what is
-    collected: their number is bounded by the language, not by the documents.
+    read leniently: whatever is no word is ignored. Word forms stay a table that the texts' words are joined with.
     """
     spark = docs.sparkSession
     usable = lambda w: (F.length(w) >= least) & ~w.isin(*stop) if stop else F.length(w) >= least
@@ -86,11 +114,9 @@ def analysed_search(
     words = F.filter(tokens(body), usable)
     asked = spark.createDataFrame(queries, "query_id long, query string").select("query_id", F.explode(F.filter(tokens(F.col("query")), usable)).alias("word"))
     asked = asked.select("query_id", stem(F.col("word")).alias("term"))
-    wanted = [r["term"] for r in asked.select("term").distinct().collect()]
-    vocabulary = docs.select(F.explode(words).alias("word")).distinct().withColumn("stem", stem(F.col("word")))
-    forms = {r["word"]: r["stem"] for r in vocabulary.where(F.col("stem").isin(*wanted)).collect()} if wanted else {}
-    table = F.create_map(*[F.lit(x) for kv in sorted(forms.items()) for x in kv]) if forms else F.lit(None).cast("map<string,string>")
-    return _scored(docs, asked, lambda w: F.try_element_at(table, w), words, id_col, k)
+    vocabulary = docs.select(F.explode(words).alias("word")).distinct().withColumn("term", stem(F.col("word")))
+    forms = vocabulary.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")  # the caller's few queries
+    return _scored(docs, asked, words, id_col, k, forms=forms)
 
 
 def indexable(docs: DataFrame, text_col: str, order: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillage.functions.text import RANK_STOPWORDS, fold, keywords, tokens
 from tillage.functions.vectors import hashed_embedding, norm
-from tillage.operators import evaluation, lexical, ranking
+from tillage.operators import evaluation, lexical, lexindex, ranking
 from tillage.operators.assistant import named_crop
 from tillage.operators.dense import top_vectors, top_vectors_of_set
 from tillage.operators.entities import coverage, crop_hints
@@ -486,3 +486,56 @@ def planted(items: DataFrame, docs: DataFrame, block_bytes: int = 4 << 20) -> Da
         F.coalesce(F.sum("n_docs"), F.lit(0)).cast("long").alias("n_docs"), F.min("first_doc").alias("first_doc"),
         (F.coalesce(F.sum("n_docs"), F.lit(0)) > 0).alias("found")
     )
+
+
+#: Queries of the stored index, and what happens to it after it is built: some ids go, some get another text.
+_EXTRA = " the die les"
+_LIVE = f"""live AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN coalesce(text, '') || '{_EXTRA}' ELSE text END AS text FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 <> 2)"""
+
+
+def _updated_index(spark, sf_dir) -> str:
+    """An index of all documents, then without every seventh and with a new text for every fifth."""
+    docs, at = _docs(spark, sf_dir), f"{scratch(spark)}/index"
+    lexindex.build_index(docs, at)
+    fresh = docs.where("doc_id % 5 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(_EXTRA)))
+    lexindex.update_index(spark, at, fresh, docs.where("doc_id % 7 = 2"))
+    return at
+
+
+@REGISTRY.add("indexed_search", f"WITH {_LIVE}, {S.bm25(QUERIES, 20).replace('FROM documents', 'FROM live')} SELECT query_id, doc_id, score, rank FROM lex")
+def indexed_search(spark, sf_dir):
+    """bm25_topk from the stored index, after an update."""
+    return lexindex.search_index(spark, _updated_index(spark, sf_dir), QUERIES, k=20)
+
+
+_PHRASED = [
+    lexindex.TextQuery(1, words="the", phrases=["of the"]), lexindex.TextQuery(2, words="der", must="und die", without="nicht"),
+    lexindex.TextQuery(3, words="les des", phrases=["dans les", "de la"]), lexindex.TextQuery(4, must="para", phrases=["de los"], without="que"), lexindex.TextQuery(5, words="attention stupid"),
+]
+
+
+def _phrase_sql(queries: list) -> str:
+    """Words by plain counts, phrases by comparing lists at every place."""
+    q = [(t.query_id, kind, i, text) for t in queries for kind, texts in (("words", [t.words]), ("must", [t.must]), ("without", [t.without]), ("phrase", t.phrases)) for i, text in enumerate(texts) if text]
+    return f"""WITH q AS (SELECT * FROM (VALUES {S.values(q)}) t(query_id, kind, number, query)),
+qt AS (SELECT query_id, kind, number, {S.tokens('query')} AS ts FROM q), w AS (SELECT query_id, kind, number, unnest(ts) AS term FROM qt),
+d AS (SELECT doc_id, {S.tokens('text')} AS toks FROM documents), st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM d),
+tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM d) WHERE term IN (SELECT term FROM w) GROUP BY ALL),
+idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, st GROUP BY term, n),
+single AS (SELECT query_id, doc_id, kind, term AS item, sum(idf) AS weight, any_value(tf) AS tf, any_value(dl) AS dl FROM w JOIN tf USING (term) JOIN idf USING (term) WHERE kind <> 'phrase' GROUP BY ALL),
+pl AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM d),
+ph AS (SELECT query_id, doc_id, 'phrase' AS kind, number, ts, count(*) AS tf, len(any_value(toks)) AS dl FROM pl JOIN qt ON kind = 'phrase' AND toks[i] = ts[1] AND toks[i : i + len(ts) - 1] = ts GROUP BY query_id, doc_id, number, ts),
+pw AS (SELECT query_id, doc_id, kind, CAST(number AS VARCHAR) AS item, (SELECT sum(idf) FROM w JOIN idf USING (term) WHERE w.query_id = ph.query_id AND w.kind = 'phrase' AND w.number = ph.number) AS weight, tf, dl FROM ph),
+a AS (SELECT * FROM single UNION ALL SELECT * FROM pw),
+s AS (SELECT query_id, doc_id, round(sum(CASE WHEN kind = 'without' THEN 0 ELSE weight * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) END), 9) AS score,
+      count(*) FILTER (kind = 'must') AS m, count(*) FILTER (kind = 'phrase') AS p, count(*) FILTER (kind = 'without') AS x FROM a, st GROUP BY query_id, doc_id),
+need AS (SELECT query_id, count(DISTINCT term) FILTER (kind = 'must') AS nm, count(DISTINCT number) FILTER (kind = 'phrase') AS np FROM w GROUP BY query_id)
+SELECT query_id, doc_id, score, rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN need USING (query_id) WHERE m = nm AND p = np AND x = 0 AND score > 0) WHERE rank <= 20"""
+
+
+@REGISTRY.add("phrase_search", _phrase_sql(_PHRASED))
+def phrase_search(spark, sf_dir):
+    """Words in a row, required and excluded words, from the positions of the stored index."""
+    at = f"{scratch(spark)}/index"
+    lexindex.build_index(_docs(spark, sf_dir), at)
+    return lexindex.search_phrases(spark, at, _PHRASED, k=20)

@@ -42,6 +42,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written once to a new folder of scratch space and read again, for what several jobs go on from."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def put(spark: SparkSession, path: str, content: bytes) -> None:
     """A small file written by the driver to any store that Spark knows."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
