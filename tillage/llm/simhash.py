@@ -366,7 +366,8 @@ def verified_links(sets: DataFrame, p: SimilarParams) -> DataFrame:
             "root", F.pmod(F.xxhash64("digest", F.lit(1)), F.col("others")).alias("j"), *rows[:2], yes.alias("row"), no.alias("column"), every("blocks").alias("i")
         )
         whole = again.select("root", every("others").alias("j"), *rows[:2], no.alias("row"), yes.alias("column"), "i")
-        second = stored(compare(outside.unionByName(whole), "root", "i", "j"), "second-links")
+        # a text outside stands on both sides
+        second = stored(compare(outside.unionByName(whole), "root", "i", "j").where("x <> y"), "second-links")
         first = first.union(second)
     out = stored(found.union(first), "links")
     discard(large, members, tops, open_)
