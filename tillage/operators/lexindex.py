@@ -71,7 +71,11 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.parts = spark.read.parquet(f"{path}/meta").first()["parts"]
-        self.postings = spark.read.parquet(f"{path}/postings")
+        kind = spark.read.parquet(f"{path}/gone").schema["id"].dataType.simpleString()
+        # a segment without words has no files to take the schema from
+        self.postings = spark.read.schema(
+            f"chunk long, term string, docs array<struct<id: {kind}, dl: int, places: array<int>>>, n long, max_tf int, min_dl int, seg int, part int"
+        ).parquet(f"{path}/postings")
         # what an id is gone from counts up to its latest removal
         gone = spark.read.parquet(f"{path}/gone").where("upto >= 0")
         self.gone = None if gone.isEmpty() else gone.groupBy(F.col("id").alias("_id")).agg(F.max("upto").alias("_upto"))

@@ -25,11 +25,63 @@ def available_water(clay: Column, sand: Column, om: Column, density: Column, dep
     return (field_capacity(clay, sand, om) - wilting_point(clay, sand, om)) * density * depth / 10
 
 
+#: Parts that a pass cuts a range of values into.
+_BINS = 1024
+
+
+def order_statistics(df: DataFrame, ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """The values at ranks (from 0) of the finite numbers of columns, exactly.
+
+    Each pass counts the values in parts of the range that holds the rank, and goes on with the one part where it lies, from
+    the least to the largest value there, until these are the same. Tasks hold and return the counts of the parts alone, however many
+    different values there are; a double is found in a few passes.
+    """
+    columns = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in ranks}
+    ends = df.agg(*[f(v).alias(f"{c}|{n}") for c, v in columns.items() for n, f in (("low", F.min), ("high", F.max))]).first()
+    todo = [[c, r, ends[f"{c}|low"], ends[f"{c}|high"], 0] for c, rs in ranks.items() for r in sorted(set(rs)) if ends[f"{c}|low"] is not None]
+    found: dict[tuple[str, int], float] = {}
+    while todo:
+        found |= {(c, r): low for c, r, low, high, _ in todo if low == high}
+        todo = [t for t in todo if t[2] != t[3]]
+        if not todo:
+            break
+        # halves keep differences of large numbers finite
+        bins = [F.least(F.lit(_BINS - 1), F.floor((columns[c] / 2 - low / 2) / (high / 2 - low / 2) * _BINS)).cast("int") for c, _, low, high, _ in todo]
+        inside = [F.when(columns[c].between(low, high), F.struct(F.lit(i).alias("t"), b.alias("bin"), columns[c].alias("v"))) for i, ((c, _, low, high, _), b) in enumerate(zip(todo, bins))]
+        each = df.select(F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("x")).select("x.*")
+        parts: dict[int, list] = {}
+        for row in each.groupBy("t", "bin").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect():  # 1,024 rows a rank
+            parts.setdefault(row["t"], []).append(row)
+        for i, t in enumerate(todo):
+            for row in sorted(parts[i], key=lambda x: x["bin"]):
+                if t[4] + row["n"] > t[1]:
+                    t[2], t[3] = row["low"], row["high"]
+                    break
+                t[4] += row["n"]
+    return found
+
+
+def quantiles(df: DataFrame, asked: dict[str, list[float]]) -> dict[tuple[str, float], float | None]:
+    """Exact quantiles of columns, between neighbouring values by interpolation; null for a column without finite numbers."""
+    finite = lambda c: F.count(F.when(F.abs(F.col(c).cast("double")) < float("inf"), 1)).alias(c)
+    counts = df.agg(*[finite(c) for c in asked]).first()
+    at = {(c, p): p * (counts[c] - 1) for c, ps in asked.items() if counts[c] for p in ps}
+    ranks: dict[str, list[int]] = {}
+    for (c, _), x in at.items():
+        ranks.setdefault(c, []).extend((math.floor(x), math.ceil(x)))
+    values = order_statistics(df, ranks) if ranks else {}
+
+    def between(c: str, x: float) -> float:
+        low, high = math.floor(x), math.ceil(x)
+        return values[c, low] if low == high else (high - x) * values[c, low] + (x - low) * values[c, high]
+
+    return {(c, p): between(c, at[c, p]) if (c, p) in at else None for c, ps in asked.items() for p in ps}
+
+
 def coded(df: DataFrame, factors: list[str]) -> DataFrame:
-    """Each factor as -1 below its median, else +1, in a column `<factor>_c`; the medians are one broadcast row."""
-    medians = df.agg(*[F.percentile(f, 0.5).alias(f"_m_{f}") for f in factors])
-    joined = df.crossJoin(F.broadcast(medians))
-    return joined.select(*df.columns, *[F.when(F.col(f) < F.col(f"_m_{f}"), -1).otherwise(1).alias(f"{f}_c") for f in factors])
+    """Each factor as -1 below its median, else +1, in a column `<factor>_c`."""
+    medians = quantiles(df, {f: [0.5] for f in factors})
+    return df.select(*df.columns, *[F.when(F.col(f) < F.lit(medians[f, 0.5]), -1).otherwise(1).alias(f"{f}_c") for f in factors])
 
 
 def main_effects(df: DataFrame, factors: list[str], y: str) -> DataFrame:
@@ -104,10 +156,51 @@ def least_squares(df: DataFrame, factors: list[str], y: str) -> tuple[np.ndarray
 
 
 def durbin_watson(df: DataFrame, residual: str, by: str, order: list[str]) -> DataFrame:
-    """(by, dw) of residuals in order within each key."""
-    w = Window.partitionBy(by).orderBy(*order)
-    d = df.withColumn("_d", F.col(residual) - F.lag(residual).over(w))
-    return d.groupBy(by).agg((F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col(residual) * F.col(residual))).alias("dw"))
+    """(by, dw) of residuals in order within each key.
+
+    Rows are dealt to tasks by ranges of (key, order), so a key with most of the rows is spread. A task returns, for each of
+    its keys, the sums of its piece and the piece's first and last residual; the step from a piece to the next one is added where
+    the pieces meet. A null residual is no value: it has no square and no difference.
+    """
+    kind = df.schema[by].dataType.simpleString()
+
+    def pieces(it):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows: list[list] = []  # key, squared differences, squares, first, last
+        for b in it:
+            if not len(b.column(0)):
+                continue
+            keys = b.column(0).dictionary_encode()
+            codes = keys.indices.fill_null(-1).to_numpy()
+            x = b.column(1).to_numpy(zero_copy_only=False).astype(float)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(x)]
+            for i, j in zip(cuts, cuts[1:]):
+                key = keys.dictionary[int(codes[i])].as_py() if codes[i] >= 0 else None
+                steps, squares = np.nansum(np.diff(x[i:j]) ** 2), np.nansum(x[i:j] ** 2)
+                if rows and rows[-1][0] == key:
+                    edge = (x[i] - rows[-1][4]) ** 2
+                    rows[-1][1:] = [rows[-1][1] + steps + (0.0 if np.isnan(edge) else edge), rows[-1][2] + squares, rows[-1][3], x[j - 1]]
+                else:
+                    rows.append([key, steps, squares, x[i], x[j - 1]])
+        if rows:
+            columns = list(zip(*rows))
+            own = pa.array([TaskContext.get().partitionId()] * len(rows), pa.int64())
+            ends = [pa.array(np.array(c), from_pandas=True) for c in columns[3:]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), own, pa.array(columns[1]), pa.array(columns[2]), *ends], ["key", "piece", "steps", "squares", "first", "last"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    key_type = to_arrow_type(df.schema[by].dataType)
+    slim = df.select(F.col(by).alias("key"), F.col(residual).cast("double").alias("x"), *[F.col(o).alias(f"o{i}") for i, o in enumerate(order)])
+    sort = ["key", *[f"o{i}" for i in range(len(order))]]
+    dealt = slim.repartitionByRange(*sort).sortWithinPartitions(*sort).select("key", "x")
+    found = dealt.mapInArrow(pieces, f"key {kind}, piece long, steps double, squares double, first double, last double")
+    # a row for each task that holds a part of the key
+    step = F.col("first") - F.lag("last").over(Window.partitionBy("key").orderBy("piece"))
+    joined = found.withColumn("edge", step * step).groupBy("key").agg(F.sum(F.col("steps") + F.coalesce("edge", F.lit(0.0))).alias("d"), F.sum("squares").alias("s"))
+    return joined.select(F.col("key").alias(by), F.when(F.col("s") > 0, F.col("d") / F.col("s")).alias("dw"))
 
 
 def levene(df: DataFrame, group: str, y: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tillage.functions.text import RANK_STOPWORDS, fold, keywords, tokens
 from tillage.functions.vectors import hashed_embedding, norm
 from tillage.operators import evaluation, lexical, lexindex, ranking
 from tillage.operators.assistant import named_crop
-from tillage.operators.dense import top_vectors, top_vectors_of_set
+from tillage.operators.dense import probes_for, search_lists, top_vectors, top_vectors_of_set, write_lists
 from tillage.operators.entities import coverage, crop_hints
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
@@ -539,3 +539,23 @@ def phrase_search(spark, sf_dir):
     at = f"{scratch(spark)}/index"
     lexindex.build_index(_docs(spark, sf_dir), at)
     return lexindex.search_phrases(spark, at, _PHRASED, k=20)
+
+
+def _listed(spark, sf_dir, recall: float) -> DataFrame:
+    vectors, at = table(spark, sf_dir, "embeddings"), f"{scratch(spark)}/lists"
+    centres = write_lists(vectors, at)
+    probes = probes_for(spark, at, centres, recall) if recall < 1 else 1.0
+    found = search_lists(spark, at, centres, _every_fiftieth(spark, sf_dir), probes=probes)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@REGISTRY.add("ann_cosine_topk")
+def ann_cosine_topk(spark, sf_dir):
+    """Approximate: as many inverted lists as calibration asks for; the tests hold its recall against dense_cosine_topk."""
+    return _listed(spark, sf_dir, 0.95)
+
+
+@REGISTRY.add("ann_all_lists", f"WITH {_VQ}, {S.dense('vq')} SELECT query_id, doc_id AS vec_id, round(score, 6) AS score, rank FROM den")
+def ann_all_lists(spark, sf_dir):
+    """All inverted lists: every row is in one of them, so the result is exact."""
+    return _listed(spark, sf_dir, 1.0)

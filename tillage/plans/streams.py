@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillage.plans.catalogue import REGISTRY
+from tillage.streaming import stateful as K
 from tillage.streaming import telemetry as Z
 
 add = REGISTRY.add
@@ -54,14 +55,32 @@ def stream_sessions(spark, sf_dir):
     "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) AS value, count(*) AS seen FROM events GROUP BY user_id"
 )
 def stream_latest_state(spark, sf_dir):
-    found = Z.drained(Z.latest_state(_events(spark, sf_dir)), "update")
+    found = Z.drained(K.latest_state(_events(spark, sf_dir)), "update")
     return found.groupBy("user_id").agg(F.max_by("event_id", "seen").alias("event_id"), F.max_by("value", "seen").alias("value"), F.max("seen").alias("seen"))
 
 
-@add("stream_breaker")
+@add(
+    "stream_breaker",
+    """WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_ms(ts) AS ms_at, event_type <> 'error' AS ok, value AS ms FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, 'closed' AS kind, 0::BIGINT AS since, []::STRUCT(ok BOOLEAN, ms DOUBLE)[] AS recent, 0.0::DOUBLE AS error_rate, 0.0::DOUBLE AS p95 FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, i, kind, CASE WHEN kind = 'open' AND was <> 'open' THEN ms_at ELSE since END, recent, error_rate, p95 FROM (
+    SELECT *, CASE WHEN was = 'half-open' THEN CASE WHEN NOT ok OR p95 > 140 THEN 'open' WHEN len(recent) >= 5 THEN 'closed' ELSE was END
+                   WHEN was = 'closed' AND (error_rate > 0.3 OR p95 > 140) THEN 'open' ELSE was END AS kind
+    FROM (SELECT *, len(list_filter(recent, lambda x: NOT x.ok)) / len(recent) AS error_rate, list_sort(list_transform(recent, lambda x: x.ms))[least(len(recent), 1 + CAST(floor(len(recent) * 0.95) AS INT))] AS p95
+      FROM (SELECT e.user_id, e.i, e.ms_at, e.ok, r.since, CASE WHEN r.kind = 'open' AND e.ms_at - r.since >= 30000 THEN 'half-open' ELSE r.kind END AS was,
+                   list_append(CASE WHEN r.kind = 'open' AND e.ms_at - r.since >= 30000 THEN [] ELSE r.recent END, {'ok': e.ok, 'ms': e.ms})[-30:] AS recent
+            FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))),
+m AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM events)
+SELECT user_id, CASE WHEN kind = 'open' AND since + 30000 <= mark THEN 'half-open' ELSE kind END AS state, round(error_rate, 9) AS error_rate, p95
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i DESC) AS n FROM r), m WHERE n = 1""",
+)
 def stream_breaker(spark, sf_dir):
+    """The last state of every user: timers half-open those that stay open until the watermark."""
     e = _events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error")
-    return Z.drained(Z.breaker(e, "user_id", "ok", "value", max_error=0.3, max_p95=140.0), "update")
+    out = Z.drained(K.breaker(e, "user_id", "ok", "value", max_error=0.3, max_p95=140.0), "update")
+    last = out.groupBy("user_id").agg(F.max_by(F.struct("state", "error_rate", "p95"), F.struct("at", F.col("state") == "half-open")).alias("s"))
+    return last.select("user_id", "s.state", F.round("s.error_rate", 9).alias("error_rate"), "s.p95")
 
 
 @add("stream_late_rows", "SELECT 3::BIGINT AS late, count(*) AS kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAY")

@@ -124,10 +124,9 @@ def awc_columns(spark, sf_dir):
     "WITH " + _SOIL + " " + " UNION ALL ".join(f"SELECT '{f}' AS factor, round(quantile_cont({f}, 0.25), 6) AS low, round(quantile_cont({f}, 0.75), 6) AS high FROM w" for f in FACTORS)
 )
 def quartile_levels(spark, sf_dir):
-    one = _soil(spark, sf_dir).agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.75))).alias(f) for f in FACTORS])
-    return one.select(F.explode(F.array(*[F.struct(
-        F.lit(f).alias("factor"), F.round(F.get(f, 0), 6).alias("low"), F.round(F.get(f, 1), 6).alias("high")
-    ) for f in FACTORS])).alias("x")).select("x.*")
+    found = Q.quantiles(_soil(spark, sf_dir), {f: [0.25, 0.75] for f in FACTORS})
+    rows = [(f, found[f, 0.25], found[f, 0.75]) for f in FACTORS]
+    return spark.createDataFrame(rows, "factor string, low double, high double").select("factor", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @add("median_split", f"WITH {_SOIL} SELECT clay_c, om_c, density_c, depth_c, count(*) AS n FROM c GROUP BY ALL")
@@ -198,7 +197,8 @@ def ols_fit(spark, sf_dir):
     beta, fit = Q.least_squares(_coded(spark, sf_dir), FACTORS, "awc")
     levels, best = Q.optimum(beta, FACTORS)
     named = [(n, float(b)) for n, b in zip(["intercept", *FACTORS], beta)]
-    advised = _soil(spark, sf_dir).agg(*[F.percentile(f, 0.75 if levels[f] > 0 else 0.25).alias(f) for f in FACTORS]).first()
+    asked = {f: [0.75 if levels[f] > 0 else 0.25] for f in FACTORS}
+    advised = {f: v for (f, _), v in Q.quantiles(_soil(spark, sf_dir), asked).items()}
     more = [*[(f"level_{f}", float(levels[f])) for f in FACTORS], *[(f"advised_{f}", float(advised[f])) for f in FACTORS], ("optimum", best)]
     return spark.createDataFrame([*named, *fit.items(), *more], "term string, value double")
 

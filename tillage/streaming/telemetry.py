@@ -1,15 +1,13 @@
-"""Structured Streaming counterparts of the live views: means, de-duplication, sessions, latest state, breaker."""
+"""Structured Streaming counterparts of the live views: means, de-duplication, sessions, late rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tillage.session import scratch
 from tillage.sources.sinks import LateRows
+from tillage.streaming.stateful import with_rocksdb
 
 
 def timed(stream: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -33,88 +31,24 @@ def sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts") -> DataFrame
     return g.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def latest_state(stream: DataFrame, key: str = "user_id", ts: str = "ts", order: str = "event_id", value: str = "value") -> DataFrame:
-    """(key, order, ts, value, seen): after every batch the newest row of each key that the batch touched.
-
-    State is one row for each key, whatever its number of readings.
-    """
-
-    def update(k: tuple, batches: Iterator, state: GroupState):
-        import pandas as pd
-
-        best = state.get if state.exists else None
-        seen = best[3] if best else 0
-        for pdf in batches:
-            seen += len(pdf)
-            last = pdf.sort_values([ts, order]).iloc[-1]
-            now = (last[ts].value // 1000, int(last[order]), float(last[value]))
-            if best is None or now[:2] > tuple(best[:2]):
-                best = now
-        state.update((best[0], best[1], best[2], seen))
-        yield pd.DataFrame({key: [k[0]], order: [best[1]], ts: [pd.Timestamp(best[0] * 1000, tz="UTC")], value: [best[2]], "seen": [seen]})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        update, f"{key} long, {order} long, {ts} timestamp, {value} double, seen long", "at long, id long, value double, seen long",
-        "update", GroupStateTimeout.NoTimeout
-    )
-
-
-def breaker(
-    stream: DataFrame, key: str, ok: str, ms: str, size: int = 30, max_error: float = 0.5, max_p95: float = 300_000.0,
-    open_ms: int = 30_000, ts: str = "ts", order: str = "event_id"
-) -> DataFrame:
-    """(key, state, error_rate, p95): a breaker over the last `size` observations of each key.
-
-    Closed opens on too many errors or a slow 95th percentile; open lets observations through again
-    (half-open) `open_ms` after it opened, by event time; half-open closes after five good ones.
-    """
-
-    def update(k: tuple, batches: Iterator, state: GroupState):
-        import pandas as pd
-
-        kind, since, recent = (state.get[0], state.get[1], list(zip(state.get[2], state.get[3]))) if state.exists else ("closed", 0, [])
-        rate = p95 = 0.0
-        for pdf in batches:
-            for at, good, took in pdf.sort_values([ts, order])[[ts, ok, ms]].itertuples(index=False, name=None):
-                now = at.value // 1_000_000
-                if kind == "open" and now - since >= open_ms:
-                    kind, recent = "half-open", []
-                recent = [*recent, (bool(good), float(took))][-size:]
-                rate = sum(not g for g, _ in recent) / len(recent)
-                times = sorted(t for _, t in recent)
-                p95 = times[min(len(times) - 1, int(len(times) * 0.95))]
-                if kind == "half-open":
-                    if not good or p95 > max_p95:
-                        kind, since = "open", now
-                    elif len(recent) >= min(5, size):
-                        kind = "closed"
-                elif kind == "closed" and (rate > max_error or p95 > max_p95):
-                    kind, since = "open", now
-        state.update((kind, since, [g for g, _ in recent], [t for _, t in recent]))
-        yield pd.DataFrame({key: [k[0]], "state": [kind], "error_rate": [rate], "p95": [p95]})
-
-    return stream.groupBy(key).applyInPandasWithState(
-        update, f"{key} long, state string, error_rate double, p95 double",
-        "kind string, since long, oks array<boolean>, times array<double>", "update", GroupStateTimeout.NoTimeout
-    )
-
-
 def read_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 1000) -> DataFrame:
     """A table's files as a stream, with the schema of the table."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drained(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is now and returns all it has emitted, kept as files in the shared folder."""
-    spark, at = df.sparkSession, scratch(df.sparkSession)
+def drained(df: DataFrame, mode: str = "append", at: str | None = None) -> DataFrame:
+    """Runs a stream over what there is now and returns all it has emitted, kept as files in the shared folder. With `at`, a folder
+    of an earlier call, the stream goes on from its state there."""
+    spark, at = df.sparkSession, at or scratch(df.sparkSession)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/out/batch={number}")
 
     columns = df.schema
-    query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, i: keep(b, i) if not b.isEmpty() else None).start()
-    query.awaitTermination()
+    with with_rocksdb(spark):
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, i: keep(b, i) if not b.isEmpty() else None).start()
+        query.awaitTermination()
     try:
         return spark.read.schema(columns).option("recursiveFileLookup", "true").parquet(f"{at}/out")
     except Exception as e:
