@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +45,44 @@ def test_every_stage_by_its_operator(spark):
         assert df.columns == docs.columns
 
 
+def test_duplicates_and_benchmarks_by_brute_force(spark):
+    """Both stages on a whole small table, against all pairs of texts and all windows of all items."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    low = {chr(c): chr(c + 32) for c in range(65, 91)}
+    lower = lambda t: (t or "").translate(str.maketrans(low))
+    rows = {r["doc_id"]: lower(r["text"]) for r in docs.collect()}
+    words = {i: tuple(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows.items()}
+    cut = {i: {w[j : j + 5] for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    top = {i: i for i in rows}
+
+    def of(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in rows:
+        for b in rows:
+            if a < b and (words[a] == words[b] or len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b]) > 0):
+                x, y = sorted((of(a), of(b)))
+                top[y] = x
+    kept = P.near_duplicates(spark, docs, SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in rows if of(i) == i) and kept.columns == docs.columns
+
+    plain = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    windows: dict[int, set] = {}
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = plain(r["text"])
+        n = min(13, len(w))
+        windows.setdefault(n, set()).update(tuple(w[j : j + n]) for j in range(len(w) - n + 1) if n)
+    clean = []
+    for i, t in rows.items():
+        w = plain(t)
+        hit = {p for n, own in windows.items() if n for j in range(len(w) - n + 1) if tuple(w[j : j + n]) in own for p in range(j, j + n)}
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append(i)
+    assert len(clean) < len(rows) and sorted(r["doc_id"] for r in P.benchmarks(spark, docs, SF).collect()) == sorted(clean)
+
+
 @pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
 def test_stages_on_odd_rows(spark, stage):
     prose = "the river and the house of that man were in the town with all of their people . " * 8

@@ -302,6 +302,16 @@ def test_deduplicate_edges_and_names(spark):
         assert S.deduplicate(odd.limit(0), params=p).count() == 0
 
 
+def test_scores_depend_little_on_the_number_of_tasks(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    # one id for all rows: the start's sample stays bounded
+    rows = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    params = G.GruParams(sample_docs=60, sample_tokens=12_000)
+    total = lambda n: G.score_documents(rows.repartition(n), F.lit(True), params=params).agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
+    one, many = total(1), total(8)
+    assert one[2] == many[2] == docs.count() and abs(one[1] - many[1]) < 1e-6 * abs(one[1]) and abs(one[0] - many[0]) < 0.005 * abs(one[0])
+
+
 # ---- decontamination
 def brute_hits(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
