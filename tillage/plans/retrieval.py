@@ -13,7 +13,7 @@ from tillage.operators.dense import probes_for, search_lists, top_vectors, top_v
 from tillage.operators.entities import coverage, crop_hints
 from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
-from tillage.session import scratch, table
+from tillage.session import kept, scratch, table
 
 #: The stated query set, and the crop-like words that focus rules look for on the test corpus.
 QUERIES = [(1, "the and that with"), (2, "der und die nicht"), (3, "les des une dans les"), (4, "para los que con"), (5, "threat stupid attention")]
@@ -117,9 +117,9 @@ def dummy_embedding_norm(spark, sf_dir):
     )
 
 
-def hybrid(spark, sf_dir, k_lexical: int = 100, k_dense: int = 8, queries: list[tuple[int, str]] = QUERIES) -> DataFrame:
-    """(query_id, doc_id, rrf_score, rank): both searches for all queries at once, fused."""
-    lex = lexical.bm25(_docs(spark, sf_dir), queries, k=k_lexical).select("query_id", "doc_id", "rank")
+def hybrid(spark, sf_dir, k_lexical: int = 100, k_dense: int = 8, queries: list[tuple[int, str]] = QUERIES, lex: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, rrf_score, rank): both searches for all queries at once, fused. lex: the lexical result, if there is one."""
+    lex = (lexical.bm25(_docs(spark, sf_dir), queries, k=k_lexical) if lex is None else lex).select("query_id", "doc_id", "rank")
     den = top_vectors(table(spark, sf_dir, "embeddings"), _query_vectors(spark, queries), k=k_dense).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     return ranking.reciprocal_rank_fusion([den, lex], ["query_id"], "doc_id")
 
@@ -332,8 +332,9 @@ SELECT m.mode, c.query_id, x.rank IS NOT NULL AS found, coalesce(x.rank, 0) - 1
 def canary_recall(spark, sf_dir):
     """Whether and where each way of searching brings up the planted string, among the first eight."""
     docs = _docs(spark, sf_dir)
-    lex = lexical.bm25(docs, QUERIES, k=8).select(F.lit("lex").alias("mode"), "query_id", "doc_id", "rank")
-    both = hybrid(spark, sf_dir).where("rank <= 8").select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rank").unionByName(lex)
+    lex = kept(lexical.bm25(docs, QUERIES))  # one search for both ways
+    both = hybrid(spark, sf_dir, lex=lex).select(F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rank")
+    both = both.unionByName(lex.select(F.lit("lex").alias("mode"), "query_id", "doc_id", "rank")).where("rank <= 8")
     canaries = spark.createDataFrame(CANARIES, "query_id long, needle string")
     return evaluation.canary_ranks(both, docs, canaries, ["hybrid", "lex"])
 
@@ -385,10 +386,11 @@ u AS (SELECT mode, query_id, doc_id, round(coalesce(nullif(rrf_score, 0), score,
 
 def _by_mode(spark, sf_dir) -> DataFrame:
     """Hits of both modes with one score; the single search's have no fused score, or 0."""
-    lex = lexical.bm25(_docs(spark, sf_dir), QUERIES, k=8).select(
+    found = kept(lexical.bm25(_docs(spark, sf_dir), QUERIES))  # one search for both modes
+    lex = found.where("rank <= 8").select(
         F.lit("lex").alias("mode"), "query_id", "doc_id", F.when(F.col("doc_id") % 2 == 0, 0.0).alias("rrf_score"), "score"
     )
-    both = hybrid(spark, sf_dir).where("rank <= 8").select(
+    both = hybrid(spark, sf_dir, lex=found).where("rank <= 8").select(
         F.lit("hybrid").alias("mode"), "query_id", "doc_id", "rrf_score", F.lit(None).cast("double").alias("score")
     )
     return both.unionByName(lex).select("mode", "query_id", "doc_id", F.round(ranking.unified_score(F.col("score"), F.col("rrf_score")), 9).alias("rrf_score"))
