@@ -116,6 +116,37 @@ def href_neutralise(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.neutral_links(h)).alias("digest"))
 
 
+def _allowed_sql(c: str) -> str:
+    """The allow-list on one text: pieces of markup and text, each kept, rewritten or dropped."""
+    quoted = lambda name: rf"""regexp_extract(p, '(?is)\s{name}\s*=\s*(?:"([^"]*)"|''([^'']*)'')', 1)"""
+    single = lambda name: rf"""regexp_extract(p, '(?is)\s{name}\s*=\s*''([^'']*)''', 1)"""
+    given = lambda name: f"coalesce(nullif({quoted(name)}, ''), nullif({single(name)}, ''))"
+    name = "lower(regexp_extract(p, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1))"
+    cited = " || ".join(f"""coalesce(' {x}="' || {given(x)} || '"', '')""" for x in T.LINK_DATA)
+    href = given("href")
+    link = rf"""'<a href="' || CASE WHEN regexp_matches({href}, '^(?:/[^/]|/$|#|\?|\.{{1,2}}/)') THEN {href} ELSE '#' END || '"' || {cited} || '>'"""
+    tags = ", ".join(f"'{t}'" for t in T.ALLOWED_TAGS)
+    piece = f"""CASE WHEN {name} = '' THEN CASE WHEN p = '<' THEN '&lt;' ELSE p END WHEN {name} NOT IN ({tags}) THEN '' WHEN starts_with(p, '</') THEN '</' || {name} || '>'
+WHEN {name} = 'a' THEN {link} WHEN {name} = 'br' THEN '<br />' ELSE '<' || {name} || '>' END"""
+    bare = rf"regexp_replace({c}, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g')"
+    pieces = rf"""regexp_extract_all({bare}, '(?s)</?[a-zA-Z](?:"[^"]*"|''[^'']*''|[^''">])*>|[^<]+|<')"""
+    return f"array_to_string(list_transform({pieces}, lambda p: {piece}), '')"
+
+
+#: Links of all kinds, put behind every page.
+_TAIL = """">x</a><A HREF='/docs/a?b' data-page='3'>y</A><a href="//other/x">z</a><br/><script>1 < 2</script> 1 < 2"""
+_LINKED = "coalesce(html, '') || '<a data-cite=\"c' || page_id || '\" onclick=\"x\" href=\"' || coalesce(url, '') || " + S.repr_sql(_TAIL)
+
+
+@add("allowed_markup", f"WITH a AS (SELECT page_id, {_LINKED} AS h FROM pages), b AS (SELECT page_id, {_allowed_sql('h')} AS t FROM a) SELECT page_id, length(t) AS n_chars, md5(t) AS digest FROM b")
+def allowed_markup(spark, sf_dir):
+    """Pages reduced to the elements, attributes and addresses that answers may show."""
+    none = F.lit("")
+    h = F.concat(F.coalesce("html", none), F.lit('<a data-cite="c'), "page_id", F.lit('" onclick="x" href="'), F.coalesce("url", none), F.lit(_TAIL))
+    t = table(spark, sf_dir, "pages").select("page_id", T.allowed_html(h).alias("t"))
+    return t.select("page_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
+
+
 _NORM = rf"trim(regexp_replace(translate({S.fold('trim(' + TEXT + ')')}, '¿?¡!', '    '), '[^a-z0-9%°\s\-_/.,]', ' ', 'g'))"
 _NORMAL = rf"trim(regexp_replace({_NORM}, '\s+', ' ', 'g'))"
 _SHORT = ", ".join(f"'{w}'" for w in A.SHORT_VALID)
