@@ -107,9 +107,10 @@ def fit_lists(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "
     share = F.lit(min(1.0, p.sample / max(n, 1)) * (1 << 30))
     draw = F.pmod(F.xxhash64(F.lit(p.seed), "id"), F.lit(1 << 30))
     sample = kept(known.where(draw < share).select("v", draw.alias("draw")))
-    centres = _units(np.array([r["v"] for r in sample.orderBy("draw").limit(lists).select("v").collect()], float).reshape(-1, _width(sample)))
-    if not len(centres):
-        return centres
+    first = [r["v"] for r in sample.orderBy("draw").limit(lists).select("v").collect()]
+    if not first:
+        return np.zeros((0, 0))
+    centres = _units(np.array(first, float))
 
     def sums(centres: np.ndarray):
         def run(it):
@@ -136,10 +137,6 @@ def fit_lists(vectors: DataFrame, vector_col: str = "embedding", id_col: str = "
     return centres
 
 
-def _width(sample: DataFrame) -> int:
-    return sample.select(F.max(F.size("v"))).first()[0] or 0
-
-
 def write_lists(vectors: DataFrame, path: str, id_col: str = "vec_id", vector_col: str = "embedding", params: ListParams = ListParams()) -> np.ndarray:
     """Writes every vector into the folder of its nearest centroid's list; returns the centroids. Null vectors are left out."""
     centres = fit_lists(vectors, vector_col, id_col, params)
