@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ from tillage.session import kept
 
 @dataclass(frozen=True)
 class IndexParams:
-    """parts: folders that terms are dealt to by hash. chunk: documents that share their blocks, about."""
+    """parts: folders that terms are dealt to by hash. files: of a folder and segment. chunk: documents that share their
+    blocks, at most. A large corpus takes more folders and files."""
 
     parts: int = 16
+    files: int = 4
     chunk: int = 1024
 
 
@@ -30,26 +33,60 @@ def _part(term, parts: int):
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+def _blocks(chunk: int):
+    """Documents (id, words) of a task as blocks: for each chunk of them and each term there, who holds it and where."""
+
+    def run(it):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        for b in it:
+            for at in range(0, b.num_rows, chunk):
+                part = b.slice(at, chunk)
+                lists = part.column(1)
+                coded, dl = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                term = coded.indices.to_numpy()
+                doc = np.repeat(np.arange(len(dl)), dl)
+                place = np.arange(len(term)) - np.repeat(np.cumsum(dl) - dl, dl)
+                order = np.lexsort((place, doc, term))
+                term, doc, place = term[order], doc[order], place[order]
+                # where a document of a term begins, and where a term does
+                held = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])[: len(term)])
+                first = np.flatnonzero(np.concatenate([[True], term[held][1:] != term[held][:-1]])[: len(held)])
+                tf, ends = np.diff(held, append=len(term)), lambda x, n: pa.array(np.append(x, n), pa.int32())
+                places = pa.ListArray.from_arrays(ends(held, len(term)), pa.array(place, pa.int32()))
+                owners = pa.array(doc[held])
+                docs = pa.StructArray.from_arrays([part.column(0).take(owners), pa.array(dl, pa.int32()).take(owners), places], ["id", "dl", "places"])
+                least = np.minimum.reduceat(dl[doc[held]], first) if len(first) else first
+                most = np.maximum.reduceat(tf, first) if len(first) else first
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(first), number)), coded.dictionary.take(pa.array(term[held][first])), pa.ListArray.from_arrays(ends(first, len(held)), docs),
+                    pa.array(np.diff(first, append=len(held)), pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32())
+                ], ["chunk", "term", "docs", "n", "max_tf", "min_dl"])
+                number += 1
+
+    return run
+
+
+def _schema(kind: str) -> str:
+    return f"chunk long, term string, docs array<struct<id: {kind}, dl: int, places: array<int>>>, n long, max_tf int, min_dl int"
+
+
 def _write_segment(docs: DataFrame, path: str, number: int, id_col: str, text_col: str, p: IndexParams) -> None:
-    chunks = -(-docs.count() // p.chunk) or 1
     named = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
     named.select("id", F.size("words").alias("dl")).write.parquet(f"{path}/documents/seg={number}")
-    each = named.select("id", F.size("words").alias("dl"), F.posexplode("words").alias("place", "term"))
-    # a chunk is a bounded number of documents, so no group is larger than those
-    held = each.groupBy("id", "dl", "term").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    held = held.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
-    rows = held.groupBy("chunk", "term").agg(
-        F.sort_array(F.collect_list(F.struct("id", "dl", "places"))).alias("docs"), F.count("*").alias("n"),
-        F.max(F.size("places")).alias("max_tf"), F.min("dl").alias("min_dl")
-    )
-    rows = rows.withColumn("part", _part(F.col("term"), p.parts))
-    rows.repartitionByRange("part", "term", "chunk").sortWithinPartitions("part", "term", "chunk").write.partitionBy("part").parquet(f"{path}/postings/seg={number}")
+    kind = docs.schema[id_col].dataType.simpleString()
+    # chunks are made where the documents are; only their blocks are dealt to the terms' folders
+    rows = named.mapInArrow(_blocks(p.chunk), _schema(kind)).withColumn("part", _part(F.col("term"), p.parts))
+    dealt = rows.repartition("part", F.pmod(F.xxhash64("chunk"), F.lit(p.files)))
+    dealt.sortWithinPartitions("part", "term", "chunk").write.partitionBy("part").parquet(f"{path}/postings/seg={number}")
 
 
 def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", params: IndexParams = IndexParams()) -> None:
     """Writes docs as segment 0 of a new index. Null texts are documents without words; ids are taken as unique."""
     spark = docs.sparkSession
-    spark.createDataFrame([(params.parts, params.chunk)], "parts int, chunk int").coalesce(1).write.parquet(f"{path}/meta")
+    spark.createDataFrame([(params.parts, params.files, params.chunk)], "parts int, files int, chunk int").coalesce(1).write.parquet(f"{path}/meta")
     kind = docs.schema[id_col].dataType
     spark.range(1).select(F.lit(None).cast(kind).alias("id"), F.lit(-1).alias("upto")).write.parquet(f"{path}/gone/seg=0")  # no id is gone yet
     _write_segment(docs, path, 0, id_col, text_col, params)
@@ -61,7 +98,7 @@ def update_index(spark: SparkSession, path: str, fresh: DataFrame, removed: Data
     meta = spark.read.parquet(f"{path}/meta").first()
     last = spark.read.parquet(f"{path}/gone").agg(F.max("seg")).first()[0]
     ids = fresh.select(F.col(id_col).alias("id")).union(removed.select(F.col(id_col))).distinct()
-    _write_segment(fresh, path, last + 1, id_col, text_col, IndexParams(meta["parts"], meta["chunk"]))
+    _write_segment(fresh, path, last + 1, id_col, text_col, IndexParams(meta["parts"], meta["files"], meta["chunk"]))
     ids.withColumn("upto", F.lit(last)).write.parquet(f"{path}/gone/seg={last + 1}")
 
 
@@ -73,9 +110,7 @@ class Index:
         self.parts = spark.read.parquet(f"{path}/meta").first()["parts"]
         kind = spark.read.parquet(f"{path}/gone").schema["id"].dataType.simpleString()
         # a segment without words has no files to take the schema from
-        self.postings = spark.read.schema(
-            f"chunk long, term string, docs array<struct<id: {kind}, dl: int, places: array<int>>>, n long, max_tf int, min_dl int, seg int, part int"
-        ).parquet(f"{path}/postings")
+        self.postings = spark.read.schema(f"{_schema(kind)}, seg int, part int").parquet(f"{path}/postings")
         # what an id is gone from counts up to its latest removal
         gone = spark.read.parquet(f"{path}/gone").where("upto >= 0")
         self.gone = None if gone.isEmpty() else gone.groupBy(F.col("id").alias("_id")).agg(F.max("upto").alias("_upto"))
