@@ -320,6 +320,14 @@ def test_units_spell_the_whole_text(parts, tail):
         assert [int(i) for g in groups for i in g[0].split(",")] == want[0] and [int(i) for g in groups for i in g[1].split(",")] == want[2]
 
 
+@pytest.mark.parametrize("text", ["a\n", "ÀÉß.\n", "one two\n", "one\n two", "end.\n\n"])
+def test_line_ends_behind_plain_words(text):
+    want, found = brute_tokens(text), ta.aligner(BYTES, PIECES)([text])[0]
+    groups = [g.split("|") for g in found.groups.decode().split(";")]
+    assert (found.n_a, found.n_b) == (len(want[0]), len(want[2]))
+    assert [int(i) for g in groups for i in g[0].split(",")] == want[0] and [int(i) for g in groups for i in g[1].split(",")] == want[2]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(SPACES, WORDS), max_size=12), SPACES)
 def test_words_spell_the_whole_text(parts, tail):

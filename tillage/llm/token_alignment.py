@@ -117,7 +117,7 @@ class Aligner:
         spec = json.loads(self.a.to_str())
         split = spec["pre_tokenizer"] or {}
         plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
-        self.plain = re.compile(PLAIN).match if plain else None
+        self.plain = re.compile(PLAIN).fullmatch if plain else None  # $ alone would leave out a line end behind the word
         # byte-level tokens name bytes by characters: printable ones by themselves, the others by what comes after 255
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [i for i in range(256) if i not in set(printable)]
