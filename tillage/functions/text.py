@@ -246,8 +246,10 @@ def clip(c: Column, most: int = 240) -> Column:
 
 
 def clip_at_word(c: Column, most: int = 900) -> Column:
+    """At most `most` characters: a longer text ends before its last white space, with an ellipsis."""
     head = F.substring(c, 1, most)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("…")))
+    # not $: that also holds before a line end, so a word in front of one would go too
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.regexp_replace(head, r"[ \t\n\f\r]+[^ \t\n\f\r]*\z", ""), F.lit("…")))
 
 
 def fill_template(c: Column, values: dict[str, Column]) -> Column:
