@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -114,9 +115,9 @@ def intent(message: Column) -> Column:
     return _once(chat_text(message), cascade)
 
 
-def mode(intent_col: Column, asked: Column, active: Column) -> Column:
+def mode(intent_col: Column, asked: Column, n_active: Column) -> Column:
     """`asked` unless it is null or auto; then library for library questions and where no crop is active, else parcel."""
-    auto = F.when((intent_col == "library_question") | (F.coalesce(F.size(active), F.lit(0)) <= 0), "biblioteca").otherwise("parcela")
+    auto = F.when((intent_col == "library_question") | (F.coalesce(n_active, F.lit(0)) <= 0), "biblioteca").otherwise("parcela")
     return F.when(asked.isNotNull() & (asked != "auto"), asked).otherwise(auto)
 
 
@@ -128,14 +129,15 @@ def needs_documents(intent_col: Column, mode_col: Column) -> Column:
 
 def named_crop(message: Column, names: Column) -> Column:
     """The longest of the names (array, at least two characters) that the message holds; the first among equals."""
-    plain = F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name")))
-    nothing = F.lit(None).cast("struct<norm: string, name: string>")
+    return _once(chat_text(message), lambda norm: _longest_of(norm, names))["name"]
 
-    def longest(norm: Column) -> Column:
-        held = F.filter(plain, lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"]))
-        return F.aggregate(held, nothing, lambda best, n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best))
 
-    return _once(chat_text(message), longest)["name"]
+def _longest_of(norm: Column, names: Column) -> Column:
+    """struct(norm, name) of named_crop for a message that is chat text."""
+    plain = F.transform(names, lambda n: F.struct(chat_text(n).alias("norm"), n.alias("name")))
+    nothing = F.lit(None).cast("struct<norm: string, name: string>")
+    held = F.filter(plain, lambda n: (F.length(n["norm"]) >= 2) & F.contains(norm, n["norm"]))
+    return F.aggregate(held, nothing, lambda best, n: F.when(best.isNull() | (F.length(n["norm"]) > F.length(best["norm"])), n).otherwise(best))
 
 
 def target_crop(message: Column, crops: list[str], active: Column) -> Column:
@@ -170,26 +172,26 @@ def quality_gate(answer: Column, insufficient: Column, message: Column, mode_col
     )
 
 
-def clean_query(message: Column, intent_col: Column, mode_col: Column, target: Column, requested: Column, active: Column) -> Column:
+def clean_query(message: Column, intent_col: Column, mode_col: Column, target: Column, requested: Column, n_active: Column, active: Column) -> Column:
     """The query sent to the documents: never a long prompt, never readings.
 
     target: the crop in question; requested: a crop of the catalogue that the message names; active: display
-    names of the active crops. Library mode sends the message alone.
+    names of the active crops, in one string. Library mode sends the message alone.
     """
     raw = stripped(F.coalesce(message, F.lit("")))
     crop = F.coalesce(F.nullif(target, F.lit("")), F.nullif(requested, F.lit("")))
     topic = F.lit(None).cast("string")
     for name, words in TOPICS.items():
         topic = F.when(intent_col == name, words).otherwise(topic)
-    technical = F.when(crop.isNotNull(), F.concat(topic, F.lit(" en cultivo de "), crop, F.lit(": "), raw))
-    technical = technical.when(
-        F.size(active) > 0, F.concat(topic, F.lit(" para cultivos activos ("), F.array_join(active, ", "), F.lit("): "), raw)
-    ).otherwise(F.concat(topic, F.lit(": "), raw))
+    # topics begin and raw ends without white space, so only an empty message leaves some at the end
+    end = F.when(raw == "", ":").otherwise(F.concat(F.lit(": "), raw))
+    technical = F.when(crop.isNotNull(), F.concat(topic, F.lit(" en cultivo de "), crop, end))
+    technical = technical.when(n_active > 0, F.concat(topic, F.lit(" para cultivos activos ("), active, F.lit(")"), end)).otherwise(F.concat(topic, end))
     conflict = requested.isNotNull() & target.isNull()
     own = F.nullif(raw, F.lit(""))
     return (
         F.when(mode_col == "biblioteca", F.coalesce(own, F.lit("consulta agricola de biblioteca")))
-        .when(topic.isNotNull(), stripped(technical))
+        .when(topic.isNotNull(), technical)
         .when(conflict, F.coalesce(own, F.concat(F.lit("informacion tecnica sobre "), crop)))
         .otherwise(F.coalesce(own, F.lit("consulta agricola")))
     )
@@ -205,36 +207,48 @@ def query_scope(mode_col: Column, target: Column, target_id: Column, requested:
     return F.when(by_request, scope(requested, "crop_boost", none)).when(target.isNotNull(), scope(target, "crop_boost", target_id)).otherwise(scope(none, "global", none))
 
 
-def contexts(messages: DataFrame, crops: DataFrame, catalogue: list[str]) -> DataFrame:
-    """messages with their user's context: active, n_active, named_id, named, target_id, target, requested, source.
+def contexts(messages: DataFrame, crops: DataFrame, catalogue: list[str], lists: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """messages with their user's context: n_active, named_id, target_id, target, requested, source, conflict, and `lists`.
 
     messages: user_id, text, intent; crops: user_id, crop_id, crop_name, display_name, status, created. A
     crop counts as active unless its status is `inactivo`; newest first. The target is the active crop that
     the message names best; else the only active crop, for intents that allow it; never the first of several.
-    requested is the crop of the catalogue that the message names. A user's crops are one list: their number
-    is what a person grows.
+    requested is the crop of the catalogue that the message names.
+
+    lists: columns made of the array of a user's active display names, by default `active`, the array itself. They are made once
+    a user and joined last. Messages are compared with a user's different names only, each in the form of its newest crop.
     """
+    lists = {"active": lambda a: a} if lists is None else lists
     alive = crops.where(F.coalesce("status", F.lit("activo")) != "inactivo")
     entry = F.struct(
         F.col("created"), F.col("crop_id"), F.col("crop_name"),
         F.coalesce(F.nullif("display_name", F.lit("")), F.initcap("crop_name")).alias("display")
     )
-    listed = alive.groupBy(F.col("user_id").alias("_user")).agg(F.sort_array(F.collect_list(entry), asc=False).alias("_crops"))
-    joined = messages.join(listed, F.col("user_id") == F.col("_user"), "left").drop("_user").withColumn(
-        "_crops", F.coalesce("_crops", F.array().cast(listed.schema["_crops"].dataType))
-    )
-    named = named_crop(F.col("text"), F.flatten(F.transform("_crops", lambda c: F.array(c["crop_name"], c["display"]))))
-    joined = joined.withColumn("_named", named)
-    found = F.get(F.filter("_crops", lambda c: (c["crop_name"] == F.col("_named")) | (c["display"] == F.col("_named"))), 0)
-    only = F.when((F.size("_crops") == 1) & F.col("intent").isin(*FALLBACK_INTENTS), F.get("_crops", 0))
+    owned = alive.select(F.col("user_id").alias("_user"), entry.alias("_e"))
+    counted = owned.groupBy("_user").agg(F.count("*").cast("int").alias("_n"), F.max("_e").alias("_newest"))
+    # a name stands for the newest crop that has it, as its own name rather than as the shown one
+    called = F.explode(F.array(F.struct(F.col("_e.crop_name").alias("name"), F.lit(1).alias("own")), F.struct(F.col("_e.display").alias("name"), F.lit(0).alias("own"))))
+    names = owned.select("_user", "_e", called.alias("_c")).groupBy("_user", F.col("_c.name").alias("_name")).agg(F.max(F.struct("_e", "_c.own")).alias("_best"))
+    plain = names.withColumn("_plain", chat_text(F.col("_name"))).where(F.length("_plain") >= 2).groupBy("_user", "_plain").agg(F.max("_best").alias("_best"))
+    ranked = F.sort_array(F.collect_list(F.struct(F.length("_plain").alias("size"), F.col("_best").alias("best"), F.col("_plain").alias("plain"))), asc=False)
+    known = counted.join(plain.groupBy(F.col("_user").alias("_of")).agg(ranked.alias("_names")), F.col("_user") == F.col("_of"), "left").drop("_of")
+    joined = messages.join(known, F.col("user_id") == F.col("_user"), "left").withColumn("_norm", chat_text(F.col("text")))
+    held = F.filter("_names", lambda n: F.contains(F.col("_norm"), n["plain"]))
+    joined = joined.withColumns({"_found": F.get(held, 0)["best"]["_e"], "_asked": _longest_of(F.col("_norm"), F.array(*[F.lit(c) for c in catalogue]))["name"]})
+    found, requested = F.col("_found"), F.col("_asked")
+    only = F.when((F.col("_n") == 1) & F.col("intent").isin(*FALLBACK_INTENTS), F.col("_newest"))
     target = F.coalesce(found, only)
-    requested = named_crop(F.col("text"), F.array(*[F.lit(c) for c in catalogue]))
     source = F.when(found.isNotNull(), "explicit").when(only.isNotNull(), "fallback_single_crop").otherwise("none")
-    return joined.select(
-        *messages.columns, F.transform("_crops", lambda c: c["display"]).alias("active"), F.size("_crops").alias("n_active"),
-        found["crop_id"].alias("named_id"), target["crop_id"].alias("target_id"), target["crop_name"].alias("target"), requested.alias("requested"), source.alias("source"),
-        (requested.isNotNull() & found.isNull()).alias("conflict"),
+    out = joined.select(
+        *messages.columns, F.coalesce("_n", F.lit(0)).alias("n_active"), found["crop_id"].alias("named_id"), target["crop_id"].alias("target_id"),
+        target["crop_name"].alias("target"), requested.alias("requested"), source.alias("source"), (requested.isNotNull() & found.isNull()).alias("conflict"),
     )
+    if not lists:
+        return out
+    shown = owned.groupBy("_user").agg(F.sort_array(F.collect_list("_e"), asc=False).alias("_crops")).select("_user", F.transform("_crops", lambda c: c["display"]).alias("_shown"))
+    made = shown.select("_user", *[make(F.col("_shown")).alias(n) for n, make in lists.items()])
+    nothing = F.array().cast("array<string>")
+    return out.join(made, F.col("user_id") == F.col("_user"), "left").select(*out.columns, *[F.coalesce(n, make(nothing)).alias(n) for n, make in lists.items()])
 
 
 def recent_recommendations(recommendations: DataFrame, as_of: Column, hours: int = 6) -> DataFrame:
@@ -247,14 +261,19 @@ def recent_recommendations(recommendations: DataFrame, as_of: Column, hours: int
     return newest.select("crop_id", "_r.*")
 
 
+def crop_lines(names: Column) -> Column:
+    """One line a crop, in one string."""
+    return F.array_join(F.transform(names, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
 def answer(c: dict[str, Column]) -> Column:
     """The answer cascade: the first case that fits decides.
 
     c: intent, mode, requested, conflict, library (cleaned library text or null), documents (cleaned answer of
-    the documents or null), active (display names), crop_lines (one line a crop), target, water, metric and
+    the documents or null), n_active, crop_lines (crop_lines() of the active crops), target, water, metric and
     crop_answer (the texts of those cases).
     """
-    lines = F.array_join(F.transform(c["crop_lines"], lambda x: F.concat(F.lit("- "), x)), "\n")
+    lines = c["crop_lines"]
     conflict = F.concat(F.lit(CONFLICT[0]), c["requested"], F.lit(CONFLICT[1]))
     with_library = F.concat(conflict, F.lit("\n\nInformación de biblioteca:\n"), c["documents"])
     out = F.concat(F.lit(SEVERAL[0] + "\n\nCultivos activos:\n"), lines, F.lit(SEVERAL[1]))
@@ -265,7 +284,7 @@ def answer(c: dict[str, Column]) -> Column:
         F.when(c["intent"] == "garbage", NOT_UNDERSTOOD)
         .when(c["conflict"] & (c["mode"] != "biblioteca"), F.coalesce(with_library, F.concat(conflict, F.lit(CONFLICT_EMPTY))))
         .when(c["mode"] == "biblioteca", F.coalesce(c["library"], F.lit(NO_LIBRARY)))
-        .when(F.size(c["active"]) <= 0, NO_CROPS)
+        .when(c["n_active"] <= 0, NO_CROPS)
         .when((c["intent"] == "water_balance") & no_target, c["water"])
         .when(c["intent"].isin(*PARCEL_INTENTS) & no_target, c["metric"])
         .when(~no_target, c["crop_answer"])

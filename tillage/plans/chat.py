@@ -36,8 +36,9 @@ def _messages(spark, sf_dir):
     return c.withColumn("intent", A.intent(F.col("text")))
 
 
-def _contexts(spark, sf_dir):
-    return A.contexts(_messages(spark, sf_dir), _crops(spark, sf_dir), CATALOGUE)
+def _contexts(spark, sf_dir, **lists):
+    """Contexts with what a query makes of a user's list of crops."""
+    return A.contexts(_messages(spark, sf_dir), _crops(spark, sf_dir), CATALOGUE, lists)
 
 
 _CONTEXT = f"""{CHAT}, m AS (SELECT z.conv_id % 50 AS user_id, z.conv_id, z.turn, n, text, CASE {INTENT_CASE} ELSE 'unknown' END AS intent FROM z JOIN conversations c ON c.conv_id = z.conv_id AND c.turn = z.turn),
@@ -58,11 +59,8 @@ y1 AS (SELECT *, requested IS NOT NULL AND named_id IS NULL AS conflict, CASE WH
 )
 def chat_context(spark, sf_dir):
     """What is known about a message's user: active crops, the crop in question, a crop that is not grown."""
-    c = _contexts(spark, sf_dir)
-    return c.select(
-        "conv_id", "turn", "intent", F.array_join("active", ",").alias("active"), "n_active", "target_id", "target", "requested", "source",
-        "conflict"
-    )
+    c = _contexts(spark, sf_dir, active=lambda names: F.array_join(names, ","))
+    return c.select("conv_id", "turn", "intent", "active", "n_active", "target_id", "target", "requested", "source", "conflict")
 
 
 _DOCUMENTS = f"intent <> 'garbage' AND intent NOT IN {_IN(A.READING_INTENTS)} AND (mode = 'biblioteca' OR intent IN {_IN(A.DOCUMENT_INTENTS)})"
@@ -72,7 +70,7 @@ _DOCUMENTS = f"intent <> 'garbage' AND intent NOT IN {_IN(A.READING_INTENTS)} AN
 def assistant_routing(spark, sf_dir):
     """Mode and document gate of every message."""
     c = _contexts(spark, sf_dir)
-    c = c.withColumn("mode", A.mode(F.col("intent"), F.lit("auto"), F.col("active")))
+    c = c.withColumn("mode", A.mode(F.col("intent"), F.lit("auto"), F.col("n_active")))
     return c.select("conv_id", "turn", "intent", "mode", A.needs_documents(F.col("intent"), F.col("mode")).alias("documents"))
 
 
@@ -92,9 +90,9 @@ CASE WHEN requested IS NOT NULL AND (target IS NULL OR mode = 'biblioteca') THEN
 )
 def clean_query(spark, sf_dir):
     """The query that a message sends to the documents, and the focus that goes with it."""
-    c = _contexts(spark, sf_dir)
-    c = c.withColumn("mode", A.mode(F.col("intent"), F.lit("auto"), F.col("active")))
-    query = A.clean_query(F.col("text"), F.col("intent"), F.col("mode"), F.col("target"), F.col("requested"), F.col("active"))
+    c = _contexts(spark, sf_dir, active=lambda names: F.array_join(names, ", "))
+    c = c.withColumn("mode", A.mode(F.col("intent"), F.lit("auto"), F.col("n_active")))
+    query = A.clean_query(F.col("text"), F.col("intent"), F.col("mode"), F.col("target"), F.col("requested"), F.col("n_active"), F.col("active"))
     scope = A.query_scope(F.col("mode"), F.col("target"), F.col("target_id"), F.col("requested"))
     return c.select("conv_id", "turn", query.alias("query"), scope.alias("s")).select("conv_id", "turn", "query", "s.*")
 
@@ -155,11 +153,11 @@ ELSE {_text_sql(A.SEVERAL[0] + chr(10) * 2 + 'Cultivos activos:' + chr(10))} ||
 )
 def answer_cascade(spark, sf_dir):
     """The answer of the first case that fits; every third message finds something in the documents."""
-    c = _contexts(spark, sf_dir)
-    c = c.withColumn("mode", A.mode(F.col("intent"), F.lit("auto"), F.col("active")))
+    c = _contexts(spark, sf_dir, lines=A.crop_lines)
+    c = c.withColumn("mode", A.mode(F.col("intent"), F.lit("auto"), F.col("n_active")))
     found = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("texto "), F.col("turn").cast("string")))
-    parts = {n: F.col(n) for n in ("intent", "mode", "requested", "conflict", "active", "target")}
-    parts |= {"library": found, "documents": found, "crop_lines": F.col("active"), "water": F.concat(F.lit("agua: "), F.col("n_active").cast("string"))}
+    parts = {n: F.col(n) for n in ("intent", "mode", "requested", "conflict", "n_active", "target")}
+    parts |= {"library": found, "documents": found, "crop_lines": F.col("lines"), "water": F.concat(F.lit("agua: "), F.col("n_active").cast("string"))}
     parts |= {"metric": F.concat(F.lit("medida "), "intent"), "crop_answer": F.concat(F.lit("cultivo "), "target")}
     return c.select("conv_id", "turn", A.answer(parts).alias("answer"))
 
