@@ -14,6 +14,62 @@ from tillage.session import kept, scratch
 BLOCK = 4096
 
 
+#: Products of queries with vectors that a task holds at a time: 32 MB.
+PRODUCTS = 4 << 20
+
+
+class Best:
+    """The k best (score, then smaller id) of each of some queries, as arrays; vectors are added in chunks of bounded size."""
+
+    def __init__(self, queries: int, k: int, products: int = PRODUCTS):
+        self.k, self.products = k, products
+        self.scores, self.ids, self.held = np.full((queries, k), -1.0), np.zeros((queries, k), np.int64), np.zeros(queries, np.int64)
+
+    def add(self, who: np.ndarray, ids: np.ndarray, q: np.ndarray, x: np.ndarray, score: str = "cosine") -> None:
+        """who: the numbers of the queries q; ids and x: the vectors. Scores are held at 0 and rounded to nine places."""
+        if not len(who):
+            return
+        step = max(1, self.products // len(who))
+        by_id = np.argsort(ids, kind="stable")
+        for i in range(0, len(ids), step):
+            at = by_id[i : i + step]
+            self._add(who, ids[at], q @ x[at].T, score)
+
+    def _add(self, who: np.ndarray, ids: np.ndarray, s: np.ndarray, score: str) -> None:
+        if score != "cosine":
+            s *= 2
+            s -= 1
+        np.round(np.maximum(s, 0.0, out=s), 9, out=s)
+        # what is below a query's k-th score so far, or below the chunk's own k-th, is out; of those equal to it, and many scores
+        # are 0, only the first k can matter: ids ascend
+        least = self.scores[who, -1]
+        low = np.flatnonzero(self.held[who] < self.k)
+        kth = s.shape[1] - self.k
+        least[low] = [np.partition(s[r], kth)[kth] if kth > 0 else 0.0 for r in low]
+        equal = s == least[:, None]
+        equal &= np.cumsum(equal, axis=1, dtype=np.int32) <= self.k
+        equal |= s > least[:, None]
+        row, at = np.nonzero(equal)
+        hit = np.unique(row)
+        old = np.arange(self.k)[None, :] < self.held[who[hit]][:, None]
+        r0, c0 = np.nonzero(old)
+        rows = np.concatenate([hit[r0], row])
+        values = np.concatenate([self.scores[who[hit]][r0, c0], s[row, at]])
+        names = np.concatenate([self.ids[who[hit]][r0, c0], ids[at]])
+        order = np.lexsort((names, -values, rows))
+        rows, values, names = rows[order], values[order], names[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        top = place < self.k
+        to = who[rows[top]], place[top]
+        self.scores[to], self.ids[to] = values[top], names[top]
+        self.held[who[hit]] = np.minimum(np.bincount(rows, minlength=len(who))[hit], self.k)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of all that is held."""
+        at = np.nonzero(np.arange(self.k)[None, :] < self.held[:, None])
+        return at[0], self.ids[at], self.scores[at]
+
+
 def top_vectors(
     vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding",
     score: str = "cosine"
@@ -24,32 +80,23 @@ def top_vectors(
     their own best k before the shuffle, so what is shuffled is queries x k rows for each task.
     """
     ids = [q for q, _ in queries]
+    numbers = np.array(ids, np.int64)
     blocks = [np.asarray([v for _, v in queries[i : i + BLOCK]], float) for i in range(0, len(queries), BLOCK)]
     blocks = [b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300) for b in blocks]
 
     def run(it):
         import pyarrow as pa
 
-        best: dict[int, list[tuple[float, int]]] = {}
+        best = Best(len(ids), k)
         for batch in it:
-            own = np.asarray(batch.column(0).to_pylist())
+            own = batch.column(0).to_numpy()
             if not len(own):
                 continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            x = _units(_matrix(batch.column(1)))
             for n, b in enumerate(blocks):
-                near = b @ x.T
-                s = np.round(np.maximum(0.0, near if score == "cosine" else 2 * near - 1), 9)
-                for i in range(len(b)):
-                    top = np.lexsort((own, -s[i]))[:k]
-                    rows = best.get(n * BLOCK + i, []) + [(-float(s[i, j]), int(own[j])) for j in top]
-                    best[n * BLOCK + i] = sorted(rows)[:k]
-        out = [(ids[q], v, -s) for q, rows in best.items() for s, v in rows]
-        columns = list(zip(*out)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())],
-            ["query_id", id_col, "score"]
-        )
+                best.add(np.arange(n * BLOCK, n * BLOCK + len(b)), own, b, x, score)
+        who, found, scores = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[who], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], ["query_id", id_col, "score"])
 
     found = vectors.select(F.col(id_col).cast("long").alias(id_col), vector_col).where(F.col(vector_col).isNotNull()).mapInArrow(run, f"query_id long, {id_col} long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
@@ -180,21 +227,17 @@ def search_lists(
         def run(it, ids=ids, q=q, asking=asking):
             import pyarrow as pa
 
-            best: dict[int, list[tuple[float, int]]] = {}
+            best = Best(len(ids), k)
             for b in it:
-                own, lists = np.asarray(b.column(0).to_pylist()), b.column(2).to_numpy()
+                own, lists = b.column(0).to_numpy(), b.column(2).to_numpy()
                 if not len(own):
                     continue
                 x = _units(_matrix(b.column(1)))
                 for c in np.unique(lists).tolist():
                     rows, who = np.flatnonzero(lists == c), asking[c]
-                    s = np.round(np.maximum(0.0, q[who] @ x[rows].T), 9)
-                    for i, w in enumerate(who.tolist()):
-                        top = np.lexsort((own[rows], -s[i]))[:k]
-                        best[w] = sorted(best.get(w, []) + [(-float(s[i, j]), int(own[rows[j]])) for j in top])[:k]
-            out = [(ids[w], v, -s) for w, rows in best.items() for s, v in rows]
-            columns = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["query_id", id_col, "score"])
+                    best.add(who, own[rows], q[who], x[rows])
+            who, found, scores = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[who], pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], ["query_id", id_col, "score"])
 
         read = _lists(spark, path, id_col, vector_col).where(F.col("list").isin(sorted(asking))).select(id_col, vector_col, "list")
         read.mapInArrow(run, f"query_id long, {id_col} long, score double").write.mode("append").parquet(at)
