@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from tillage.functions.text import safe_name, tokens
 from tillage.operators.lexical import postings, replaced
+from tillage.session import kept
 
 
 def write_fragments(fragments: DataFrame, path: str, buckets: int = 64, id_col: str = "doc_id") -> None:
@@ -38,7 +39,8 @@ def upsert_vectors(spark: SparkSession, path: str, fresh: DataFrame, target: str
 
 def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Postings ordered by term (row groups prune by it) and the documents' lengths."""
-    postings(docs, id_col, text_col).repartitionByRange("term").sortWithinPartitions("term", id_col).write.parquet(f"{path}/postings")
+    # stored first: ranges are found in a pass of their own, which would count the words of all texts again
+    kept(postings(docs, id_col, text_col)).repartitionByRange("term").sortWithinPartitions("term", id_col).write.parquet(f"{path}/postings")
     docs.select(id_col, F.size(tokens(F.col(text_col))).alias("dl")).write.parquet(f"{path}/lengths")
 
 
