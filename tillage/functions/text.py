@@ -109,6 +109,11 @@ def composed(c: Column) -> Column:
     return F.coalesce(run(F.when(doubtful, c)), c)
 
 
+def once(value: Column, body) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def stripped(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import chat_text, strip_html, stripped
+from tillage.functions.text import chat_text, once, strip_html, stripped
 
 # Short messages that are valid, words of the domain, and the intents in their order.
 SHORT_VALID = ["ph", "p h", "npk", "n", "p", "k", "agua", "riego", "viento", "clima", "lluvia", "luz", "maiz", "frijol", "chile", "tomate"]
@@ -95,11 +95,6 @@ def low_confidence(norm: Column) -> Column:
     return (norm == "") | (~known & ((letters < 0.4) | ((F.length(norm) <= 3) & ~norm.rlike(r"\d")) | keyboard_smash(norm)))
 
 
-def _once(value: Column, body) -> Column:
-    """body of a value that is worked out once, however often body names it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def intent(message: Column) -> Column:
     """The first intent whose pattern fits: metrics, then noise, then the others; else unknown."""
 
@@ -112,7 +107,7 @@ def intent(message: Column) -> Column:
             out = F.when(norm.rlike(pattern), name).otherwise(out)
         return out
 
-    return _once(chat_text(message), cascade)
+    return once(chat_text(message), cascade)
 
 
 def mode(intent_col: Column, asked: Column, n_active: Column) -> Column:
@@ -129,7 +124,7 @@ def needs_documents(intent_col: Column, mode_col: Column) -> Column:
 
 def named_crop(message: Column, names: Column) -> Column:
     """The longest of the names (array, at least two characters) that the message holds; the first among equals."""
-    return _once(chat_text(message), lambda norm: _longest_of(norm, names))["name"]
+    return once(chat_text(message), lambda norm: _longest_of(norm, names))["name"]
 
 
 def _longest_of(norm: Column, names: Column) -> Column:

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillage.functions.text import squeeze, synonyms_applied
+from tillage.functions.text import once, squeeze, synonyms_applied
 
 # The agronomic dictionaries.
 TAXONOMY = {
@@ -123,13 +123,11 @@ def coverage(asked: Column, found: Column) -> Column:
 
 def labels(text: Column) -> Column:
     """Labels of a fragment in fixed order; DATO where none fits."""
-    t = squeeze(text)
-    found = F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in LABEL_PATTERNS]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("DATO")))
+    found = once(squeeze(text), lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), name) for name, p in LABEL_PATTERNS])))
+    return once(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit("DATO"))))
 
 
 def crop_hints(text: Column, crops: list[str], stored: Column | None = None) -> Column:
     """Crops named in the text or in stored entities, sorted, each once."""
-    t = squeeze(text)
-    named = F.array_compact(F.array(*[F.when(t.rlike(rf"\b{re.escape(c)}\b"), c) for c in crops if len(c) >= 3]))
+    named = once(squeeze(text), lambda t: F.array_compact(F.array(*[F.when(t.rlike(rf"\b{re.escape(c)}\b"), c) for c in crops if len(c) >= 3])))
     return F.array_sort(F.array_distinct(named if stored is None else F.array_union(named, stored)))
