@@ -43,6 +43,8 @@ def bm25(
 
 #: Word forms up to this number are broadcast, more of them meet the texts' words in a shuffle join.
 BROADCAST_FORMS = 100_000
+#: First characters that a word shares with its stem.
+SAME = 2
 
 
 def idf(n: int, df: int) -> float:
@@ -55,26 +57,27 @@ def saturation(tf, dl, average: float, k1: float, b: float):
     return tf * (k1 + 1) / (tf + norm * k1)
 
 
-def _scored(
-    docs: DataFrame, asked: DataFrame, words: Column, id_col: str, k: int, k1: float = 1.5, b: float = 0.75, keep=None, forms: DataFrame | None = None
-) -> DataFrame:
-    """bm25 for asked (query_id, term). forms (word, term) says which words of the texts count as which term; without it
-    words are terms."""
+def _scored(docs: DataFrame, asked: DataFrame, words: Column, id_col: str, k: int, k1: float = 1.5, b: float = 0.75, keep=None, stems: bool = False) -> DataFrame:
+    """bm25 for asked (query_id, term). With stems terms are stems, else words."""
     spark = docs.sparkSession
     times = asked.groupBy("query_id", "term").agg(F.count("*").alias("times")).collect()  # the caller's few queries
     terms = sorted({r["term"] for r in times})
-    own = [(t, t) for t in terms] if forms is None else []
     # every document counts once under the empty term, which is no word: its rows give n and avgdl
-    looked = spark.createDataFrame([("", ""), *own], "word string, term string")
-    bounded = forms is None
-    if forms is not None:
-        forms = kept(forms.select("word", "term"))
-        bounded = forms.count() <= BROADCAST_FORMS
-        looked = looked.union(forms)
+    looked = spark.createDataFrame([("", ""), *([] if stems else [(t, t) for t in terms])], "word string, term string")
     allowed = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
     sized = docs.select(F.col(id_col), allowed.alias("_keep"), words.alias("_words"))
     each = sized.select(id_col, "_keep", F.size("_words").alias("_dl"), F.explode(F.array_append("_words", F.lit(""))).alias("word"))
-    held = each.join(F.broadcast(looked) if bounded else looked, "word").groupBy(id_col, "_keep", "_dl", "term").agg(F.count("*").alias("tf"))
+    if stems:
+        # the words that begin as some term does are counted and stored; only their forms are stemmed
+        near = F.col("word").substr(1, SAME).isin("", *sorted({t[:SAME] for t in terms}))
+        each = kept(each.where(near).groupBy(id_col, "_keep", "_dl", "word").agg(F.count("*").alias("tf")))
+        forms = each.where("word != ''").select("word").distinct().withColumn("term", stem(F.col("word")))
+        forms = kept(forms.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").select("word", "term"))
+        looked = looked.union(forms)
+        looked = F.broadcast(looked) if forms.count() <= BROADCAST_FORMS else looked
+        held = each.join(looked, "word").groupBy(id_col, "_keep", "_dl", "term").agg(F.sum("tf").alias("tf"))
+    else:
+        held = each.join(F.broadcast(looked), "word").groupBy(id_col, "_keep", "_dl", "term").agg(F.count("*").alias("tf"))
     held = kept(held)
     sums = held.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"), F.sum(F.col("tf") * F.col("_dl")).alias("dl"))
     figures = {r["term"]: r for r in sums.collect()}  # a row a term
@@ -114,9 +117,7 @@ def analysed_search(
     words = F.filter(tokens(body), usable)
     asked = spark.createDataFrame(queries, "query_id long, query string").select("query_id", F.explode(F.filter(tokens(F.col("query")), usable)).alias("word"))
     asked = asked.select("query_id", stem(F.col("word")).alias("term"))
-    vocabulary = docs.select(F.explode(words).alias("word")).distinct().withColumn("term", stem(F.col("word")))
-    forms = vocabulary.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")  # the caller's few queries
-    return _scored(docs, asked, words, id_col, k, forms=forms)
+    return _scored(docs, asked, words, id_col, k, stems=True)
 
 
 def indexable(docs: DataFrame, text_col: str, order: list[str]) -> DataFrame:
