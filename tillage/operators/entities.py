@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillage.functions.text import once, squeeze, synonyms_applied
+from tillage.functions.words import occurrences
 
 # The agronomic dictionaries.
 TAXONOMY = {
@@ -49,62 +50,38 @@ LABEL_PATTERNS = [
 ]
 
 
-def dictionary(spark, taxonomy: dict[str, list[str]]) -> DataFrame:
-    """(type, value): a bounded list given by the caller."""
-    return spark.createDataFrame([(t, v) for t, vs in taxonomy.items() for v in vs], "type string, value string")
-
-
-#: Characters of a text that are looked through at a time; every piece sees as many more as the longest term needs.
-SPAN = 256
-
-
 def entities(docs: DataFrame, taxonomy: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text", normal: Column | None = None) -> DataFrame:
     """(id, type, value, start): every whole-word occurrence on the normalised text, start counted from 0.
 
-    Texts are cut into spans of bounded length, so that a row never carries more than its surroundings and the
-    work is linear in the text. Of a span's words only those that begin a term leave the scan's stage; they
-    are joined to the dictionary, and terms of several words are then compared as a slice.
+    A text is normalised once and its words are met with the dictionary, a bounded list given by the caller, where it is;
+    only occurrences leave the scan's stage. The work is linear in the text.
     """
-    spark = docs.sparkSession
-    terms = dictionary(spark, taxonomy).select("type", "value", F.split("value", " ").alias("parts")).withColumn("first", F.get("parts", 0))
-    values = [v for vs in taxonomy.values() for v in vs]
-    firsts, ahead = sorted({v.split(" ")[0] for v in values}), max([len(v) for v in values], default=0) + 1
-    span = max(SPAN, ahead)
+    terms = [(t, v) for t, vs in taxonomy.items() for v in vs]
     text = squeeze(F.coalesce(F.col(text_col), F.lit(""))) if normal is None else normal
-    cut = docs.select(F.col(id_col), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{span}}}"), F.lit(0)).alias("_spans"))
-    beside = F.transform(
-        "_spans", lambda c,
-        i: F.struct(
-            F.coalesce(F.get("_spans", i - 1), F.lit("")).alias("before"), c.alias("own"),
-            F.substring(F.coalesce(F.get("_spans", i + 1), F.lit("")), 1, ahead).alias("after")
-        )
-    )
-    each = cut.select(id_col, F.posexplode(beside).alias("_n", "_c"))
-    each = each.select(
-        id_col, (F.col("_n") * span).alias("_from"), F.length("_c.own").alias("_size"), F.col("_c.before").rlike("[a-z0-9_]$").alias("_goes_on"),
-        F.regexp_extract_all(F.concat("_c.own", "_c.after"), F.lit("[a-z0-9_]+|[^a-z0-9_]+"), F.lit(0)).alias("_words"),
-    )
-    at = F.filter(
-        F.transform("_words", lambda w, i: F.struct(w.alias("first"), i.alias("at"))),
-        lambda x: x["first"].isin(*firsts) & ((x["at"] > 0) | ~F.col("_goes_on"))
-    )
-    begun = each.select(id_col, "_from", "_size", "_words", F.explode(at).alias("_x")).select(id_col, "_from", "_size", "_words", "_x.first", "_x.at")
-    hit = begun.join(F.broadcast(terms), "first")
-    # words and what lies between them alternate: a term of n words covers 2n - 1 pieces
-    piece = F.array_join(F.slice("_words", F.col("at") + 1, F.size("parts") * 2 - 1), "")
-    start = F.length(F.array_join(F.slice("_words", F.lit(1), F.col("at")), ""))
-    return hit.where((piece == F.col("value")) & (start < F.col("_size"))).select(id_col, "type", "value", (F.col("_from") + start).cast("long").alias("start"))
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+
+    def run(it):
+        import pyarrow as pa
+
+        for b in it:
+            for rows, numbers, starts in occurrences(b.column(1), [v for _, v in terms]):
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), pa.array(numbers), pa.array(starts)], ["id", "term", "start"])
+
+    found = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}, term int, start long")
+    named = lambda i: F.get(F.array(*[F.lit(t[i]) for t in terms]).cast("array<string>"), F.col("term"))
+    return found.select(F.col("id").alias(id_col), named(0).alias("type"), named(1).alias("value"), "start")
 
 
 def with_phrases(found: DataFrame, phrases: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """found (id, type, value, start) and those of `phrases` that mark a span of that type not marked yet.
 
-    A second recogniser's hits add to the first's: of both, one for each (type, start, end).
+    A second recogniser's hits add to the first's: of both, one for each (type, start, end), the first's where both have one.
+    Both come from one shuffle by span, so neither is worked out twice.
     """
-    span = [id_col, "type", "start", "_end"]
-    marked = lambda df: df.withColumn("_end", F.col("start") + F.length("value"))
-    new = marked(phrases).dropDuplicates(span).join(marked(found).select(*span), span, "left_anti")
-    return found.unionByName(new.select(*found.columns))
+    marked = lambda df, by: df.withColumn("_end", F.col("start") + F.length("value")).withColumn("_by", F.lit(by))
+    span = Window.partitionBy(id_col, "type", "start", "_end").orderBy("_by", "value")
+    both = marked(found, 0).unionByName(marked(phrases, 1)).withColumn("_n", F.row_number().over(span))
+    return both.where("_n = 1").select(*found.columns)
 
 
 def extract(

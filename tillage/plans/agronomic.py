@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import functions as F
 
 from tillage.functions import text as T
@@ -12,7 +15,7 @@ from tillage.plans import sqlparts as S
 from tillage.plans.catalogue import REGISTRY
 from tillage.plans.retrieval import QUERIES
 from tillage.plans.texts import WORDS
-from tillage.session import table
+from tillage.session import kept, table
 
 add = REGISTRY.add
 TEXT = "coalesce(text, '')"
@@ -70,8 +73,10 @@ SELECT doc_id, type, count(*) AS n FROM (SELECT * FROM f UNION SELECT * FROM g)
 )
 def entities_added(spark, sf_dir):
     """A second recogniser adds what the first has not marked; what both mark counts once."""
-    docs = _docs(spark, sf_dir)
-    return E.with_phrases(E.entities(docs, _FIRST), E.entities(docs, _SECOND)).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+    every = {t: sorted({*_FIRST.get(t, []), *_SECOND.get(t, [])}) for t in {**_FIRST, **_SECOND}}
+    hits = kept(E.entities(_docs(spark, sf_dir), every))  # texts are read once for both
+    by = lambda taxonomy: hits.where(reduce(or_, [(F.col("type") == t) & F.col("value").isin(vs) for t, vs in taxonomy.items()]))
+    return E.with_phrases(by(_FIRST), by(_SECOND)).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
 
 
 _HINTED = sorted(v for vs in WORDS.values() for v in vs if " " not in v)
