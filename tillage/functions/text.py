@@ -334,9 +334,14 @@ def table_signature(rows: Column, lines: int = 8, columns: int = 4, cells: int =
 
 
 def synonyms_applied(text: Column, synonyms: dict[str, str]) -> Column:
-    """Whole-word rewriting, longest first and ties by text; later rules see earlier output."""
+    """Whole-word rewriting, longest first and ties by text; later rules see earlier output.
+
+    A rule's pattern is looked for only in texts that contain its words, which is far cheaper to find out."""
+    if not synonyms:
+        return text
     ordered = sorted(synonyms.items(), key=lambda kv: (-len(kv[0]), kv[0]))
-    return reduce(lambda t, kv: F.regexp_replace(t, rf"\b{re.escape(kv[0])}\b", _literally(kv[1])), ordered, text)
+    rules = F.array(*[F.struct(F.lit(k).alias("words"), F.lit(rf"\b{re.escape(k)}\b").alias("pattern"), F.lit(_literally(v)).alias("by")) for k, v in ordered])
+    return F.aggregate(rules, text, lambda t, r: F.when(F.contains(t, r["words"]), F.regexp_replace(t, r["pattern"], r["by"])).otherwise(t))
 
 
 def _literally(by: str) -> str:
