@@ -76,3 +76,23 @@ def occurrences(texts, terms: list[str], block: int = 1 << 20):
                 numbers.append(np.full(len(i), number, np.int32))
                 starts.append(counted[at[i] - since] - 1 - before[row[i]])
         yield np.concatenate(rows), np.concatenate(numbers), np.concatenate(starts)
+
+
+def split(texts, block: int = 1 << 20):
+    """(words, counts): the words of all folded texts, one after the other, as an Arrow column, and how many each text has."""
+    import pyarrow as pa
+
+    data, offsets = raw(texts)
+    starts, places, letters, passed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    for since in range(0, len(data), block):
+        part = data[since : since + block]
+        inside = IN_WORD[part]
+        at = begins(data, offsets, since, since + len(part))
+        places.append(np.cumsum(inside)[at - since] - 1 + passed)
+        starts.append(at)
+        letters.append(part[inside])
+        passed += len(letters[-1])
+    starts = np.concatenate(starts)
+    bounds = np.append(np.concatenate(places), passed)
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(np.concatenate(letters) if letters else data))
+    return words, np.diff(np.searchsorted(starts, offsets))

@@ -2,7 +2,8 @@
 
 Postings lie in folders by segment and by a hash of the term, ordered by term, a row for each term and chunk of documents, so a
 search reads the folders of its terms and, inside them, the row groups that hold them. A row also has the largest
-count and the smallest length in it, which bounds what any of its documents can score. An update is a new segment;
+count and the smallest length in it, which bounds what any of its documents can score. A chunk's row of the empty term lists its
+documents, with and without words, and their lengths. An update is a new segment;
 ids that were removed or replaced are listed with the last segment that they are gone from.
 """
 
@@ -14,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillage.functions.text import tokens
+from tillage.functions.text import fold, tokens
+from tillage.functions.words import split
 from tillage.operators.lexical import best, idf, saturation
 from tillage.session import kept
 
@@ -33,52 +35,90 @@ def _part(term, parts: int):
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
 
+#: Bytes of text that share their blocks, at most, unless one text is longer.
+CHUNK_BYTES = 8 << 20
+#: The term of the row that lists all documents of a chunk; no word is empty.
+ALL = ""
+
+
+def _chunks(texts, most: int):
+    """(from, to): rows of a batch that share their blocks."""
+    import pyarrow.compute as pc
+
+    ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_BYTES, "right"))
+        to = min(max(to, at + 1), at + most)
+        yield at, to
+        at = to
+
+
 def _blocks(chunk: int):
-    """Documents (id, words) of a task as blocks: for each chunk of them and each term there, who holds it and where."""
+    """Documents (id, folded text) of a task as blocks: for each chunk of them and each term there, which of the chunk's words it is.
+
+    A chunk's words are numbered through all its documents; its row of the empty term tells them apart."""
 
     def run(it):
         import pyarrow as pa
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
+        names = ["chunk", "term", "words", "ids", "dls", "n", "max_tf", "min_dl"]
         for b in it:
-            for at in range(0, b.num_rows, chunk):
-                part = b.slice(at, chunk)
-                lists = part.column(1)
-                coded, dl = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            for at, to in _chunks(b.column(1), chunk):
+                ids, texts = b.column(0).slice(at, to - at), b.column(1).slice(at, to - at)
+                words, dl = split(texts)
+                coded = words.dictionary_encode()
                 term = coded.indices.to_numpy()
-                doc = np.repeat(np.arange(len(dl)), dl)
-                place = np.arange(len(term)) - np.repeat(np.cumsum(dl) - dl, dl)
-                order = np.lexsort((place, doc, term))
-                term, doc, place = term[order], doc[order], place[order]
+                # words ascend already, so ordering terms alone orders all; few terms sort faster
+                word = np.argsort(term.astype(np.uint16) if len(coded.dictionary) <= 1 << 16 else term, kind="stable")
+                doc, term = np.repeat(np.arange(len(dl)), dl)[word], term[word]
                 # where a document of a term begins, and where a term does
                 held = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])])[: len(term)])
                 first = np.flatnonzero(np.concatenate([[True], term[held][1:] != term[held][:-1]])[: len(held)])
-                tf, ends = np.diff(held, append=len(term)), lambda x, n: pa.array(np.append(x, n), pa.int32())
-                places = pa.ListArray.from_arrays(ends(held, len(term)), pa.array(place, pa.int32()))
-                owners = pa.array(doc[held])
-                docs = pa.StructArray.from_arrays([part.column(0).take(owners), pa.array(dl, pa.int32()).take(owners), places], ["id", "dl", "places"])
+                most = np.maximum.reduceat(np.diff(held, append=len(term)), first) if len(first) else first
                 least = np.minimum.reduceat(dl[doc[held]], first) if len(first) else first
-                most = np.maximum.reduceat(tf, first) if len(first) else first
+                lists = lambda begin, values: pa.ListArray.from_arrays(pa.array(begin, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(first), number)), coded.dictionary.take(pa.array(term[held][first])), pa.ListArray.from_arrays(ends(first, len(held)), docs),
+                    pa.array(np.full(len(first), number)), coded.dictionary.take(pa.array(term[held[first]])).cast(pa.string()),
+                    lists(np.append(held[first], len(term)), pa.array(word, pa.int32())), pa.nulls(len(first), pa.list_(ids.type)), pa.nulls(len(first), pa.list_(pa.int32())),
                     pa.array(np.diff(first, append=len(held)), pa.int64()), pa.array(most, pa.int32()), pa.array(least, pa.int32())
-                ], ["chunk", "term", "docs", "n", "max_tf", "min_dl"])
+                ], names)
+                whole, zero = [0, len(ids)], pa.array([0], pa.int32())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([number]), pa.array([ALL]), pa.nulls(1, pa.list_(pa.int32())), lists(whole, ids), lists(whole, pa.array(dl, pa.int32())), pa.array([len(ids)]), zero, zero
+                ], names)
                 number += 1
 
     return run
 
 
+def _owners(it):
+    """Rows (words, ids, dls, seg, term, ...) of blocks with their chunk's documents as rows (id, dl, places, seg, term, ...) of those that hold the term."""
+    import pyarrow as pa
+
+    for b in it:
+        for i in range(b.num_rows):
+            words, ids, dls = (b.column(c)[i].values for c in range(3))
+            word, dl = words.to_numpy(), dls.to_numpy().astype(np.int64)
+            ends = np.cumsum(dl)
+            doc = np.searchsorted(ends, word, "right")
+            held = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
+            own = doc[held]
+            places = pa.ListArray.from_arrays(pa.array(np.append(held, len(doc)), pa.int32()), pa.array(word - (ends - dl)[doc], pa.int32()))
+            more = [b.column(c).take(pa.array(np.full(len(own), i))) for c in range(3, b.num_columns)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), pa.array(dl[own], pa.int32()), places, *more], ["id", "dl", "places", *b.schema.names[3:]])
+
+
 def _schema(kind: str) -> str:
-    return f"chunk long, term string, docs array<struct<id: {kind}, dl: int, places: array<int>>>, n long, max_tf int, min_dl int"
+    return f"chunk long, term string, words array<int>, ids array<{kind}>, dls array<int>, n long, max_tf int, min_dl int"
 
 
 def _write_segment(docs: DataFrame, path: str, number: int, id_col: str, text_col: str, p: IndexParams) -> None:
-    named = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
-    named.select("id", F.size("words").alias("dl")).write.parquet(f"{path}/documents/seg={number}")
+    folded = docs.select(F.col(id_col).alias("id"), fold(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     # chunks are made where the documents are; only their blocks are dealt to the terms' folders
-    rows = named.mapInArrow(_blocks(p.chunk), _schema(kind)).withColumn("part", _part(F.col("term"), p.parts))
+    rows = folded.mapInArrow(_blocks(p.chunk), _schema(kind)).withColumn("part", _part(F.col("term"), p.parts))
     dealt = rows.repartition("part", F.pmod(F.xxhash64("chunk"), F.lit(p.files)))
     dealt.sortWithinPartitions("part", "term", "chunk").write.partitionBy("part").parquet(f"{path}/postings/seg={number}")
 
@@ -114,7 +154,10 @@ class Index:
         # what an id is gone from counts up to its latest removal
         gone = spark.read.parquet(f"{path}/gone").where("upto >= 0")
         self.gone = None if gone.isEmpty() else gone.groupBy(F.col("id").alias("_id")).agg(F.max("upto").alias("_upto"))
-        whole = self.alive(spark.read.parquet(f"{path}/documents")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        # the documents of a chunk, a row each
+        self.chunks = self.blocks([ALL]).select("seg", "chunk", "ids", "dls")
+        whole = self.alive(self.chunks.select("seg", F.explode(F.arrays_zip("ids", "dls")).alias("d")).select("seg", F.col("d.ids").alias("id"), F.col("d.dls").alias("dl")))
+        whole = whole.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         self.n, self.average = whole["n"], whole["avgdl"] or 0.0
 
     def alive(self, rows: DataFrame) -> DataFrame:
@@ -131,8 +174,10 @@ class Index:
 
     def documents(self, blocks: DataFrame, *more: str) -> DataFrame:
         """Blocks as rows (id, seg, term, dl, places) of the documents that are there."""
-        each = blocks.select("seg", "term", *more, F.explode("docs").alias("d"))
-        return self.alive(each.select(F.col("d.id").alias("id"), "seg", "term", F.col("d.dl").alias("dl"), F.col("d.places").alias("places"), *more))
+        wanted = blocks.select("seg", "chunk", "words", "term", *more).join(self.chunks, ["seg", "chunk"]).select("words", "ids", "dls", "seg", "term", *more)
+        types = {f.name: f.dataType.simpleString() for f in wanted.schema}
+        rest = "".join(f", {c} {types[c]}" for c in ("seg", "term", *more))
+        return self.alive(wanted.mapInArrow(_owners, f"id {types['ids'].removeprefix('array<').removesuffix('>')}, dl int, places array<int>{rest}"))
 
     def idfs(self, terms: list[str]) -> dict[str, float]:
         blocks = self.blocks(terms)
